@@ -7,13 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import quality, secrets, sharding
+from mosaiq.llm import fingerprints, pii, quality, secrets, sharding
 from mosaiq.llm.common import table, text_or_empty
 from mosaiq.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Of the pseudonyms; a real run takes its own.
+PII_KEY = "corpus-2024"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    names = F.array(*map(F.lit, pii.KINDS))
+    count = lambda i: F.size(F.filter("entities", lambda e: e["kind"] == i)).cast("long")
+    return masked.select(
+        "doc_id",
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.array_join(F.transform("entities", lambda e: F.concat_ws(":", F.get(names, e["kind"]), e["start"], e["end"])), ",").alias("spans"),
+        F.col("masked_text").alias("text"),
+    )
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.compared(table(spark, sf_dir, "documents"))
+    a, b = F.col("sketch"), F.col("edited_sketch")
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_string(a).alias("fingerprint"),
+        fingerprints.as_string(b).alias("edited_fingerprint"),
+        fingerprints.likeness(a, b).alias("near_edited"),
+        fingerprints.likeness(a, F.col("next_sketch")).alias("near_next"),
+        fingerprints.containment(a, b).alias("contained_in_edited"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -45,6 +76,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii": op2_pii,
+    "op3_fingerprints": op3_fingerprints,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
