@@ -1,47 +1,20 @@
-"""What the operators share: reading tables, written intermediate tables, and Arrow helpers."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters that separate words: space and \\t \\n \\v \\f \\r, also what bytes.split() splits at.
-WS = " \t\n\x0b\x0c\r"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from mosaiq.tables import shared_dir, table, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where unset (tests), a local one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+__all__ = ["WS", "as_bytes", "shared_dir", "slices", "table", "text_or_empty", "written"]
 
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a table in the shared folder, read again: later jobs survive a lost executor without redoing df.
-
-    The table is removed when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+#: The characters that separate words: space and \\t \\n \\v \\f \\r, also what bytes.split() splits at.
+WS = " \t\n\x0b\x0c\r"
 
 
 def text_or_empty(name: str = "text") -> Column:

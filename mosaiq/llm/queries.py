@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, chat, fingerprints, packing, pii, quality, secrets, sharding
+from mosaiq.llm import bpe, chat, fingerprints, ngram_join, packing, pii, quality, secrets, sharding
 from mosaiq.llm.common import table, text_or_empty
 from mosaiq.llm.oracles import ORACLES
 
@@ -69,6 +69,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -105,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
