@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, chat, fingerprints, ngram_join, packing, pii, quality, secrets, sharding
+from mosaiq.llm import backoff, bpe, chat, fingerprints, ngram_join, packing, pii, quality, secrets, sharding
 from mosaiq.llm.common import table, text_or_empty
 from mosaiq.llm.oracles import ORACLES
 
@@ -58,6 +58,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_fingerprints": op3_fingerprints,
+    "op4_backoff": op4_backoff,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
