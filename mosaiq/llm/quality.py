@@ -4,8 +4,8 @@ Every line is judged by rules on punctuation, navigation and boilerplate; failin
 document that loses more than half of its words with them, or that fails the base rules, is rejected.
 
 Defined cases: null text counts as empty; an empty text has no words and so fails the base rules; any text is
-read whole; equal rows get equal verdicts; an empty table gives an empty table; extra columns are passed on
-(`clean_lines`, `judge`) unless their names are those of the results, which then replace them.
+read whole; equal rows get equal verdicts; an empty table gives an empty table; extra columns are passed on,
+but for `judge` where their names are those of its results.
 """
 
 from __future__ import annotations
@@ -117,33 +117,39 @@ def measure(text: str, rules: LineRules = LineRules()) -> tuple:
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lost_words long, kept boolean"
 
 
-def judge(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = False) -> DataFrame:
-    """docs (with a column text) and the measures and verdict of each row; with_text: also cleaned_text.
+def judge(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """docs without their text, and the measures and verdict of each row.
 
     Row by row in Arrow batches: no shuffle, and no more than one batch in memory."""
-    names = [x.split()[0] for x in MEASURES.split(", ")] + ["cleaned_text"] * with_text
-    rest = [c for c in docs.columns if c not in names]
-    docs = docs.select(*rest)
-    at = rest.index("text")
-    keep = rest if with_text else [c for c in rest if c != "text"]
-    schema = docs.select(*keep).withColumns({x.split()[0]: F.lit(None).cast(x.split()[1]) for x in MEASURES.split(", ")})
-    if with_text:
-        schema = schema.withColumn("cleaned_text", F.lit(None).cast("string"))
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+    keep = [c for c in docs.columns if c not in [*names, "text"]]
+    docs = docs.select(*keep, "text")
+    schema = docs.select(*keep).withColumns({x.split()[0]: F.lit(None).cast(x.split()[1]) for x in MEASURES.split(", ")}).schema
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            rows = [measure(t or "", rules) for t in batch.column(at).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.bool_()] + [pa.string()] * with_text
-            columns += [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+        for batch in slices(batches, len(keep)):
+            rows = [measure(t or "", rules) for t in batch.column(len(keep)).to_pylist()]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*keep, *names])
 
-    return docs.mapInArrow(run, schema.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that the rules keep, without their failing lines; n_chars, where there, follows the text."""
-    out = judge(docs, rules, with_text=True).filter("kept").withColumn("text", F.col("cleaned_text"))
+    """The documents that the rules keep, without their failing lines; n_chars, where there, follows the text.
+
+    All columns of docs stay as they are, whatever their names."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            rows = [measure(t or "", rules) for t in batch.column(at).to_pylist()]
+            kept = [i for i, r in enumerate(rows) if r[7]]
+            out = batch.take(pa.array(kept, pa.int32()))
+            yield out.set_column(at, out.schema.field(at), pa.array([rows[i][8] for i in kept], out.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[c for c in docs.columns if c in out.columns])
+    return out
