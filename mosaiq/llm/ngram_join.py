@@ -7,7 +7,7 @@ required overlap T). The steps:
 1. Shingle hashes are dealt by value; each bucket finds the shingles that occur once, and a text with too few
    others is done: it links with nothing. What travels is a few bytes a shingle, packed by batch; within a batch
    repeated shingles collapse to one entry, however common they are.
-2. The texts left are grouped by equal sets (copies become one class), and their shingles ordered from rare to
+2. The texts left, picked in place by a small map of their ids' hashes, are grouped by equal sets (copies become one class), and their shingles ordered from rare to
    common. Linked classes share one of the first n - T + 1 shingles of each, so the connected components of
    "shares such a shingle" hold every link. These are the neighbourhoods.
 3. In a neighbourhood, DivideSkip finds the links: of the inverted lists of a class's shingles, the short ones
@@ -178,11 +178,33 @@ def shared_counts(docs: DataFrame, n: int) -> DataFrame:
 # --- 2: classes of equal sets, and their neighbourhoods ---
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, the shingle set as sorted hashes, and a digest of it; texts without words are left out."""
+#: Bits of the map of ids below (2 MB), a multiple of the 2**15 bits of one of Spark's bitmaps.
+BITS = 1 << 24
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """Which values of a hash the ids (doc_id) have, as BITS bits: a filter that loses no id. What reaches the
+    driver is at most BITS / 2**15 bitmaps of 4 KB, whatever the number of ids."""
+    hashed = ids.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1).alias("h"))
+    maps = hashed.groupBy(F.bitmap_bucket_number("h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for row in maps:
+        out[(row["at"] - 1) * 4096 : row["at"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def sets(docs: DataFrame, n: int, among: np.ndarray | None = None) -> DataFrame:
+    """doc_id, the shingle set as sorted hashes, and a digest of it; texts without words are left out.
+    among: id_bits; other ids are passed over before any work on their texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(among)
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in slices(batches, 1, SLICE):
+            if bits is not None:
+                h = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7)) & 1 > 0))
             value, place = shingles(as_bytes(batch.column(1)), n)
             order = np.argsort(place, kind="stable")
             value, sizes = value[order].view(np.int64), np.bincount(place, minlength=batch.num_rows)
@@ -191,7 +213,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(value))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, hashes array<long>").filter("size(hashes) > 0")
+    return docs.mapInArrow(run, "doc_id long, digest binary, hashes array<long>").filter("size(hashes) > 0")
 
 
 def neighbourhoods(classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -328,8 +350,8 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     """doc_id, n_shingles and component_id (the least doc_id that links lead to, its own included) of each row."""
     profile = written(shared_counts(docs, n), "profile")
     able = profile.filter(f"n_shingles > 0 AND {den} * n_shared >= {num} * n_shingles AND doc_id IS NOT NULL").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(able, "doc_id", "left_semi")
-    members = written(sets(texts, n), "sets")
+    # the texts stay where they are: the map of ids picks them, and only sets are joined with the exact ids
+    members = written(sets(docs, n, id_bits(able)).join(able, "doc_id", "left_semi"), "sets")
     by_digest = members.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("hashes").alias("hashes"))
     classes = written(by_digest.select("digest", "class_id", F.size("hashes").cast("long").alias("n"), "hashes"), "classes")
     near = neighbourhoods(classes, num, den)
