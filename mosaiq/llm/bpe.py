@@ -23,8 +23,9 @@ import pyarrow as pa
 
 #: Words of so many bytes together are encoded by one recursive query.
 WORD_BYTES = 4 << 20
-#: A worker forgets its known words beyond so many.
-KNOWN_WORDS = 500_000
+#: A worker forgets its known words, and apart from them its known stretches of text, beyond so many.
+KNOWN_WORDS = 900_000
+KNOWN_UNITS = 500_000
 #: So many tokens are decoded at a time.
 DECODE_TOKENS = 2_000_000
 
@@ -97,7 +98,7 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
         self.doubled = regex.compile(r"\s\x20").search
-        self._clear()
+        self.words, self.units = Known(), Known()
         ranks = self.ranks
         # a pair merges if its bytes together are a token, whose rank is the pair's
         pairs = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -110,9 +111,6 @@ class Bpe:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
 
-    def _clear(self) -> None:
-        self.words, self.units = Known(), Known()
-
     def learn_words(self, words: list[str]) -> None:
         """Encodes distinct words that aren't known yet."""
         group: list[tuple[int, bytes]] = []
@@ -148,8 +146,10 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Of each text: its ids, and the same as decimal numbers joined by one space."""
-        if len(self.words.codes) > KNOWN_WORDS or len(self.units.codes) > KNOWN_WORDS:
-            self._clear()
+        if len(self.words.codes) > KNOWN_WORDS:
+            self.words = Known()
+        if len(self.units.codes) > KNOWN_UNITS:
+            self.units = Known()
         # between a character that is no white space and a space a word always ends, so that texts without other
         # white space before a space are units joined by spaces
         cut = [[t] if self.doubled(t) else _with_spaces(t) for t in texts]
