@@ -136,7 +136,7 @@ class Bpe:
     def learn_units(self, units: list[str]) -> None:
         """Units are stretches of text whose ends are ends of words whatever surrounds them."""
         split = [self.split(u) for u in units]
-        fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.words.codes]
+        fresh = list(set().union(*split).difference(self.words.codes))
         if fresh:
             self.learn_words(fresh)
         codes = np.fromiter((self.words.codes[w] for words in split for w in words), np.int64)
@@ -153,7 +153,7 @@ class Bpe:
         # between a character that is no white space and a space a word always ends, so that texts without other
         # white space before a space are units joined by spaces
         cut = [[t] if self.doubled(t) else _with_spaces(t) for t in texts]
-        fresh = [u for u in dict.fromkeys(u for units in cut for u in units) if u not in self.units.codes]
+        fresh = list(set().union(*(set(units).difference(self.units.codes) for units in cut)))
         if fresh:
             self.learn_units(fresh)
         out = []
