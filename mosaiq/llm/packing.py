@@ -17,6 +17,7 @@ rows are packed as often as they occur; an empty table gives an empty one; extra
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ TIERS = (1024, 512, 256, 128)
 #: A document's last id.
 END = 0
 #: A worker forgets its known stretches of text beyond so many.
-KNOWN = 500_000
+KNOWN = 1_200_000
 #: Pieces that one bucket holds on average.
 BUCKET_ROWS = 1 << 18
 
@@ -54,24 +55,24 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.doubled = regex.compile(r"\s\x20").search
-        self.known: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}  # ids of texts and of their first stretches
+        self.spaced: dict[str, bytes] = {}  # ids of a space and the stretch
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        cut = []
-        for t in texts:
-            if self.doubled(t):
-                cut.append([t])
-            else:
-                first, *rest = t.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
-        known = self.known
-        fresh = [u for u in dict.fromkeys(u for units in cut for u in units) if u not in known]
+    def learn(self, into: dict[str, bytes], fresh: list[str], before: str) -> None:
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
-            known.update((u, np.array(e.ids, np.uint32).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4") for units in cut]
+            found = self.tokenizer.encode_batch_fast([before + u for u in part], add_special_tokens=False)
+            into.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, found, strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.spaced) + len(self.whole) > KNOWN:
+            self.spaced.clear()
+            self.whole.clear()
+        cut = [[t] if self.doubled(t) else t.split(" ") for t in texts]
+        self.learn(self.whole, list({units[0] for units in cut}.difference(self.whole)), "")
+        self.learn(self.spaced, list(set().union(*(set(units[1:]).difference(self.spaced) for units in cut))), " ")
+        whole, spaced = self.whole, self.spaced.__getitem__
+        return [np.frombuffer(b"".join([whole[units[0]], *map(spaced, units[1:])]), "<u4") for units in cut]
 
 
 _loaded: dict[str, Tokens] = {}

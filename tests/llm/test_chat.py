@@ -13,7 +13,7 @@ def render(source, **context):
 
 
 def test_language():
-    assert render("{{ 'a' ~ 1 + 2 }}|{{ x.y | upper }}|{{ x.z }}", x={"y": "q"}).split("|")[1:] == ["Q", ""]
+    assert render("{{ 'a' ~ 1 }}{{ 1 + 2 }}|{{ x.y | upper }}|{{ x.z }}", x={"y": "q"}).split("|")[1:] == ["Q", ""]
     assert render("{% for m in ms %}{{ loop.index }}{{ m }}{% if not loop.last %}, {% endif %}{% endfor %}", ms=["a", "b"]) == "1a, 2b"
     assert render("{% if a and b or c %}1{% elif d == 'x' %}2{% else %}3{% endif %}", a=1, b=0, c=0, d="x") == "2"
     assert render("{% set n = 'v' %}{{ n if n != 'w' else 'no' }}{# gone #}") == "v"
