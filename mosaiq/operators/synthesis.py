@@ -146,15 +146,20 @@ def merge_angles(responses: DataFrame, selected: DataFrame, outlets: DataFrame,
     enough = (F.coalesce("n_outlets", F.lit(0)) >= params.min_outlets) & (F.coalesce("n_compared", F.lit(0)) >= params.min_outlets)
     fate = F.when(F.col("target").isNotNull(), "updated").when(enough, "created").otherwise("discarded")
     first = angles.select(F.coalesce(F.max("angle_id"), F.lit(0)).alias("last_id"))
-    order = F.row_number().over(Window.partitionBy("fate").orderBy("cluster_id", "position"))
-    whole = whole.withColumn("fate", fate).withColumn("n", order).join(F.broadcast(first))
+    whole = whole.withColumn("fate", fate).join(F.broadcast(first))
+    # ids are given once, in order; only the new angles' keys meet for it
+    order = F.row_number().over(Window.orderBy("cluster_id", "position"))
+    numbers = whole.filter("fate = 'created'").select("cluster_id", "position").withColumn("n", order)
+    whole = whole.join(numbers, ["cluster_id", "position"], "left")
     whole = whole.withColumn("angle_id", F.when(F.col("fate") == "created", F.col("last_id") + F.col("n")).otherwise(F.col("target")))
     kept = whole.filter("fate <> 'discarded'")
     full_topics = with_parents(F.col("topics"), F.coalesce("subtopics", F.array().cast("array<string>")))
     # of several answers for one angle the last one writes, over the comparisons of all
     last = F.row_number().over(Window.partitionBy("angle_id").orderBy(F.desc("position")))
     every = kept.groupBy("angle_id").agg(
-        F.aggregate(F.array_sort(F.collect_list(F.struct("position", "new_comparison"))), F.create_map().cast(kind), lambda m, s: merged_map(m, s["new_comparison"])).alias("all_comparisons")
+        F.aggregate(
+            F.array_sort(F.collect_list(F.struct("position", F.map_entries("new_comparison").alias("c")))), F.create_map().cast(kind), lambda m, s: merged_map(m, F.map_from_entries(s["c"]))
+        ).alias("all_comparisons")
     )
     top = kept.withColumn("r", last).filter("r = 1").join(every, "angle_id").select(
         "angle_id", "cluster_id", "title", "summary", "key_points", "all_comparisons", full_topics.alias("full_topics"), "subtopics", "model"
