@@ -1 +1,95 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from mosaiq.llm.quality import BOILERPLATE, NAVIGATION, TERMINAL, LineRules
+from mosaiq.llm.sharding import BUCKETS
+
+_RULES = LineRules()
+_WORD = r"[^\x20\x09-\x0D]+"
+_SYMBOL = "[#*$%&|<>]"
+_WS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+_TERMINAL = TERMINAL.replace("'", "''")
+
+QUALITY = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines FROM docs),
+placed AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) > 2),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM placed),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(3) r(k) WHERE n > 1 GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM words),
+measured AS (
+    SELECT *, trim(line, {_WS}) AS bare, len(regexp_extract_all(line, '{_WORD}')) AS n, length(line) - length(regexp_replace(line, '{_SYMBOL}', '', 'g')) AS symbols,
+           row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS copy FROM each
+),
+lost AS (
+    SELECT doc_id, sum(n) AS n FROM measured
+    WHERE copy > 1 OR (NOT contains('{_TERMINAL}', right(bare, 1)) AND n < {_RULES.short_line}) OR (symbols > 0 AND symbols >= {_RULES.symbols_per_word} * n)
+       OR (n <= {_RULES.boilerplate_words} AND (regexp_matches(bare, '(?i)(?:{BOILERPLATE})') OR regexp_matches(bare, '(?i){NAVIGATION}')))
+    GROUP BY doc_id
+),
+base AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '{_SYMBOL}', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(l.n, 0) AS BIGINT) AS lost_words
+    FROM words LEFT JOIN covered c USING (doc_id) LEFT JOIN lost l USING (doc_id)
+),
+judged AS (SELECT *, n_words < {_RULES.min_words} OR n_repeat_words > {_RULES.most_repeated} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, NOT base_failed AND lost_words <= {_RULES.most_lost} * n_words AS kept FROM judged
+"""
+
+_HASH = "CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', {})), 1, 15) AS BIGINT)"
+
+
+def _shard(n: int) -> str:
+    return f"(SELECT arg_min(s, (-ln(({_HASH.format('s')} + 0.5) / {float(1 << 60)!r}), s)) FROM range({n}) r(s))"
+
+
+SHARDING = f"""
+WITH table_of AS (SELECT list(list_reduce(list_concat([n], range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY n) AS crcs FROM range(256) r(n)),
+rows_ AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+bytes AS (SELECT doc_id, t, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM rows_),
+sums AS (
+    SELECT doc_id, CAST(len(b) + 8 AS BIGINT) AS size,
+           CAST(xor(list_reduce(list_concat([4294967295], b), lambda a, x: xor(a // 256, crcs[CAST(xor(a % 256, x) + 1 AS INTEGER)])), 4294967295) AS BIGINT) AS text_crc32
+    FROM bytes, table_of
+),
+placed AS (SELECT *, CAST({_shard(24)} AS INTEGER) AS shard, CAST({_shard(25)} AS INTEGER) AS grown_shard, {_HASH.format("'bucket'")} % {BUCKETS} AS bucket FROM sums)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM placed
+"""
+
+_ESCAPED = r"\\|<\||</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+
+CHAT = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+    UNION ALL SELECT -7, v.turn, v.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn, role, said)) AS turns_sha256,
+       CAST(coalesce(sum(length(said)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(said, '' ORDER BY turn, role, said) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length(role) + length(said) + len(regexp_extract_all(role, '{_ESCAPED}')) + len(regexp_extract_all(said, '{_ESCAPED}'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+NGRAM_JOIN = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM words
+),
+sizes AS (SELECT doc_id, count(s) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs p JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * p.n >= 85 * (a.n + b.n - p.n)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM reach r JOIN edges e ON e.u = r.other)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_chat": CHAT.strip(),
+    "op7_ngram_join": NGRAM_JOIN.strip(),
+    "op9_quality_rules": QUALITY.strip(),
+    "op10_sharding": SHARDING.strip(),
+}
