@@ -100,10 +100,10 @@ def test_posts(spark):
 
 
 def test_canonical_names():
-    counts = {"Lara Agustina Ledesma": 5, "Iara Agustina Ledesma": 1, "Ledesma": 3, "Lionel Messi": 2, "Jorge Messi": 2}
+    counts = {"Marta Elena Quiroga": 5, "Narta Elena Quiroga": 1, "Quiroga": 3, "Pablo Rivas": 2, "Diego Rivas": 2}
     found = evidence.canonical_map(counts)
-    assert found["Iara Agustina Ledesma"] == found["Ledesma"] == "Lara Agustina Ledesma"
-    assert found["Lionel Messi"] != found["Jorge Messi"]
+    assert found["Narta Elena Quiroga"] == found["Quiroga"] == "Marta Elena Quiroga"
+    assert found["Pablo Rivas"] != found["Diego Rivas"]
 
 
 def test_responses(spark):
