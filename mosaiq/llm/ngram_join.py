@@ -41,7 +41,7 @@ from mosaiq.llm.common import as_bytes, slices, written
 from mosaiq.operators.components import connected_components
 
 #: Bytes of text whose shingles are handled at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Shingles that one block of a large neighbourhood, or one bin of small ones, holds on average.
 BLOCK = 2_000_000
 BIN = 400_000

@@ -33,8 +33,8 @@ from mosaiq.llm.common import slices, written
 TIERS = (1024, 512, 256, 128)
 #: A document's last id.
 END = 0
-#: A worker forgets its known stretches of text beyond so many.
-KNOWN = 1_600_000
+#: A worker forgets its known stretches of text beyond so many (about 230 bytes each).
+KNOWN = 1_200_000
 #: Pieces that one bucket holds on average.
 BUCKET_ROWS = 1 << 18
 
@@ -64,8 +64,8 @@ class Tokens:
             found = self.tokenizer.encode_batch_fast([before + u for u in part], add_special_tokens=False)
             into.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, found, strict=True))
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.spaced) + len(self.whole) > KNOWN:
+    def ids(self, texts: list[str], known: int = KNOWN) -> list[np.ndarray]:
+        if len(self.spaced) + len(self.whole) > known:
             self.spaced.clear()
             self.whole.clear()
         cut = [[t] if self.doubled(t) else t.split(" ") for t in texts]
@@ -87,8 +87,9 @@ def load(path: str) -> Tokens:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = TIERS[0]) -> DataFrame:
-    """Of documents (doc_id, text): the pieces of each, whole windows first and then the rest."""
+def pieces(docs: DataFrame, tokenizer: str, window: int = TIERS[0], known: int = KNOWN) -> DataFrame:
+    """Of documents (doc_id, text): the pieces of each, whole windows first and then the rest.
+    known: stretches of text that a worker remembers, for speed alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = load(tokenizer)
@@ -96,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = TIERS[0]) -> DataFrame
         for batch in slices(batches, 1, 4 << 20):
             out: list[list] = [[], [], [], [], []]
             keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, tokens.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for key, ids in zip(keys, tokens.ids([t or "" for t in batch.column(1).to_pylist()], known), strict=True):
                 ids = np.append(ids, np.uint32(END))
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
@@ -169,9 +170,9 @@ def places(windows: list[Window_]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, sequences_per_step: int = 512) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, sequences_per_step: int = 512, known: int = KNOWN) -> DataFrame:
     """The pieces of documents (doc_id, text) and, of each, sequence_id, offset, context (its tier) and step_group."""
-    cut = written(pieces(docs, tokenizer, tiers[0]), "pieces")
+    cut = written(pieces(docs, tokenizer, tiers[0], known), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     windows = plan(histogram, tiers)
     rows = places(windows)
