@@ -15,6 +15,10 @@ from mosaiq.llm.queries import tokenizer
 from mosaiq.tables import table, written
 
 
+#: Python workers outlive stages and share an executor's memory with a full heap, so each remembers little.
+KNOWN = 250_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the rules go, and so do the documents that the rules reject."""
     return quality.clean_lines(docs)
@@ -32,7 +36,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), known=KNOWN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
