@@ -34,7 +34,7 @@ TIERS = (1024, 512, 256, 128)
 #: A document's last id.
 END = 0
 #: A worker forgets its known stretches of text beyond so many (about 230 bytes each).
-KNOWN = 1_200_000
+KNOWN = 1_600_000
 #: Pieces that one bucket holds on average.
 BUCKET_ROWS = 1 << 18
 
