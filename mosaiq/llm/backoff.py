@@ -1,15 +1,16 @@
 """Katz backoff language model.
 
 Unigrams: Good-Turing discounted counts of all training tokens; what the discount frees belongs to unseen tokens.
-Bigrams: Good-Turing discounted counts over the frequent words (at least a fixed share of all training tokens
-each, so at most 1 / share of them); every other token is the class RARE, within which a word has its share of
-the unigram model. A bigram that was seen has its discounted relative frequency; otherwise the history's
-backoff weight times the unigram model, recursively. Backoff weights are computed from exact sums over each
-history's seen words, so that the probabilities after every history sum to one.
+Bigrams: Good-Turing discounted counts over all training words, however rare; words that training never saw are
+one class. A bigram that was seen has its discounted relative frequency; otherwise the history's backoff weight
+times the unigram model, recursively. Backoff weights are computed from exact sums over each history's seen words,
+so that the probabilities after every history sum to one.
 
-The counts are tables in the shared folder, partitioned by order and bucket. Scoring deals the bigrams of each
-batch of texts, packed, to the buckets of the bigram table, and the rare words to the unigram table. What tasks
-hold for all words are arrays over the frequent words alone, at most 1 / share entries.
+Words are 64-bit hashes, and so are the keys by which bigrams are looked up. A text's score is the sum of what its
+words cost by backoff (as words and as histories) and of what every seen bigram differs from that. The counts are
+rows by bucket of the history, where its words' probabilities and its own sums meet; histories with a large share
+of all tokens are spread over the buckets. Counts and backoff weights of words with at least CACHED of all training
+tokens (at most 1 / CACHED of them) are also held by tasks, which saves shuffling and changes no result.
 
 Defined cases: null and empty texts are the end token alone; texts of any length are read whole; repeated rows
 count as often as they occur; the crc of a null id is that of an empty string; without training rows every text
@@ -32,14 +33,13 @@ from mosaiq.llm.common import as_bytes, slices, written
 
 #: Counts above it aren't discounted.
 K = 5
-#: Words with at least this share of the training tokens have bigrams of their own.
-SHARE = 2.0**-20
+#: What is known of words with at least this share of the training tokens is sent to all tasks.
+CACHED = 2.0**-20
 #: Bytes of text handled at once, and texts (their places are 16-bit numbers).
 SLICE = 8 << 20
 END_WORD = b"\n"  # no word holds white space
+#: In place of hashes: the class of words below a share that the caller sets, and the start of a text.
 RARE, BEGIN = 0, 1
-#: Ids below this are classes, not words.
-FIRST = 2
 
 
 def trains(doc_id: int | None) -> bool:
@@ -137,24 +137,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Frequent:
-    """The frequent words, by ascending hash: word FIRST + i has hash[i] and training count count[i]."""
+class Cache:
+    """Words with many tokens, and the classes, by ascending hash: training count, probability, and whether bigrams
+    after it are spread over the buckets. classed: all other words are RARE in bigrams."""
 
     hash: np.ndarray
     count: np.ndarray
+    p: np.ndarray
+    hot: np.ndarray
+    classed: bool
+
+    @staticmethod
+    def of(words: np.ndarray, counts: np.ndarray, unigrams: Unigrams, classed: bool, hot: float) -> Cache:
+        p = unigrams.p(counts)
+        classes = [(BEGIN, 0.0), *([(RARE, max(1 - p.sum(), unigrams.unseen))] if classed else [])]
+        hashes = np.concatenate([words, np.array([c for c, _ in classes], np.int64)])
+        order = np.argsort(hashes)
+        filled = lambda x, more: np.concatenate([x, np.array(more, x.dtype)])[order]
+        none = [0] * len(classes)
+        return Cache(hashes[order], filled(counts, none), filled(p, [x for _, x in classes]), filled(counts >= hot, [True] * len(classes)), classed)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.full(len(hashes), RARE, np.int64)
+        """Places in the cache; -1 for others."""
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at + FIRST, RARE)
+        return np.where(self.hash[at] == hashes, at, -1)
+
+    def modelled(self, hashes: np.ndarray) -> np.ndarray:
+        """What the words are in bigrams."""
+        return np.where(self.ids(hashes) < 0, RARE, hashes) if self.classed else hashes
 
 
 # --- packed rows: what tasks send each other about a batch of texts ---
 
 _PACKED = "batch long, kind int, bucket int, ids array<long>, a binary, b binary, c binary"
-#: Kinds: digests of the batch's texts; rare words; bigrams (as the order of the table that they meet).
+#: Kinds: digests of the batch's texts; words that aren't cached; bigrams.
 TEXTS, RARES, BIGRAMS = 0, 1, 2
+#: Place in the cache, in rows of the table: a history that isn't there; a row of the unigrams.
+OTHER, UNIGRAM = -1, -2
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,140 +201,197 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def _dealt(batch: int, kind: int, keys: np.ndarray, places: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows for each bucket: distinct keys, and of each how often it occurs and in which texts."""
-    order, starts, sizes = _grouped(keys)
-    distinct = keys[order][starts]
-    bucket = bucket_of(distinct, buckets)
-    by_bucket = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    rows = []
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = history.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(29))) + word.astype(np.int64).view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _placed(history: np.ndarray, word: np.ndarray, cache: Cache, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and bucket of bigrams."""
+    keys, at = pair_keys(history, word), cache.ids(history)
+    return keys, bucket_of(np.where((at >= 0) & cache.hot[at], keys, history), buckets)
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         if j > i:
-            own = by_bucket[i:j]
-            held = places[order[_ranges(starts[own], sizes[own])]].astype(np.uint16)
-            rows.append((batch, kind, b, None, distinct[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), held.tobytes()))
+            yield b, order[i:j]
+
+
+def _dealt(batch: int, kind: int, of: np.ndarray, places: np.ndarray, placed, buckets: int) -> list[tuple]:
+    """Rows for each bucket: distinct keys, and of each how often it occurs and in which texts. placed gives the
+    keys and buckets of distinct values of `of`."""
+    order, starts, sizes = _grouped(of)
+    distinct, bucket = placed(of[order][starts])
+    rows = []
+    for b, own in _by_bucket(bucket, buckets):
+        held = places[order[_ranges(starts[own], sizes[own])]].astype(np.uint16)
+        rows.append((batch, kind, b, None, distinct[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), held.tobytes()))
     return rows
 
 
 def _pairs(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """history << 32 | word of every token."""
+    """history << 32 | word of every token, by codes; the history of a first one is code + 1 = 0."""
     history = np.empty_like(codes)
-    history[1:] = codes[:-1]
-    history[np.cumsum(sizes) - sizes] = BEGIN
+    history[1:] = codes[:-1] + 1
+    history[np.cumsum(sizes) - sizes] = 0
     return history << 32 | codes
 
 
-def bigram_counts(docs: DataFrame, frequent, buckets: int) -> DataFrame:
-    """bucket, key (history << 32 | word) and n: training occurrences; summed by batch before the shuffle."""
+def _of_pairs(pairs: np.ndarray, modelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of history and word."""
+    return np.append(BEGIN, modelled)[pairs >> 32], modelled[pairs & 0xFFFFFFFF]
+
+
+_TABLE = "bucket int, i int, history long, word long, n long, p double"
+
+
+def bigram_counts(docs: DataFrame, cache, buckets: int) -> DataFrame:
+    """The table of bigrams: bucket, the history's place in the cache, history, word, training occurrences, and the
+    word's probability where it is cached, or else 0; summed by batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = frequent.value
+        c = cache.value
         for batch in _parts(batches):
             train = [trains(i) for i in batch.column(0).to_pylist()]
             words, codes, sizes = _tokens([t for t, ok in zip(as_bytes(batch.column(1)), train, strict=True) if ok])
-            pairs = _pairs(vocabulary.ids(_hashes(words))[codes], sizes)
+            pairs = _pairs(codes, sizes)
             order, starts, many = _grouped(pairs)
-            keys = pairs[order][starts]
-            bucket = bucket_of(keys, buckets)
-            by_bucket = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-            rows = [
-                (0, BIGRAMS, b, None, keys[by_bucket[i:j]].tobytes(), many[by_bucket[i:j]].astype(np.uint32).tobytes(), b"")
-                for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))
-                if j > i
-            ]
+            history, word = _of_pairs(pairs[order][starts], c.modelled(_hashes(words)))
+            rows = []
+            for b, own in _by_bucket(_placed(history, word, c, buckets)[1], buckets):
+                # rows are by history: its hash once, and how many words follow
+                h = history[own]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                follow = np.diff(np.append(first, len(h)))
+                rows.append((0, BIGRAMS, b, None, h[first].tobytes(), np.concatenate([follow, many[own]]).astype(np.uint32).tobytes(), word[own].tobytes()))
             yield _packed(rows)
 
     def total(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in t["a"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t["b"].to_pylist()]).astype(np.int64)
-        order, starts, _ = _grouped(keys)
-        return pa.table({"bucket": pa.array(np.full(len(starts), t["bucket"][0].as_py(), np.int32)), "key": keys[order][starts], "n": np.add.reduceat(counts[order], starts)})
-
-    return docs.mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(total, "bucket int, key long, n long")
+        c = cache.value
+        parts = []
+        for a, b, w in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["c"].to_pylist(), strict=True):
+            h, numbers = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32)
+            parts.append((np.repeat(h, numbers[: len(h)]), np.frombuffer(w, np.int64), numbers[len(h) :]))
+        history, word, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((word, history))
+        history, word, counts = history[order], word[order], counts[order].astype(np.int64)
+        starts = np.flatnonzero(np.append(True, (history[1:] != history[:-1]) | (word[1:] != word[:-1])))
+        history, word = history[starts], word[starts]
+        at = c.ids(word)
+        bucket = np.full(len(starts), t["bucket"][0].as_py(), np.int32)
+        columns = [bucket, c.ids(history).astype(np.int32), history, word, np.add.reduceat(counts, starts), np.where(at < 0, 0.0, c.p[at])]
+        return pa.table(dict(zip([x.split()[0] for x in _TABLE.split(", ")], columns, strict=True)))
+
+    return docs.mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(total, _TABLE)
+
+
+def factors(total: np.ndarray, mass: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of a history's factors for seen and for other words, of the sums over its seen bigrams: counts, discounted
+    counts, and the words' probabilities."""
+    seen, rest = mass / total, 1 - p
+    # every word seen: nothing to back off to; nothing freed: free as much as one token more
+    scale = np.where(rest < 1e-12, 1 / seen, np.where(seen > 1 - 1e-12, total / (total + 1) / seen, 1.0))
+    # where every word is seen the weight is never used: 1
+    backoff = np.where(rest < 1e-12, 1.0, (1 - scale * seen) / np.maximum(rest, 1e-300))
+    return np.log10(scale / total), np.log10(backoff)
 
 
 @dataclass
 class Model:
-    """Everything but the tables. By id of a frequent word or class: log_p its log10 unigram probability,
-    log_scale and log_backoff for it as a history."""
+    """Everything but the tables. By place in the cache: log_p its log10 unigram probability, log_scale and
+    log_backoff for it as a history."""
 
     unigrams: Unigrams
-    frequent: Frequent
+    cache: Cache
     d: np.ndarray
     log_p: np.ndarray
     log_scale: np.ndarray
     log_backoff: np.ndarray
 
-    def bigram(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each bigram, seen (count > 0) or by backoff."""
-        history, word = pairs >> 32, pairs & 0xFFFFFFFF
-        with np.errstate(divide="ignore"):
-            seen = np.log10(discounted(counts, self.d)) + self.log_scale[history]
-        return np.where(counts > 0, seen, self.log_backoff[history] + self.log_p[word])
-
-    def rare(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the probability, within the class RARE, of words of these counts."""
-        return np.log10(self.unigrams.p(counts)) - self.log_p[RARE]
-
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.unigrams.n + self.unigrams.distinct + 1))
 
+    def sums(self, i: np.ndarray, history: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all bigrams of a bucket: how log10 of their probability differs from that by backoff; and the histories
+        that aren't cached, with the log10 of their backoff weights."""
+        kept = discounted(n, self.d)
+        scale, backoff = self.log_scale[i], self.log_backoff[i]
+        others = np.flatnonzero(i == OTHER)
+        histories, own = np.unique(history[others], return_inverse=True)
+        if len(others):
+            of_other = factors(*(np.bincount(own, x[others]) for x in (n, kept, p)))
+            scale[others], backoff[others] = of_other[0][own], of_other[1][own]
+            return np.log10(kept) + scale - backoff - np.log10(p), histories, of_other[1]
+        return np.log10(kept) + scale - backoff - np.log10(p), histories, np.zeros(0)
+
 
-def train(docs: DataFrame, share: float = SHARE, k: int = K) -> tuple[Model, DataFrame]:
-    """The model and its n-gram table: kind (the order), bucket, key, n."""
+def _cases(n: str, d: np.ndarray):
+    """The discount of a count."""
+    return F.coalesce(*[F.when(F.col(n) == c, F.lit(float(d[c]))) for c in range(1, len(d) - 1)], F.lit(1.0))
+
+
+def train(docs: DataFrame, share: float | None = None, k: int = K) -> tuple[Model, DataFrame]:
+    """The model and its n-gram table (_TABLE; a unigram's word is its history). Where a share is set, words with
+    less of the training tokens are one class in bigrams."""
     spark = docs.sparkSession
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = written(word_counts(docs).withColumn("kind", F.lit(RARES)), "unigrams", ["kind"])
+    counted = written(word_counts(docs).withColumn("kind", F.lit(RARES)), "unigrams", ["kind"]).select("word", "n")
     small = {c: F.count_if(F.col("n") == c).alias(f"n{c}") for c in range(1, k + 2)}
     row = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct"), *small.values()).first()
     tokens = row["tokens"] or 0
-    histogram = {c: row[f"n{c}"] for c in small}
-    unigrams = Unigrams.of(tokens, row["distinct"], histogram)
-    # at most 1 / share rows
-    found = counted.filter(F.col("n") >= max(1, tokens * share)).select("word", "n").toPandas().sort_values("word")
-    frequent = Frequent(found["word"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
-    sent = spark.sparkContext.broadcast(frequent)
-
-    bigrams = written(bigram_counts(docs, sent, buckets).withColumn("kind", F.lit(BIGRAMS)), "bigrams", ["kind", "bucket"])
-    row = bigrams.agg(*small.values()).first()
+    unigrams = Unigrams.of(tokens, row["distinct"], {c: row[f"n{c}"] for c in small})
+    # at most 1 / CACHED (or 1 / share) rows
+    least = max(1, tokens * (CACHED if share is None else share))
+    found = counted.filter(F.col("n") >= least).toPandas()
+    cache = Cache.of(found["word"].to_numpy(np.int64), found["n"].to_numpy(np.int64), unigrams, share is not None, tokens / (4 * buckets))
+    sent = spark.sparkContext.broadcast(cache)
+
+    counts = written(bigram_counts(docs, sent, buckets), "bigrams", ["bucket"])
+    row = counts.agg(*small.values()).first()
     d = discounts({c: row[f"n{c}"] for c in small})
-    p = np.zeros(FIRST + len(frequent.hash))
-    p[FIRST:] = unigrams.p(frequent.count)
-    p[RARE] = max(1 - p[FIRST:].sum(), unigrams.unseen)
-    of_word = spark.createDataFrame(pa.table({"word": np.arange(len(p)), "p": p}))
-    discount = F.coalesce(*[F.when(F.col("n") == c, F.lit(float(d[c]))) for c in range(1, k + 1)], F.lit(1.0))
+    # probabilities of the words that aren't cached
+    p = F.col("m") * _cases("m", unigrams.d) * F.lit(unigrams.scale) / F.lit(max(tokens, 1))
+    less = counted.filter(F.col("n") < least).select("word", F.col("n").alias("m"))
+    rare = counts.filter("p = 0").drop("p").join(less, "word").withColumn("p", p)
+    names = [x.split()[0] for x in _TABLE.split(", ")]
+    bigrams = counts.filter("p > 0").select(*names).unionByName(written(rare.select(*names).withColumn("kind", F.lit(BIGRAMS)), "rare_bigrams", ["kind"]).select(*names))
     sums = (
-        bigrams.select(F.shiftright("key", 32).alias("history"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("word"), "n")
-        .join(F.broadcast(of_word), "word")
-        .groupBy("history")
-        .agg(F.sum("n").alias("total"), F.sum(F.col("n") * discount).alias("mass"), F.sum("p").alias("p"))
+        bigrams.filter(F.col("i") >= 0)
+        .groupBy("i")
+        .agg(F.sum("n").alias("total"), F.sum(F.col("n") * _cases("n", d)).alias("mass"), F.sum("p").alias("p"))
         .toPandas()
     )
-    history, total = sums["history"].to_numpy(np.int64), sums["total"].to_numpy(float)
-    seen, rest = sums["mass"].to_numpy(float) / total, 1 - sums["p"].to_numpy(float)
-    # every word seen: nothing to back off to; nothing freed: free as much as one token more
-    scale = np.where(rest < 1e-12, 1 / seen, np.where(seen > 1 - 1e-12, total / (total + 1) / seen, 1.0))
-    log_scale, log_backoff = np.zeros(len(p)), np.zeros(len(p))
+    log_scale, log_backoff = np.zeros(len(cache.hash)), np.zeros(len(cache.hash))
+    at = sums["i"].to_numpy(np.int64)
+    log_scale[at], log_backoff[at] = factors(*(sums[c].to_numpy(float) for c in ("total", "mass", "p")))
     with np.errstate(divide="ignore"):
-        log_scale[history] = np.log10(scale / total)
-        log_backoff[history] = np.log10(np.where(rest < 1e-12, 0.0, (1 - scale * seen) / np.maximum(rest, 1e-300)))
-        log_p = np.log10(p)
-    model = Model(unigrams, frequent, d, log_p, log_scale, log_backoff)
+        log_p = np.log10(cache.p)
     # tasks and tables must agree on buckets
-    return model, bigrams.select("kind", "bucket", "key", "n").unionByName(_bucketed(counted, buckets))
+    return Model(unigrams, cache, d, log_p, log_scale, log_backoff), bigrams.unionByName(_bucketed(counted.filter(F.col("n") < least), buckets))
 
 
 def _bucketed(words: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), RARES, np.int32)), pa.array(bucket_of(keys, buckets).astype(np.int32)), batch.column(0), batch.column(1)], ["kind", "bucket", "key", "n"]
-            )
+            bucket = bucket_of(batch.column(0).to_numpy(), buckets).astype(np.int32)
+            columns = [bucket, np.full(len(bucket), UNIGRAM, np.int32), batch.column(0), np.zeros(len(bucket), np.int64), batch.column(1), np.zeros(len(bucket))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [x.split()[0] for x in _TABLE.split(", ")])
+
+    return words.select("word", "n").mapInArrow(run, _TABLE)
+
 
-    return words.select("word", "n").mapInArrow(run, "kind int, bucket int, key long, n long")
+def _looked_up(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values by ascending key; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
@@ -327,42 +403,49 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         part = TaskContext.get().partitionId()
+        begin = m.log_backoff[m.cache.ids(np.array([BEGIN]))]
+        alone = m.log_p + m.log_backoff
         for seq, batch in enumerate(_parts(batches)):
             key = part << 32 | seq
             words, codes, sizes = _tokens(as_bytes(batch.column(1)))
             hashes = _hashes(words)
-            of_word = m.frequent.ids(hashes)
-            ids = of_word[codes]
+            modelled = m.cache.modelled(hashes)
+            ids = m.cache.ids(hashes)[codes]
             place = np.repeat(np.arange(len(sizes)), sizes)
-            often = ids >= FIRST
-            counts = m.frequent.count[ids[often] - FIRST]
+            often = ids >= 0
+            summed = lambda x: np.bincount(place[often], x, minlength=len(sizes))  # noqa: E731, B023
             known = np.bincount(place[often], minlength=len(sizes))
-            base = np.bincount(place[often], m.base(counts), minlength=len(sizes))
-            rows = [(key, TEXTS, key % buckets, batch.column(0).to_pylist(), sizes.tobytes(), known.astype(np.int64).tobytes(), base.tobytes())]
-            rows += _dealt(key, BIGRAMS, _pairs(ids, sizes), place, buckets)
-            rows += _dealt(key, RARES, hashes[codes[~often]], place[~often], buckets)
+            sums = np.concatenate([summed(m.base(m.cache.count[ids[often]])), summed(alone[ids[often]]) + begin])
+            rows = [(key, TEXTS, key % buckets, batch.column(0).to_pylist(), sizes.tobytes(), known.astype(np.int64).tobytes(), sums.tobytes())]
+            pairs = lambda x: _placed(*_of_pairs(x, modelled), m.cache, buckets)  # noqa: E731, B023
+            rows += _dealt(key, BIGRAMS, _pairs(codes, sizes), place, pairs, buckets)
+            rows += _dealt(key, RARES, hashes[codes[~often]], place[~often], lambda x: (x, bucket_of(x, buckets)), buckets)
             yield _packed(rows)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The sums of each batch's texts over the keys of one kind and bucket: places, then known, base, score."""
+        """The sums of each batch's texts over the keys of one kind and bucket: places, then score, base, known."""
         m = sent.value
         out: list[tuple] = []
-        keys, counts = right["key"].to_numpy(), right["n"].to_numpy()
+        i, history, word, n, p = (right[c].to_numpy() for c in ("i", "history", "word", "n", "p"))
+        one = i == UNIGRAM
+        order = np.argsort(history[one])
+        words, counts = history[one][order], n[one][order]
+        i, history, word, n, p = (x[~one] for x in (i, history, word, n, p))
+        differ, others, backoff = m.sums(i, history, n, p)
+        keys = pair_keys(history, word)
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        for batch, kind, bucket, ids, a, b, c in zip(*[x.to_pylist() for x in left.columns], strict=True):
+        keys, differ = keys[order], differ[order]
+        of_rare = m.log_backoff[m.cache.ids(np.array([RARE]))] if m.cache.classed else 0.0
+        for batch, kind, bucket, ids, a, b, c in zip(*[left[x].to_pylist() for x in ("batch", "kind", "bucket", "ids", "a", "b", "c")], strict=True):
             if kind == TEXTS:
                 out.append((batch, kind, bucket, ids, a, b, c))
                 continue
             wanted, sizes, places = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint16)
-            n = np.zeros(len(wanted), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                n = np.where(keys[at] == wanted, counts[at], 0)
             if kind == BIGRAMS:
-                values = [m.bigram(wanted, n)]
+                values = [_looked_up(keys, wanted, differ)]
             else:
-                values = [m.rare(n), m.base(n), (n > 0).astype(float)]
+                found = _looked_up(words, wanted, counts)
+                values = [np.log10(m.unigrams.p(found)) + _looked_up(others, wanted, backoff) + of_rare, m.base(found), (found > 0).astype(float)]
             some, where = np.unique(places, return_inverse=True)
             sums = np.concatenate([np.bincount(where, np.repeat(v, sizes), minlength=len(some)) for v in values])
             out.append((batch, kind, bucket, None, some.astype(np.uint16).tobytes(), sums.tobytes(), b""))
@@ -370,9 +453,9 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
 
     def total(t: pa.Table) -> pa.Table:
         rows = list(zip(*[x.to_pylist() for x in t.columns], strict=True))
-        _, _, _, ids, sizes, known, base = next(r for r in rows if r[1] == TEXTS)
-        sizes, known, base = np.frombuffer(sizes, np.int64), np.frombuffer(known, np.int64).astype(float), np.frombuffer(base).copy()
-        points = np.zeros(len(sizes))
+        _, _, _, ids, sizes, known, sums = next(r for r in rows if r[1] == TEXTS)
+        sizes, known = np.frombuffer(sizes, np.int64), np.frombuffer(known, np.int64).astype(float)
+        base, points = np.frombuffer(sums).reshape(2, -1).copy()
         for _, kind, bucket, _, a, b, _ in sorted((r for r in rows if r[1] != TEXTS), key=lambda r: r[1:3]):
             at = np.frombuffer(a, np.uint16)
             values = np.frombuffer(b).reshape(-1, len(at))
@@ -394,7 +477,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         )
 
     dealt = docs.mapInArrow(deal, _PACKED)
-    joined = dealt.groupBy("kind", "bucket").cogroup(table.groupBy("kind", "bucket")).applyInArrow(meet, _PACKED)
+    joined = dealt.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(meet, _PACKED)
     return joined.groupBy("batch").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -84,3 +84,15 @@ def test_empty_and_clashing(spark, none, clash):
     assert backoff.train_and_score(clash).count() == clash.count()
     only_held_out = spark.createDataFrame([(i, "a b") for i in range(200) if not backoff.trains(i)], "doc_id long, text string")
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in backoff.train_and_score(only_held_out).collect())
+
+
+def test_rare_words_keep_their_bigrams(spark, monkeypatch):
+    """Results don't depend on which words are cached: with almost none, bigrams of rare words still count."""
+    rng = np.random.default_rng(1)
+    texts = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 500)) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(backoff, "CACHED", 0.05)
+    found = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in backoff.train_and_score(docs).collect())
+    wanted = sorted(brute(texts, 0.0))
+    assert [x[:4] for x in found] == [x[:4] for x in wanted]
+    np.testing.assert_allclose([x[4:] for x in found], [x[4:] for x in wanted], rtol=1e-9)
