@@ -5,8 +5,9 @@ runs). The battery takes runs of 20 or more key-like characters, infers the enco
 base36, base64) from the characters it uses, and tests that its symbols are uniform (chi-squared), that the runs
 above and below the middle symbol are as many as chance gives, and that neighbours don't correlate. A token's
 three p-values combine by Bonferroni. Within each text the tokens are screened by a weighted Benjamini-Hochberg
-procedure, in which longer tokens, whose tests have more power, carry more of the level: the tokens for which
-randomness is rejected are structured and dropped, the others are reported as kind random.
+procedure, in which tokens shorter than the text's median, whose tests have less power, carry less of the level and
+no token carries more than the level: the tokens for which randomness is rejected are structured and dropped, the
+others are reported as kind random.
 
 All of it is DataFrame functions, row by row: no shuffle, no Python.
 
@@ -36,7 +37,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789abcdef", 32),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
-    ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
+    ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$|^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
 )
 
@@ -108,7 +109,7 @@ def _tested(token: Column) -> Column:
     """A token's combined p-value, or null where no encoding fits it."""
 
     def combined(alphabet: str) -> Column:
-        plain = F.translate(token, "-_", "+/") if "/" in alphabet else F.lower(token) if alphabet[-1] == "f" else token
+        plain = F.translate(token, "-_", "+/") if "/" in alphabet else F.lower(token) if alphabet[-1] in "fz" else token
         codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.position(c, F.lit(alphabet)) - 1).cast("double"))
         k = len(alphabet)
         return let(codes, lambda c: F.least(F.lit(1.0), 3 * F.least(uniformity(c, k), runs(c, k), correlation(c))))
@@ -130,8 +131,10 @@ def tested(spans: Column) -> Column:
 def _decided(tested: Column, battery: Battery) -> Column:
     """Those that pass as random under the weighted false-discovery control of their text."""
     m = F.size(tested).cast("double")
-    total = _sum(F.transform(tested, lambda s: F.length(s["value"]).cast("double")))
-    weighted = F.transform(tested, lambda s: s["p"] * total / (m * F.length(s["value"])))
+    lengths = F.array_sort(F.transform(tested, lambda s: F.length(s["value"])))
+    median = F.get(lengths, F.floor((F.size(lengths) - 1) / 2).cast("int"))
+    # weights of at most 1: long tokens among short ones must not lose more than the level
+    weighted = let(median, lambda middle: F.transform(tested, lambda s: s["p"] * F.greatest(F.lit(1.0), middle / F.length(s["value"]))))
 
     def chosen(values: Column) -> Column:
         steps = F.transform(F.array_sort(values), lambda v, i: F.when(v <= battery.level * (i + 1) / m, v))

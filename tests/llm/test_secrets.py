@@ -50,6 +50,27 @@ def test_battery_tells_keys_from_words(spark):
     assert not {i for i in hits if i >= 5000}
 
 
+def test_long_keys_among_structured_tokens(spark):
+    rng = random.Random(17)
+    b64 = string.ascii_letters + string.digits + "+/"
+    others = [f"aaa/bbb/Path{i:02d}/aaaa/bbbb1" for i in range(50)]
+    keys = ["".join(rng.choice(b64) for _ in range(n)) for n in [200] * 20 + [1600] * 20]
+    rows = [(i, " ".join([*others[:25], k, *others[25:]])) for i, k in enumerate(keys)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "random_spans.value").collect()
+    hits = {r.doc_id: r.value for r in found}
+    assert sum(k in hits[i] for i, k in enumerate(keys)) >= 0.85 * len(keys)
+    assert not any(o in v for v in hits.values() for o in others)
+
+
+def test_upper_case_keys(spark):
+    rng = random.Random(19)
+    keys = ["0189" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(36)) for _ in range(100)]
+    rows = [(i, f"see {k} here") for i, k in enumerate([*keys, "CHAPTER01CHAPTER02CHAPTER08CHAPTER09"])]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.size("random_spans") > 0).collect()
+    hits = {r.doc_id for r in found}
+    assert len(hits - {100}) >= 90 and 100 not in hits
+
+
 def test_p_values_are_near_uniform_on_random_tokens(spark):
     rng = random.Random(11)
     rows = [([float(rng.randrange(16)) for _ in range(64)],) for _ in range(2000)]
