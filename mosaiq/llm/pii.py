@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import text_or_empty
 from mosaiq.llm.spans import located, matches
 
+_DAY = "(?:[12][0-9]|3[01]|[1-9])"
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 #: The patterns.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9+])\+?(?:[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|(?:[0-9]{4}[ -]?){3}[0-9]{1,7})(?![0-9])",
+    # North American with a separator before the last four; international (8 to 15 digits); ten digits alone
+    "phone": r"(?<![0-9+])(?:\+?(?:[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}|[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
+    "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])"
+    rf"|(?<![0-9-]){_DAY} {_MONTH} (?:19|20)[0-9]{{2}}(?![0-9])|\b{_MONTH} {_DAY}, (?:19|20)[0-9]{{2}}(?![0-9])",
 }
 KINDS = tuple(PATTERNS)
 ROUNDS = 8
@@ -130,13 +134,35 @@ def _ssn(v: Column, key: str, undo: bool) -> Column:
     return let(_digits(v), lambda d: _refill(v, of(d)))
 
 
+def _ten(ten: Column, key: str, undo: bool) -> Column:
+    """Ten digits, as a number. Those whose area and exchange start with 2 to 9 (800 * 800 * 10**4) and all others
+    are permuted apart, so that what can be a number without separators stays one."""
+    area, rest = F.floor(ten / F.lit(10**7)).cast("long"), ten % F.lit(10**7)
+
+    def north_american(x: Column) -> Column:
+        return (F.floor(x / F.lit(8 * 10**6)).cast("long") + 200) * F.lit(10**7) + x % F.lit(8 * 10**6) + F.lit(2 * 10**6)
+
+    def other(x: Column) -> Column:
+        y = x - F.lit(2 * 10**9)
+        return F.when(y < 0, x).otherwise((F.floor(y / F.lit(2 * 10**6)).cast("long") + 200) * F.lit(10**7) + y % F.lit(2 * 10**6))
+
+    n = F.when(area < 200, ten).otherwise(F.lit(2 * 10**9) + (area - 200) * F.lit(2 * 10**6) + rest)
+    m = (area - 200) * F.lit(8 * 10**6) + rest - F.lit(2 * 10**6)
+    return F.when((area >= 200) & (rest >= 2 * 10**6), let(feistel(m, 80000, 80000, key, "phone", undo), north_american)).otherwise(
+        let(feistel(n, 60000, 60000, key, "phone-other", undo), other)
+    )
+
+
 def _phone(v: Column, key: str, undo: bool) -> Column:
-    """The last ten digits are permuted; a country code stays."""
+    """The last ten digits are permuted; a country code stays. Of international numbers of ten digits or fewer, the
+    last seven."""
 
     def of(d: Column) -> Column:
         n = F.length(d)
-        ten = F.substring(d, n - 9, F.lit(10)).cast("long")
-        return F.concat(F.substring(d, F.lit(1), n - 10), _padded(feistel(ten, 10**5, 10**5, key, "phone", undo), 10))
+        ten = let(F.substring(d, n - 9, F.lit(10)).cast("long"), lambda x: _ten(x, key, undo))
+        seven = feistel(F.substring(d, n - 6, F.lit(7)).cast("long"), 10**4, 10**3, key, "phone-7", undo)
+        short = F.concat(F.substring(d, F.lit(1), n - 7), _padded(seven, 7))
+        return F.when(v.startswith("+") & (n <= 10), short).otherwise(F.concat(F.substring(d, F.lit(1), n - 10), _padded(ten, 10)))
 
     return let(_digits(v), lambda d: _refill(v, of(d)))
 
@@ -154,12 +180,39 @@ def _ip(v: Column, key: str, undo: bool) -> Column:
 DAYS = 270
 
 
+#: Ways to write a date: of which texts, and Spark's format. With slashes the month is first where it can be.
+WRITTEN = (
+    ("^[0-9]{4}-", "yyyy-MM-dd"),
+    ("^(?:0[0-9]|1[0-2])/", "MM/dd/yyyy"),
+    ("^[0-9]{2}/", "dd/MM/yyyy"),
+    ("^[0-9]", "d MMMM yyyy"),
+    ("^[A-Z]", "MMMM d, yyyy"),
+)
+
+
+def _by_format(v: Column, of: Callable[[str], Column]) -> Column:
+    out = None
+    for like, form in WRITTEN:
+        out = F.when(v.rlike(like), of(form)) if out is None else out.when(v.rlike(like), of(form))
+    return out
+
+
 def _day(v: Column) -> Column:
-    return F.datediff(F.try_to_date(v, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date")).cast("long")
+    return F.datediff(_by_format(v, lambda form: F.try_to_date(v, form)), F.lit("1900-01-01").cast("date")).cast("long")
 
 
 def _date(v: Column, key: str, undo: bool) -> Column:
-    return let(feistel(_day(v), DAYS, DAYS, key, "date", undo), lambda n: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int")), "yyyy-MM-dd"))
+    """Days are permuted. Where the day is first because it is above 12, the permutation goes on to the next such day
+    (six in ten are: after 64 steps none is left)."""
+    date = lambda n: F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int"))
+    step = lambda n: feistel(n, DAYS, DAYS, key, "date", undo)
+    late = F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)),
+        step(_day(v)),
+        lambda n, _: F.when(F.dayofmonth(date(n)) > 12, n).otherwise(step(n)),
+    )
+    n = F.when(v.rlike("^(?:1[3-9]|[23][0-9])/"), late).otherwise(step(_day(v)))
+    return let(n, lambda x: _by_format(v, lambda form: F.date_format(date(x), form)))
 
 
 def _email(v: Column, key: str, undo: bool) -> Column:

@@ -66,6 +66,29 @@ def test_mask(spark):
     assert [out[i].masked_text for i in (3, 4, 5)] == ["", "", "plain"]
 
 
+def test_other_formats(spark):
+    values = {
+        "phone": ["4155552671", "+14155552671", "+1 415 555 2671", "(415)555-2671", "415 555 2671", "+44 20 7946 0958", "+372 512 3456"],
+        "card": ["3782 822463 10005", "3782-822463-10005"],
+        "date": ["25/12/1987", "12/25/1987", "31/01/2024", "25 December 1987", "December 5, 1987"],
+    }
+    rows = [(f"{k}{i}", k, v, f"it is {v}, or so") for k, vs in values.items() for i, v in enumerate(vs)]
+    df = pii.mask(spark.createDataFrame(rows, "id string, name string, v string, text string"), "key")
+    df = df.withColumn("new", F.expr("substring(masked_text, 7, length(masked_text) - 13)"))
+    again = pii.find(df.select("id", F.col("masked_text").alias("text"))).select("id", F.col("entities").alias("again"))
+    df = df.join(again, "id").withColumn("back", F.transform("again", lambda e: pii.pseudonym(e["kind"], e["value"], "key", undo=True)))
+    out = {r.v: r for r in df.collect()}
+    assert len(out) == len(rows)
+    for r in out.values():
+        assert [(pii.KINDS[e.kind], e.value) for e in r.entities] == [(r.name, r.v)], r
+        assert r.new != r.v and [(pii.KINDS[e.kind], e.value) for e in r.again] == [(r.name, r.new)] and r.back == [r.v], r
+    digits = {"".join(c for c in out[v].new if c.isdigit())[-10:] for v in values["phone"][:5]}
+    assert len(digits) == 1
+    bad = ["1700000000", "3782 822463 10006", "31/02/2024", "00/10/2000", "31 February 2024"]
+    left = pii.mask(spark.createDataFrame([(v,) for v in bad], "text string"), "key").collect()
+    assert all(r.masked_text == r.text for r in left), left
+
+
 def test_empty_and_clashing(none, clash, odd):
     assert pii.mask(none, "k").count() == 0
     out = pii.mask(clash, "k")
