@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries inside Spark tasks.
 
 Each task splits its texts into words by the vocabulary's pattern and encodes the distinct words that its worker
-has not met: a recursive query holds token-position rows, joins neighbouring tokens with the merge table,
-contracts the leftmost pair of least rank of each word, and goes on until no word has a mergeable pair. Decoding
-joins token rows with the vocabulary and aggregates the bytes in the order of their positions.
+has not met. Words are cut where no token of the vocabulary could reach across. A recursive query holds
+token-position rows of the parts, joins neighbouring tokens with the merge table, contracts the leftmost pair of
+least rank of each part, and goes on until no part has a mergeable pair. In long parts a round contracts all pairs
+of least rank that don't overlap, from the left, where no merge of the new token has a lower rank (else the
+leftmost alone), so that the rounds don't grow with the length. Decoding joins token rows with the vocabulary and
+aggregates the bytes in the order of their positions.
 
 Memory is bounded: words go to DuckDB in groups of bounded bytes, decoding takes bounded tokens at a time, and a
 worker's table of known words is emptied at a size limit.
@@ -29,29 +32,62 @@ KNOWN_UNITS = 500_000
 #: So many tokens are decoded at a time.
 DECODE_TOKENS = 2_000_000
 
-#: pos: where a token's bytes begin among those of all words; its right neighbour begins where they end.
+#: Parts of so many bytes are merged by MERGE_LONG.
+LONG = 64
+
+#: pos: where a token's bytes begin among those of all parts; its right neighbour begins where they end.
 MERGE = """
-WITH RECURSIVE step(word, pos, tok, len, done) AS (
-    SELECT word, pos, tok, 1, false FROM start
+WITH RECURSIVE step(part, pos, tok, len, done) AS (
+    SELECT part, pos, tok, 1, false FROM start
     UNION ALL
-    SELECT word, pos, tok, len, done FROM (
-        WITH live AS (SELECT word, pos, tok, len FROM step WHERE NOT done),
+    SELECT part, pos, tok, len, done FROM (
+        WITH live AS (SELECT part, pos, tok, len FROM step WHERE NOT done),
         best AS (
-            SELECT a.word, min(m.merged::BIGINT * 4294967296 + a.pos) AS key,
+            SELECT a.part, min(m.merged::BIGINT * 4294967296 + a.pos) AS key,
                    arg_min(b.pos, m.merged::BIGINT * 4294967296 + a.pos) AS gone,
                    arg_min(a.len + b.len, m.merged::BIGINT * 4294967296 + a.pos) AS len
-            FROM live a JOIN live b ON b.pos = a.pos + a.len AND b.word = a.word JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + b.tok
-            GROUP BY a.word
+            FROM live a JOIN live b ON b.pos = a.pos + a.len AND b.part = a.part JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + b.tok
+            GROUP BY a.part
         )
-        SELECT l.word, l.pos,
+        SELECT l.part, l.pos,
                CASE WHEN l.pos = best.key % 4294967296 THEN (best.key // 4294967296)::INTEGER ELSE l.tok END AS tok,
                CASE WHEN l.pos = best.key % 4294967296 THEN best.len ELSE l.len END AS len,
-               best.word IS NULL AS done
-        FROM live l LEFT JOIN best ON best.word = l.word
-        WHERE best.word IS NULL OR l.pos <> best.gone
+               best.part IS NULL AS done
+        FROM live l LEFT JOIN best ON best.part = l.part
+        WHERE best.part IS NULL OR l.pos <> best.gone
     )
 )
-SELECT word, tok FROM step WHERE done ORDER BY pos
+SELECT pos, tok FROM step WHERE done
+"""
+
+#: chosen: of each run of neighbouring pairs of least rank, the first, third, and so on.
+MERGE_LONG = """
+WITH RECURSIVE step(part, pos, tok, done) AS (
+    SELECT part, pos, tok, false FROM start
+    UNION ALL
+    SELECT part, pos, tok, done FROM (
+        WITH live AS (
+            SELECT part, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos, row_number() OVER w AS i
+            FROM step WHERE NOT done WINDOW w AS (PARTITION BY part ORDER BY pos)
+        ),
+        pairs AS (SELECT l.part, l.pos, l.next_pos, l.i, m.merged, m.safe FROM live l JOIN merges m ON m.pair = l.tok::BIGINT * 65536 + l.next_tok),
+        best AS (SELECT part, min(merged) AS merged, arg_min(pos, merged::BIGINT * 4294967296 + pos) AS first FROM pairs GROUP BY part),
+        hits AS (
+            SELECT p.part, p.pos, p.next_pos, p.merged, p.i - row_number() OVER (PARTITION BY p.part ORDER BY p.pos) AS run
+            FROM pairs p JOIN best b ON b.part = p.part AND b.merged = p.merged WHERE p.safe OR p.pos = b.first
+        ),
+        chosen AS (SELECT pos, next_pos, merged FROM hits QUALIFY row_number() OVER (PARTITION BY part, run ORDER BY pos) % 2 = 1)
+        SELECT l.part, l.pos, coalesce(c.merged, l.tok) AS tok, b.part IS NULL AS done
+        FROM live l LEFT JOIN chosen c ON c.pos = l.pos LEFT JOIN best b ON b.part = l.part
+        WHERE l.pos NOT IN (SELECT next_pos FROM chosen)
+    )
+)
+SELECT pos, tok FROM step WHERE done
+"""
+
+#: The rows come in order, and one thread aggregates them as they come.
+DECODE = """
+SELECT seq, string_agg(chars, '') AS chars FROM (SELECT seq, chars FROM rows JOIN vocabulary USING (tok) ORDER BY pos) GROUP BY seq ORDER BY seq
 """
 
 
@@ -103,11 +139,23 @@ class Bpe:
         # a pair merges if its bytes together are a token, whose rank is the pair's
         pairs = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, m = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        # the least rank that a merge of each token has
+        least = np.full(max(ranks.values()) + 1, 1 << 30)
+        np.minimum.at(least, l, m)
+        np.minimum.at(least, r, m)
         self.bytes_of = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        # which two bytes are a token, and which three stand in one
+        self.two, self.three = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for t in ranks:
+            x = np.frombuffer(t, np.uint8).astype(np.int64)
+            if len(x) == 2:
+                self.two[x[0] << 8 | x[1]] = True
+            self.three[x[:-2] << 16 | x[1:-1] << 8 | x[2:]] = True
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
         self.db.execute("SET temp_directory = ''")
-        merges = pa.table({"pair": l * 65536 + r, "merged": m.astype(np.int32)})  # noqa: F841
-        tokens = pa.table({"tok": pa.array(np.fromiter(ranks.values(), np.int32)), "bytes": pa.array(list(ranks), pa.binary())})  # noqa: F841
+        merges = pa.table({"pair": l * 65536 + r, "merged": m.astype(np.int32), "safe": least[m] > m})  # noqa: F841
+        # a byte as the character of its number
+        tokens = pa.table({"tok": pa.array(np.fromiter(ranks.values(), np.int32)), "chars": [t.decode("latin-1") for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
 
@@ -162,13 +210,36 @@ class Bpe:
             out.append((self.units.gather(codes), " ".join(map(self.units.texts.__getitem__, codes.tolist()))))
         return out
 
+    def _parts(self, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether each byte begins a part: it begins a word (first), or no token has it together with the byte before."""
+        x = raw.astype(np.int64)
+        begins = first.copy()
+        begins[1:] |= ~self.two[x[:-1] << 8 | x[1:]]
+        inside = self.three[x[:-2] << 16 | x[1:-1] << 8 | x[2:]] & ~first[1:-1] & ~first[2:]
+        at = np.flatnonzero(inside)
+        begins[at + 1] = begins[at + 2] = False
+        return begins | first
+
     def _merge(self, group: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Word and token of every token, in order."""
         sizes = np.array([len(b) for _, b in group])
+        raw = np.frombuffer(b"".join(b for _, b in group), np.uint8)
+        first = np.zeros(len(raw), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        begins = self._parts(raw, first)
+        part = np.cumsum(begins) - 1
+        long = np.diff(np.append(np.flatnonzero(begins), len(raw)))[part] >= LONG
+        found = []
+        for sql, chosen in ((MERGE, ~long), (MERGE_LONG, long)):
+            at = np.flatnonzero(chosen)
+            if len(at):
+                start = pa.table({"part": part[at], "pos": at, "tok": self.bytes_of[raw[at]]})  # noqa: F841
+                out = self.db.sql(sql).to_arrow_table()
+                found.append((out["pos"].to_numpy(), out["tok"].to_numpy()))
+        pos, tok = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(pos)
         word = np.repeat(np.array([i for i, _ in group], np.int64), sizes)
-        tok = self.bytes_of[np.frombuffer(b"".join(b for _, b in group), np.uint8)]
-        start = pa.table({"word": word, "pos": np.arange(len(tok)), "tok": tok})  # noqa: F841
-        out = self.db.sql(MERGE).to_arrow_table()
-        return out["word"].to_numpy(), out["tok"].to_numpy()
+        return word[pos[order]], tok[order]
 
     def decode_batch(self, sequences: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids."""
@@ -190,17 +261,10 @@ class Bpe:
         rows = pa.table(  # noqa: F841
             {"seq": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": np.arange(sum(sizes), dtype=np.int32), "tok": np.concatenate(sequences)}
         )
-        found = self.db.sql("SELECT seq, list(bytes ORDER BY pos) AS bytes FROM rows JOIN vocabulary USING (tok) GROUP BY seq ORDER BY seq").to_arrow_table()
-        seqs = found["seq"].to_pylist()
+        found = self.db.sql(DECODE).to_arrow_table()
         out = [b""] * len(sequences)
-        k = 0
-        for chunk in found["bytes"].chunks:
-            values = chunk.values.cast(pa.large_binary())
-            data = memoryview(values.buffers()[2])
-            ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset :]
-            for a, b in zip(chunk.offsets.to_pylist()[:-1], chunk.offsets.to_pylist()[1:], strict=True):
-                out[seqs[k]] = bytes(data[int(ends[a]) : int(ends[b])])
-                k += 1
+        for seq, chars in zip(found["seq"].to_pylist(), found["chars"].to_pylist(), strict=True):
+            out[seq] = chars.encode("latin-1")
         return out
 
 
