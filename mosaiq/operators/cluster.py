@@ -13,9 +13,9 @@ from mosaiq.functions.times import hours_before
 from mosaiq.functions.urls import non_event
 from mosaiq.functions.vectors import unit, vector_sums
 from mosaiq.operators.components import connected_components
-from mosaiq.operators.similarity import best_match, pairs_above
+from mosaiq.operators.similarity import best_match, linked_above, pairs_above
 from mosaiq.params import DEFAULTS, Params
-from mosaiq.tables import written
+from mosaiq.tables import freed, written
 
 
 def open_clusters(clusters: DataFrame, as_of: Column, params: Params = DEFAULTS) -> DataFrame:
@@ -97,12 +97,10 @@ def assign(articles: DataFrame, vectors: DataFrame, membership: DataFrame, clust
     if mode == "rounds":
         placed = _rounds(loose, sums, params)
     else:
-        near = pairs_above(loose, params.threshold**2).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        # clusters are nodes of negative number; an article meets each cluster that is near enough
+        # clusters are nodes of negative number
         centroids = sums.select((-1 - F.col("cluster_id")).alias("id"), unit(F.col("vec_sum")).alias("embedding"))
         both = centroids.unionByName(loose.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
-        tied = pairs_above(both, params.threshold).filter("a < 0 AND b >= 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        parts = connected_components(near.unionByName(tied))
+        parts = connected_components(linked_above(both, params.threshold**2, params.threshold))
         sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
         parts = parts.join(sizes, "component")
         cap = params.component_cap if mode == "hybrid" else 1 << 62
@@ -182,6 +180,15 @@ def _grown(state: DataFrame, free: DataFrame, hit: DataFrame) -> tuple[DataFrame
     return written(grown, "state"), written(free.join(hit.select("id"), "id", "left_anti"), "free")
 
 
+def run_counters(placed: DataFrame, born: DataFrame, evaluated: DataFrame | None = None) -> DataFrame:
+    """One row: attached articles and created clusters of a run; with the loose articles that it evaluated also their
+    number and how many stayed loose."""
+    out = placed.agg(F.count("*").alias("attached")).join(born.agg(F.count("*").alias("created")))
+    if evaluated is None:
+        return out
+    return out.join(evaluated.agg(F.count("*").alias("evaluated"))).withColumn("unmatched", F.col("evaluated") - F.col("attached"))
+
+
 def fusion_survivors(clusters: DataFrame, groups: DataFrame) -> DataFrame:
     """cluster_id, survivor: the oldest cluster (then the lowest id) of each group (cluster_id, component)."""
     rows = clusters.join(groups, "cluster_id")
@@ -192,11 +199,11 @@ def fusion_survivors(clusters: DataFrame, groups: DataFrame) -> DataFrame:
 def fuse(clusters: DataFrame, membership: DataFrame, vectors: DataFrame, angles: DataFrame | None, as_of: Column, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Clusters after joining, again and again, groups whose centroids (of one snapshot) are near. Articles and
     angles move to the oldest; the survivor's mark is the greatest of the group's; the others' rows go."""
+    stale: list[DataFrame] = []
     while True:
         running = open_clusters(clusters, as_of, params)
         sums = cluster_sums(running, membership, vectors)
-        near = pairs_above(sums.select(F.col("cluster_id").alias("id"), unit(F.col("vec_sum")).alias("embedding")), params.fusion)
-        groups = connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        groups = connected_components(linked_above(sums.select(F.col("cluster_id").alias("id"), unit(F.col("vec_sum")).alias("embedding")), params.fusion))
         if not groups.limit(1).count():
             return clusters, membership, angles
         moves = written(fusion_survivors(clusters, groups.select(F.col("node").alias("cluster_id"), "component")), "moves")
@@ -207,6 +214,8 @@ def fuse(clusters: DataFrame, membership: DataFrame, vectors: DataFrame, angles:
         clusters = written(kept.withColumn("articles_at_synthesis", F.coalesce("mark", "articles_at_synthesis")).select(*columns), "clusters")
         membership = moved(membership)
         angles = None if angles is None else moved(angles)
+        freed(moves, *stale)
+        stale = [clusters, membership, *([] if angles is None else [angles])]
 
 
 def close_expired(clusters: DataFrame, membership: DataFrame, articles: DataFrame, as_of: Column, params: Params = DEFAULTS) -> DataFrame:

@@ -1,23 +1,35 @@
-"""Connected components of a graph given as a DataFrame of edges."""
+"""Graphs given as DataFrames of edges: connected components, and first independent nodes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.tables import written
+from mosaiq.tables import freed, written
+
+#: Graphs of so many edges are worked through in one task, with the same result.
+SMALL = 20_000
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", small: int = SMALL) -> DataFrame:
     """node, component: the least node that each node of some edge is connected to.
 
     Each round takes the least label among a node's neighbours and then the label of that label (pointer
     jumping), so long chains close in a logarithm of their length. Every round is written to the shared folder;
-    only a count of changed labels reaches the driver. Edges with a null end are ignored."""
-    pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    only a count of changed labels reaches the driver. Edges with a null end are ignored. A graph of at most
+    `small` edges needs no rounds: one task labels it."""
+    pairs = written(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
+    if pairs.count() <= small:
+        return pairs.repartition(1).mapInArrow(_labelled, "node long, component long")
+    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    freed(pairs)
     # the first round needs no join: the least neighbour
     labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    last = labels
     while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels.node == near.u, "left").select(
@@ -26,6 +38,61 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         to = stepped.select(F.col("node").alias("via"), F.col("label").alias("further"))
         jumped = stepped.join(to, stepped.label == to.via, "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
         jumped = written(jumped, "labels")
-        labels = jumped.drop("old")
+        freed(last)
+        last, labels = jumped, jumped.drop("old")
         if not jumped.filter("label <> old").limit(1).count():
+            freed(both)
             return labels.withColumnRenamed("label", "component")
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, of nodes 0 .. n - 1 and edges (a, b): labels fall along the edges, and
+    then along themselves, until none does."""
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        least = np.minimum(old[a], old[b])
+        # the roots of both ends, too, so that whole trees join
+        for at in (a, b, old[a], old[b]):
+            np.minimum.at(label, at, least)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == old).all():
+            return label
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of a whole graph."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = least_labels(ends[: len(u)], ends[len(u) :], len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
+def first_independent(edges: DataFrame) -> DataFrame:
+    """node: those of the graph's nodes that have no chosen neighbour before them, chosen in the order of the nodes.
+    edges: u < v of any type that has an order, each once.
+
+    By rounds: a node without undecided nodes before it is chosen, and its later neighbours go. Only chains of
+    neighbours need more than one round."""
+    left = edges.select("u", "v")
+    chosen: list[DataFrame] = []
+    while left.limit(1).count():
+        later = left.select(F.col("v").alias("node")).distinct()
+        first = written(left.select(F.col("u").alias("node")).distinct().join(later, "node", "left_anti"), "first")
+        gone = left.join(first, left.u == first.node, "left_semi").select(F.col("v").alias("node")).distinct()
+        # what is left: edges between undecided nodes, and undecided nodes without such edges as edges to themselves
+        rest = written(left.join(gone, left.u == gone.node, "left_anti").join(gone, F.col("v") == gone.node, "left_anti"), "left")
+        alone = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(gone, "node", "left_anti").join(first, "node", "left_anti")
+        alone = alone.join(rest.select(F.explode(F.array("u", "v")).alias("node")), "node", "left_anti")
+        chosen += [first, written(alone, "alone")]
+        left = rest
+    if not chosen:
+        return edges.select(F.col("u").alias("node"))
+    out = chosen[0]
+    for more in chosen[1:]:
+        out = out.unionByName(more)
+    return out

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from mosaiq.functions.times import epoch, iso_utc
 from mosaiq.params import DEFAULTS, Params
@@ -21,7 +20,7 @@ def pending(angles: DataFrame, force: bool = False, params: Params = DEFAULTS) -
 
 def payloads(angles: DataFrame, angle_articles: DataFrame, articles: DataFrame, outlets: DataFrame, clusters: DataFrame, social: DataFrame) -> DataFrame:
     """angle_id, body: the document that a receiver gets, as JSON with nulls kept."""
-    names = F.broadcast(outlets.select("outlet_id", "name"))
+    names = outlets.select("outlet_id", "name")
     source = F.struct("published_at", "article_id", F.struct("article_id", "outlet_id", "name", "title", "url", iso_utc(F.col("published_at")).alias("published")).alias("s"))
     sources = angle_articles.join(articles, "article_id").join(names, "outlet_id").groupBy("angle_id").agg(F.transform(F.array_sort(F.collect_list(source)), lambda x: x["s"]).alias("sources"))
     entries = angles.select("angle_id", F.explode("comparison").alias("name", "c")).join(names, "name")
@@ -42,21 +41,19 @@ def payloads(angles: DataFrame, angle_articles: DataFrame, articles: DataFrame,
     return joined.select("angle_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
 
 
-def signer(secret: str):
-    """A column function: sha256=HMAC-SHA256(secret, timestamp.body)."""
+def signature(secret: str, stamp: Column, body: Column) -> Column:
+    """sha256=HMAC-SHA256(secret, stamp.body), from the hash function alone."""
     key = secret.encode()
-
-    @pandas_udf("string")
-    def sign(stamp: pd.Series, body: pd.Series) -> pd.Series:
-        return pd.Series(["sha256=" + hmac.new(key, f"{t}.{b}".encode(), hashlib.sha256).hexdigest() for t, b in zip(stamp, body, strict=True)])
-
-    return sign
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    message = F.encode(F.concat(stamp, F.lit("."), body), "UTF-8")
+    return F.concat(F.lit("sha256="), F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256))
 
 
 def outbox(bodies: DataFrame, secret: str, as_of: Column) -> DataFrame:
     """angle_id, body, timestamp, signature."""
     stamped = bodies.withColumn("timestamp", epoch(as_of))
-    return stamped.withColumn("signature", signer(secret)(F.col("timestamp"), F.col("body")))
+    return stamped.withColumn("signature", signature(secret, F.col("timestamp"), F.col("body")))
 
 
 def outcome(status: Column) -> Column:
@@ -95,26 +92,26 @@ def delivery_counters(folded: DataFrame, params: Params = DEFAULTS) -> DataFrame
 
 
 def throttled(alerts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """alerts (alert_id, key, ts, terminal) with `sent`: none of the key was sent in the time before, or terminal.
-
-    Every sent alert starts the key's silence. The scan over a key's alerts in order needs only the time last sent,
-    so alerts are sorted within partitions by key and streamed; no key's alerts are held together."""
-    import pyarrow as pa
+    """alerts (alert_id, key, ts, terminal, delivered, and more columns) with `sent`: let through, because no alert of
+    the key was delivered in the time before, or because it is terminal.
 
+    Only an alert that was let through and delivered starts the key's silence. What an alert meets depends on all
+    before it, so a key's alerts go through one task, sorted and streamed: only the last time is held."""
     pause = params.alert_cooldown_minutes * 60_000_000
-    rows = alerts.select("alert_id", "key", F.unix_micros("ts").alias("at"), "terminal").repartition("key").sortWithinPartitions("key", "at", "alert_id")
+    names = alerts.columns
+    rows = alerts.withColumn("_at", F.unix_micros("ts")).repartition("key").sortWithinPartitions("key", "_at", "alert_id")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, None
         for batch in batches:
             sent = []
-            for k, at, terminal in zip(batch["key"].to_pylist(), batch["at"].to_pylist(), batch["terminal"].to_pylist(), strict=True):
+            for k, at, terminal, delivered in zip(*[batch[c].to_pylist() for c in ("key", "_at", "terminal", "delivered")], strict=True):
                 if k != key:
                     key, last = k, None
-                ok = terminal or last is None or at - last >= pause
-                if ok:
+                ok = bool(terminal) or last is None or at - last >= pause
+                if ok and delivered:
                     last = at
                 sent.append(ok)
-            yield pa.RecordBatch.from_arrays([batch["alert_id"], pa.array(sent, pa.bool_())], ["alert_id", "sent"])
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(sent, pa.bool_())], [*names, "sent"])
 
-    return alerts.join(rows.mapInArrow(run, "alert_id long, sent boolean"), "alert_id")
+    return rows.mapInArrow(run, alerts.withColumn("sent", F.lit(True)).schema)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.functions.text import caption_case, is_noise, lead, self_reference
+from mosaiq.functions.text import caption_case, is_noise, lead, self_reference, self_words, significant_tokens
 from mosaiq.functions.vectors import centroids, dot
+from mosaiq.operators.components import first_independent
 from mosaiq.params import DEFAULTS, Params
+from mosaiq.tables import written
 
 #: Spanish words without meaning of their own.
 STOP_WORDS = (
@@ -38,37 +39,48 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return docs.select(*keys, F.explode(terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def fit_vocabulary(docs: DataFrame, key: str, params: Params = DEFAULTS, text: str = "text") -> DataFrame:
-    """term, df, idf over the whole corpus; rare and common terms are left out once the corpus is large enough."""
-    n = docs.select(F.count("*").alias("n_docs"))
-    df = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    # one row, joined to each term
-    both = df.join(F.broadcast(n))
+def vocabulary_of(counts: DataFrame, n_docs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """term, df, n_docs, idf from counts (a document's key, term, tf) and the number of documents (one row, n_docs);
+    rare and common terms are left out once the corpus is large enough."""
+    both = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))  # one row, joined to each term
     few = F.col("n_docs") < params.min_corpus
     kept = both.filter(few | ((F.col("df") >= 3) & (F.col("df") <= 0.4 * F.col("n_docs"))))
     return kept.select("term", "df", "n_docs", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def needs_refit(n_docs: int, trained_on: int, params: Params = DEFAULTS) -> bool:
-    return n_docs > trained_on * (1 + params.refit_growth)
+def fit_vocabulary(docs: DataFrame, key: str, params: Params = DEFAULTS, text: str = "text") -> DataFrame:
+    """vocabulary_of the documents."""
+    return vocabulary_of(term_counts(docs, [key], text), docs.select(F.count("*").alias("n_docs")), params)
 
 
-def tfidf(docs: DataFrame, keys: list[str], vocabulary: DataFrame, text: str = "text") -> DataFrame:
-    """keys, term, weight: (1 + ln tf) idf at unit length."""
-    raw = term_counts(docs, keys, text).join(vocabulary, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
+def needs_refit(docs: DataFrame, vocabulary: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """n_docs, trained_on and refit of the corpus and a stored vocabulary (one row): whether the corpus has outgrown
+    the one that the vocabulary was fitted on, or there is none."""
+    now, then = docs.agg(F.count("*").alias("n_docs")), vocabulary.agg(F.coalesce(F.max("n_docs"), F.lit(0)).alias("trained_on"))
+    return now.crossJoin(then).withColumn("refit", F.col("n_docs") > F.col("trained_on") * (1 + params.refit_growth))
+
+
+def weighted(counts: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
+    """keys, term, weight: (1 + ln tf) idf at unit length, from counts (keys, term, tf)."""
+    raw = counts.join(vocabulary, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", (F.col("x") / length).alias("weight"))
 
 
+def tfidf(docs: DataFrame, keys: list[str], vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """weighted terms of the documents."""
+    return weighted(term_counts(docs, keys, text), keys, vocabulary)
+
+
 def own_terms(weights: DataFrame, outlets: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """cluster_id, outlet_id, term, excess, rank: the terms that an outlet stresses more than the others do on the
     average. weights: cluster_id, outlet_id, term, weight. outlets: outlet_id, name, the names that no term may hold."""
     many = weights.select("cluster_id", "outlet_id").distinct().groupBy("cluster_id").agg(F.count("*").alias("n_outlets"))
     everyone = F.sum("weight").over(Window.partitionBy("cluster_id", "term"))
-    names = outlets.agg(F.collect_list("name").alias("names"))
+    words = outlets.agg(self_words(F.collect_list("name")).alias("words"))  # one row
     excess = weights.withColumn("everyone", everyone).join(many, "cluster_id").filter("n_outlets > 1")
     excess = excess.withColumn("excess", F.round(F.col("weight") - (F.col("everyone") - F.col("weight")) / (F.col("n_outlets") - 1), 9))
-    own = excess.filter("excess > 0").join(F.broadcast(names)).filter(~self_reference(F.col("term"), F.col("names")))
+    own = excess.filter("excess > 0").crossJoin(F.broadcast(words)).filter(~self_reference(F.col("term"), F.col("words")))
     rank = F.row_number().over(Window.partitionBy("cluster_id", "outlet_id").orderBy(F.desc("excess"), "term"))
     return own.withColumn("rank", rank).filter(F.col("rank") <= params.terms_per_outlet).select("cluster_id", "outlet_id", "term", "excess", "rank")
 
@@ -94,36 +106,46 @@ def mentions(members: DataFrame, outlets: DataFrame, tagger: Tagger = capitalise
     """cluster_id, outlet_id, entity, n of members (cluster_id, outlet_id, title, body)."""
     names = outlets.agg(F.collect_list("name").alias("names"))
     found = members.select("cluster_id", "outlet_id", F.explode(tagger(lead(F.col("title"), F.col("body"), params.entity_chars))).alias("raw"))
-    kept = found.withColumn("entity", caption_case(F.col("raw"))).join(F.broadcast(names)).filter(~is_noise(F.col("entity"), F.col("names")))
+    kept = found.withColumn("entity", caption_case(F.col("raw"))).crossJoin(F.broadcast(names)).filter(~is_noise(F.col("entity"), F.col("names")))
     return kept.groupBy("cluster_id", "outlet_id", "entity").agg(F.count("*").alias("n"))
 
 
-def canonical_map(counts: dict[str, int]) -> dict[str, str]:
-    """Each form of a name as the most frequent form that shares two long words with it or contains it."""
-    import re
+#: Two forms that one name holds have a run of so many characters in common, the first of the shorter.
+_RUN = 4
 
-    heads: list[tuple[str, set[str]]] = []
-    out: dict[str, str] = {}
-    for form in sorted(counts, key=lambda f: (-counts[f], -len(f), f)):
-        words = {w for w in re.findall(r"\w+", form.lower()) if len(w) > 3}
-        low = form.lower()
-        head = next((h for h, known in heads if len(words & known) > 1 or low in h.lower() or h.lower() in low), None)
-        if head is None:
-            heads.append((form, words))
-        out[form] = head or form
-    return out
+
+def name_matches(forms: DataFrame) -> DataFrame:
+    """cluster_id, a, b: forms (cluster_id, entity) of which one holds the other, or that share two long words; both
+    ways. Candidates meet by pairs of long words, and by the first characters of the form that is held."""
+    low = forms.select("cluster_id", "entity", F.lower("entity").alias("low"))
+    words = F.array_sort(F.array_distinct(significant_tokens(F.col("entity"))))
+    later = lambda w, i: F.transform(F.slice(F.col("words"), i + 2, F.size("words")), lambda v: F.struct(w.alias("w"), v.alias("v")))
+    pairs = low.withColumn("words", words).select("cluster_id", "entity", F.explode(F.flatten(F.transform("words", later))).alias("pair"))
+    other = pairs.select("cluster_id", "pair", F.col("entity").alias("b"))
+    alike = pairs.withColumnRenamed("entity", "a").join(other, ["cluster_id", "pair"]).filter("a <> b").select("cluster_id", "a", "b").distinct()
+    # every run of up to _RUN characters of a form, and the empty one
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(_RUN)), lambda n: F.substring("low", i, n))))
+    holders = low.select("cluster_id", F.col("entity").alias("b"), F.col("low").alias("whole"), F.explode(F.array_distinct(runs)).alias("run"))
+    held = low.select("cluster_id", F.col("entity").alias("a"), "low", F.substring("low", 1, _RUN).alias("run"))
+    inside = held.join(holders, ["cluster_id", "run"]).filter("a <> b AND contains(whole, low)").select("cluster_id", "a", "b")
+    return alike.unionByName(inside).unionByName(inside.select("cluster_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def canonical_entities(counted: DataFrame) -> DataFrame:
     """cluster_id, entity, canonical; counted: cluster_id, entity, n summed over a cluster's outlets.
 
-    The map depends on the order of all forms of one cluster, so a cluster's distinct forms meet in one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = canonical_map(dict(zip(pdf["entity"], pdf["n"], strict=True)))
-        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], "entity": list(found), "canonical": list(found.values())})
-
-    return counted.groupBy("cluster_id").applyInPandas(run, "cluster_id long, entity string, canonical string")
+    Forms stand in the order of how often they occur, then of length, then of text. A form that matches no earlier
+    canonical one is canonical itself; the others belong to the first canonical form that they match."""
+    order = F.struct(-F.col("n"), -F.length("entity"), "entity")
+    forms = written(counted.filter("entity IS NOT NULL").withColumn("o", order).select("cluster_id", "entity", "o"), "forms")
+    node = lambda key, o: F.struct(F.col("cluster_id"), F.col(o).alias("o"), F.col(key).alias("entity"))
+    found = name_matches(forms).join(forms.select("cluster_id", F.col("entity").alias("a"), F.col("o").alias("oa")), ["cluster_id", "a"])
+    found = found.join(forms.select("cluster_id", F.col("entity").alias("b"), F.col("o").alias("ob")), ["cluster_id", "b"]).filter("oa < ob")
+    edges = written(found.select(node("a", "oa").alias("u"), node("b", "ob").alias("v")), "matches")
+    heads = first_independent(edges)
+    of = edges.join(heads, edges.u == heads.node, "left_semi").groupBy("v").agg(F.min("u").alias("head"))
+    named = of.select("v.cluster_id", "v.entity", F.col("head.entity").alias("canonical"))
+    return forms.select("cluster_id", "entity").join(named, ["cluster_id", "entity"], "left").withColumn("canonical", F.coalesce("canonical", "entity"))
 
 
 def entities(members: DataFrame, outlets: DataFrame, tagger: Tagger = capitalised, params: Params = DEFAULTS) -> DataFrame:
@@ -184,7 +206,7 @@ def evidence(members: DataFrame, vectors: DataFrame, outlets: DataFrame, vocabul
     core = listed(shared_terms(weights, params), ["cluster_id"], "core_terms")
     sets = entity_sets(entities(chosen, outlets, tagger, params), texts.select("cluster_id", "outlet_id"))
     nothing = F.array().cast("array<string>")
-    each = texts.join(own, ["cluster_id", "outlet_id"], "left").join(sets, ["cluster_id", "outlet_id"], "left").join(F.broadcast(outlets.select("outlet_id", "name")), "outlet_id")
+    each = texts.join(own, ["cluster_id", "outlet_id"], "left").join(sets, ["cluster_id", "outlet_id"], "left").join(outlets.select("outlet_id", "name"), "outlet_id")
     outlet = F.struct("name", "outlet_id", "n_articles", "titles", F.coalesce("own_terms", nothing).alias("own_terms"), F.coalesce("exclusive", nothing).alias("exclusive"), F.coalesce("omitted", nothing).alias("omitted"))
     whole = each.groupBy("cluster_id").agg(F.array_sort(F.collect_list(outlet)).alias("outlets"), F.first(F.coalesce("common", nothing)).alias("core_entities"))
     return whole.join(core, "cluster_id", "left").withColumn("core_terms", F.coalesce("core_terms", nothing))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.text import is_live
 from mosaiq.functions.urls import host, path, usable
-from mosaiq.tables import written
+from mosaiq.operators.components import SMALL
+from mosaiq.tables import freed, written
 
 
 def essential(*columns: str) -> Column:
@@ -23,25 +27,46 @@ def new_to_store(batch: DataFrame, store: DataFrame) -> DataFrame:
     return batch.join(store.select("guid"), "guid", "left_anti").join(store.select("url"), "url", "left_anti")
 
 
-def first_of_duplicates(batch: DataFrame, order: str) -> DataFrame:
+def first_of_duplicates(batch: DataFrame, order: str, small: int = SMALL) -> DataFrame:
     """Rows that stay when, in order, a row is dropped whose guid or url a kept row has.
 
-    By rounds: an undecided row that is the first of its guid's and of its url's undecided rows is kept, and the
-    rows that share a key with a kept one are dropped. Only chains of shared keys need more than one round."""
-    keys = written(batch.select(F.col(order).alias("o"), "guid", "url"), "undecided")
-    kept: list[DataFrame] = []
-    by_guid, by_url = Window.partitionBy("guid"), Window.partitionBy("url")
-    while True:
-        first = written(keys.filter("guid IS NOT NULL AND url IS NOT NULL").withColumns({"g": F.min("o").over(by_guid), "u": F.min("o").over(by_url)}).filter("o = g AND o = u").select("o", "guid", "url"), "kept")
-        kept.append(first)
-        left = keys.join(first.select("guid"), "guid", "left_anti").join(first.select("url"), "url", "left_anti")
-        keys = written(left.select("o", "guid", "url"), "undecided")
-        if not keys.limit(1).count():
-            break
-    chosen = kept[0]
-    for more in kept[1:]:
-        chosen = chosen.unionByName(more)
-    return batch.join(chosen.select(F.col("o").alias(order)), order, "left_semi")
+    A null guid or url equals no other. order: distinct whole numbers; rows without it are dropped. By rounds: an
+    undecided row that is the first of its guid's and of its url's undecided rows is kept, and the rows that share
+    a key with a kept one are dropped. Each round decides at least the first row, and only chains of shared keys need
+    more than one. Up to `small` rows need no rounds: one task goes through their keys in order."""
+    alone = F.concat(F.lit("n"), F.col("o").cast("string"))
+    own = lambda key: F.coalesce(F.concat(F.lit("k"), key), alone).alias(key)
+    keys = batch.select(F.col(order).cast("long").alias("o"), "guid", "url").filter("o IS NOT NULL")
+    left = written(keys.select("o", own("guid"), own("url")), "undecided")
+    chosen = []
+    if left.count() <= small:
+        chosen.append(left.repartition(1).sortWithinPartitions("o").mapInArrow(_first_seen, "o long"))
+    else:
+        by_guid, by_url = Window.partitionBy("guid"), Window.partitionBy("url")
+        while True:
+            first = written(left.withColumns({"g": F.min("o").over(by_guid), "u": F.min("o").over(by_url)}).filter("o = g AND o = u").select("o", "guid", "url"), "kept")
+            chosen.append(first.select("o"))
+            last, left = left, written(left.join(first.select("guid"), "guid", "left_anti").join(first.select("url"), "url", "left_anti").select("o", "guid", "url"), "undecided")
+            freed(last)
+            if not left.limit(1).count():
+                break
+    kept = chosen[0]
+    for more in chosen[1:]:
+        kept = kept.unionByName(more)
+    return batch.join(kept.select(F.col("o").alias(order)), order, "left_semi")
+
+
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """o of the rows, in order, neither of whose keys a kept one before had."""
+    guids, urls = set(), set()
+    for batch in batches:
+        out = []
+        for o, guid, url in zip(*[batch[c].to_pylist() for c in ("o", "guid", "url")], strict=True):
+            if guid not in guids and url not in urls:
+                guids.add(guid)
+                urls.add(url)
+                out.append(o)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["o"])
 
 
 def crawl_permission(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,8 +80,8 @@ def crawl_permission(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def verdicts(items: DataFrame, outlets: DataFrame, store: DataFrame, pages: DataFrame, order: str = "article_id") -> DataFrame:
     """items with a verdict each: no_body, bad_url, live, duplicate, extraction_failed or new, the first that holds;
-    `body` is the page's where the feed has none and the outlet's pages are read."""
-    flags = F.broadcast(outlets.select("outlet_id", "extract_from_page"))
+    `body` is the page's where the feed has none and the outlet's pages are read, and from_page says so."""
+    flags = outlets.select("outlet_id", "extract_from_page")
     marked = items.join(flags, "outlet_id", "left").withColumn(
         "early",
         F.when(~essential("title", "url", "guid") | (~essential("body") & ~F.coalesce("extract_from_page", F.lit(False))), "no_body")
@@ -66,17 +91,24 @@ def verdicts(items: DataFrame, outlets: DataFrame, store: DataFrame, pages: Data
     marked = written(marked, "marked")
     fresh = first_of_duplicates(new_to_store(marked.filter("early IS NULL"), store), order).select(order, F.lit(True).alias("fresh"))
     joined = marked.join(fresh, order, "left").join(pages.select("url", "page_body").dropDuplicates(["url"]), "url", "left")
-    body = F.coalesce(F.nullif("body", F.lit("")), "page_body")
+    own = F.nullif("body", F.lit(""))
+    body = F.coalesce(own, "page_body")
     return joined.withColumn(
         "verdict",
         F.coalesce("early", F.when(F.col("fresh").isNull(), "duplicate").when(body.isNull(), "extraction_failed").otherwise("new")),
-    ).withColumn("body", body).drop("early", "fresh", "page_body")
+    ).withColumns({"from_page": own.isNull() & F.col("page_body").isNotNull(), "body": body}).drop("early", "fresh", "page_body")
 
 
-def counters(judged: DataFrame) -> DataFrame:
-    """Of each outlet, how many items have each verdict."""
+def counters(judged: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Of each outlet, how many items have each verdict and how many bodies came from pages; with feeds (outlet_id,
+    feed, failed) also how many feeds it has, how many of them failed, and a row for outlets without items."""
     kinds = ("new", "duplicate", "live", "no_body", "bad_url", "extraction_failed")
-    return judged.groupBy("outlet_id").agg(F.count("*").alias("items"), *[F.count_if(F.col("verdict") == k).alias(k) for k in kinds])
+    extracted = F.count_if((F.col("verdict") == "new") & F.coalesce("from_page", F.lit(False))).alias("extracted")
+    counts = judged.groupBy("outlet_id").agg(F.count("*").alias("items"), *[F.count_if(F.col("verdict") == k).alias(k) for k in kinds], extracted)
+    if feeds is None:
+        return counts
+    read = feeds.groupBy("outlet_id").agg(F.count("*").alias("feeds"), F.count_if("failed").alias("feed_errors"))
+    return counts.join(read, "outlet_id", "full_outer").na.fill(0)
 
 
 def silent_feeds(judged: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def search(articles: DataFrame, vectors: DataFrame, outlets: DataFrame, query: C
     if membership is not None:
         near = near.join(membership.select("article_id"), "article_id", "left_semi")
     top = near.orderBy(F.desc("similarity"), "article_id").limit(k)
-    out = top.join(articles, "article_id").join(F.broadcast(outlets.select("outlet_id", "name")), "outlet_id")
+    out = top.join(articles, "article_id").join(outlets.select("outlet_id", "name"), "outlet_id")
     return out.select("article_id", "title", "url", F.col("name").alias("outlet"), iso_local(F.col("published_at")).alias("published"), "similarity").orderBy(F.desc("similarity"), "article_id")
 
 
@@ -30,7 +30,7 @@ def list_clusters(clusters: DataFrame, membership: DataFrame, articles: DataFram
     """The newest clusters with their articles (by id) and the sorted names of their outlets; empty ones stay."""
     chosen = clusters if state is None else clusters.filter(F.col("state") == state)
     top = chosen.orderBy(F.desc("created_at"), F.desc("cluster_id")).limit(limit)
-    members = membership.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi").join(articles, "article_id").join(F.broadcast(outlets.select("outlet_id", "name")), "outlet_id")
+    members = membership.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi").join(articles, "article_id").join(outlets.select("outlet_id", "name"), "outlet_id")
     nested = members.groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("article_id", "title", "url", F.col("name").alias("outlet"), "published_at"))).alias("articles"),
         F.array_sort(F.collect_set("name")).alias("outlets"),

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.components import least_labels
+from mosaiq.params import DEFAULTS
+
 #: Vectors that one block holds on average.
 BLOCK = 4096
 
@@ -18,36 +21,85 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
 
 
-def pairs_above(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """a < b, sim: all pairs of vectors (id, embedding) with dot product >= threshold.
-
-    Each vector goes to every pair of blocks that its own is part of; a task multiplies two blocks and returns the
-    pairs above the threshold, computed in double precision."""
+def _block_pairs(vectors: DataFrame, block: int) -> DataFrame:
+    """i <= j, own, id, embedding: each vector in every pair of blocks that its own is part of."""
     rows = vectors.select(F.col("id").cast("long"), "embedding").filter("id IS NOT NULL AND embedding IS NOT NULL")
     n = max(1, -(-rows.count() // block))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     to = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = rows.withColumn("own", own).withColumn("to", F.explode(to)).select("to.i", "to.j", "own", "id", "embedding")
+    return rows.withColumn("own", own).withColumn("to", F.explode(to)).select("to.i", "to.j", "own", "id", "embedding")
+
+
+def _products(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of two blocks: rows of the one, rows of the other, and their dot products in double precision, bit by bit."""
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    x, own = _matrix(t["embedding"]), t["own"].to_numpy()
+    left = np.flatnonzero(own == i)
+    right = left if i == j else np.flatnonzero(own == j)
+    for at in range(0, len(left), 1024):
+        yield left[at : at + 1024], right, x[left[at : at + 1024]] @ x[right].T
+
+
+def pairs_above(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """a < b, sim: all pairs of vectors (id, embedding) with dot product >= threshold.
+
+    A task multiplies two blocks and returns the pairs above the threshold."""
 
     def multiply(t: pa.Table) -> pa.Table:
-        i = t["i"][0].as_py()
-        ids, x, own = t["id"].to_numpy(), _matrix(t["embedding"]), t["own"].to_numpy()
-        j = t["j"][0].as_py()
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        a, b, s = [], [], []
-        for at in range(0, len(left), 1024):
-            part = left[at : at + 1024]
-            sims = x[part] @ x[right].T
+        ids, same = t["id"].to_numpy(), t["i"][0].as_py() == t["j"][0].as_py()
+        a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for left, right, sims in _products(t):
             u, v = np.nonzero(sims >= threshold)
-            first, second = ids[part[u]], ids[right[v]]
-            keep = first < second if i == j else np.ones(len(u), bool)
+            first, second = ids[left[u]], ids[right[v]]
+            keep = first < second if same else np.ones(len(u), bool)
             a.append(np.minimum(first, second)[keep])
             b.append(np.maximum(first, second)[keep])
             s.append(sims[u, v][keep])
-        return pa.table({"a": np.concatenate(a or [np.zeros(0, np.int64)]), "b": np.concatenate(b or [np.zeros(0, np.int64)]), "sim": np.concatenate(s or [np.zeros(0)])})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "sim": np.concatenate(s)})
+
+    return _block_pairs(vectors, block).groupBy("i", "j").applyInArrow(multiply, "a long, b long, sim double")
+
+
+def linked_above(vectors: DataFrame, threshold: float, mixed: float | None = None, block: int = BLOCK) -> DataFrame:
+    """u, v: edges with the same connected components as all pairs with dot product >= threshold: of each two blocks
+    a forest, however dense the pairs. If `mixed` is given, vectors of negative id link with the others alone, at
+    that threshold."""
+
+    def forest(t: pa.Table) -> pa.Table:
+        ids = t["id"].to_numpy()
+        label = np.arange(len(ids))
+        for left, right, sims in _products(t):
+            hit = sims >= threshold
+            if mixed is not None:
+                one, other = (ids[left] < 0)[:, None], (ids[right] < 0)[None, :]
+                hit = np.where(one & other, False, np.where(one | other, sims >= mixed, hit))
+            u, v = np.nonzero(hit)
+            a, b = label[left[u]], label[right[v]]
+            label = least_labels(a[a != b], b[a != b], len(ids))[label]
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": ids[moved], "v": ids[label[moved]]})
+
+    return _block_pairs(vectors, block).groupBy("i", "j").applyInArrow(forest, "u long, v long")
+
+
+def similarity_counts(vectors: DataFrame, bins: int, block: int = BLOCK) -> DataFrame:
+    """bin, n, least, most: how many pairs of vectors have a dot product in each of equal bins from -1 to 1, and the
+    least and greatest in it; summed in each two blocks before the shuffle."""
+
+    def count(t: pa.Table) -> pa.Table:
+        ids, same = t["id"].to_numpy(), t["i"][0].as_py() == t["j"][0].as_py()
+        n, least, most = np.zeros(bins, np.int64), np.full(bins, 2.0), np.full(bins, -2.0)
+        for left, right, sims in _products(t):
+            values = sims[ids[left][:, None] < ids[right][None, :]] if same else sims.ravel()
+            at = np.clip(((values + 1) / 2 * bins).astype(np.int64), 0, bins - 1)
+            n += np.bincount(at, minlength=bins)
+            np.minimum.at(least, at, values)
+            np.maximum.at(most, at, values)
+        some = np.flatnonzero(n)
+        return pa.table({"bin": some, "n": n[some], "least": least[some], "most": most[some]})
 
-    return dealt.groupBy("i", "j").applyInArrow(multiply, "a long, b long, sim double")
+    counts = _block_pairs(vectors, block).groupBy("i", "j").applyInArrow(count, "bin long, n long, least double, most double")
+    return counts.groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -89,15 +141,15 @@ def best_match(articles: DataFrame, centroids: DataFrame, threshold: float) -> D
 Encoder = Callable[[Iterator], Iterator]
 
 
-def hashing_encoder(dimension: int = 384) -> Callable[[DataFrame, str, str], DataFrame]:
-    """An encoder without a model: hashed words and word pairs, at unit length. Any function from (rows, id column,
-    text column) to (id, embedding) can take its place."""
+def hashing_encoder(dimension: int = 384, batch_rows: int = DEFAULTS.vector_batch) -> Callable[[DataFrame, str, str], DataFrame]:
+    """An encoder without a model: hashed words and word pairs, at unit length, in batches of so many rows. Any function
+    from (rows, id column, text column) to (id, embedding) can take its place."""
 
     def encode(rows: DataFrame, key: str, text: str) -> DataFrame:
         import zlib
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(at, batch_rows) for b in batches for at in range(0, b.num_rows, batch_rows)):
                 out = np.zeros((batch.num_rows, dimension), np.float32)
                 for i, t in enumerate(batch.column(1).to_pylist()):
                     words = (t or "").lower().split()

@@ -37,10 +37,31 @@ def expire(clusters: DataFrame, membership: DataFrame, articles: DataFrame, as_o
     return clusters.withColumn("articles_at_synthesis", F.when(due, F.lit(EXPIRED_MARK).cast("long")).otherwise(F.col("articles_at_synthesis"))), alerts
 
 
+def expired_totals(alerts: DataFrame) -> DataFrame:
+    """One row: how many publishable clusters expired, and with how many articles."""
+    return alerts.agg(F.count("*").alias("n_clusters"), F.coalesce(F.sum("n_articles"), F.lit(0)).alias("n_articles"))
+
+
+def outlets_of_angles(angle_articles: DataFrame, articles: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """angle_id, outlets (how many back it) and publishable."""
+    backed = angle_articles.join(articles.select("article_id", "outlet_id"), "article_id")
+    return backed.groupBy("angle_id").agg(F.count_distinct("outlet_id").alias("outlets")).withColumn("publishable", F.col("outlets") >= params.min_outlets)
+
+
+def as_list(first: Column, second: Column) -> Column:
+    """Two scalar columns, as an older schema has them, as one list without nulls."""
+    return F.array_compact(F.array(first, second))
+
+
+def as_scalar(values: Column, place: int) -> Column:
+    """The way back: the value at a place from 1, or an empty string."""
+    return F.coalesce(F.try_element_at(values, F.lit(place)), F.lit(""))
+
+
 def prompts(evidence: DataFrame, selected: DataFrame, outlets: DataFrame, angles: DataFrame) -> DataFrame:
     """cluster_id, prompt. selected: cluster_id, pos, outlet_id, title, url, body. angles: cluster_id, angle_id, title."""
     hint = F.concat_ws(" / ", declared_topic(F.col("url")), declared_subtopic(F.col("url")))
-    named = selected.join(F.broadcast(outlets.select("outlet_id", "name")), "outlet_id")
+    named = selected.join(outlets.select("outlet_id", "name"), "outlet_id")
     note = F.format_string("### Note %d, %s\nTitle: %s\nSection: %s\n%s", F.col("pos").cast("int"), F.col("name"), F.col("title"), F.when(hint == "", "none").otherwise(hint), F.col("body"))
     notes = named.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", note.alias("note")))), lambda s: s["note"]), "\n\n").alias("notes"))
     known = angles.groupBy("cluster_id").agg(
@@ -58,13 +79,18 @@ def prompts(evidence: DataFrame, selected: DataFrame, outlets: DataFrame, angles
 
 
 def response_text(raw: Column) -> Column:
-    """The text of a provider's message: a tool call's arguments, else the content (a string or text blocks), without
-    a code fence."""
-    call = F.get_json_object(raw, "$.tool_calls[0].function.arguments")
-    content = F.get_json_object(raw, "$.content")
-    blocks = F.from_json(content, "ARRAY<STRUCT<text: STRING>>")
-    text = F.coalesce(call, F.when(content.startswith("["), F.array_join(F.transform(blocks, lambda b: b["text"]), "")).otherwise(content))
-    return F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+    """The text of a provider's message, without a code fence: the first tool call's arguments (empty where it has
+    none), and without a call the content, which is a string or a list of text blocks; nothing for anything else."""
+    message = F.try_parse_json(raw)
+    at = lambda path, kind: F.try_variant_get(message, path, kind)
+    is_ = lambda path, kind: F.coalesce(F.schema_of_variant(at(path, "variant")).startswith(kind), F.lit(False))
+
+    def text(path: str) -> Column:
+        texts = F.transform(at(path, "array<variant>"), lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit("")))
+        return F.when(is_(path, "STRING"), at(path, "string")).when(is_(path, "ARRAY"), F.array_join(texts, "")).otherwise("")
+
+    whole = F.when(is_("$.tool_calls[0]", "OBJECT"), text("$.tool_calls[0].function.arguments")).otherwise(text("$.content"))
+    return F.when(message.isNotNull(), F.regexp_replace(F.trim(whole), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1"))
 
 
 def has_angles(text: Column) -> Column:
@@ -126,7 +152,7 @@ def merge_angles(responses: DataFrame, selected: DataFrame, outlets: DataFrame,
     known = angles.select("cluster_id", F.col("angle_id").alias("id_existing"), F.lit(True).alias("is_known"))
     each = each.join(known, ["cluster_id", "id_existing"], "left").withColumn("target", F.when(F.col("is_known"), F.col("id_existing")))
     notes = noted_articles(each, selected)
-    names = F.broadcast(outlets.select("outlet_id", "name"))
+    names = outlets.select("outlet_id", "name")
     had = each.filter("target IS NOT NULL").select("cluster_id", "position", F.col("target").alias("angle_id")).join(angle_articles, "angle_id").join(
         articles.select("article_id", "outlet_id"), "article_id"
     )

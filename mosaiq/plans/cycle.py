@@ -1,36 +1,62 @@
-"""The engine's cycle: ingest, close, assign, fuse and deliver, over snapshots of its tables."""
+"""The engine's cycle: ingest, vectorise, close, assign, fuse, expire, synthesise and deliver, over durable tables."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.operators import cluster, delivery, ingest
+from mosaiq.operators import cluster, delivery, ingest, synthesis, vectorise
 from mosaiq.params import DEFAULTS, Params
-from mosaiq.tables import written
+from mosaiq.sources.store import Store
+from mosaiq.tables import freed, written
+
+#: The tables of the store; `angles` only where something synthesises.
+TABLES = ("articles", "vectors", "membership", "clusters")
 
 
 @dataclass
 class State:
-    """The tables between cycles; each cycle replaces them by written snapshots."""
+    """The store with the tables between cycles, and what the caller gives: outlets and pages. Articles and vectors
+    are only added to; the small tables of clusters are replaced where a step changes them."""
 
+    store: Store
     outlets: DataFrame
-    articles: DataFrame
-    vectors: DataFrame
-    membership: DataFrame
-    clusters: DataFrame
     pages: DataFrame
     angles: DataFrame | None = None
     log: list[tuple[str, str, str]] = field(default_factory=list)
 
+    @staticmethod
+    def begin(store: Store, outlets: DataFrame, pages: DataFrame, **tables: DataFrame) -> State:
+        """A store's first versions, of the TABLES given."""
+        for name in TABLES:
+            store.replace(tables[name], name)
+        return State(store, outlets, pages)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return self.store.read(name)
+        raise AttributeError(name)
+
 
-def run_cycle(state: State, items: DataFrame, as_of: Column, encode: Callable[[DataFrame, str, str], DataFrame], deliver: Callable[[DataFrame], DataFrame] | None = None, synthesise: Callable[[State], None] | None = None, params: Params = DEFAULTS) -> DataFrame:
+Encode = Callable[[DataFrame, str, str], DataFrame]
+
+
+def run_cycle(
+    state: State,
+    items: DataFrame,
+    as_of: Column,
+    encode: Encode,
+    deliver: Callable[[DataFrame], DataFrame] | None = None,
+    synthesise: Callable[[State], None] | None = None,
+    params: Params = DEFAULTS,
+    vector_limit: int | None = None,
+) -> DataFrame:
     """Runs the steps in order and returns one row a step: step, status, detail. A failing step leaves the tables as
     they were and doesn't stop the others, but synthesis only follows a successful fusion; delivery always runs."""
+    store = state.store
 
     def step(name: str, work: Callable[[], str]) -> bool:
         try:
@@ -41,57 +67,66 @@ def run_cycle(state: State, items: DataFrame, as_of: Column, encode: Callable[[D
             return False
 
     def do_ingest() -> str:
-        judged = written(ingest.verdicts(items, state.outlets, state.articles, state.pages), "judged")
-        fresh = judged.filter("verdict = 'new'").select(*state.articles.columns)
-        state.articles = written(state.articles.unionByName(fresh), "articles")
-        return f"{fresh.count()} new"
+        articles = state.articles
+        judged = written(ingest.verdicts(items, state.outlets, articles, state.pages), "judged")
+        fresh = judged.filter("verdict = 'new'").select(*articles.columns)
+        n = fresh.count()
+        if n:
+            store.append(fresh, "articles")
+        freed(judged)
+        return f"{n} new"
 
     def do_vectors() -> str:
-        waiting = state.articles.join(state.vectors, "article_id", "left_anti")
-        texts = waiting.select("article_id", F.concat("title", F.lit(". "), F.substring("body", 1, params.embed_chars)).alias("text"))
-        state.vectors = written(state.vectors.unionByName(encode(texts, "article_id", "text")), "vectors")
+        waiting = vectorise.pending(state.articles, state.vectors, vector_limit)
+        store.append(vectorise.encoded(waiting, encode, params), "vectors")
         return ""
 
     def do_close() -> str:
-        state.clusters = written(cluster.close_expired(state.clusters, state.membership, state.articles, as_of, params), "clusters")
+        store.replace(cluster.close_expired(state.clusters, state.membership, state.articles, as_of, params), "clusters")
         return ""
 
     def do_assign() -> str:
-        placed, born = cluster.assign(state.articles, state.vectors, state.membership, state.clusters, as_of, params)
-        membership, clusters = written(state.membership.unionByName(placed), "membership"), written(state.clusters.unionByName(born.select(*state.clusters.columns)), "clusters")
-        state.membership, state.clusters = membership, clusters
-        return f"{clusters.count()} clusters"
+        clusters = state.clusters
+        placed, born = cluster.assign(state.articles, state.vectors, state.membership, clusters, as_of, params)
+        placed, born = written(placed, "placed"), written(born.select(*clusters.columns), "born")
+        store.append(born, "clusters")
+        store.append(placed, "membership")
+        counts = cluster.run_counters(placed, born).first()
+        freed(placed, born)
+        return f"{counts['attached']} attached, {counts['created']} created"
 
     def do_fuse() -> str:
-        state.clusters, state.membership, state.angles = cluster.fuse(state.clusters, state.membership, state.vectors, state.angles, as_of, params)
+        clusters, membership, angles = cluster.fuse(state.clusters, state.membership, state.vectors, state.angles, as_of, params)
+        store.replace(membership, "membership")
+        store.replace(clusters, "clusters")
+        if angles is not None:
+            state.angles = store.replace(angles, "angles")
         return ""
 
+    def do_expire() -> str:
+        marked, alerts = synthesis.expire(state.clusters, state.membership, state.articles, as_of, params)
+        totals = synthesis.expired_totals(alerts).first()
+        store.replace(marked, "clusters")
+        return f"{totals['n_clusters']} clusters, {totals['n_articles']} articles"
+
     def do_deliver() -> str:
         if state.angles is None or deliver is None:
             return "nothing"
         results = written(deliver(delivery.pending(state.angles, params=params)), "results")
-        state.angles = written(delivery.fold(state.angles, results, as_of, params).drop("outcome", "newly_exhausted"), "angles")
+        state.angles = store.replace(delivery.fold(state.angles, results, as_of, params).drop("outcome", "newly_exhausted"), "angles")
+        freed(results)
         return ""
 
     state.log = []
     step("ingest", do_ingest)
     step("vectorise", do_vectors)
     grouped = step("close", do_close) and step("assign", do_assign) and step("fuse", do_fuse)
-    if grouped and synthesise is not None:
-        step("synthesise", lambda: synthesise(state) or "")
+    # without a model nothing expires, as nothing could have been synthesised
+    if synthesise is not None:
+        step("expire", do_expire)
+        if grouped:
+            step("synthesise", lambda: synthesise(state) or "")
     step("deliver", do_deliver)
+    for name in (*TABLES, "angles"):
+        store.tidy(name)
     return items.sparkSession.createDataFrame(state.log, "step string, status string, detail string")
-
-
-def save(df: DataFrame, path: str, pointer: str) -> None:
-    """Writes a snapshot and flips the pointer file last, so readers see either the old or the new one whole."""
-    spark = df.sparkSession
-    version = f"{path}/v={uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(pointer)
-
-
-def load(spark: SparkSession, pointer: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(pointer).first()["version"])
-
-

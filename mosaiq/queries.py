@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions import text, times, topics, urls, vectors
-from mosaiq.operators import cluster, components, delivery, evidence, ingest, search, similarity, synthesis
+from mosaiq.operators import cluster, components, delivery, evidence, ingest, reports, search, similarity, synthesis, vectorise
 from mosaiq.params import Params
 from mosaiq.sources import feeds
 from mosaiq.sources.engine_tables import ORACLE_VIEWS, EngineTables
+from mosaiq.sources.store import Store
+from mosaiq.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,7 +96,7 @@ FROM articles a JOIN outlets o USING (outlet_id) ORDER BY a.published_at DESC, a
 """)
 def latest_articles(t: EngineTables) -> DataFrame:
     top = t.articles.select("article_id", "outlet_id", "title", "published_at").orderBy(F.desc("published_at"), F.desc("article_id")).limit(10)
-    return top.join(F.broadcast(t.outlets), "outlet_id").select("article_id", "name", "title", stamp("published_at").alias("published"))
+    return top.join(t.outlets, "outlet_id").select("article_id", "name", "title", stamp("published_at").alias("published"))
 
 
 @query("SELECT 'article' AS kind, article_id AS id FROM articles WHERE body LIKE '%<%>%' UNION ALL SELECT 'page', page_id FROM pages WHERE html LIKE '%<%>%'")
@@ -104,7 +108,7 @@ def residual_html(t: EngineTables) -> DataFrame:
 @query("SELECT o.name, CAST(round(avg(length(a.body))) AS BIGINT) AS mean_length, min(length(a.body)) AS least_length FROM articles a JOIN outlets o USING (outlet_id) GROUP BY o.name ORDER BY 2")
 def body_length_stats(t: EngineTables) -> DataFrame:
     lengths = t.articles.groupBy("outlet_id").agg(F.round(F.avg(F.length("body"))).cast("long").alias("mean_length"), F.min(F.length("body")).cast("long").alias("least_length"))
-    return lengths.join(F.broadcast(t.outlets), "outlet_id").select("name", "mean_length", "least_length").orderBy("mean_length")
+    return lengths.join(t.outlets, "outlet_id").select("name", "mean_length", "least_length").orderBy("mean_length")
 
 
 @query("""
@@ -126,6 +130,12 @@ def live_filter(t: EngineTables) -> DataFrame:
     return titled.select("article_id", text.is_live(F.col("title")).alias("live"))
 
 
+@query(f"SELECT article_id, title FROM (SELECT article_id, {_LIVE_TITLE} AS title FROM articles) WHERE title ILIKE '%vivo%' OR title ILIKE '%minuto a minuto%' OR title ILIKE '%en directo%' OR title LIKE '%🔴%'")
+def live_slipped_through(t: EngineTables) -> DataFrame:
+    titled = t.articles.select("article_id", F.expr(_LIVE_TITLE).alias("title"))
+    return titled.filter(text.is_live(F.col("title")))
+
+
 _BAD_URL = """CASE page_id % 7 WHEN 1 THEN replace(url, '://', '://[') WHEN 2 THEN regexp_replace(url, '^https?:', '') WHEN 3 THEN replace(url, 'example', 'ex%5Bample')
     WHEN 4 THEN concat(url, '/con%20espacio') WHEN 5 THEN substring(url, 8, 100) ELSE url END"""
 _HOST_DUCK = "regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -142,7 +152,7 @@ def url_usable(t: EngineTables) -> DataFrame:
 @query("SELECT o.name, count(*) FILTER (WHERE regexp_matches(a.url, '[.]com/')) AS n_com, count(*) FILTER (WHERE regexp_matches(a.url, '/(es|fr)/')) AS n_romance FROM articles a JOIN outlets o USING (outlet_id) GROUP BY o.name")
 def url_countries(t: EngineTables) -> DataFrame:
     counts = t.articles.groupBy("outlet_id").agg(F.count_if(F.col("url").rlike("[.]com/")).alias("n_com"), F.count_if(F.col("url").rlike("/(es|fr)/")).alias("n_romance"))
-    return counts.join(F.broadcast(t.outlets), "outlet_id").select("name", "n_com", "n_romance")
+    return counts.join(t.outlets, "outlet_id").select("name", "n_com", "n_romance")
 
 
 @query("SELECT name, active, extract_from_page FROM outlets")
@@ -197,18 +207,25 @@ def nonevent_counts(t: EngineTables) -> DataFrame:
     return sectioned(t).groupBy(F.coalesce(urls.non_event(F.col("section_url")), F.lit("event")).alias("category")).agg(F.count("*").alias("n"))
 
 
+#: Mark-up added to every page, with entities that the pages don't have, and what it must read.
+_PLANTED = "<p>inflaci&oacute;n &#8211; &#xe9;xito &hellip; &euro;5 &amp;lt; &#150; &Ntilde;and&uacute; &unknown; &#0; A&B</p>"
+_READ = "inflación – éxito … €5 &lt; – Ñandú &unknown; \ufffd A&B"
+#: Entities of the given pages.
+_PAGE_ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def _duck_text(html: str) -> str:
     out = f"regexp_replace({html}, '<!--.*?-->', ' ', 'gs')"
     out = f"regexp_replace({out}, '<(script|style|template)\\b[^>]*>.*?</(script|style|template)>', ' ', 'gis')"
     out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
-    for entity, character in text.ENTITIES:
-        out = f"replace({out}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    for entity, character in _PAGE_ENTITIES:
+        out = f"replace({out}, '{entity}', '{character}')"
     return f"trim(regexp_replace({out}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, {_duck_text('html')} AS text FROM pages")
+@query(f"SELECT page_id, concat_ws(' ', {_duck_text('html')}, '{_READ}') AS text FROM pages")
 def html_to_text(t: EngineTables) -> DataFrame:
-    return t.pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", text.html_to_text(F.concat("html", F.lit(_PLANTED))).alias("text"))
 
 
 _DUCK_PART = "nullif(regexp_extract(html, '(?is)<{}\\b[^>]*>(.*)</{}>', 1), '')"
@@ -254,18 +271,30 @@ def _store(t: EngineTables) -> DataFrame:
 
 
 @query("""
-WITH store AS (SELECT guid, url FROM articles WHERE article_id % 50 = 0)
-SELECT article_id FROM articles a WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.guid = a.guid) AND NOT EXISTS (SELECT 1 FROM store s WHERE s.url = a.url)
+WITH rows AS MATERIALIZED (SELECT article_id, guid, url FROM articles), store AS MATERIALIZED (SELECT guid, url FROM rows WHERE article_id % 50 = 0),
+by_guid AS MATERIALIZED (SELECT r.* FROM rows r ANTI JOIN store s ON s.guid = r.guid)
+SELECT r.article_id FROM by_guid r ANTI JOIN store s ON s.url = r.url
 """)
 def or_antijoin_dedup(t: EngineTables) -> DataFrame:
     store = t.articles.filter("article_id % 50 = 0").select("guid", "url")
     return ingest.new_to_store(t.articles, store).select("article_id")
 
 
-@query()
+_GUID_OR_NULL = "CASE WHEN doc_id % 29 = 0 THEN NULL ELSE concat('g', CAST(floor(doc_id * 7 % 1000 / 3) AS INT)) END AS guid"
+_URL_OR_NULL = "CASE WHEN doc_id % 31 = 0 THEN NULL ELSE concat('u', CAST(floor(doc_id * 11 % 1000 / 2) AS INT)) END AS url"
+
+
+@query(f"""
+WITH RECURSIVE items AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, {_GUID_OR_NULL}, {_URL_OR_NULL} FROM documents),
+walk AS (
+  SELECT 0::BIGINT AS rn, NULL::BIGINT AS doc_id, false AS kept, ['']::VARCHAR[] AS guids, ['']::VARCHAR[] AS urls
+  UNION ALL
+  SELECT rn, doc_id, fresh, CASE WHEN fresh AND guid IS NOT NULL THEN list_append(guids, guid) ELSE guids END, CASE WHEN fresh AND url IS NOT NULL THEN list_append(urls, url) ELSE urls END
+  FROM (SELECT i.rn, i.doc_id, i.guid, i.url, w.guids, w.urls, NOT coalesce(list_contains(w.guids, i.guid), false) AND NOT coalesce(list_contains(w.urls, i.url), false) AS fresh FROM walk w JOIN items i ON i.rn = w.rn + 1))
+SELECT doc_id FROM walk WHERE kept
+""")
 def inbatch_dedup(t: EngineTables) -> DataFrame:
-    items = t.documents.select("doc_id", F.md5("text").alias("guid"), F.md5(F.substring("text", 1, 25)).alias("url"))
-    return ingest.first_of_duplicates(items, "doc_id").select("doc_id")
+    return ingest.first_of_duplicates(t.documents.selectExpr("doc_id", _GUID_OR_NULL, _URL_OR_NULL), "doc_id").select("doc_id")
 
 
 @query("""
@@ -302,7 +331,7 @@ early AS (
 ),
 fresh AS (SELECT min(article_id) AS article_id FROM early WHERE early IS NULL AND guid NOT IN (SELECT guid FROM store) GROUP BY guid),
 judged AS (
-    SELECT e.article_id, e.outlet_id, e.extract_from_page, coalesce(early, CASE WHEN f.article_id IS NULL THEN 'duplicate' WHEN body = '' AND p.url IS NULL THEN 'extraction_failed' ELSE 'new' END) AS verdict
+    SELECT e.article_id, e.outlet_id, e.extract_from_page, e.body, coalesce(early, CASE WHEN f.article_id IS NULL THEN 'duplicate' WHEN body = '' AND p.url IS NULL THEN 'extraction_failed' ELSE 'new' END) AS verdict
     FROM early e LEFT JOIN fresh f USING (article_id) LEFT JOIN page p ON p.url = e.url
 )"""
 
@@ -318,14 +347,24 @@ def ingest_verdicts(t: EngineTables) -> DataFrame:
     return _judged(t).select("article_id", "verdict")
 
 
+#: Two feeds an outlet, some of which failed, also of outlets without items.
+_FEEDS = "SELECT outlet_id, concat(base_url, f) AS feed, outlet_id % 4 = 1 AND f = '/atom' AS failed FROM (SELECT outlet_id, base_url FROM outlets UNION ALL SELECT 99, 'https://none') o CROSS JOIN (VALUES ('/rss'), ('/atom')) v(f)"
+
+
 @query(f"""
-WITH {_VERDICTS_DUCK}
-SELECT outlet_id, count(*) AS items, count(*) FILTER (WHERE verdict = 'new') AS "new", count(*) FILTER (WHERE verdict = 'duplicate') AS duplicate, count(*) FILTER (WHERE verdict = 'live') AS live,
-       count(*) FILTER (WHERE verdict = 'no_body') AS no_body, count(*) FILTER (WHERE verdict = 'bad_url') AS bad_url, count(*) FILTER (WHERE verdict = 'extraction_failed') AS extraction_failed
-FROM judged GROUP BY outlet_id
+WITH {_VERDICTS_DUCK},
+counts AS (
+  SELECT outlet_id, count(*) AS items, count(*) FILTER (WHERE verdict = 'new') AS "new", count(*) FILTER (WHERE verdict = 'duplicate') AS duplicate, count(*) FILTER (WHERE verdict = 'live') AS live,
+       count(*) FILTER (WHERE verdict = 'no_body') AS no_body, count(*) FILTER (WHERE verdict = 'bad_url') AS bad_url, count(*) FILTER (WHERE verdict = 'extraction_failed') AS extraction_failed,
+       count(*) FILTER (WHERE verdict = 'new' AND body = '') AS extracted
+  FROM judged GROUP BY outlet_id),
+read AS (SELECT outlet_id, count(*) AS feeds, count(*) FILTER (WHERE failed) AS feed_errors FROM ({_FEEDS}) GROUP BY 1)
+SELECT outlet_id, coalesce(items, 0) AS items, coalesce("new", 0) AS "new", coalesce(duplicate, 0) AS duplicate, coalesce(live, 0) AS live, coalesce(no_body, 0) AS no_body, coalesce(bad_url, 0) AS bad_url,
+  coalesce(extraction_failed, 0) AS extraction_failed, coalesce(extracted, 0) AS extracted, coalesce(feeds, 0) AS feeds, coalesce(feed_errors, 0) AS feed_errors
+FROM counts FULL OUTER JOIN read USING (outlet_id)
 """)
 def ingest_counters(t: EngineTables) -> DataFrame:
-    return ingest.counters(_judged(t))
+    return ingest.counters(_judged(t), t.spark.sql(_FEEDS.replace("FROM outlets", "FROM {outlets}"), outlets=t.outlets))
 
 
 _HEALTH = "CASE WHEN outlet_id % 4 = 1 OR article_id % 3 = 0 THEN 'no_body' WHEN outlet_id % 10 = 0 THEN 'extraction_failed' ELSE 'new' END"
@@ -337,7 +376,7 @@ SELECT outlet_id, count(*) FILTER (WHERE v = 'no_body') = count(*) AS no_bodies,
 FROM (SELECT article_id, outlet_id, extract_from_page, {_HEALTH} AS v FROM articles JOIN outlets USING (outlet_id)) GROUP BY outlet_id HAVING no_bodies OR no_extractions
 """)
 def feed_health(t: EngineTables) -> DataFrame:
-    judged = t.articles.join(F.broadcast(t.outlets), "outlet_id").withColumn("verdict", F.expr(_HEALTH))
+    judged = t.articles.join(t.outlets, "outlet_id").withColumn("verdict", F.expr(_HEALTH))
     return ingest.silent_feeds(judged)
 
 
@@ -363,19 +402,37 @@ def feed_fan_out(t: EngineTables) -> DataFrame:
 
 
 def feed_items(t: EngineTables) -> DataFrame:
-    """Feeds written from the articles, one document for each outlet and group of 20, and read again."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit(" "))
-    item = F.concat(
-        F.lit("<item><title>"), esc("title"), F.lit("</title><link>"), esc("url"), F.lit("</link><guid>"), F.col("guid"), F.lit("</guid><pubDate>"),
-        F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"),
-    )
-    groups = t.articles.groupBy("outlet_id", F.floor(F.col("article_id") / 400).alias("feed")).agg(F.array_join(F.collect_list(item), "").alias("items"))
-    xml = groups.select("outlet_id", F.col("feed").cast("string").alias("feed"), F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>")).alias("xml"))
-    return feeds.items(xml, cluster.at(AS_OF)).select("outlet_id", "title", "url", "guid", stamp("published_at").alias("published"))
+    """Feeds written from the articles, RSS and Atom, one document for each outlet and group of 400, and read again."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit(" "))
+    title, url, tag = esc(F.col("title")), esc(F.col("url")), lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name.split()[0]}>"))
+    body = esc(F.concat(F.lit("<p>"), F.regexp_replace("title", "[^A-Za-z0-9]", ""), F.lit("</p><script>x</script> &oacute;")))
+    date = F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    rss = F.concat(F.lit("<item>"), tag("title", title), tag("link", url), tag("guid", F.col("guid")), tag("pubDate", date), tag("content:encoded", body), F.lit("</item>"))
+    link = F.concat(F.lit('<link rel="self" href="https://self"/><link rel="alternate" href="'), url, F.lit('"/>'))
+    atom = F.concat(F.lit("<entry>"), tag("title", title), link, tag("id", F.col("guid")), tag("published", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")), tag('content type="html"', body), F.lit("</entry>"))
+    is_atom = F.col("outlet_id") % 2 == 1
+    groups = t.articles.groupBy("outlet_id", F.floor(F.col("article_id") / 400).alias("feed")).agg(F.array_join(F.collect_list(F.when(is_atom, atom).otherwise(rss)), "").alias("items"))
+    head = F.when(is_atom, F.lit("<feed>")).otherwise(F.lit('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>'))
+    tail = F.when(is_atom, F.lit("</feed>")).otherwise(F.lit("</channel></rss>"))
+    xml = groups.select("outlet_id", F.col("feed").cast("string").alias("feed"), F.concat(head, "items", tail).alias("xml"))
+    broken = xml.limit(1).select("outlet_id", F.lit("broken").alias("feed"), F.lit("<rss><channel><item>").alias("xml"))
+    return feeds.items(xml.unionByName(broken), cluster.at(AS_OF)).select("outlet_id", "title", "url", "guid", "body", stamp("published_at").alias("published"))
 
 
 QUERIES["feed_items"] = lambda spark, sf_dir: feed_items(EngineTables(spark, sf_dir))
-ORACLES["feed_items"] = f"WITH {ORACLE_VIEWS} SELECT outlet_id, trim(replace(title, chr(10), ' ')) AS title, url, guid, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published FROM articles"
+ORACLES["feed_items"] = f"""WITH {ORACLE_VIEWS} SELECT outlet_id, trim(replace(title, chr(10), ' ')) AS title, url, guid, trim(regexp_replace(title, '[^A-Za-z0-9]', '', 'g') || ' ó') AS body,
+    strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published FROM articles"""
+
+
+@query("""
+SELECT a.article_id, CAST(CAST(published_at AS DATE) AS VARCHAR) AS published_date FROM articles a WHERE article_id % 5 < 3 AND article_id % 4 <> 0 AND body <> ''
+""")
+def append_articles(t: EngineTables) -> DataFrame:
+    """Two appends to a store of its own, articles without a body among them, and what a reader then sees."""
+    store = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    rows = t.articles.selectExpr("article_id", "published_at", "CASE WHEN article_id % 4 = 0 THEN '' ELSE body END AS body")
+    feeds.append_articles(rows.filter("article_id % 5 = 0"), store)
+    return feeds.append_articles(rows.filter("article_id % 5 IN (1, 2)"), store).select("article_id", F.col("published_date").cast("string").alias("published_date"))
 
 
 # --- vectors ---
@@ -383,7 +440,20 @@ ORACLES["feed_items"] = f"WITH {ORACLE_VIEWS} SELECT outlet_id, trim(replace(tit
 
 @query("SELECT a.article_id FROM articles a WHERE a.article_id NOT IN (SELECT article_id FROM vectors)")
 def pending_vectors(t: EngineTables) -> DataFrame:
-    return feeds.pending_vectors(t.articles, t.vectors).select("article_id")
+    return vectorise.pending(t.articles, t.vectors).select("article_id")
+
+
+@query("SELECT a.article_id FROM articles a WHERE a.article_id NOT IN (SELECT article_id FROM vectors WHERE article_id % 2 = 0) ORDER BY 1 LIMIT 40")
+def vectorise_limited(t: EngineTables) -> DataFrame:
+    """The articles that a limited run takes, through the encoder and its batches."""
+    waiting = vectorise.pending(t.articles, t.vectors.filter("article_id % 2 = 0"), 40)
+    return vectorise.encoded(waiting, similarity.hashing_encoder(16)).filter("size(embedding) = 16").select("article_id")
+
+
+@query("SELECT count(*) AS waiting, least(count(*), 40) AS taken FROM articles WHERE article_id NOT IN (SELECT article_id FROM vectors)")
+def pending_count(t: EngineTables) -> DataFrame:
+    every, some = vectorise.pending_count(t.articles, t.vectors), vectorise.pending_count(t.articles, t.vectors, 40)
+    return every.select(F.col("n").alias("waiting")).join(some.select(F.col("n").cast("long").alias("taken")))
 
 
 @query("SELECT article_id, title || '. ' || substring(body, 1, 500) AS embed_text FROM articles")
@@ -456,13 +526,12 @@ def similar_pairs(t: EngineTables) -> DataFrame:
 
 
 @query(f"""
-WITH sims AS (SELECT {_DOT.format(a='a.embedding', b='b.embedding')} AS sim FROM vectors a JOIN vectors b ON a.article_id < b.article_id)
-SELECT round(min(sim), 5) AS least, round(quantile_cont(sim, 0.5), 5) AS median, round(quantile_cont(sim, 0.95), 5) AS p95, round(quantile_cont(sim, 0.99), 5) AS p99, round(max(sim), 5) AS most, count(*) AS pairs FROM sims
+WITH sims AS (SELECT floor(({_DOT.format(a='a.embedding', b='b.embedding')} + 1) / 2 * 20000)::BIGINT AS bin FROM vectors a JOIN vectors b ON a.article_id < b.article_id),
+counts AS (SELECT bin, count(*) AS n, sum(count(*)) OVER (ORDER BY bin) AS seen, (SELECT count(*) FROM sims) AS pairs FROM sims GROUP BY bin)
+SELECT share::DOUBLE AS share, round(min(bin) * 2 / 20000 - 1, 6) AS sim, any_value(pairs) AS pairs FROM counts, (VALUES (0.5), (0.95), (0.99), (1.0)) v(share) WHERE seen >= share * pairs GROUP BY share
 """)
 def similarity_percentiles(t: EngineTables) -> DataFrame:
-    pairs = similarity.pairs_above(t.vectors.select(F.col("article_id").alias("id"), "embedding"), -2.0)
-    q = lambda p, name: F.round(F.percentile("sim", p), 5).alias(name)
-    return pairs.agg(F.round(F.min("sim"), 5).alias("least"), q(0.5, "median"), q(0.95, "p95"), q(0.99, "p99"), F.round(F.max("sim"), 5).alias("most"), F.count("*").alias("pairs"))
+    return reports.similarity_percentiles(t.vectors.select(F.col("article_id").alias("id"), "embedding"), (0.5, 0.95, 0.99, 1.0))
 
 
 # --- life of clusters ---
@@ -479,8 +548,35 @@ def close_expired(t: EngineTables) -> DataFrame:
 
 @query("SELECT cluster_id, count(DISTINCT outlet_id) AS outlets, count(DISTINCT outlet_id) >= 2 AS publishable FROM members GROUP BY 1")
 def min_outlets_rule(t: EngineTables) -> DataFrame:
-    members = t.membership.join(t.articles, "article_id")
-    return members.groupBy("cluster_id").agg(F.count_distinct("outlet_id").alias("outlets")).withColumn("publishable", F.col("outlets") >= 2)
+    return reports.outlets_of_clusters(t.membership, t.articles)
+
+
+@query("SELECT outlets, count(*) AS clusters FROM (SELECT cluster_id, count(DISTINCT outlet_id) AS outlets FROM members WHERE article_id % 7 < cluster_id % 5 GROUP BY 1) GROUP BY 1")
+def outlets_histogram(t: EngineTables) -> DataFrame:
+    return reports.outlets_histogram(t.membership.filter("article_id % 7 < cluster_id % 5"), t.articles)
+
+
+@query("SELECT article_id % 10 + cluster_id * 10 AS angle_id, count(DISTINCT outlet_id) AS outlets, count(DISTINCT outlet_id) >= 2 AS publishable FROM members WHERE article_id % 3 = 1 GROUP BY 1")
+def outlets_of_angles(t: EngineTables) -> DataFrame:
+    links = t.membership.filter("article_id % 3 = 1").selectExpr("article_id % 10 + cluster_id * 10 AS angle_id", "article_id")
+    return synthesis.outlets_of_angles(links, t.articles)
+
+
+@query(f"""
+WITH pairs AS (SELECT a.article_id AS u, b.article_id AS v, {_DOT.format(a='a.embedding', b='b.embedding')} AS sim FROM vectors a JOIN vectors b ON a.article_id < b.article_id WHERE {_DOT.format(a='a.embedding', b='b.embedding')} >= 0.3),
+edges AS (SELECT u, v, t FROM pairs, (VALUES (0.3), (0.35), (0.4)) th(t) WHERE sim >= t UNION ALL SELECT v, u, t FROM pairs, (VALUES (0.3), (0.35), (0.4)) th(t) WHERE sim >= t),
+reach AS (SELECT u AS node, u AS root, t FROM edges UNION SELECT e.v, r.root, e.t FROM reach r JOIN edges e ON e.u = r.node AND e.t = r.t),
+parts AS (SELECT node, t, min(root) AS part FROM reach GROUP BY 1, 2),
+counted AS (SELECT t, part, count(DISTINCT outlet_id) AS outlets FROM parts JOIN articles ON article_id = node GROUP BY 1, 2)
+SELECT t::DOUBLE AS threshold, count(*) AS groups, count(*) FILTER (WHERE outlets >= 2) AS publishable FROM counted GROUP BY 1
+""")
+def threshold_sweep(t: EngineTables) -> DataFrame:
+    return reports.threshold_sweep(t.vectors, t.articles, (0.3, 0.35, 0.4))
+
+
+@query(f"SELECT coalesce(({_DUCK_SEGMENTS})[1], '') AS section, {sql_map(topics.SECTIONS, f'({_DUCK_SEGMENTS})[1]')} AS topic, count(*) AS articles FROM (SELECT article_id, {SECTION_URL_DUCK} AS section_url FROM articles) GROUP BY 1, 2")
+def section_coverage(t: EngineTables) -> DataFrame:
+    return reports.section_coverage(sectioned(t), F.col("section_url"))
 
 
 @query("""
@@ -506,6 +602,15 @@ def expire_clusters(t: EngineTables) -> DataFrame:
     return marked.join(alerts, "cluster_id", "left").select("cluster_id", F.col("articles_at_synthesis").alias("mark"), F.col("n_articles").alias("alerted"))
 
 
+@query("""
+WITH due AS (SELECT cluster_id, count(*) AS n FROM clusters c JOIN members USING (cluster_id) WHERE created_at < TIMESTAMP '2024-01-04 00:30:00' - INTERVAL 72 HOUR AND articles_at_synthesis IS NULL GROUP BY 1 HAVING count(DISTINCT outlet_id) >= 2)
+SELECT count(*) AS n_clusters, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_articles FROM due
+""")
+def expired_totals(t: EngineTables) -> DataFrame:
+    _, alerts = synthesis.expire(t.clusters, t.membership, t.articles, cluster.at("2024-01-04 00:30:00"))
+    return synthesis.expired_totals(alerts)
+
+
 @query("""
 SELECT cluster_id, first_value(cluster_id) OVER (PARTITION BY cluster_id % 3 ORDER BY created_at, cluster_id) AS survivor FROM clusters
 """)
@@ -513,26 +618,99 @@ def fusion_survivors(t: EngineTables) -> DataFrame:
     return cluster.fusion_survivors(t.clusters, t.clusters.selectExpr("cluster_id", "cluster_id % 3 AS component")).select("cluster_id", "survivor")
 
 
-def _assigned(t: EngineTables, mode: str) -> DataFrame:
-    placed, _ = cluster.assign(t.articles, t.vectors, t.membership.limit(0), t.clusters.limit(0), cluster.at(AS_OF), LOOSE, mode)
-    return placed
-
-
-@query()
+#: Articles in order, one after the other: the nearest cluster, or else the nearest loose article. founder: of new
+#: clusters the matched article, of old ones -1 less their id. {start} gives the old clusters' sums.
+_ASSIGN = """
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY published_at, article_id) AS rn, article_id, list_transform(embedding, lambda y: y::DOUBLE) AS x FROM vectors JOIN articles USING (article_id)
+  WHERE published_at >= TIMESTAMP '2024-01-02 12:00:00' - INTERVAL 48 HOUR{loose}),
+near AS MATERIALIZED (SELECT a.rn AS i, b.rn AS j, list_dot_product(a.x, b.x) AS sim FROM v a JOIN v b ON a.rn <> b.rn WHERE list_dot_product(a.x, b.x) >= 0.3),
+walk AS (
+  SELECT 0::BIGINT AS rn, []::BIGINT[] AS taken, {start} AS cs, NULL::BIGINT AS article_id, NULL::BIGINT AS other, NULL::BIGINT AS founder
+  UNION ALL
+  SELECT n, CASE WHEN gone OR (hit IS NULL AND y IS NULL) THEN taken WHEN hit IS NOT NULL THEN list_append(taken, n) ELSE taken || [n, y] END,
+    CASE WHEN gone OR (hit IS NULL AND y IS NULL) THEN cs
+         WHEN hit IS NOT NULL THEN list_transform(cs, lambda c, k: CASE WHEN k = hit THEN {{'founder': c.founder, 's': list_transform(list_zip(c.s, x), lambda z: z[1] + z[2])}} ELSE c END)
+         ELSE list_append(cs, {{'founder': y_id, 's': list_transform(list_zip(x, y_x), lambda z: z[1] + z[2])}}) END,
+    CASE WHEN NOT gone AND (hit IS NOT NULL OR y IS NOT NULL) THEN id END, CASE WHEN NOT gone AND hit IS NULL THEN y_id END,
+    CASE WHEN gone THEN NULL WHEN hit IS NOT NULL THEN cs[hit].founder ELSE y_id END
+  FROM (
+    SELECT st.*, CASE WHEN list_max(sims) >= 0.3 THEN list_position(sims, list_max(sims)) END AS hit, b.article_id AS y_id, b.x AS y_x
+    FROM (
+      SELECT w.taken, w.cs, v.rn AS n, any_value(v.article_id) AS id, any_value(v.x) AS x, list_contains(w.taken, v.rn) AS gone, arg_max(p.j, p.sim) FILTER (WHERE NOT list_contains(w.taken, p.j)) AS y,
+        list_transform(w.cs, lambda c: list_dot_product(c.s, any_value(v.x)) / sqrt(list_dot_product(c.s, c.s))) AS sims
+      FROM walk w JOIN v ON v.rn = w.rn + 1 LEFT JOIN near p ON p.i = v.rn GROUP BY w.taken, w.cs, v.rn
+    ) st LEFT JOIN v b ON b.rn = st.y)),
+placed AS (SELECT article_id, founder FROM walk WHERE article_id IS NOT NULL UNION ALL SELECT other, founder FROM walk WHERE other IS NOT NULL)"""
+_ASSIGN_NEW = _ASSIGN.format(start="[]::STRUCT(founder BIGINT, s DOUBLE[])[]", loose="")
+_OLD_SUMS = """(SELECT list({'founder': -1 - cluster_id, 's': s} ORDER BY cluster_id) FROM (SELECT cluster_id, list(x ORDER BY pos) AS s FROM
+    (SELECT cluster_id, pos, sum(embedding[pos]::DOUBLE) AS x FROM membership JOIN vectors USING (article_id), range(1, 65) r(pos) GROUP BY 1, 2) GROUP BY 1))"""
+
+
+def _grouped(placed: DataFrame) -> DataFrame:
+    """article_id and the least article of its cluster: ids of new clusters are hashes."""
+    return placed.select("article_id", F.min("article_id").over(Window.partitionBy("cluster_id")).alias("first_article"))
+
+
+def _assigned(t: EngineTables, mode: str) -> tuple[DataFrame, DataFrame]:
+    return cluster.assign(t.articles, t.vectors, t.membership.limit(0), t.clusters.limit(0), cluster.at(AS_OF), LOOSE, mode)
+
+
+@query(f"WITH RECURSIVE {_ASSIGN_NEW} SELECT article_id, min(article_id) OVER (PARTITION BY founder) AS first_article FROM placed")
 def assign_exact(t: EngineTables) -> DataFrame:
-    return _assigned(t, "exact")
+    return _grouped(_assigned(t, "exact")[0])
 
 
 @query()
 def assign_rounds(t: EngineTables) -> DataFrame:
-    return _assigned(t, "rounds")
+    return _grouped(_assigned(t, "rounds")[0])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_ASSIGN.format(start=_OLD_SUMS, loose=" AND article_id NOT IN (SELECT article_id FROM membership)")}
+SELECT article_id, CASE WHEN founder < 0 THEN -1 - founder END AS cluster_id, CASE WHEN founder >= 0 THEN min(article_id) OVER (PARTITION BY founder) END AS first_article FROM placed
+""")
+def assign_default(t: EngineTables) -> DataFrame:
+    """The default mode, on the real membership: loose articles join open clusters or make new ones."""
+    placed, born = cluster.assign(t.articles, t.vectors, t.membership, t.clusters, cluster.at(AS_OF), LOOSE)
+    new = born.select("cluster_id", F.lit(True).alias("new"))
+    first = F.min("article_id").over(Window.partitionBy("cluster_id"))
+    return placed.withColumn("f", first).join(new, "cluster_id", "left").select("article_id", F.when(F.col("new").isNull(), F.col("cluster_id")).alias("cluster_id"), F.when(F.col("new"), F.col("f")).alias("first_article"))
+
+
+@query(f"""
+WITH RECURSIVE {_ASSIGN.format(start=_OLD_SUMS, loose=" AND article_id NOT IN (SELECT article_id FROM membership)")}
+SELECT count(*) AS attached, count(DISTINCT founder) FILTER (WHERE founder >= 0) AS created, any_value(n) AS evaluated, any_value(n) - count(*) AS unmatched FROM placed, (SELECT count(*) AS n FROM v)
+""")
+def cluster_run_counters(t: EngineTables) -> DataFrame:
+    placed, born = cluster.assign(t.articles, t.vectors, t.membership, t.clusters, cluster.at(AS_OF), LOOSE)
+    return cluster.run_counters(placed, born, cluster.clusterable(t.articles, t.vectors, t.membership, cluster.at(AS_OF), LOOSE))
+
+
+#: One step a row: labels fall along the edges of one snapshot, and where they don't any more, groups become clusters.
+_FUSE = """
+sums AS (SELECT founder, pos, sum(embedding[pos]::DOUBLE) AS x FROM placed JOIN vectors USING (article_id), range(1, 65) r(pos) GROUP BY 1, 2),
+groups AS (SELECT founder, list(x ORDER BY pos) AS s FROM sums GROUP BY 1),
+whole AS (SELECT list({{'m': m, 's': s}} ORDER BY founder) AS cs FROM groups JOIN (SELECT founder, list(article_id) AS m FROM placed GROUP BY 1) USING (founder)),
+fusion AS (
+  SELECT cs, {edges} AS edges, range(1, len(cs) + 1)::BIGINT[] AS label, NULL::BIGINT[] AS before FROM whole
+  UNION ALL
+  SELECT cs, CASE WHEN moved THEN {edges} ELSE edges END, CASE WHEN moved THEN range(1, len(cs) + 1)::BIGINT[] ELSE list_transform(label, lambda l, i: list_min(list_concat([l], list_transform(list_filter(edges, lambda e: e.a = i OR e.b = i), lambda e: least(label[e.a], label[e.b]))))) END,
+    CASE WHEN moved THEN NULL::BIGINT[] ELSE label END
+  FROM (
+    SELECT label = before AS settled, coalesce(label = before, false) AS moved, edges, label, before,
+      CASE WHEN label = before THEN list_transform(list_sort(list_distinct(label)), lambda r: {{'m': flatten(list_transform(list_filter(range(1, len(cs) + 1), lambda i: label[i] = r), lambda i: cs[i].m)),
+        's': list_reduce(list_transform(list_filter(range(1, len(cs) + 1), lambda i: label[i] = r), lambda i: cs[i].s), lambda x, y: list_transform(list_zip(x, y), lambda z: z[1] + z[2]))}}) ELSE cs END AS cs
+    FROM fusion WHERE len(edges) > 0)),
+final AS (SELECT unnest(cs).m AS m FROM fusion WHERE len(edges) = 0)
+"""
+_EDGES = """flatten(list_transform(range(1, len(cs) + 1), lambda i: list_transform(list_filter(range(i + 1, len(cs) + 1), lambda j: list_dot_product(cs[i].s, cs[j].s) >= 0.35 * sqrt(list_dot_product(cs[i].s, cs[i].s) * list_dot_product(cs[j].s, cs[j].s))), lambda j: {'a': i, 'b': j})))"""
+
+
+@query(f"WITH RECURSIVE {_ASSIGN_NEW}, {_FUSE.format(edges=_EDGES)} SELECT unnest(m) AS article_id, list_min(m) AS first_article FROM final")
 def fuse_fixed_point(t: EngineTables) -> DataFrame:
-    placed, born = cluster.assign(t.articles, t.vectors, t.membership.limit(0), t.clusters.limit(0), cluster.at(AS_OF), LOOSE, "exact")
+    placed, born = _assigned(t, "exact")
     _, members, _ = cluster.fuse(born, placed, t.vectors, None, cluster.at(AS_OF), LOOSE)
-    return members
+    return _grouped(members)
 
 
 @query("""
@@ -549,8 +727,7 @@ def connected_copies(t: EngineTables) -> DataFrame:
 SELECT count(*) AS ingested, count(m.article_id) AS clustered, count(m.article_id) FILTER (WHERE m.article_id % 5 = 0) AS published FROM articles LEFT JOIN membership m USING (article_id)
 """)
 def funnel(t: EngineTables) -> DataFrame:
-    steps = t.articles.select("article_id").join(t.membership, "article_id", "left")
-    return steps.agg(F.count("*").alias("ingested"), F.count("cluster_id").alias("clustered"), F.count_if(F.col("cluster_id").isNotNull() & (F.col("article_id") % 5 == 0)).alias("published"))
+    return reports.funnel(t.articles, t.membership, t.articles.filter("article_id % 5 = 0").select("article_id"))
 
 
 @query("""
@@ -559,10 +736,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY since,
 SELECT cluster_id, CAST((epoch(max(since) FILTER (WHERE r = 2)) - epoch(max(since) FILTER (WHERE r = 1))) / 60 AS BIGINT) AS lag_minutes FROM ranked GROUP BY 1 HAVING count(*) > 1
 """)
 def second_outlet_lag(t: EngineTables) -> DataFrame:
-    firsts = t.membership.join(t.articles, "article_id").groupBy("cluster_id", "outlet_id").agg(F.min("published_at").alias("at"))
-    ordered = firsts.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("at", "outlet_id"))).alias("f")).filter("size(f) > 1")
-    minutes = lambda i: F.unix_timestamp(F.col("f")[i]["at"])
-    return ordered.select("cluster_id", ((minutes(1) - minutes(0)) / 60).cast("long").alias("lag_minutes"))
+    return reports.second_outlet_lag(t.membership, t.articles)
 
 
 # --- evidence ---
@@ -596,8 +770,15 @@ raw AS (SELECT article_id, term, (1 + ln(tf)) * idf AS x FROM tf JOIN idf USING
 SELECT article_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY article_id)), 6) AS weight FROM raw
 """)
 def tfidf_weights(t: EngineTables) -> DataFrame:
-    docs = t.articles.select("article_id", F.col("body").alias("text"))
-    return evidence.tfidf(docs, ["article_id"], evidence.fit_vocabulary(docs, "article_id")).withColumn("weight", F.round("weight", 6))
+    counts = evidence.term_counts(t.articles.select("article_id", F.col("body").alias("text")), ["article_id"])
+    vocabulary = evidence.vocabulary_of(counts, t.articles.select(F.count("*").alias("n_docs")))
+    return evidence.weighted(counts, ["article_id"], vocabulary).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT count(*) AS n_docs, (SELECT count(*) FROM articles WHERE article_id % 5 > 0) AS trained_on, count(*) > (SELECT count(*) FROM articles WHERE article_id % 5 > 0) * 1.2 AS refit FROM articles")
+def vocabulary_refit(t: EngineTables) -> DataFrame:
+    docs = t.articles.select("article_id", F.col("title").alias("text"))
+    return evidence.needs_refit(docs, evidence.fit_vocabulary(docs.filter("article_id % 5 > 0"), "article_id"))
 
 
 _WEIGHTS = f"""{_TERMS},
@@ -608,16 +789,15 @@ many AS (SELECT cluster_id, count(DISTINCT outlet_id) AS n_outlets FROM weights
 
 
 def _weights(t: EngineTables) -> DataFrame:
-    docs = t.articles.select("article_id", F.col("body").alias("text"))
-    members = t.membership.join(docs, "article_id").join(t.articles.select("article_id", "outlet_id"), "article_id")
-    # the counts of an outlet's terms are those of its articles together
-    counts = evidence.term_counts(members, ["cluster_id", "outlet_id"])
-    raw = counts.join(evidence.fit_vocabulary(docs, "article_id"), "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("cluster_id", "outlet_id")))
-    return raw.select("cluster_id", "outlet_id", "term", (F.col("x") / length).alias("weight"))
+    """Weights of the terms of each outlet of a cluster, whose articles count together."""
+    counts = evidence.term_counts(t.articles.select("article_id", F.col("body").alias("text")), ["article_id"])
+    vocabulary = evidence.vocabulary_of(counts, t.articles.select(F.count("*").alias("n_docs")))
+    members = t.membership.join(t.articles.select("article_id", "outlet_id"), "article_id")
+    of_outlets = counts.join(members, "article_id").groupBy("cluster_id", "outlet_id", "term").agg(F.sum("tf").alias("tf"))
+    return evidence.weighted(of_outlets, ["cluster_id", "outlet_id"], vocabulary)
 
 
-_PLATFORM_TEST = " OR ".join(f"contains(term, '{p}')" for p in text.PLATFORMS)
+_PLATFORM_TEST = " OR ".join(f"contains(term, '{p}')" for p in sorted(text.PLATFORMS))
 
 
 @query(f"""
@@ -632,17 +812,25 @@ def own_terms(t: EngineTables) -> DataFrame:
     return evidence.own_terms(_weights(t), t.outlets).select("cluster_id", "outlet_id", F.col("rank").cast("long").alias("rank"), F.round("excess", 5).alias("excess"))
 
 
+#: Each article of a cluster ends with words of its own cluster, and with one that is too common to count.
+_TOLD = "title || CASE WHEN cluster_id IS NULL THEN '' ELSE ' suceso' || cluster_id || ' acuerdo lugar' || (cluster_id % 5) END"
+
+
 @query(f"""
-WITH {_WEIGHTS},
+WITH told AS (SELECT article_id, outlet_id, cluster_id, {_TOLD} AS body FROM articles LEFT JOIN membership USING (article_id)),
+{_WEIGHTS.replace('FROM articles', 'FROM told')},
 shared AS (SELECT w.cluster_id, term, round(min(weight), 9) AS least FROM weights w JOIN many USING (cluster_id) WHERE n_outlets > 1 GROUP BY w.cluster_id, term, n_outlets HAVING count(*) = n_outlets),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY least DESC, term) AS rank FROM shared WHERE least > 0)
-SELECT cluster_id, rank, round(least, 5) AS least FROM ranked WHERE rank <= 8
+SELECT cluster_id, term, rank, round(least, 5) AS least FROM ranked WHERE rank <= 8
 """)
 def shared_terms(t: EngineTables) -> DataFrame:
-    return evidence.shared_terms(_weights(t)).select("cluster_id", F.col("rank").cast("long").alias("rank"), F.round("least", 5).alias("least"))
+    told = t.articles.join(t.membership, "article_id", "left").select("article_id", "outlet_id", "cluster_id", F.expr(_TOLD).alias("text"))
+    vocabulary = evidence.fit_vocabulary(told, "article_id")
+    weights = evidence.tfidf(told.filter("cluster_id IS NOT NULL"), ["cluster_id", "outlet_id"], vocabulary)
+    return evidence.shared_terms(weights).select("cluster_id", "term", F.col("rank").cast("long").alias("rank"), F.round("least", 5).alias("least"))
 
 
-_MISTAKEN = ", ".join(f"'{w}'" for w in [*text.MISTAKEN, *text.PLATFORMS])
+_MISTAKEN = ", ".join(f"'{w}'" for w in sorted(text.MISTAKEN | text.PLATFORMS))
 _CAPS = "CASE WHEN upper(raw) = raw AND contains(raw, ' ') THEN array_to_string(list_transform(string_split(lower(raw), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE raw END"
 _MENTIONS = f"""
 found AS (SELECT cluster_id, outlet_id, unnest(regexp_extract_all(title || '. ' || substring(body, 1, 4000), '\\p{{Lu}}\\p{{L}}+(?: \\p{{Lu}}\\p{{L}}+)*')) AS raw FROM members),
@@ -674,12 +862,32 @@ def entity_sets(t: EngineTables) -> DataFrame:
     return sets.select("cluster_id", "outlet_id", F.size("common").cast("long").alias("n_common"), joined("exclusive").alias("exclusive"), F.size("omitted").cast("long").alias("n_omitted"))
 
 
-@query()
+#: Forms in order, with the earlier ones that they match, and one step a form: is one of these canonical?
+_CANONICAL = f"""{_MENTIONS},
+forms AS MATERIALIZED (SELECT cluster_id, entity, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, length(entity) DESC, entity) AS rn, lower(entity) AS low,
+  list_distinct(list_filter(regexp_extract_all(lower(entity), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3)) AS words FROM (SELECT cluster_id, entity, sum(n) AS n FROM mentions GROUP BY 1, 2)),
+earlier AS MATERIALIZED (SELECT b.cluster_id, b.rn, list(a.rn) FILTER (WHERE a.rn IS NOT NULL) AS matches FROM forms b LEFT JOIN forms a ON a.cluster_id = b.cluster_id AND a.rn < b.rn
+  AND (contains(a.low, b.low) OR contains(b.low, a.low) OR len(list_intersect(a.words, b.words)) > 1) GROUP BY 1, 2),
+heads AS (
+  SELECT cluster_id, 0::BIGINT AS rn, []::BIGINT[] AS chosen, NULL::BIGINT AS head FROM (SELECT DISTINCT cluster_id FROM forms)
+  UNION ALL
+  SELECT h.cluster_id, e.rn, CASE WHEN list_has_any(coalesce(e.matches, []), h.chosen) THEN h.chosen ELSE list_append(h.chosen, e.rn) END, coalesce(list_min(list_intersect(coalesce(e.matches, []), h.chosen)), e.rn)
+  FROM heads h JOIN earlier e ON e.cluster_id = h.cluster_id AND e.rn = h.rn + 1),
+canonical AS (SELECT f.cluster_id, f.entity, c.entity AS canonical FROM heads h JOIN forms f USING (cluster_id, rn) JOIN forms c ON c.cluster_id = h.cluster_id AND c.rn = h.head)"""
+
+
+@query(f"WITH RECURSIVE {_CANONICAL} SELECT cluster_id, entity, canonical FROM canonical")
 def canonical_entities(t: EngineTables) -> DataFrame:
     found = evidence.mentions(t.membership.join(t.articles, "article_id"), t.outlets)
     return evidence.canonical_entities(found.groupBy("cluster_id", "entity").agg(F.sum("n").alias("n")))
 
 
+@query(f"WITH RECURSIVE {_CANONICAL} SELECT cluster_id, outlet_id, canonical AS entity, CAST(sum(n) AS BIGINT) AS n FROM mentions JOIN canonical USING (cluster_id, entity) GROUP BY 1, 2, 3 HAVING sum(n) >= 2")
+def entities(t: EngineTables) -> DataFrame:
+    """Counted over canonical names, and then kept if an outlet has enough of them."""
+    return evidence.entities(t.membership.join(t.articles, "article_id"), t.outlets)
+
+
 @query(f"""
 WITH {_CENTROIDS_DUCK},
 sims AS (SELECT m.cluster_id, m.article_id, m.outlet_id, round(sum(CAST(v.embedding[c.pos] AS DOUBLE) * c.x), 9) AS sim FROM members m JOIN vectors v USING (article_id) JOIN member_centroids c ON c.cluster_id = m.cluster_id GROUP BY 1, 2, 3),
@@ -743,7 +951,7 @@ SELECT cluster_id AS key, name, max(pos) AS pos FROM (SELECT DISTINCT cluster_id
   SELECT DISTINCT cluster_id, name, outlet_id, outlet_id + 100 FROM members JOIN outlets USING (outlet_id) WHERE outlet_id % 2 = 0) GROUP BY 1, 2
 """)
 def comparison_name_fold(t: EngineTables) -> DataFrame:
-    known = t.membership.join(t.articles, "article_id").join(F.broadcast(t.outlets), "outlet_id").select(F.col("cluster_id").alias("key"), "name", "outlet_id").distinct()
+    known = t.membership.join(t.articles, "article_id").join(t.outlets, "outlet_id").select(F.col("cluster_id").alias("key"), "name", "outlet_id").distinct()
     plain = known.select("key", F.col("outlet_id").cast("long").alias("pos"), F.concat(F.lit(" "), F.upper("name")).alias("outlet"))
     accented = known.filter("outlet_id % 2 = 0").select("key", (F.col("outlet_id") + 100).cast("long").alias("pos"), F.translate("name", "src", "śŕç").alias("outlet"))
     unknown = known.select("key", F.lit(999).cast("long").alias("pos"), F.concat("name", F.lit("x")).alias("outlet"))
@@ -762,13 +970,11 @@ def map_merge(t: EngineTables) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '|' || lang ELSE source END AS topics, source AS back_first, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS back_second FROM documents")
 def array_migration(t: EngineTables) -> DataFrame:
-    both = F.array_compact(F.array(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))))
-    moved = t.documents.select("doc_id", both.alias("list"))
-    back = lambda i: F.coalesce(F.try_element_at("list", F.lit(i)), F.lit(""))
-    return moved.select("doc_id", joined("list").alias("topics"), back(1).alias("back_first"), back(2).alias("back_second"))
+    moved = t.documents.select("doc_id", synthesis.as_list(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("list"))
+    return moved.select("doc_id", joined("list").alias("topics"), synthesis.as_scalar(F.col("list"), 1).alias("back_first"), synthesis.as_scalar(F.col("list"), 2).alias("back_second"))
 
 
-_EMOJI = "CASE WHEN doc_id % 3 = 0 THEN '🙂 ' || substring(text, 1, 200) ELSE substring(text, 1, 200) END"
+_EMOJI = "CASE WHEN doc_id % 3 = 0 THEN '🙂 ' || text ELSE text END"
 _HEAVY = "length({t}) + length(regexp_replace({t}, '[\\x{{0}}-\\x{{10FF}}]', '', 'g'))"
 
 
@@ -786,10 +992,41 @@ def post_weight(t: EngineTables) -> DataFrame:
     return t.documents.select("doc_id", text.post_weight(F.expr(_EMOJI), tags).cast("long").alias("weight"))
 
 
-@query()
+#: Some texts short enough for a post, some with heavy characters, and all others whole. Tags: 0 to 5, some long.
+_POST = "CASE WHEN doc_id % 4 = 0 THEN substring(text, 1, 180 + CAST(doc_id % 90 AS INT)) WHEN doc_id % 4 = 1 THEN replace(text, 'e', '🙂') WHEN doc_id % 4 = 2 THEN replace(substring(text, 1, 300), ' ', '') ELSE text END"
+_CUT = """CASE WHEN {w} <= {limit} THEN t WHEN {limit} <= 2 THEN '' ELSE regexp_replace(
+    CASE WHEN regexp_matches(substring(t, {n} + 1, 1), '^\\s') THEN substring(t, 1, {n}) ELSE regexp_replace(substring(t, 1, {n}), ' [^ ]*$', '') END, '[ ,;:.]+$', '') || '…' END"""
+
+
+def _duck_cut(limit: str) -> str:
+    """The longest prefix by trying all."""
+    prefix = _HEAVY.format(t="substring(t, 1, i)")
+    n = f"coalesce(list_max(list_filter(range(1, 300), lambda i: {prefix} <= {limit} - 2)), 0)"
+    return _CUT.format(w=_HEAVY.format(t="t"), limit=limit, n=n)
+
+
+def _duck_block(tags: str) -> str:
+    return f"array_to_string(list_transform({tags}, lambda x: '#' || x), ' ')"
+
+
+def _duck_whole(t: str, tags: str) -> str:
+    return f"({_HEAVY.format(t=t)} + length({_duck_block(tags)}) + CASE WHEN len({tags}) > 0 THEN 2 ELSE 0 END + 24)"
+
+
+@query(f"""
+WITH posts AS (SELECT doc_id, {_POST} AS t, list_transform(range(0, doc_id % 6), lambda i: CASE WHEN doc_id % 7 = 0 THEN repeat(lang, 70) ELSE source || lang END || i) AS tags FROM documents),
+kept AS (SELECT doc_id, t, tags[1:greatest(coalesce(list_max(list_filter(range(1, len(tags) + 1), lambda k: {_duck_whole('t', 'tags[1:k]')} <= 280)), 0), least(len(tags), 2))] AS tags FROM posts),
+cut_ AS (SELECT doc_id, t, tags, {_duck_whole('t', 'tags')} AS w, {_duck_cut("(254 - length(" + _duck_block("tags") + "))")} AS beside, {_duck_cut("254")} AS alone FROM kept),
+fit AS (SELECT doc_id, CASE WHEN w <= 280 THEN t WHEN beside <> '' AND {_duck_whole('beside', 'tags')} <= 280 THEN beside ELSE alone END AS hook,
+  CASE WHEN w <= 280 OR (beside <> '' AND {_duck_whole('beside', 'tags')} <= 280) THEN tags ELSE [] END AS tags FROM cut_)
+SELECT doc_id, hook, array_to_string(tags, '|') AS tags, {_duck_whole('hook', 'tags')} AS weight FROM fit
+""")
 def fit_post(t: EngineTables) -> DataFrame:
-    tags = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 6).cast("int")), lambda i: F.concat("source", F.col("lang"), i.cast("string")))
-    return t.documents.select("doc_id", text.fitted_post(F.substring("text", 1, 260), tags).alias("p")).select("doc_id", F.col("p.text").alias("hook"), joined("p.tags").alias("tags"), text.post_weight(F.col("p.text"), F.col("p.tags")).alias("weight"))
+    tag = F.when(F.col("doc_id") % 7 == 0, F.repeat("lang", F.lit(70))).otherwise(F.concat("source", "lang"))
+    tags = F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i < F.col("doc_id") % 6), lambda i: F.concat(tag, i.cast("string")))
+    posts = t.documents.select("doc_id", F.expr(_POST).alias("t"), tags.alias("tags"))
+    fitted = posts.select("doc_id", text.fitted_post(F.col("t"), F.col("tags")).alias("p"))
+    return fitted.select("doc_id", F.col("p.text").alias("hook"), joined("p.tags").alias("tags"), text.post_weight(F.col("p.text"), F.col("p.tags")).cast("long").alias("weight"))
 
 
 @query("""
@@ -800,6 +1037,89 @@ def iso_times(t: EngineTables) -> DataFrame:
     return t.events.select("event_id", times.iso_local(ts).alias("iso"), times.short_local(ts).alias("short"), times.iso_utc(ts).alias("utc"), times.epoch(ts).alias("seconds"))
 
 
+def _prompts(t: EngineTables) -> DataFrame:
+    """Prompts from notes by article, terms of each outlet, and angles of even clusters."""
+    selected = _selected(t).join(t.articles.select("article_id", F.expr("concat('T', article_id) AS title"), F.expr(SECTION_URL_SPARK).alias("url"), "body"), "article_id")
+    outlets = t.membership.join(t.articles, "article_id").join(t.outlets, "outlet_id").select("cluster_id", "outlet_id", "name").distinct()
+    entry = F.expr("named_struct('name', name, 'own_terms', array(concat('o', outlet_id), 'p'), 'exclusive', array(concat('e', outlet_id)), 'omitted', array('m', 'n'))")
+    shown = outlets.groupBy("cluster_id").agg(F.array_sort(F.collect_list(entry)).alias("outlets")).selectExpr("cluster_id", "outlets", "array('t1', 't2') AS core_terms", "array('E') AS core_entities")
+    angles = t.clusters.filter("cluster_id % 2 = 0").selectExpr("cluster_id", "explode(array(cluster_id + 50, cluster_id + 70)) AS angle_id", "title")
+    return synthesis.prompts(shown, selected, t.outlets, angles)
+
+
+@query(f"""
+WITH chosen AS (SELECT cluster_id, article_id, outlet_id, row_number() OVER (PARTITION BY cluster_id ORDER BY article_id) AS pos, body, {SECTION_URL_DUCK} AS section_url FROM members),
+said AS (SELECT c.*, o.name, {sql_map(topics.SECTIONS, f'({_DUCK_SEGMENTS})[1]')} AS topic, coalesce({sql_map(topics.SUBSECTIONS, f'({_DUCK_SEGMENTS})[1]')}, {sql_map(topics.SUBSECTIONS, f'({_DUCK_SEGMENTS})[2]')}) AS sub FROM chosen c JOIN outlets o USING (outlet_id)),
+notes AS (SELECT cluster_id, string_agg('### Note ' || pos || ', ' || name || chr(10) || 'Title: T' || article_id || chr(10) || 'Section: ' || coalesce(nullif(concat_ws(' / ', topic, sub), ''), 'none') || chr(10) || body, chr(10) || chr(10) ORDER BY pos) AS notes FROM said GROUP BY 1),
+lines AS (SELECT cluster_id, string_agg('- ' || name || ': own terms o' || outlet_id || ', p; only it names e' || outlet_id || '; it leaves out m, n', chr(10) ORDER BY name) AS lines FROM (SELECT DISTINCT cluster_id, outlet_id, name FROM said) GROUP BY 1)
+SELECT cluster_id, CASE WHEN cluster_id % 2 = 0 THEN 'Angles already published (repeat an id to update it):' || chr(10) || '- ' || (cluster_id + 50) || ': event ' || cluster_id || chr(10) || '- ' || (cluster_id + 70) || ': event ' || cluster_id || chr(10) ELSE '' END
+  || 'Split this coverage into angles.' || chr(10) || chr(10) || 'All outlets share: t1, t2, E' || chr(10) || lines || chr(10) || chr(10) || notes AS prompt
+FROM notes JOIN lines USING (cluster_id)
+""")
+def prompt_assembly(t: EngineTables) -> DataFrame:
+    return _prompts(t)
+
+
+def _merged(t: EngineTables) -> dict[str, DataFrame]:
+    """Each cluster answers with an angle on its first four notes, one on the fifth that updates the old angle of even
+    clusters, and one that speaks of one outlet alone."""
+    selected = _selected(t).select("cluster_id", "pos", "article_id", "outlet_id")
+    first = selected.join(t.outlets, "outlet_id").groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
+    said = lambda names: F.transform(names, lambda n: F.struct(F.upper(n).alias("outlet"), F.lit("h").alias("highlighted"), F.lit("o").alias("omitted"), F.lit("q").alias("quote")))
+
+    def angle(existing: Column, title: str, notes: list[int], names: Column, hook: str) -> Column:
+        fields = {"id_existing": existing, "title": F.lit(title), "summary": F.lit("s " + title), "key_points": F.array(F.lit("k")), "topics": F.array(F.lit("politica")), "subtopics": F.array(F.lit("futbol")), "relevant": F.lit(True)}
+        fields |= {"hook": F.lit(hook), "hashtags": F.array(F.lit("x")), "comparison": said(names), "notes": F.array(*[F.lit(n).cast("long") for n in notes])}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    old = F.when(F.col("cluster_id") % 2 == 0, F.col("cluster_id") + 1000)
+    answers = F.array(
+        angle(F.lit(None).cast("long"), "new", [1, 2, 3, 4, 4, 99], F.slice("names", 1, 4), "hook"),
+        angle(old, "other", [5], F.slice("names", 5, 1), ""),
+        angle(F.lit(7).cast("long"), "one voice", [1, 2, 3], F.slice("names", 1, 1), "hook"),
+    )
+    responses = first.select("cluster_id", F.lit("m").alias("model"), answers.alias("angles"))
+    focus = "map('src0', named_struct('highlighted', 'h0', 'omitted', 'o0', 'quote', 'q0'))"
+    angles = t.clusters.filter("cluster_id % 2 = 0").selectExpr(
+        "cluster_id + 1000 AS angle_id", "cluster_id", "'old' AS title", "'s0' AS summary", "array('k0') AS key_points", f"{focus} AS comparison", "array('deportes') AS topics", "CAST(array() AS ARRAY<STRING>) AS subtopics",
+        "created_at AS generated_at", "true AS delivered", "3 AS attempts", "'m0' AS model_used",
+    )
+    links = _selected(t).filter("cluster_id % 2 = 0 AND article_id % 3 = 1").selectExpr("cluster_id + 1000 AS angle_id", "article_id")
+    social = angles.selectExpr("angle_id", "'old hook' AS hook", "array('y') AS hashtags", "generated_at")
+    return synthesis.merge_angles(responses, selected, t.outlets, angles, links, social, t.clusters, t.membership, t.articles, cluster.at(AS_OF))
+
+
+#: Outlets of the first four notes make the new angle, or none if there is but one; the old angles get the fifth note.
+_MERGED = """
+chosen AS (SELECT cluster_id, article_id, outlet_id, row_number() OVER (PARTITION BY cluster_id ORDER BY article_id) AS pos FROM members),
+four AS (SELECT cluster_id, count(DISTINCT outlet_id) AS n, count(*) AS notes FROM chosen WHERE pos <= 4 GROUP BY 1 HAVING count(DISTINCT outlet_id) >= 2),
+born AS (SELECT (SELECT max(cluster_id) + 1000 FROM clusters WHERE cluster_id % 2 = 0) + row_number() OVER (ORDER BY cluster_id) AS angle_id, cluster_id, n, notes FROM four),
+old AS (SELECT cluster_id + 1000 AS angle_id, cluster_id FROM clusters WHERE cluster_id % 2 = 0),
+backing AS (SELECT angle_id, article_id FROM old JOIN members USING (cluster_id) WHERE article_id % 3 = 1 UNION SELECT angle_id, article_id FROM old JOIN chosen USING (cluster_id) WHERE pos = 5),
+compared AS (SELECT angle_id, 'src0' AS name FROM old UNION SELECT angle_id, name FROM old JOIN chosen USING (cluster_id) JOIN outlets USING (outlet_id) WHERE pos = 5)"""
+
+
+@query(f"""
+WITH {_MERGED}
+SELECT angle_id, cluster_id, 'new' AS title, 's new' AS summary, 'politica|deportes' AS topics, n AS n_compared, notes AS n_sources, false AS delivered, 0 AS attempts, 'm' AS model_used, 'hook' AS hook FROM born
+UNION ALL
+SELECT angle_id, cluster_id, 'old', 's other', 'deportes', (SELECT count(*) FROM compared c WHERE c.angle_id = old.angle_id), (SELECT count(*) FROM backing b WHERE b.angle_id = old.angle_id), false, 0, 'm', 'old hook' FROM old
+""")
+def angle_merge(t: EngineTables) -> DataFrame:
+    merged = _merged(t)
+    counts = merged["angle_articles"].groupBy("angle_id").agg(F.count("*").alias("n_sources"))
+    whole = merged["angles"].join(counts, "angle_id", "left").join(merged["social"].select("angle_id", "hook"), "angle_id", "left")
+    return whole.select("angle_id", "cluster_id", "title", "summary", joined("topics").alias("topics"), F.size("comparison").cast("long").alias("n_compared"), "n_sources", "delivered", "attempts", "model_used", "hook")
+
+
+@query(f"""
+WITH {_MERGED}
+SELECT 'created' AS fate, count(*) AS n FROM born UNION ALL SELECT 'updated', count(*) FROM old UNION ALL SELECT 'discarded', 3 * (SELECT count(*) FROM clusters) - (SELECT count(*) FROM born) - (SELECT count(*) FROM old)
+""")
+def angle_merge_counters(t: EngineTables) -> DataFrame:
+    return _merged(t)["counters"]
+
+
 # --- delivery ---
 
 _ANGLES = "SELECT DISTINCT user_id AS angle_id, user_id % 7 = 0 AS delivered, CAST(user_id % 8 AS INT) AS attempts FROM events"
@@ -844,10 +1164,10 @@ def delivery_counters(t: EngineTables) -> DataFrame:
 @query("""
 WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, alert_id) AS rn FROM alerts),
 walk AS (
-  SELECT key, rn, alert_id, true AS sent, ts AS last FROM a WHERE rn = 1
+  SELECT key, rn, alert_id, true AS sent, CASE WHEN delivered THEN ts END AS last FROM a WHERE rn = 1
   UNION ALL
-  SELECT a.key, a.rn, a.alert_id, a.terminal OR a.ts - w.last >= INTERVAL 60 MINUTE, CASE WHEN a.terminal OR a.ts - w.last >= INTERVAL 60 MINUTE THEN a.ts ELSE w.last END
-  FROM walk w JOIN a ON a.key = w.key AND a.rn = w.rn + 1)
+  SELECT key, rn, alert_id, ok, CASE WHEN ok AND delivered THEN ts ELSE last END
+  FROM (SELECT a.*, w.last, a.terminal OR w.last IS NULL OR a.ts - w.last >= INTERVAL 60 MINUTE AS ok FROM walk w JOIN a ON a.key = w.key AND a.rn = w.rn + 1))
 SELECT alert_id, sent FROM walk
 """)
 def alert_throttle(t: EngineTables) -> DataFrame:
@@ -855,7 +1175,7 @@ def alert_throttle(t: EngineTables) -> DataFrame:
 
 
 def _payload(t: EngineTables) -> DataFrame:
-    members = t.membership.join(t.articles, "article_id").join(F.broadcast(t.outlets), "outlet_id")
+    members = t.membership.join(t.articles, "article_id").join(t.outlets, "outlet_id")
     focus = F.struct(F.lit("h").alias("highlighted"), F.lit("o").alias("omitted"), F.col("name").alias("quote"))
     comparison = members.select("cluster_id", "name").distinct().groupBy("cluster_id").agg(F.map_from_entries(F.collect_list(F.struct("name", focus))).alias("comparison"))
     angles = t.clusters.join(comparison, "cluster_id").selectExpr(
@@ -881,9 +1201,20 @@ def payload_json(t: EngineTables) -> DataFrame:
     )
 
 
-@query()
+def _pad(secret: str, byte: int) -> str:
+    key = secret.encode() if len(secret) <= 64 else hashlib.sha256(secret.encode()).digest()
+    return bytes(b ^ byte for b in key.ljust(64, b"\0")).hex()
+
+
+@query(f"SELECT doc_id AS angle_id, '1704196800' AS timestamp, 'sha256=' || sha256(unhex('{_pad('secret', 0x5C)}') || unhex(sha256(unhex('{_pad('secret', 0x36)}') || encode('1704196800.' || text)))) AS signature FROM documents")
 def hmac_sign(t: EngineTables) -> DataFrame:
-    return delivery.outbox(_payload(t), "secret", cluster.at(AS_OF)).select("angle_id", "timestamp", "signature")
+    bodies = t.documents.select(F.col("doc_id").alias("angle_id"), F.col("text").alias("body"))
+    return delivery.outbox(bodies, "secret", cluster.at(AS_OF)).select("angle_id", "timestamp", "signature")
+
+
+@query("SELECT angle_id, attempts FROM (" + _ANGLES + ") WHERE NOT delivered")
+def outbox_forced(t: EngineTables) -> DataFrame:
+    return delivery.pending(_angles(t), force=True).select("angle_id", "attempts")
 
 
 # --- rest ---
@@ -908,12 +1239,6 @@ def run_utilisation(t: EngineTables) -> DataFrame:
     return utilisation(t.events.select(F.col("event_id").alias("run_id"), (F.col("value") * 20).alias("duration_seconds"))).select("run_id", "utilisation", "warn")
 
 
-@query("SELECT evaluated, attached, unmatched FROM (SELECT count(*) AS evaluated, count(m.article_id) AS attached, count(*) - count(m.article_id) AS unmatched FROM vectors v LEFT JOIN membership m USING (article_id))")
-def cluster_run_counters(t: EngineTables) -> DataFrame:
-    joined_ = t.vectors.select("article_id").join(t.membership, "article_id", "left")
-    return joined_.agg(F.count("*").alias("evaluated"), F.count("cluster_id").alias("attached"), F.count_if(F.col("cluster_id").isNull()).alias("unmatched"))
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

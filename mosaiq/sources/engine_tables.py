@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.tables import table
+from mosaiq.tables import table, written
 
 OUTLETS = """
 SELECT DISTINCT CAST(substring(source, 4) AS INT) AS outlet_id, source AS name, concat('https://', source, '.example.com') AS base_url,
@@ -55,7 +55,8 @@ class EngineTables:
 
     @cached_property
     def outlets(self) -> DataFrame:
-        return self.spark.sql(OUTLETS.replace("FROM documents", "FROM {documents}"), documents=self.documents)
+        # a small table of its own, whose size the planner knows when it chooses a join
+        return written(self.spark.sql(OUTLETS.replace("FROM documents", "FROM {documents}"), documents=self.documents), "outlets")
 
     @cached_property
     def articles(self) -> DataFrame:
@@ -82,8 +83,8 @@ class EngineTables:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        """alert_id, key, ts, terminal."""
-        return self.events.selectExpr("event_id AS alert_id", "event_type AS key", "ts", "event_type = 'error' AS terminal")
+        """alert_id, key, ts, terminal, delivered."""
+        return self.events.selectExpr("event_id AS alert_id", "event_type AS key", "ts", "event_type = 'error' AS terminal", "event_id % 3 <> 1 AS delivered")
 
     @cached_property
     def delivery_results(self) -> DataFrame:
@@ -98,6 +99,6 @@ vectors AS (SELECT vec_id AS article_id, embedding FROM embeddings),
 membership AS (SELECT vec_id AS article_id, CAST(label AS BIGINT) AS cluster_id FROM embeddings WHERE vec_id % 3 <> 0),
 clusters AS ({CLUSTERS}),
 members AS (SELECT m.cluster_id, a.* FROM membership m JOIN articles a USING (article_id)),
-alerts AS (SELECT event_id AS alert_id, event_type AS key, ts, event_type = 'error' AS terminal FROM events),
+alerts AS (SELECT event_id AS alert_id, event_type AS key, ts, event_type = 'error' AS terminal, event_id % 3 <> 1 AS delivered FROM events),
 results AS ({RESULTS.replace("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')")})
 """

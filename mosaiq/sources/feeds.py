@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions.text import html_to_text, main_content
+from mosaiq.sources.store import Store
 
 ITEM = "title STRING, link STRING, guid STRING, description STRING, pubDate STRING, `content:encoded` STRING"
+_LINK = "STRUCT<_href: STRING, _rel: STRING>"
 RSS = f"channel STRUCT<item: ARRAY<STRUCT<{ITEM.replace(' STRING', ': STRING')}>>>"
+ATOM = f"entry ARRAY<STRUCT<title: STRING, id: STRING, link: ARRAY<{_LINK}>, published: STRING, updated: STRING, content: STRUCT<_VALUE: STRING, _type: STRING>>>"
 
 
 def published(date: Column, as_of: Column) -> Column:
@@ -17,24 +20,33 @@ def published(date: Column, as_of: Column) -> Column:
 
 
 def items(feeds: DataFrame, as_of: Column) -> DataFrame:
-    """Of feeds (outlet_id, feed, xml): one row an item, with guid from the link where it has none; malformed feeds
-    give no rows."""
-    parsed = feeds.withColumn("rss", F.from_xml("xml", RSS, {"mode": "PERMISSIVE"}))
-    each = parsed.select("outlet_id", "feed", F.explode("rss.channel.item").alias("item"))
-    return each.select(
+    """Of feeds (outlet_id, feed, xml; RSS or Atom): one row an item, with guid from the link where it has none and the
+    body from its content; malformed feeds give no rows."""
+    rss = feeds.withColumn("doc", F.from_xml("xml", RSS, {"mode": "PERMISSIVE"})).select("outlet_id", "feed", F.explode("doc.channel.item").alias("item"))
+    of_rss = rss.select(
         "outlet_id",
         "feed",
         F.trim("item.title").alias("title"),
         F.trim("item.link").alias("url"),
-        F.coalesce(F.nullif(F.trim(F.col("item.guid")), F.lit("")), F.trim("item.link")).alias("guid"),
-        html_to_text(F.coalesce(F.col("item.content:encoded"), F.lit(""))).alias("body"),
+        F.trim(F.col("item.guid")).alias("guid"),
+        F.col("item.content:encoded").alias("content"),
         published(F.col("item.pubDate"), as_of).alias("published_at"),
     )
-
-
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items straight from files of one feed each."""
-    return spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
+    atom = feeds.withColumn("doc", F.from_xml("xml", ATOM, {"mode": "PERMISSIVE"})).select("outlet_id", "feed", F.explode("doc.entry").alias("item"))
+    # the link that is the item itself: of no relation, or of relation alternate
+    links = F.filter("item.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    of_atom = atom.select(
+        "outlet_id",
+        "feed",
+        F.trim("item.title").alias("title"),
+        F.trim(F.get(links, F.lit(0))["_href"]).alias("url"),
+        F.trim(F.col("item.id")).alias("guid"),
+        F.col("item.content._VALUE").alias("content"),
+        F.coalesce(F.try_to_timestamp(F.coalesce("item.published", "item.updated")), as_of).alias("published_at"),
+    )
+    return of_rss.unionByName(of_atom).select(
+        "outlet_id", "feed", "title", "url", F.coalesce(F.nullif("guid", F.lit("")), "url").alias("guid"), html_to_text(F.coalesce("content", F.lit(""))).alias("body"), "published_at"
+    )
 
 
 def fan_out(outlets: DataFrame) -> DataFrame:
@@ -47,10 +59,10 @@ def page_bodies(pages: DataFrame) -> DataFrame:
     return pages.select("url", main_content(F.col("html")).alias("page_body"))
 
 
-def append_articles(articles: DataFrame, path: str) -> None:
-    """Adds articles with a body to the store, partitioned by day."""
+def append_articles(articles: DataFrame, store: Store, name: str = "articles") -> DataFrame:
+    """The store's articles with those of `articles` that have a body, partitioned by day."""
     kept = articles.filter("length(coalesce(body, '')) > 0").withColumn("published_date", F.to_date("published_at"))
-    kept.write.mode("append").partitionBy("published_date").parquet(path)
+    return store.append(kept, name, "published_date")
 
 
 def upsert_outlets(stored: DataFrame, declared: DataFrame) -> DataFrame:
@@ -66,8 +78,3 @@ def upsert_outlets(stored: DataFrame, declared: DataFrame) -> DataFrame:
         F.when(own, F.col("s.active")).otherwise(F.coalesce("d.active", F.lit(True))).alias("active"),
         F.when(given, F.coalesce("d.extract_from_page", F.lit(False))).otherwise(F.col("s.extract_from_page")).alias("extract_from_page"),
     )
-
-
-def pending_vectors(articles: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Articles without an embedding."""
-    return articles.join(vectors, "article_id", "left_anti")

@@ -34,7 +34,7 @@ def window_counts(items: DataFrame, minutes: int = 60, late: str = "12 hours") -
 
 
 class Throttle(StatefulProcessor):
-    """Keeps, for each key, when an alert was last sent."""
+    """Keeps, for each key, when an alert was last delivered. A micro-batch's alerts of one key are sorted together."""
 
     def __init__(self, minutes: int) -> None:
         self.minutes = minutes
@@ -48,7 +48,7 @@ class Throttle(StatefulProcessor):
         out = []
         for row in pd.concat(list(rows)).sort_values(["ts", "alert_id"]).itertuples():
             sent = bool(row.terminal) or last is None or row.ts - last >= pause
-            last = row.ts if sent else last
+            last = row.ts if sent and row.delivered else last
             out.append((row.alert_id, key[0], row.ts, sent))
         if last is not None:
             self.last.update((last.to_pydatetime(),))

@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.functions import text
-from mosaiq.operators import cluster, delivery, evidence, ingest, synthesis
+from mosaiq.operators import cluster, components, delivery, evidence, ingest, similarity, synthesis
 from mosaiq.operators.similarity import hashing_encoder
 from mosaiq.params import Params
 from mosaiq.plans.cycle import State, run_cycle
+from mosaiq.sources.engine_tables import EngineTables
+from mosaiq.sources.store import Store
 
 NOW = datetime(2024, 1, 2, 12)
 
@@ -20,21 +22,67 @@ NOW = datetime(2024, 1, 2, 12)
 def greedy_dedup(rows):
     guids, urls, kept = set(), set(), []
     for o, g, u in rows:
-        if g not in guids and u not in urls:
+        if (g is None or g not in guids) and (u is None or u not in urls):
             kept.append(o)
             guids.add(g)
             urls.add(u)
     return kept
 
 
-def test_dedup_chains(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_dedup_chains(spark, small):
     rng = random.Random(1)
-    cases = [[(1, "g1", "u1"), (2, "g2", "u1"), (3, "g2", "u3")]]
-    cases += [[(i, f"g{rng.randrange(5)}", f"u{rng.randrange(5)}") for i in range(12)] for _ in range(15)]
-    rows = [(1000 * c + o, f"{c}{g}", f"{c}{u}") for c, case in enumerate(cases) for o, g, u in case]
-    found = ingest.first_of_duplicates(spark.createDataFrame(rows, "o long, guid string, url string"), "o")
+    cases = [[(1, "g1", "u1"), (2, "g2", "u1"), (3, "g2", "u3")], [(1, None, None), (2, None, "u"), (3, "g", None), (4, "g", "u"), (5, None, None)]]
+    any_of = lambda c: rng.choice([None, *[f"{c}{i}" for i in range(5)]])
+    cases += [[(i, any_of("g"), any_of("u")) for i in range(12)] for _ in range(15)]
+    own = lambda c, key: None if key is None else f"{c}{key}"
+    rows = [(1000 * c + o, own(c, g), own(c, u)) for c, case in enumerate(cases) for o, g, u in case]
+    batch = spark.createDataFrame([*rows, (None, "none", "none")], "o long, guid string, url string")
+    found = ingest.first_of_duplicates(batch, "o", small)
     wanted = [1000 * c + o for c, case in enumerate(cases) for o in greedy_dedup(case)]
     assert sorted(r.o for r in found.collect()) == sorted(wanted)
+    assert ingest.first_of_duplicates(batch.limit(0), "o", small).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    wanted = {x: find(x) for x in parent}
+    df = spark.createDataFrame([*edges, (None, 3)], "u long, v long")
+    for small in (0, 10_000):
+        assert {r.node: r.component for r in components.connected_components(df, small=small).collect()} == wanted
+
+
+def test_first_independent(spark):
+    rng = random.Random(6)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(i, i + 1) for i in range(100, 112)}
+    chosen = set()
+    for x in sorted({x for e in edges for x in e}):
+        if not any((y, x) in edges for y in chosen):
+            chosen.add(x)
+    assert {r.node for r in components.first_independent(spark.createDataFrame(list(edges), "u long, v long")).collect()} == chosen
+    assert components.first_independent(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_forest_links_as_all_pairs_do(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(80) - 10  # ten of negative id
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, embedding array<double>")
+    sims = x @ x.T
+    low = ids < 0
+    for mixed, linked in ((None, sims >= 0.6), (0.7, np.where(low[:, None] & low, False, np.where(low[:, None] | low, sims >= 0.7, sims >= 0.6)))):
+        found = similarity.linked_above(df, 0.6, mixed, block=16)
+        got = {r.node: r.component for r in components.connected_components(found).collect()}
+        u, v = np.nonzero(np.triu(linked, 1))
+        label = components.least_labels(u, v, 80)
+        assert got == {int(ids[i]): int(ids[label[i]]) for i in np.unique(np.concatenate([u, v]))}
 
 
 def unit(degrees):
@@ -51,7 +99,7 @@ def tables(spark, articles, members=(), clusters=()):
     return a, v, m, c
 
 
-@pytest.mark.parametrize("mode", ["exact", "rounds"])
+@pytest.mark.parametrize("mode", ["exact", "hybrid", "rounds"])
 def test_assignment_geometry(spark, mode):
     at = cluster.at(NOW)
     # a cluster is preferred over a closer loose article; 45 degrees apart is too far
@@ -89,21 +137,64 @@ def test_fusion_and_closing(spark):
     assert closed == {7: "open", 9: "discarded"}
 
 
+def fit_plainly(text, tags):
+    """Tries every prefix and every number of tags."""
+    heavy = lambda t: sum(1 if ord(c) < 4352 else 2 for c in t)
+    block = lambda g: " ".join("#" + x for x in g)
+    whole = lambda t, g: heavy(t) + heavy(block(g)) + 24 + 2 * bool(g)
+
+    def cut(limit):
+        if heavy(text) <= limit:
+            return text
+        if limit < 3:
+            return ""
+        n = max(i for i in range(len(text)) if heavy(text[:i]) <= limit - 2)
+        words = text[:n] if text[n].isspace() else text[:n].rpartition(" ")[0] if " " in text[:n] else text[:n]
+        return words.rstrip(" ,;:.") + "…"
+
+    real = [t for t in tags if t]
+    kept = next(real[:k] for k in range(len(real), -1, -1) if k <= 2 or whole(text, real[:k]) <= 280)
+    for t in (text, cut(254 - heavy(block(kept)))):
+        if (t or not text) and whole(t, kept) <= 280:
+            return t, kept
+    return cut(254), []
+
+
 def test_posts(spark):
-    cases = [("x" * 200, ["aaaa", "bbbb", "cccc", "dddd" * 9]), ("y" * 240, ["a" * 8] * 3), ("palabra " * 40, ["uno", "dos"]), ("short", ["t" * 130, "u" * 130]), ("🙂" * 200, ["a", "b", "c"]), ("fits", ["", "a"])]
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice(["word ", "x", "🙂", ", ", "ñandú", " ", "\u10ff", "\u1100"]) for _ in range(n))
+    cases = [("short", ["t" * 130, "u" * 130]), ("fits", ["", "a", None]), ("", ["a"]), ("z" * 400, []), ("🙂" * 200, ["a", "b", "c"]), ("word " * 60, None)]
+    cases += [(some(rng.randrange(150)), ["y" * rng.randrange(60) for _ in range(rng.randrange(6))]) for _ in range(60)]
     df = spark.createDataFrame(cases, "t string, tags array<string>")
-    out = df.select("t", text.fitted_post(F.col("t"), F.col("tags")).alias("p")).select("t", "p.*", text.post_weight(F.col("p.text"), F.col("p.tags")).alias("w")).collect()
+    out = df.select(text.fitted_post(F.col("t"), F.col("tags")).alias("p")).select("p.*", text.post_weight(F.col("p.text"), F.col("p.tags")).alias("w")).collect()
     assert all(r.w <= 280 for r in out)
-    assert out[0].text == "x" * 200 and len(out[0].tags) == 3
-    assert out[2].text.endswith("palabra…") and out[2].tags == ["uno", "dos"]
-    assert out[3].tags == [] and out[5].tags == ["a"]
+    assert [(r.text, r.tags) for r in out] == [fit_plainly(t, tags or []) for t, tags in cases]
+
+
+def test_entities_of_markup(spark):
+    import html as plain
 
+    cases = ["a &amp; b &lt;c&gt;", "&oacute;&ntilde;&hellip;", "&#243; &#x1F642; &#X41;", "&#128; &#150; &#0; &#xD800; &#x110000;", "&amp;lt; stays", "&nosuch; & &; &#; &#xZZ;", "no mark", "", None, "&NotEqualTilde;"]
+    df = spark.createDataFrame([(x,) for x in cases], "t string").select(text.unescaped(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == [None if x is None else plain.unescape(x) for x in cases]
 
-def test_canonical_names():
-    counts = {"Marta Elena Quiroga": 5, "Narta Elena Quiroga": 1, "Quiroga": 3, "Pablo Rivas": 2, "Diego Rivas": 2}
-    found = evidence.canonical_map(counts)
-    assert found["Narta Elena Quiroga"] == found["Quiroga"] == "Marta Elena Quiroga"
-    assert found["Pablo Rivas"] != found["Diego Rivas"]
+
+def test_canonical_names(spark):
+    rng = random.Random(9)
+    parts = ["Alda", "Brunos", "Corvel", "Dinar", "Estelar", "Fa", "Gorlan", "Al", "Vel"]
+    names = lambda: " ".join(rng.choices(parts, k=rng.randrange(1, 4)))
+    counted = {(c, names()): rng.randrange(1, 6) for c in range(4) for _ in range(25)} | {(9, "Only"): 1, (9, ""): 2}
+    wanted = {}
+    for c in {c for c, _ in counted}:
+        chosen = []
+        for name in sorted((n for k, n in counted if k == c), key=lambda n: (-counted[c, n], -len(n), n)):
+            long = {w for w in name.lower().split() if len(w) > 3}
+            same = [h for h in chosen if name.lower() in h.lower() or h.lower() in name.lower() or len(long & {w for w in h.lower().split() if len(w) > 3}) > 1]
+            chosen += [] if same else [name]
+            wanted[c, name] = (same or [name])[0]
+    df = spark.createDataFrame([(c, n, k) for (c, n), k in counted.items()], "cluster_id long, entity string, n long")
+    assert {(r.cluster_id, r.entity): r.canonical for r in evidence.canonical_entities(df).collect()} == wanted
+    assert evidence.canonical_entities(df.limit(0)).count() == 0
 
 
 def test_responses(spark):
@@ -111,9 +202,10 @@ def test_responses(spark):
     raw = [good, good.replace('"angles": [', '"angles": "[1]", "x": ['), good.replace("politica", "none"), "not json", '{"angles": []}', None]
     out = synthesis.parsed(spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, text string")).orderBy("i").collect()
     assert [r.angles is not None for r in out] == [True, False, False, False, True, False]
-    texts = ['{"content": "```json\\n{}\\n```"}', '{"content": [{"text": "a"}, {"text": "b"}]}', '{"tool_calls": [{"function": {"arguments": "args"}}], "content": "c"}']
+    texts = ['{"content": "```json\\n{}\\n```"}', '{"content": [{"text": "a"}, {"text": "b"}, {"type": "x"}]}', '{"tool_calls": [{"function": {"arguments": "args"}}], "content": "c"}']
+    texts += ['{"tool_calls": [{"function": {"arguments": ""}}], "content": "c"}', '{"tool_calls": [{}], "content": "c"}', '{"content": "[1] text"}', '{"tool_calls": [], "content": "c"}', '{"content": null}', '{"content": 5}', "not json", None]
     df = spark.createDataFrame([(x,) for x in texts], "raw string").select(synthesis.response_text(F.col("raw")).alias("t"))
-    assert [r.t for r in df.collect()] == ["{}", "ab", "args"]
+    assert [r.t for r in df.collect()] == ["{}", "ab", "args", "", "", "[1] text", "c", "", "", None, None]
 
 
 def test_merge_of_angles(spark):
@@ -153,34 +245,69 @@ def test_signature(spark):
     import hashlib
     import hmac
 
-    out = delivery.outbox(spark.createDataFrame([(1, '{"a":"ñ"}')], "angle_id long, body string"), "key", cluster.at(NOW)).first()
-    assert out.signature == "sha256=" + hmac.new(b"key", f"{out.timestamp}.{out.body}".encode(), hashlib.sha256).hexdigest()
-
-
-def test_cycle(spark):
+    for key in ("key", "k" * 100):
+        out = delivery.outbox(spark.createDataFrame([(1, '{"a":"ñ"}')], "angle_id long, body string"), key, cluster.at(NOW)).first()
+        assert out.signature == "sha256=" + hmac.new(key.encode(), f"{out.timestamp}.{out.body}".encode(), hashlib.sha256).hexdigest()
+
+
+def test_store(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "i int")
+    seen = lambda df: sorted(r.i for r in df.collect())
+    store = Store(spark, f"file://{tmp_path}/store")
+    with pytest.raises(FileNotFoundError):
+        store.read("t")
+    assert seen(store.append(rows(1), "t")) == [1]
+    assert seen(store.append(rows(2), "t")) == [1, 2]
+    assert seen(store.replace(rows(3), "t")) == [3]
+    assert seen(store.append(rows(4), "t")) == [3, 4]
+    # an incomplete write is never seen, and its number isn't used again
+    rows(5).write.parquet(f"file://{tmp_path}/store/t/whole-000000005")
+    (tmp_path / "store/t/whole-000000005/_SUCCESS").unlink()
+    assert seen(store.read("t")) == [3, 4]
+    assert seen(store.append(rows(6), "t")) == [3, 4, 6]
+    store.tidy("t")
+    assert seen(store.read("t")) == [3, 4, 6] and len(list((tmp_path / "store/t").iterdir())) == 4
+
+
+def test_cycle(spark, tmp_path):
     a, v, m, c = tables(spark, [(1, 1, 0, 5)])
     outlets = spark.createDataFrame([(1, "uno", False), (2, "dos", False)], "outlet_id int, name string, extract_from_page boolean")
     pages = spark.createDataFrame([], "url string, page_body string")
     items = spark.createDataFrame([(i, i % 2 + 1, f"the same event {i // 4}", f"https://b.example/{i}", f"h{i}", f"the same words of event {i // 4} " * 20, NOW - timedelta(hours=1)) for i in range(2, 10)], a.schema)
-    state = State(outlets, a, spark.createDataFrame([], "article_id long, embedding array<float>"), m, c, pages)
-    log = {r.step: r.status for r in run_cycle(state, items, cluster.at(NOW), hashing_encoder(64)).collect()}
-    assert set(log.values()) == {"done"} and state.articles.count() == 9 and state.vectors.count() == 9
-    assert state.membership.count() > 0
-    again = run_cycle(state, items, cluster.at(NOW), hashing_encoder(64)).filter("step = 'ingest'").first()
-    assert again.detail == "0 new"
-
-
-def test_streaming_throttle_matches_batch(spark, sf, tmp_path):
-    from mosaiq.sources.engine_tables import EngineTables
-
-    batch = delivery.throttled(EngineTables(spark, sf).alerts)
-    sent = {r.alert_id for r in batch.filter("sent").collect()}
+    store = Store(spark, f"file://{tmp_path}/store")
+    state = State.begin(store, outlets, pages, articles=a, vectors=spark.createDataFrame([], "article_id long, embedding array<float>"), membership=m, clusters=c)
+    log = {r.step: r.status for r in run_cycle(state, items, cluster.at(NOW), hashing_encoder(64), synthesise=lambda s: None).collect()}
+    assert set(log) == {"ingest", "vectorise", "close", "assign", "fuse", "expire", "synthesise", "deliver"} and set(log.values()) == {"done"}
+    assert state.articles.count() == 9 and state.vectors.count() == 9 and state.membership.count() > 0
+    # articles and vectors were only added to
+    assert [x.split("-")[0] for x in store.live("articles")] == ["whole", "part"]
+    # another process goes on from the store
+    later = State(Store(spark, f"file://{tmp_path}/store"), outlets, pages)
+    again = {r.step: r.detail for r in run_cycle(later, items, cluster.at(NOW), hashing_encoder(64), vector_limit=5).collect()}
+    assert again["ingest"] == "0 new" and later.articles.count() == 9
+
+    def broken(rows, key, text):
+        raise RuntimeError("no model")
+
+    failed = {r.step: r.status for r in run_cycle(later, items, cluster.at(NOW), broken).collect()}
+    assert failed["vectorise"] == "failed" and failed["assign"] == failed["deliver"] == "done" and later.vectors.count() == 9
+
+
+def test_throttle(spark, sf):
+    alerts = EngineTables(spark, sf).alerts
+    batch = delivery.throttled(alerts.withColumn("more", F.col("alert_id") + 1))
     last, wanted = {}, set()
-    for r in EngineTables(spark, sf).alerts.orderBy("ts", "alert_id").collect():
+    for r in alerts.orderBy("ts", "alert_id").collect():
         if r.terminal or r.key not in last or r.ts - last[r.key] >= timedelta(minutes=60):
-            last[r.key] = r.ts
+            if r.delivered:
+                last[r.key] = r.ts
             wanted.add(r.alert_id)
-    assert sent == wanted
+    found = batch.collect()
+    assert {r.alert_id for r in found if r.sent} == wanted and len(found) == alerts.count() and all(r.more == r.alert_id + 1 for r in found)
+    # an alert that isn't delivered leaves the next one free to go
+    rows = [(i, "k", NOW + timedelta(minutes=10 * i), False, i > 0) for i in range(4)] + [(9, None, NOW, False, True)]
+    out = delivery.throttled(spark.createDataFrame(rows, "alert_id long, key string, ts timestamp, terminal boolean, delivered boolean"))
+    assert {r.alert_id: r.sent for r in out.collect()} == {0: True, 1: True, 2: False, 3: False, 9: True}
 
 
 def test_stream_of_items(spark, tmp_path):
