@@ -11,10 +11,12 @@ required overlap T). The steps:
    common. Linked classes share one of the first n - T + 1 shingles of each, so the connected components of
    "shares such a shingle" hold every link. These are the neighbourhoods.
 3. In a neighbourhood, DivideSkip finds the links: of the inverted lists of a class's shingles, the short ones
-   are merged through a heap, which leaves the classes that occur often enough; the long ones are only probed by
-   binary search for those. Neighbourhoods beyond a size are cut into blocks that meet pairwise, so that no task
-   holds more than two blocks; small ones share a task.
-4. Only the links that join two trees of a task's forest are returned; the components of these are the result.
+   are merged through a heap (by counting where they are many), which leaves the classes that occur often enough;
+   the long ones are only probed by binary search for those. Neighbourhoods beyond a size are cut into blocks: each
+   block is searched by itself and each two blocks against each other, so that every pair is met once and no task
+   holds more than two blocks; small neighbourhoods share a task.
+4. A task verifies all links. It returns how many documents each class links with, and the links that join two trees
+   of its forest; the components of these are the result.
 
 Every step runs over all rows; buckets, blocks and bins only deal out the work.
 
@@ -40,10 +42,13 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import as_bytes, slices, written
 from mosaiq.operators.components import connected_components
 
-#: Bytes of text whose shingles are handled at once.
+#: Bytes of text whose shingles are handled at once, and texts (their places are 16-bit numbers).
 SLICE = 4 << 20
+ROWS = 60_000
+#: Bytes of text whose shingles meet in one bucket on average.
+BUCKET = 16 << 20
 #: Shingles that one block of a large neighbourhood, or one bin of small ones, holds on average.
-BLOCK = 2_000_000
+BLOCK = 300_000
 BIN = 400_000
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
@@ -110,13 +115,16 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def shared_counts(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and n_shared, at least the number of the text's shingles that other texts have."""
-    spark = docs.sparkSession
-    bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """doc_id, n_shingles and n_shared, at least the number of the text's shingles that other texts have.
+
+    Buckets are as many as the texts' bytes ask for, so that a task's memory doesn't grow with the input."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, (size // BUCKET).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, batch in enumerate(slices(batches, 1, SLICE)):
+        parts = (b.slice(at, ROWS) for b in slices(batches, 1, SLICE) for at in range(0, b.num_rows, ROWS))
+        for seq, batch in enumerate(parts):
             key = part << 32 | seq
             value, place = shingles(as_bytes(batch.column(1)), n)
             counts = np.bincount(place, minlength=batch.num_rows).astype(np.uint32)
@@ -266,23 +274,30 @@ def merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]
     return entries[enough], counts[enough]
 
 
-def links(sizes: np.ndarray, sets_: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links among the sets that span every component: a forest of pairs (i, j) with likeness >= num / den."""
+def links(sizes: np.ndarray, sets_: list[np.ndarray], weights: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of all links among the sets, pairs with likeness >= num / den: a forest (i, j) of their components, and the
+    weight that each set links with. side (0 or 1 for each): only pairs of different sides count."""
     order = np.argsort(sizes, kind="stable")
-    sizes = sizes[order]
+    sizes, weights = sizes[order], weights[order]
     flat = np.concatenate([sets_[i] for i in order]) if len(order) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(order)), [len(sets_[i]) for i in order])
-    _, token, df = np.unique(flat, return_inverse=True, return_counts=True)
-    # inverted lists end to end; each is sorted, as owners ascend
-    lists = owner[np.argsort(token, kind="stable")]
+    many = np.array([len(sets_[i]) for i in order], np.int64)
+    owner = np.repeat(np.arange(len(order)), many)
+    _, token = np.unique(flat, return_inverse=True)
+    # an inverted list for each shingle (and side), end to end; each is sorted, as owners ascend
+    apart = side is not None
+    mine = side[order].astype(np.int64) if apart else np.zeros(len(order), np.int64)
+    place = token * 2 + mine[owner] if apart else token
+    df = np.bincount(place, minlength=2 * len(token) + 2)
+    lists = owner[np.argsort(place, kind="stable")]
     ends = np.cumsum(df)
     begins = ends - df
-    bounds = np.concatenate([[0], np.cumsum([len(sets_[i]) for i in order])])
-    forest, out = Forest(len(order)), []
+    bounds = np.concatenate([[0], np.cumsum(many)])
+    forest, out, linked = Forest(len(order)), [], np.zeros(len(order), np.int64)
     for i in range(len(order)):
         n = int(sizes[i])
         own = token[bounds[i] : bounds[i + 1]]
-        own = own[df[own] > 1]
+        own = own * 2 + 1 - mine[i] if apart else own
+        own = own[df[own] > (0 if apart else 1)]
         need = -(-num * n // den)
         if len(own) < need:
             continue
@@ -293,10 +308,6 @@ def links(sizes: np.ndarray, sets_: list[np.ndarray], num: int, den: int) -> lis
         long = min(need - 1, int(need / (MU * math.log2(max(2, int(df[own[0]]))) + 1)))
         cut = lambda t, lo=least_size, hi=i: lists[begins[t] + np.searchsorted(lists[begins[t] : ends[t]], lo) : begins[t] + np.searchsorted(lists[begins[t] : ends[t]], hi)]
         found, counts = merged([x for t in own[long:] if len(x := cut(t))] or [np.zeros(0, np.int64)], need - long)
-        if len(found):
-            root = forest.find(i)
-            other = np.array([forest.find(int(j)) != root for j in found])
-            found, counts = found[other], counts[other]
         wanted = -((-num * (n + sizes[found])) // (num + den))
         for k in range(long - 1, -1, -1):  # the shorter of the long lists first
             if not len(found):
@@ -307,22 +318,28 @@ def links(sizes: np.ndarray, sets_: list[np.ndarray], num: int, den: int) -> lis
             alive = counts + k >= wanted
             if not alive.all():
                 found, counts, wanted = found[alive], counts[alive], wanted[alive]
-        for j in found[counts >= wanted].tolist():
+        near = found[counts >= wanted]
+        linked[i] += weights[near].sum()
+        linked[near] += weights[i]
+        for j in near.tolist():
             if forest.union(i, j):
                 out.append((int(order[i]), int(order[j])))
-    return out
+    back = np.empty(len(order), np.int64)
+    back[order] = linked
+    return out, back
 
 
 def search(classes: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
-    """u, v: links between classes (class_id, n, hashes) that span the components of all links."""
-    weights = classes.join(near, classes.class_id == near.node).select("class_id", "component", "n", "hashes")
+    """u, v, documents: links between classes (class_id, n, hashes, documents) that span the components of all links
+    (documents null), and of each class how many documents it links with beyond itself (v null; parts to be summed)."""
+    weights = classes.join(near, classes.class_id == near.node).select("class_id", "component", "n", "hashes", "documents")
     sizes = weights.groupBy("component").agg(F.sum("n").alias("weight"))
     bins = 1 + (sizes.filter(F.col("weight") <= BLOCK).agg(F.sum("weight")).first()[0] or 0) // BIN
     blocks = F.ceil(F.col("weight") / BLOCK)
-    # a member of a large neighbourhood goes to each pair of blocks that its own is one of
+    # a member of a large neighbourhood goes to its own block and to each pair of blocks that this is one of
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("long")
     pairs = F.transform(
-        F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("block")),
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda j: F.struct(F.col("component").alias("part"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j")),
     )
     shared = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("part"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
@@ -330,43 +347,71 @@ def search(classes: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame
         weights.join(sizes.withColumn("blocks", blocks), "component")
         .withColumn("block", block)
         .withColumn("to", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(shared)))
-        .select("to.part", "to.i", "to.j", "class_id", "n", "hashes")
+        .select("to.part", "to.i", "to.j", "block", "class_id", "n", "hashes", "documents")
     )
 
     def run(t: pa.Table) -> pa.Table:
-        ids = t["class_id"].to_numpy()
+        ids, i, j = t["class_id"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
         column = t["hashes"].combine_chunks()
         offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-        found = links(t["n"].to_numpy(), [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num, den)
-        return pa.table({"u": pa.array([ids[a] for a, _ in found], pa.int64()), "v": pa.array([ids[b] for _, b in found], pa.int64())})
+        side = (t["block"].to_numpy() == j).astype(np.int64) if i != j else None
+        found, linked = links(t["n"].to_numpy(), [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], t["documents"].to_numpy(), num, den, side)
+        some = np.flatnonzero(linked)
+        none = [None]
+        return pa.table(
+            {
+                "u": pa.array([ids[a] for a, _ in found] + ids[some].tolist(), pa.int64()),
+                "v": pa.array([ids[b] for _, b in found] + none * len(some), pa.int64()),
+                "documents": pa.array(none * len(found) + linked[some].tolist(), pa.int64()),
+            }
+        )
 
-    return dealt.groupBy("part", "i", "j").applyInArrow(run, "u long, v long")
+    return dealt.groupBy("part", "i", "j").applyInArrow(run, "u long, v long, documents long")
 
 
 # --- 4: all of it ---
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links lead to, its own included) of each row."""
+    """doc_id, n_shingles, component_id (the least doc_id that links lead to, its own included) and n_links (the other
+    documents that this one links with, copies among them; of an id with several texts, the sum of theirs) of each row."""
     profile = written(shared_counts(docs, n), "profile")
+    return _components(docs, profile, n, num, den)
+
+
+def _components(docs: DataFrame, profile: DataFrame, n: int, num: int, den: int) -> DataFrame:
     able = profile.filter(f"n_shingles > 0 AND {den} * n_shared >= {num} * n_shingles AND doc_id IS NOT NULL").select("doc_id").distinct()
     # the texts stay where they are: the map of ids picks them, and only sets are joined with the exact ids
     members = written(sets(docs, n, id_bits(able)).join(able, "doc_id", "left_semi"), "sets")
-    by_digest = members.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("hashes").alias("hashes"))
-    classes = written(by_digest.select("digest", "class_id", F.size("hashes").cast("long").alias("n"), "hashes"), "classes")
+    of = written(members.select("doc_id", F.xxhash64("digest").alias("class_id")).distinct(), "of")
+    many = of.groupBy("class_id").agg(F.count("*").alias("documents"))
+    by_digest = members.groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    by_digest = by_digest.select(F.xxhash64("digest").alias("class_id"), F.size("hashes").cast("long").alias("n"), "hashes")
+    classes = written(by_digest.join(many, "class_id"), "classes")
     near = neighbourhoods(classes, num, den)
-    of = members.select("doc_id", "digest").distinct().join(classes.select("digest", "class_id"), "digest").select("doc_id", "class_id")
     # rows of one id with different texts belong together
     split = of.groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v"), F.collect_set("class_id").alias("all")).filter("u <> v")
     same = split.select("u", F.explode("all").alias("v")).filter("u <> v")
-    found = connected_components(search(classes, near, num, den).unionByName(same))
-    joined = of.join(found, of.class_id == found.node, "left").select("doc_id", F.least(F.coalesce("component", "class_id"), "class_id").alias("component_id"))
-    joined = joined.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return profile.join(joined, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = written(search(classes, near, num, den), "links")
+    parts = connected_components(found.filter("v IS NOT NULL").select("u", "v").unionByName(same))
+    others = found.filter("v IS NULL").groupBy(F.col("u").alias("class_id")).agg(F.sum("documents").alias("others"))
+    linked = of.join(many, "class_id").join(others, "class_id", "left").join(parts, of.class_id == parts.node, "left")
+    linked = linked.select("doc_id", F.coalesce("component", "class_id").alias("part"), (F.coalesce("others", F.lit(0)) + F.col("documents") - 1).alias("n_links"))
+    least = linked.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    joined = linked.join(least, "part").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.sum("n_links").alias("n_links"))
+    return profile.join(joined, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but one row of each component: that of the least doc_id (rows without id stay)."""
-    found = components(docs, n, num, den)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without all but one row of each component: the first by text of those of the least doc_id. Rows without id
+    stay."""
+    profile = written(shared_counts(docs, n), "profile")
+    gone = _components(docs, profile, n, num, den).filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = written(profile.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = F.struct(*docs.columns)
+    numbered = kept.join(again, "doc_id", "left_semi").select(first.alias("r"), rows.alias("row")).filter("r = 1").select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(numbered)

@@ -84,7 +84,8 @@ pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOI
 links AS (SELECT u, v FROM pairs p JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * p.n >= 85 * (a.n + b.n - p.n)),
 edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM reach r JOIN edges e ON e.u = r.other)
-SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, coalesce(any_value(many), 0) AS n_links
+FROM reach JOIN sizes USING (doc_id) LEFT JOIN (SELECT u AS doc_id, count(*) AS many FROM edges GROUP BY 1) USING (doc_id) GROUP BY doc_id
 """
 
 ORACLES: dict[str, str] = {

@@ -15,6 +15,7 @@ def shingles(t, n):
 def brute(texts, n, num, den):
     sets = [shingles(t, n) for _, t in texts]
     parent = {d: d for d, _ in texts if d is not None}
+    links = set()  # (document, its set, document): repeated rows count once
 
     def find(x):
         while parent[x] != x:
@@ -22,17 +23,20 @@ def brute(texts, n, num, den):
         return x
 
     for i, (a, _) in enumerate(texts):
-        for j, (b, _) in enumerate(texts[:i]):
-            if a is not None and b is not None and sets[i] and sets[j]:
+        for j, (b, _) in enumerate(texts):
+            if i != j and a is not None and b is not None and sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
                 if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
-    return Counter((d, len(s), None if d is None else find(d)) for (d, _), s in zip(texts, sets, strict=True))
+                    if a != b or sets[i] != sets[j]:
+                        links.add((a, sets[i], b, sets[j]))
+    many = Counter(a for a, *_ in links)
+    return Counter((d, len(s), None if d is None else find(d), many[d]) for (d, _), s in zip(texts, sets, strict=True))
 
 
 def counted(df):
-    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in df.collect())
 
 
 @pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
@@ -51,9 +55,9 @@ def family(rng, size, words, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [300])
+@pytest.mark.parametrize("block", [300, 40])
 def test_families_and_blocks(spark, monkeypatch, block):
-    """Near copies at all distances, with shared passages; once in blocks that meet pairwise."""
+    """Near copies at all distances, with shared passages, in blocks that meet pairwise."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(block)
     passage = " ".join(f"p{i}" for i in range(60))
@@ -64,23 +68,36 @@ def test_families_and_blocks(spark, monkeypatch, block):
     assert counted(ngram_join.components(docs, 4, 85, 100)) == brute(rows, 4, 85, 100)
 
 
+def test_large_batches(spark):
+    """More rows a batch than a place has numbers."""
+    rows = [(i, f"a b c d word{i % 100_000} e f") for i in range(70_000)] + [(100_000 + i, f"some words number{i} that stand in two texts") for i in range(100)]
+    rows += [(200_000 + i, f"some words number{i} that stand in two texts") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        found = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.components(docs).filter("doc_id >= 100000").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == {k * 100_000 + i: (100_000 + i, 1) for k in (1, 2) for i in range(100)}
+
+
 def test_links_merge_and_probe(monkeypatch):
     rng = random.Random(2)
     for heap in (0, 10**9):
         monkeypatch.setattr(ngram_join, "HEAP", heap)
-        for _ in range(60):
+        for case in range(60):
             sets = [np.array(sorted(rng.sample(range(40), rng.randrange(1, 25))), np.int64) for _ in range(25)]
-            found = ngram_join.links(np.array([len(s) for s in sets]), sets, 60, 100)
+            weights = np.array([rng.randrange(1, 5) for _ in sets])
+            side = np.array([rng.randrange(2) for _ in sets]) if case % 2 else None
+            found, linked = ngram_join.links(np.array([len(s) for s in sets]), sets, weights, 60, 100, side)
+            alike = lambda i, j: (side is None or side[i] != side[j]) and 160 * len(set(sets[i]) & set(sets[j])) >= 60 * (len(sets[i]) + len(sets[j]))  # noqa: E731, B023
             forest = ngram_join.Forest(25)
             for i, j in found:
-                both = len(set(sets[i]) & set(sets[j]))
-                assert 100 * both >= 60 * (len(sets[i]) + len(sets[j]) - both)
-                assert forest.union(i, j)
+                assert alike(i, j) and forest.union(i, j)
             for i in range(25):
-                for j in range(i):
-                    both = len(set(sets[i]) & set(sets[j]))
-                    if 100 * both >= 60 * (len(sets[i]) + len(sets[j]) - both):
-                        assert forest.find(i) == forest.find(j)
+                near = [j for j in range(25) if j != i and alike(i, j)]
+                assert linked[i] == weights[near].sum() and all(forest.find(i) == forest.find(j) for j in near)
 
 
 def test_representatives_and_empty(odd, none, clash):
@@ -88,4 +105,7 @@ def test_representatives_and_empty(odd, none, clash):
     assert kept.columns == clash.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(None) == 2
+    # of rows of one id one stays
+    twice = odd.select("doc_id", "text").filter("doc_id = 20")
+    assert ngram_join.representatives(twice.unionByName(twice).unionByName(twice.selectExpr("doc_id", "'other words' AS text"))).count() == 1
     assert ngram_join.components(none).count() == 0 and ngram_join.representatives(none).count() == 0
