@@ -124,8 +124,11 @@ def turns(part: str) -> Iterator[tuple[str, str]]:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """Digests of each conversation, recovered from the output of format_conversations (in its order) alone."""
+def read_back(parts: DataFrame, in_order: bool = False) -> DataFrame:
+    """Digests of each conversation, recovered from the output of format_conversations alone. in_order: the parts are
+    still where format_conversations put them, and needn't be brought together and sorted."""
+    if not in_order:
+        parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = (x for b in batches for x in zip(*[c.to_pylist() for c in b.columns], strict=True))

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.tables import shared_dir, table, written
 
-__all__ = ["WS", "as_bytes", "shared_dir", "slices", "table", "text_or_empty", "written"]
+__all__ = ["WS", "as_bytes", "shared_dir", "slices", "table", "text_or_empty", "unwrapped", "wrapped", "written"]
 
 #: The characters that separate words: space and \\t \\n \\v \\f \\r, also what bytes.split() splits at.
 WS = " \t\n\x0b\x0c\r"
@@ -21,6 +21,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """Columns of these names beside all of docs as one struct, `row`: no name of docs can clash with a working column."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *names)
+
+
+def unwrapped(found: DataFrame, columns: list[str], results: dict[str, Column]) -> DataFrame:
+    """The columns of the struct `row`, results in the place of those of their names, and then the other results."""
+    # first by themselves, so that none takes a column of docs for a working column
+    both = found.select("row", F.struct(*[x.alias(c) for c, x in results.items()]).alias("results"))
+    return both.select(*[F.col("results" if c in results else "row")[c].alias(c) for c in columns], *[F.col("results")[c].alias(c) for c in results if c not in columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the column's bytes would exceed the limit (one long row may)."""
     for batch in batches:

@@ -46,9 +46,9 @@ from mosaiq.operators.components import connected_components
 SLICE = 4 << 20
 ROWS = 60_000
 #: Bytes of text whose shingles meet in one bucket on average.
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 #: Shingles that one block of a large neighbourhood, or one bin of small ones, holds on average.
-BLOCK = 300_000
+BLOCK = 100_000
 BIN = 400_000
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
@@ -119,7 +119,7 @@ def shared_counts(docs: DataFrame, n: int) -> DataFrame:
 
     Buckets are as many as the texts' bytes ask for, so that a task's memory doesn't grow with the input."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, (size // BUCKET).bit_length())
+    bits = max(5, (size // BUCKET).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -1,16 +1,18 @@
 """Personal data: found by pattern, checked, and replaced by format-preserving pseudonyms.
 
-Card numbers (Luhn), social-security-like numbers, telephone numbers, IPv4 addresses and dates are permuted by a
-keyed Feistel network over exactly the values that their format allows, so the pseudonym is a valid value of the
-same format, the same value always gets the same pseudonym, and the key holder can undo it. E-mail addresses,
-which have no finite format, get a keyed token.
+Card numbers (Luhn), bank accounts (IBAN), social-security-like numbers, telephone numbers, IPv4 addresses and dates
+are permuted by a keyed Feistel network over the values that their format allows, so the pseudonym is a valid value
+of the same format, the same value always gets the same pseudonym, and the key holder can undo it. All digits of a
+number but its check digits go through one network, so that numbers that begin alike don't stay alike. Where a format
+has fewer values than the network permutes, it is applied again until it gives one of them. E-mail addresses, which
+have no finite format, get a keyed token.
 
 DataFrame functions only, row by row: no shuffle, no Python.
 
 Defined cases: null text counts as empty; texts of any length are read whole; values that fail their check
 (Luhn, octets, calendar) stay; where matches of two kinds overlap, the one that starts first (then the longer,
 then by the order of KINDS) is replaced; equal rows get equal results; an empty table gives an empty one; extra
-columns pass through `find` and `mask`, whose own columns win over columns of the same names.
+columns pass through `find` and `mask`, whose results replace columns of the same names and no others.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import text_or_empty
+from mosaiq.llm.common import text_or_empty, unwrapped, wrapped
 from mosaiq.llm.spans import located, matches
 
 _DAY = "(?:[12][0-9]|3[01]|[1-9])"
@@ -28,6 +30,7 @@ _MONTH = "(?:January|February|March|April|May|June|July|August|September|October
 #: The patterns.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|(?:[0-9]{4}[ -]?){3}[0-9]{1,7})(?![0-9])",
     # North American with a separator before the last four; international (8 to 15 digits); ten digits alone
     "phone": r"(?<![0-9+])(?:\+?(?:[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}|[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9])",
@@ -44,26 +47,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prf(key: str, kind: str, i: int, value: Column, modulus: int) -> Column:
+def prf(key: str, kind: str, i: int, value: Column, modulus: Column) -> Column:
     """A keyed pseudo-random number in [0, modulus): 60 bits of SHA-256."""
     digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|{i}|"), value.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(modulus)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % modulus
 
 
-def feistel(value: Column, a: int, b: int, key: str, kind: str, undo: bool = False) -> Column:
-    """A keyed permutation of the numbers below a * b: halves below a and b are shifted in turn by functions of each other."""
+def halves(l: Column, r: Column, a: Column, b: Column, key: str, kind: str, undo: bool = False) -> Column:
+    """struct(l, r): a keyed permutation of the pairs l < a and r < b, which are shifted in turn by functions of each other."""
     sign = -1 if undo else 1
+    state = F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"))
+    left = lambda i: lambda s: F.struct(F.pmod(s["l"] + sign * prf(key, kind, i, s["r"], a), a).alias("l"), s["r"].alias("r"))
+    right = lambda i: lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + sign * prf(key, kind, i, s["l"], b), b).alias("r"))
+    for i in reversed(range(ROUNDS)) if undo else range(ROUNDS):
+        state = let(state, right(i) if i % 2 else left(i))
+    return state
 
-    def left(i: int) -> Callable[[Column], Column]:
-        return lambda s: F.struct(F.pmod(s["l"] + sign * prf(key, kind, i, s["r"], a), F.lit(a)).alias("l"), s["r"].alias("r"))
 
-    def right(i: int) -> Callable[[Column], Column]:
-        return lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + sign * prf(key, kind, i, s["l"], b), F.lit(b)).alias("r"))
+def feistel(value: Column, a: int, b: int, key: str, kind: str, undo: bool = False) -> Column:
+    """A keyed permutation of the numbers below a * b."""
+    x, y = F.lit(a).cast("long"), F.lit(b).cast("long")
+    return let(halves(F.floor(value / y), value % y, x, y, key, kind, undo), lambda s: s["l"] * y + s["r"])
 
-    state = F.struct(F.floor(value / F.lit(b)).cast("long").alias("l"), (value % F.lit(b)).cast("long").alias("r"))
-    for i in reversed(range(ROUNDS)) if undo else range(ROUNDS):
-        state = let(state, right(i) if i % 2 else left(i))
-    return let(state, lambda s: s["l"] * F.lit(b) + s["r"])
+
+def shuffled(digits: Column, key: str, kind: str, undo: bool = False) -> Column:
+    """A keyed permutation of the digit strings of each length, up to 36."""
+
+    def of(n: Column) -> Column:
+        half = F.ceil(n / 2).cast("int")
+        power = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        keyed = halves(F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n - half), power(half), power(n - half), key, kind, undo)
+        return let(keyed, lambda s: F.concat(_padded(s["l"], half), _padded(s["r"], n - half)))
+
+    return F.when(F.length(digits) < 2, digits).otherwise(let(F.length(digits), of))
 
 
 def _digits(text: Column) -> Column:
@@ -102,19 +118,30 @@ def _padded(number: Column, width: Column | int) -> Column:
 
 
 def _card(v: Column, key: str, undo: bool) -> Column:
-    """All digits but the last are permuted, in two blocks of at most nine; the last is the new check digit."""
+    """All digits but the last are permuted together; the last is the new check digit."""
+    body = lambda d: shuffled(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", undo)
+    checked = lambda b: F.concat(b, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))
+    return let(_digits(v), lambda d: _refill(v, let(body(d), checked)))
 
-    def of(d: Column) -> Column:
-        head, tail = F.substring(d, F.lit(1), F.length(d) - 9), F.substring(d, F.length(d) - 8, F.lit(8))
-        # the tail of 8 digits is permuted under a key that depends on nothing else, then the head likewise
-        new_tail = _padded(feistel(tail.cast("long"), 10**4, 10**4, key, "card-tail", undo), 8)
-        new_head = F.lit(None).cast("string")
-        for n in range(4, 11):
-            a, b = 10 ** ((n + 1) // 2), 10 ** (n // 2)
-            new_head = F.when(F.length(head) == n, _padded(feistel(head.cast("long"), a, b, key, f"card-{n}", undo), n)).otherwise(new_head)
-        return let(F.concat(new_head, new_tail), lambda body: F.concat(body, F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
 
-    return let(_digits(v), lambda d: _refill(v, of(d)))
+def mod97(account: Column) -> Column:
+    """The remainder by 97 of an account's letters and digits (letters as numbers from 10), its first four moved to the end."""
+    moved = F.concat(F.substring(account, F.lit(5), F.length(account) - 4), F.substring(account, 1, 4))
+    number = F.transform(F.filter(F.split(moved, ""), lambda c: c != ""), lambda c: F.conv(c, 36, 10).cast("long"))
+    return F.aggregate(number, F.lit(0).cast("long"), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
+
+
+def _iban(v: Column, key: str, undo: bool) -> Column:
+    """Country and letters stay; the digits after the check digits are permuted together, and these follow."""
+    plain = F.replace(v, F.lit(" "), F.lit(""))
+
+    def of(p: Column) -> Column:
+        rest = F.substring(p, F.lit(5), F.length(p) - 4)
+        new = _refill(rest, shuffled(_digits(rest), key, "iban", undo))
+        check = lambda r: _padded(98 - mod97(F.concat(F.substring(p, 1, 2), F.lit("00"), r)), 2)
+        return let(new, lambda r: F.concat(check(r), _digits(r)))
+
+    return _refill(v, let(plain, of))
 
 
 def _ssn(v: Column, key: str, undo: bool) -> Column:
@@ -176,8 +203,11 @@ def _ip(v: Column, key: str, undo: bool) -> Column:
     return let(F.split(v, r"\."), of)
 
 
-#: Dates from 1900-01-01 on, 270 * 270 days: to 2099-08-04.
-DAYS = 270
+#: Dates from 1900-01-01 to 2099-12-31, and a network of few more values.
+DAYS = 73_049
+_A, _B = 271, 270
+#: Steps after which a walk is back: there are fewer values that are none, and of late days more than half are.
+WALK = 160
 
 
 #: Ways to write a date: of which texts, and Spark's format. With slashes the month is first where it can be.
@@ -202,47 +232,49 @@ def _day(v: Column) -> Column:
 
 
 def _date(v: Column, key: str, undo: bool) -> Column:
-    """Days are permuted. Where the day is first because it is above 12, the permutation goes on to the next such day
-    (six in ten are: after 64 steps none is left)."""
+    """Days are permuted, again until the value is a day of the range, and where the day is first because it is above 12
+    until it is such a day."""
     date = lambda n: F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int"))
-    step = lambda n: feistel(n, DAYS, DAYS, key, "date", undo)
-    late = F.aggregate(
-        F.sequence(F.lit(1), F.lit(64)),
-        step(_day(v)),
-        lambda n, _: F.when(F.dayofmonth(date(n)) > 12, n).otherwise(step(n)),
-    )
-    n = F.when(v.rlike("^(?:1[3-9]|[23][0-9])/"), late).otherwise(step(_day(v)))
-    return let(n, lambda x: _by_format(v, lambda form: F.date_format(date(x), form)))
+    step = lambda n: feistel(n, _A, _B, key, "date", undo)
+
+    def walked(day: Column) -> Column:
+        late = v.rlike("^(?:1[3-9]|[23][0-9])/")
+        good = lambda n: (n < DAYS) & (~late | (F.dayofmonth(date(n)) > 12))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(day), lambda n, _: F.when(good(n), n).otherwise(step(n)))
+
+    return let(let(_day(v), walked), lambda x: _by_format(v, lambda form: F.date_format(date(x), form)))
 
 
 def _email(v: Column, key: str, undo: bool) -> Column:
     return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(v)), 256), 1, 16), F.lit("@example.invalid"))
 
 
-PSEUDONYMS: dict[str, Callable[[Column, str, bool], Column]] = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
+PSEUDONYMS: dict[str, Callable[[Column, str, bool], Column]] = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
 
 
 def valid(kind: str, v: Column) -> Column:
     if kind == "card":
         return let(_digits(v), lambda d: F.length(d).between(13, 19) & (luhn(d) % 10 == 0))
+    if kind == "iban":
+        return let(F.replace(v, F.lit(" "), F.lit("")), lambda p: F.length(p).between(15, 34) & (mod97(p) == 1))
     if kind == "ssn":
         return ~v.rlike("^(000|666|9)|^...-00|-0000$")
     if kind == "ip":
         return F.forall(F.split(v, r"\."), lambda x: (x.cast("int") < 256) & ((F.length(x) == 1) | ~x.startswith("0")))
     if kind == "date":
-        return F.coalesce(_day(v).between(0, DAYS * DAYS - 1), F.lit(False))
+        return F.coalesce(_day(v).between(0, DAYS - 1), F.lit(False))
     return F.lit(True)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs and `entities`: array of (start, end, kind as a number into KINDS, value), valid, in order, without overlaps."""
+def _entities(docs: DataFrame) -> DataFrame:
+    """docs as one struct beside the text and its entities."""
     text = text_or_empty()
-    found = docs.withColumns({f"_m_{k}": matches(text, p) for k, p in PATTERNS.items()})
-    placed = found.withColumns({f"_s_{k}": located(text, F.col(f"_m_{k}"), p) for k, p in PATTERNS.items()})
+    found = wrapped(docs, "text").withColumns({f"m_{k}": matches(text, p) for k, p in PATTERNS.items()})
+    placed = found.withColumns({f"s_{k}": located(text, F.col(f"m_{k}"), p) for k, p in PATTERNS.items()})
 
     def tagged(i: int, kind: str) -> Column:
         entity = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), F.lit(i).alias("kind"), s["value"].alias("value"))
-        return F.when(F.size(f"_s_{kind}") > 0, F.transform(F.filter(f"_s_{kind}", lambda s: valid(kind, s["value"])), entity)).otherwise(
+        return F.when(F.size(f"s_{kind}") > 0, F.transform(F.filter(f"s_{kind}", lambda s: valid(kind, s["value"])), entity)).otherwise(
             F.array().cast("array<struct<start:int,neg_end:int,kind:int,value:string>>")
         )
 
@@ -257,7 +289,12 @@ def find(docs: DataFrame) -> DataFrame:
         ).otherwise(s),
         lambda s: s["out"],
     )
-    return placed.withColumn("entities", kept).drop(*[f"_{x}_{k}" for x in "ms" for k in KINDS])
+    return placed.select("row", "text", kept.alias("entities"))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """docs and `entities`: array of (start, end, kind as a number into KINDS, value), valid, in order, without overlaps."""
+    return unwrapped(_entities(docs), docs.columns, {"entities": F.col("entities")})
 
 
 def pseudonym(kind: Column, value: Column, key: str, undo: bool = False) -> Column:
@@ -270,8 +307,7 @@ def pseudonym(kind: Column, value: Column, key: str, undo: bool = False) -> Colu
 def mask(docs: DataFrame, key: str) -> DataFrame:
     """docs with entities (as of find) and masked_text, in which each entity is its pseudonym."""
     text = text_or_empty()
-    found = find(docs)
-    renamed = found.withColumn("_new", F.transform("entities", lambda e: pseudonym(e["kind"], e["value"], key)))
+    found = _entities(docs).withColumn("new", F.transform("entities", lambda e: pseudonym(e["kind"], e["value"], key)))
     # pieces of the text between the entities, and the pseudonyms between the pieces
     n = F.size("entities")
     piece = lambda i: F.substring(
@@ -279,5 +315,5 @@ def mask(docs: DataFrame, key: str) -> DataFrame:
         F.when(i > 0, F.get(F.col("entities"), i - 1)["end"]).otherwise(0) + 1,
         F.when(i < n, F.get(F.col("entities"), i)["start"]).otherwise(F.length(text)) - F.when(i > 0, F.get(F.col("entities"), i - 1)["end"]).otherwise(0),
     )
-    joined = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(piece(i), F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
-    return renamed.withColumn("masked_text", F.when(n > 0, joined).otherwise(text)).drop("_new")
+    joined = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(piece(i), F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
+    return unwrapped(found, docs.columns, {"entities": F.col("entities"), "masked_text": F.when(n > 0, joined).otherwise(text)})

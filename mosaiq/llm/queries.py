@@ -52,8 +52,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.as_string(a).alias("fingerprint"),
         fingerprints.as_string(b).alias("edited_fingerprint"),
-        fingerprints.likeness(a, b).alias("near_edited"),
-        fingerprints.likeness(a, F.col("next_sketch")).alias("near_next"),
+        # without a hash to compare, nothing speaks for likeness
+        F.coalesce(fingerprints.likeness(a, b), F.lit(0.0)).alias("near_edited"),
+        F.coalesce(fingerprints.likeness(a, F.col("next_sketch")), F.lit(0.0)).alias("near_next"),
         fingerprints.containment(a, b).alias("contained_in_edited"),
     )
 
@@ -66,7 +67,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)), in_order=True)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +101,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    rows = sharding.assign(rows, "doc_id", [1.0] * 24)
-    rows = sharding.assign(rows, "doc_id", [1.0] * 25, into="grown_shard")
+    rows = sharding.assign(rows, "doc_id", [1.0] * 24, more=[1.0])
     keys = sharding.assign(docs.select("doc_id"), "doc_id", [1.0] * 24)
     out = sharding.number(rows, keys, "doc_id", ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -1,19 +1,25 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens that no pattern names.
 
 Base kinds: assign (a value given to a password-like name), access (access-key ids), hex (long lower-case hex
-runs). The battery takes runs of 20 or more key-like characters, infers the encoding of each (hex, base32,
-base36, base64) from the characters it uses, and tests that its symbols are uniform (chi-squared), that the runs
-above and below the middle symbol are as many as chance gives, and that neighbours don't correlate. A token's
-three p-values combine by Bonferroni. Within each text the tokens are screened by a weighted Benjamini-Hochberg
-procedure, in which tokens shorter than the text's median, whose tests have less power, carry less of the level and
-no token carries more than the level: the tokens for which randomness is rejected are structured and dropped, the
-others are reported as kind random.
-
-All of it is DataFrame functions, row by row: no shuffle, no Python.
+runs). The battery takes runs of 20 or more key-like characters, infers the encoding of each from the characters it
+uses, and measures three things: the chi-squared statistic of its symbols against a uniform alphabet, the runs of
+characters of one class (lower case, capitals, digits, others; vowels and others where there is one class), and the
+serial correlation of its symbols. A random token is uniform, changes class as often as chance has it, and doesn't
+correlate. A token that is no secret is taken to be structured at least as much as set in ENCODINGS; its p-value is
+the chance that a token so structured comes out as random as it does, from the three together. It falls with the
+length, and short tokens, which chance may make look random, don't get small ones. A token whose uniformity, runs or
+correlation is out of what randomness gives is structured whatever the rest.
+
+Which p-values are small enough is decided over the whole corpus: the Benjamini-Hochberg procedure on the counts of
+p-values by steps keeps the share of structured tokens among the reported ones below `level`. Those are reported as
+kind random.
+
+All of it is DataFrame functions, row by row but for one aggregate of a fixed number of counts: no shuffle of texts,
+no Python.
 
 Defined cases: null text counts as empty and has no spans; texts of any length are read whole; equal rows give
 equal results; an empty table gives an empty one; `scan` passes extra columns on, and its results replace
-columns of the same names.
+columns of the same names; `redact` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import text_or_empty
+from mosaiq.llm.common import text_or_empty, unwrapped, wrapped
 from mosaiq.llm.spans import SPAN, located, matches
 
 #: The patterns of the base kinds. Failing matches are dropped after matching, but for hex, whose
@@ -33,20 +39,44 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: name, what a token of it looks like, alphabet, least length: shorter tokens give the tests too little power.
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """like: what a token of it looks like. excess: by how much at least a structured token's sum of squared shares of
+    symbols, times the size of the alphabet, is above 1. mixed: it has several classes of characters; where it has
+    one, words change between vowels and others as often as chance does, and only uniformity tells them apart."""
+
+    name: str
+    like: str
+    alphabet: str
+    excess: float
+    mixed: bool = True
+
+
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: The first that fits. Case is one case where a token has but one.
 ENCODINGS = (
-    ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789abcdef", 32),
-    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
-    ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$|^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
-    ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
+    Encoding("hex", "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789abcdef", 0.7),
+    Encoding("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _LOWER + "234567", 0.8),
+    Encoding("base36", "^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$|^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", _DIGITS + _LOWER, 0.8),
+    Encoding("base26", "^[a-z]+$|^[A-Z]+$", _LOWER, 0.4, mixed=False),
+    Encoding("base52", "^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+$", _UPPER + _LOWER, 1.0),
+    Encoding("base62", "^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS, 1.0),
+    Encoding("base64", "^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", _UPPER + _LOWER + _DIGITS + "+/", 1.0),
 )
 
 
 @dataclass(frozen=True)
 class Battery:
-    """level: of the false-discovery control, by which structured tokens are told from random ones."""
+    """level: share of structured tokens among the reported ones. change: how often at most neighbours in a structured
+    token are of different classes, as a share of what chance would have. correlation: of the neighbours of a
+    structured token at least. random: a token that is random by none of the tests at this level is structured."""
 
     level: float = 0.05
+    change: float = 0.65
+    correlation: float = 0.25
+    random: float = 0.002
 
 
 def normal_tail(z: Column) -> Column:
@@ -69,119 +99,134 @@ def _pairs(values: Column, f: Callable[[Column, Column], Column]) -> Column:
     return _sum(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), f))
 
 
-def uniformity(codes: Column, k: int) -> Column:
-    """Chi-squared over the alphabet, with Wilson and Hilferty's cube root."""
+def chi_squared(codes: Column, k: int) -> Column:
     n = F.size(codes).cast("double")
     squares = _sum(F.transform(F.array_distinct(codes), lambda x: F.pow(F.size(F.filter(codes, lambda y: y == x)).cast("double"), F.lit(2.0))))
-    df = float(k - 1)
-    chi2 = F.greatest(F.lit(float(k)) / n * squares - n, F.lit(0.0))
-    return normal_tail((F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+    return F.greatest(F.lit(float(k)) / n * squares - n, F.lit(0.0))
 
 
-def runs(codes: Column, k: int) -> Column:
-    """Runs above and below the middle of the alphabet, two-sided."""
+def uniformity(chi2: Column, n: Column, k: int, excess: float) -> Column:
+    """struct(random, structured): z of the statistic in a random token (Wilson and Hilferty), and in a structured one
+    (normal, the statistic's mean and variance shifted by the excess; the sign turned, so that random tokens are high)."""
+    df = float(k - 1)
+    random = (F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    return F.struct(random.alias("random"), ((df + n * excess - chi2) / F.sqrt(2 * (df + 2 * n * excess))).alias("structured"))
 
-    def of(high: Column) -> Column:
-        n, n1 = F.size(high).cast("double"), _sum(high)
-        count = 1 + _pairs(high, lambda a, b: F.abs(a - b))
 
-        def p(mean: Column) -> Column:
-            var = (mean - 1) * (mean - 2) / (n - 1)
-            return F.when(var > 0, 2 * normal_tail(F.abs(count - mean) / F.sqrt(var))).otherwise(0.0)
+def runs(classes: Column, change: float) -> Column:
+    """struct(random, structured) of the number of neighbours of different classes."""
+    n = F.size(classes).cast("double")
+    seen = _pairs(classes, lambda a, b: (a != b).cast("double"))
+    many = F.transform(F.array_distinct(classes), lambda x: F.size(F.filter(classes, lambda y: y == x)).cast("double"))
 
-        return let(2 * (n - n1) * n1 / n + 1, p)
+    def of(expected: Column) -> Column:
+        sd = F.sqrt(F.greatest(expected * (1 - expected / n), F.lit(1e-9)))
+        return F.struct(((seen - expected) / sd).alias("random"), ((seen - change * expected) / F.sqrt(F.greatest(change * expected * (1 - change * expected / n), F.lit(1e-9)))).alias("structured"))
 
-    return let(F.transform(codes, lambda x: (x >= k / 2).cast("double")), of)
+    # changes among n symbols in random order, given how many are of each class
+    return let(many, lambda m: let(n - _sum(F.transform(m, lambda x: x * x)) / n, of))
 
 
-def correlation(codes: Column) -> Column:
-    """Serial correlation of neighbours, two-sided."""
+def correlation(codes: Column, least: float) -> Column:
+    """struct(random, structured) of the correlation of neighbours."""
 
     def of(off: Column) -> Column:
         joint = _pairs(off, lambda a, b: a * b)
-        z = lambda square: F.when(square > 0, 2 * normal_tail(F.abs(joint / square) * F.sqrt(F.size(off)))).otherwise(0.0)
+        root = F.sqrt(F.size(off).cast("double"))
+        z = lambda square: let(F.when(square > 0, joint / square).otherwise(1.0), lambda r: F.struct((r * root).alias("random"), ((least - F.abs(r)) * root).alias("structured")))
         return let(_sum(F.transform(off, lambda x: x * x)), z)
 
     return let(_sum(codes) / F.size(codes), lambda centre: let(F.transform(codes, lambda x: x - centre), of))
 
 
-def _tested(token: Column) -> Column:
-    """A token's combined p-value, or null where no encoding fits it."""
+def _classes(token: Column) -> Column:
+    """The class of each character; of letters of one case alone, vowels and others."""
+    one = token.rlike("^(?:[a-z]+|[A-Z]+)$")
+    plain = F.when(one, F.translate(F.lower(token), "aeiou" + "bcdfghjklmnpqrstvwxyz", "a" * 5 + "0" * 21)).otherwise(
+        F.translate(token, _LOWER + _UPPER + _DIGITS + "+/_-", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
+    )
+    return F.filter(F.split(plain, ""), lambda c: c != "")
+
+
+def _tested(token: Column, battery: Battery) -> Column:
+    """A token's p-value as a structured one; null where no encoding fits it."""
 
-    def combined(alphabet: str) -> Column:
-        plain = F.translate(token, "-_", "+/") if "/" in alphabet else F.lower(token) if alphabet[-1] in "fz" else token
-        codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.position(c, F.lit(alphabet)) - 1).cast("double"))
-        k = len(alphabet)
-        return let(codes, lambda c: F.least(F.lit(1.0), 3 * F.least(uniformity(c, k), runs(c, k), correlation(c))))
+    def combined(e: Encoding) -> Column:
+        plain = F.translate(token, "-_", "+/") if "/" in e.alphabet else token if "A" in e.alphabet else F.lower(token)
+        codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.position(c, F.lit(e.alphabet)) - 1).cast("double"))
+        k = len(e.alphabet)
+
+        def together(t: Column) -> Column:
+            parts = [t["uniform"], t["runs"], t["serial"]] if e.mixed else [t["uniform"]]
+            # uniform and correlated neighbours count on one side: too even a token is no structured one
+            out = [normal_tail(t["uniform"]["random"]), 2 * normal_tail(F.abs(t["runs"]["random"])), 2 * normal_tail(F.abs(t["serial"]["random"]))]
+            z = sum((x["structured"] for x in parts[1:]), parts[0]["structured"]) / len(parts) ** 0.5
+            return F.when(F.least(*out) < battery.random, F.lit(1.0)).otherwise(normal_tail(z))
+
+        stats = lambda c: F.struct(
+            uniformity(chi_squared(c, k), F.size(c).cast("double"), k, e.excess).alias("uniform"), runs(_classes(token), battery.change).alias("runs"), correlation(c, battery.correlation).alias("serial")
+        )
+        return let(codes, lambda c: let(stats(c), together))
 
     out = F.when(F.lit(False), F.lit(None).cast("double"))
-    for _, like, alphabet, least in ENCODINGS:
-        out = out.when(token.rlike(like) & (F.length(token) >= least), combined(alphabet))
+    for e in ENCODINGS:
+        out = out.when(token.rlike(e.like), combined(e))
     return out
 
 
-def tested(spans: Column) -> Column:
+def tested(spans: Column, battery: Battery = Battery()) -> Column:
     """Those of the spans (SPAN) that some encoding fits, with their p-values."""
     return F.filter(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _tested(s["value"]).alias("p"))),
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _tested(s["value"], battery).alias("p"))),
         lambda s: s["p"].isNotNull(),
     )
 
 
-def _decided(tested: Column, battery: Battery) -> Column:
-    """Those that pass as random under the weighted false-discovery control of their text."""
-    m = F.size(tested).cast("double")
-    lengths = F.array_sort(F.transform(tested, lambda s: F.length(s["value"])))
-    median = F.get(lengths, F.floor((F.size(lengths) - 1) / 2).cast("int"))
-    # weights of at most 1: long tokens among short ones must not lose more than the level
-    weighted = let(median, lambda middle: F.transform(tested, lambda s: s["p"] * F.greatest(F.lit(1.0), middle / F.length(s["value"]))))
+def _tokens(text: Column, battery: Battery) -> Column:
+    """The tested tokens of a text, with their places."""
 
-    def chosen(values: Column) -> Column:
-        steps = F.transform(F.array_sort(values), lambda v, i: F.when(v <= battery.level * (i + 1) / m, v))
-        limit = F.coalesce(F.array_max(steps), F.lit(-1.0))
-        return let(limit, lambda most: F.filter(tested, lambda s, i: F.get(values, i) > most))
+    def of(found: Column) -> Column:
+        fresh = F.filter(located(text, found, TOKEN), lambda s: ~s["value"].rlike("^[0-9a-f]{32,}$"))
+        return F.when(F.size(found) > 0, tested(fresh, battery))
 
-    return let(weighted, chosen)
+    return F.coalesce(let(matches(text, TOKEN), of), F.array().cast("array<struct<start:int,end:int,value:string,p:double>>"))
 
 
-def scan(docs: DataFrame, battery: Battery = Battery()) -> DataFrame:
-    """docs (with text) and assign_spans, access_spans, hex_spans, random_spans (start, end, value)."""
+#: p-values are counted by steps: 1, 1/2, 1/4, and so on.
+STEPS = 40
+
+
+def limit(docs: DataFrame, battery: Battery = Battery(), text: str = "text") -> float:
+    """The greatest step at or below which p-values are reported: that at which level times the reported tokens is at
+    least what structured ones would give there, the step times all tokens. -1 if there is none.
+
+    The driver gets one row of STEPS counts, whatever the input."""
+    values = F.transform(_tokens(text_or_empty(text), battery), lambda s: s["p"])
+    each = docs.select(F.explode(values).alias("p"))
+    row = each.agg(F.count("*").alias("m"), *[F.count_if(F.col("p") <= 2.0**-i).alias(f"n{i}") for i in range(STEPS)]).first()
+    return next((2.0**-i for i in range(STEPS) if row[f"n{i}"] and 2.0**-i * row["m"] <= battery.level * row[f"n{i}"]), -1.0)
+
+
+SPANS = ("assign_spans", "access_spans", "hex_spans", "random_spans")
+
+
+def _scanned(docs: DataFrame, battery: Battery) -> tuple[DataFrame, dict[str, Column]]:
+    """docs as one struct beside working columns, and the results over these."""
+    most = limit(docs.select("text"), battery)
     text = text_or_empty()
-    found = docs.withColumns(
-        {
-            "_assign": matches(text, ASSIGN),
-            "_access": matches(text, ACCESS),
-            "_hex": matches(text, HEX),
-            "_token": matches(text, TOKEN),
-        }
-    )
+    found = wrapped(docs, "text").withColumns({"assign": matches(text, ASSIGN), "access": matches(text, ACCESS), "hex": matches(text, HEX), "tokens": _tokens(text, battery)})
     # group 2 of each assignment decides; extracted only where there is one
-    values = F.when(F.size("_assign") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
-    placed = found.withColumns(
-        {
-            "_assign_at": located(text, F.col("_assign"), ASSIGN),
-            "_values": values,
-            "access_spans": F.filter(located(text, F.col("_access"), ACCESS), lambda s: F.length(s["value"]) >= 16),
-            "hex_spans": located(text, F.col("_hex"), HEX),
-            # most long runs are words: place only where some token looks like a key
-            "_token_at": F.when(
-                F.exists("_token", lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")), located(text, F.col("_token"), TOKEN)
-            ).otherwise(F.array().cast(SPAN)),
-        }
-    )
-    assign = F.filter("_assign_at", lambda s: s["value"].isNotNull())
-    placed = placed.withColumn(
-        "assign_spans",
-        F.when(
-            F.size("_assign") > 0,
-            F.filter(assign, lambda s, i: F.length(F.get(F.col("_values"), i)) >= 8),
-        ).otherwise(F.array().cast(SPAN)),
-    )
-    fresh = F.filter("_token_at", lambda s: ~s["value"].rlike("^[0-9a-f]{32,}$"))
-    judged = placed.withColumn("_tested", F.when(F.size("_token_at") > 0, tested(fresh)))
-    kept = F.transform(_decided(F.col("_tested"), battery), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    out = judged.withColumn("random_spans", F.when(F.size("_tested") > 0, kept).otherwise(F.array().cast(SPAN)))
-    return out.drop("_assign", "_access", "_hex", "_token", "_assign_at", "_values", "_token_at", "_tested")
+    values = F.when(F.size("assign") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
+    placed = found.withColumns({"assign_at": located(text, F.col("assign"), ASSIGN), "values": values, "access_at": located(text, F.col("access"), ACCESS), "hex_at": located(text, F.col("hex"), HEX)})
+    assign = F.when(F.size("assign") > 0, F.filter("assign_at", lambda s, i: F.length(F.get(F.col("values"), i)) >= 8)).otherwise(F.array().cast(SPAN))
+    random = F.transform(F.filter("tokens", lambda s: s["p"] <= most), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return placed, dict(zip(SPANS, (assign, F.filter("access_at", lambda s: F.length(s["value"]) >= 16), F.col("hex_at"), random), strict=True))
+
+
+def scan(docs: DataFrame, battery: Battery = Battery()) -> DataFrame:
+    """docs (with text) and assign_spans, access_spans, hex_spans, random_spans (start, end, value)."""
+    found, results = _scanned(docs, battery)
+    return unwrapped(found, docs.columns, results)
 
 
 KINDS = ("assign", "access", "hex", "random")
@@ -197,11 +242,11 @@ def span_list(kinds: tuple[str, ...] = KINDS) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]", battery: Battery = Battery()) -> DataFrame:
     """docs with every span of a secret replaced by the mark (overlapping spans by one); n_chars follows."""
-    found = scan(docs.select("*"), battery)
-    every = F.array_sort(F.concat(*[F.transform(f"{k}_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    found, results = _scanned(docs, battery)
+    every = F.array_sort(F.concat(*[F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for x in results.values()]))
     text = text_or_empty()
     walked = F.aggregate(
-        every,
+        "every",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
@@ -209,7 +254,9 @@ def redact(docs: DataFrame, mark: str = "[secret]", battery: Battery = Battery()
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = found.withColumn("_every", F.size(every)).withColumn("text", F.when(F.col("_every") > 0, walked).otherwise(F.col("text")))
+    some = F.size("every") > 0
+    clean = found.select("row", "text", every.alias("every")).select("row", some.alias("some"), F.when(some, walked).otherwise(F.col("text")).alias("clean"))
+    results = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_every") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        results["n_chars"] = F.when(F.col("some"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return unwrapped(clean, docs.columns, results)

@@ -73,5 +73,8 @@ def test_odd_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert found(df.selectExpr("*", "1 AS part", "'x' AS loss")) == digests(rows)
     parts = chat.format_conversations(df).filter("conv_id = 3").collect()
+    # parts that were stored and come back in any order
+    mixed = chat.format_conversations(df).repartition(7, "part")
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(mixed).collect()} == digests(rows)
     assert len(parts) > 3 and max(len(p.text) for p in parts) < 2 * chat.PART
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0

@@ -1,9 +1,12 @@
 import datetime
+import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from mosaiq.llm import pii
+from mosaiq.llm.queries import PII_KEY, op2_pii
 
 
 def luhn_ok(d):
@@ -14,6 +17,11 @@ def luhn_ok(d):
     return s % 10 == 0
 
 
+def iban_ok(v):
+    p = v.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in p[4:] + p[:4])) % 97 == 1
+
+
 def card(rng, n=16):
     body = "".join(rng.choice("0123456789") for _ in range(n - 1))
     return next(body + c for c in "0123456789" if luhn_ok(body + c))
@@ -30,7 +38,7 @@ def test_formats_links_and_undo(spark):
     rng = random.Random(1)
     values = [("card", card(rng, n)) for n in (13, 14, 15, 16, 17, 18, 19)]
     c = card(rng)
-    values += [("card", f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}"), ("phone", "+1 (017) 555-7713"), ("phone", "212-555-0199"), ("ssn", "123-45-6789"), ("ssn", "899-99-9999"), ("ip", "97.51.17.173"), ("ip", "0.0.0.0"), ("date", "1987-02-28"), ("date", "1900-01-01"), ("date", "2099-08-04")]
+    values += [("card", f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}"), ("phone", "+1 (017) 555-7713"), ("phone", "212-555-0199"), ("ssn", "123-45-6789"), ("ssn", "899-99-9999"), ("ip", "97.51.17.173"), ("ip", "0.0.0.0"), ("date", "1987-02-28"), ("date", "1900-01-01"), ("date", "2099-08-04"), ("date", "2099-12-31"), ("date", "2099-08-05"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("iban", "FR1420041010050500013M02606")]
     df = spark.createDataFrame([(pii.KINDS.index(k), v) for k, v in values], "kind int, v string")
     out = df.withColumn("p", pii.pseudonym(F.col("kind"), F.col("v"), "key")).withColumn("back", pii.pseudonym(F.col("kind"), F.col("p"), "key", undo=True))
     out = out.withColumn("other", pii.pseudonym(F.col("kind"), F.col("v"), "key2")).collect()
@@ -41,6 +49,8 @@ def test_formats_links_and_undo(spark):
             assert [c.isdigit() for c in r.p] == [c.isdigit() for c in r.v]
         if kind == "card":
             assert luhn_ok("".join(c for c in r.p if c.isdigit()))
+        if kind == "iban":
+            assert iban_ok(r.p) and r.p[:2] == r.v[:2] and [c for c in r.p if not c.isdigit()] == [c for c in r.v if not c.isdigit()]
         if kind == "date":
             datetime.date.fromisoformat(r.p)
         if kind == "ssn":
@@ -49,6 +59,151 @@ def test_formats_links_and_undo(spark):
             assert all(0 <= int(x) < 256 for x in r.p.split("."))
 
 
+def test_numbers_that_begin_alike(spark):
+    rng = random.Random(4)
+    head = "453201"
+    cards = [next(b + c for c in "0123456789" if luhn_ok(b + c)) for b in (head + "".join(rng.choices("0123456789", k=9)) for _ in range(40))]
+    out = spark.createDataFrame([(c,) for c in cards], "v string").select(pii.pseudonym(F.lit(pii.KINDS.index("card")), F.col("v"), "key").alias("p")).collect()
+    assert len({r.p[:6] for r in out}) > 35 and len({r.p[-5:-1] for r in out}) > 35
+
+
+def test_every_day_is_permuted(spark):
+    """The whole range of dates, in two ways of writing: each pseudonym is a date of the range, written alike, and no two are the same."""
+    days = spark.range(pii.DAYS).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for form, what in (("yyyy-MM-dd", F.lit(True)), ("dd/MM/yyyy", F.dayofmonth("d") > 12)):
+        df = days.filter(what).select(F.date_format("d", form).alias("v")).repartition(8).select("v", pii.pseudonym(F.lit(pii.KINDS.index("date")), F.col("v"), "key").alias("p"))
+        r = df.agg(F.count("*").alias("n"), F.count_distinct("p").alias("m"), F.count_if(F.try_to_timestamp("p", F.lit(form)).isNull()).alias("bad"), F.min(F.substring("p", -4, 4)).alias("y")).first()
+        assert r.n == r.m and r.bad == 0
+
+
+# --- a plain version of the whole operator ---
+
+
+def prf(key, kind, i, value, modulus):
+    return int(hashlib.sha256(f"{key}|{kind}|{i}|{value}".encode()).hexdigest()[:15], 16) % modulus
+
+
+def permuted(l, r, a, b, key, kind):
+    for i in range(pii.ROUNDS):
+        if i % 2:
+            r = (r + prf(key, kind, i, l, b)) % b
+        else:
+            l = (l + prf(key, kind, i, r, a)) % a  # noqa: E741
+    return l, r
+
+
+def number(n, a, b, key, kind):
+    l, r = permuted(n // b, n % b, a, b, key, kind)
+    return l * b + r
+
+
+def digits_of(d, key, kind):
+    h = -(-len(d) // 2)
+    l, r = permuted(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), key, kind)
+    return f"{l:0{h}d}{r:0{len(d) - h}d}"
+
+
+def refill(shape, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in shape)
+
+
+FORMS = (("^[0-9]{4}-", "%Y-%m-%d"), ("^(?:0[0-9]|1[0-2])/", "%m/%d/%Y"), ("^[0-9]{2}/", "%d/%m/%Y"), ("^[0-9]", "%d %B %Y"), ("^[A-Z]", "%B %d, %Y"))
+
+
+def day(v):
+    form = next(f for like, f in FORMS if re.search(like, v))
+    try:
+        return form, (datetime.datetime.strptime(v, form).date() - datetime.date(1900, 1, 1)).days
+    except ValueError:
+        return form, -1
+
+
+def plain_valid(kind, v):
+    d = "".join(c for c in v if c.isdigit())
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn_ok(d)
+    if kind == "iban":
+        return 15 <= len(v.replace(" ", "")) <= 34 and iban_ok(v)
+    if kind == "ssn":
+        return not re.search("^(000|666|9)|^...-00|-0000$", v)
+    if kind == "ip":
+        return all(int(x) < 256 and (len(x) == 1 or x[0] != "0") for x in v.split("."))
+    return kind != "date" or day(v)[1] >= 0
+
+
+def plain_pseudonym(kind, v, key):
+    d = "".join(c for c in v if c.isdigit())
+    if kind == "email":
+        return "user-" + hashlib.sha256(f"{key}|email|{v.lower()}".encode()).hexdigest()[:16] + "@example.invalid"
+    if kind == "card":
+        b = digits_of(d[:-1], key, "card")
+        return refill(v, next(b + c for c in "0123456789" if luhn_ok(b + c)))
+    if kind == "iban":
+        new = digits_of(d[2:], key, "iban")
+        return next(x for n in range(2, 99) if iban_ok(x := refill(v, f"{n:02d}" + new)))
+    if kind == "ssn":
+        area = int(d[:3])
+        n = number(((area - 1 - (area > 666)) * 99 + int(d[3:5]) - 1) * 9999 + int(d[5:]) - 1, 898 * 99, 9999, key, "ssn")
+        place = n // (99 * 9999)
+        return refill(v, f"{place + 1 + (place >= 665):03d}{n // 9999 % 99 + 1:02d}{n % 9999 + 1:04d}")
+    if kind == "ip":
+        n = number(int.from_bytes(bytes(map(int, v.split(".")))), 65536, 65536, key, "ip")
+        return ".".join(map(str, n.to_bytes(4)))
+    if kind == "date":
+        form, n = day(v)
+        late = re.search("^(?:1[3-9]|[23][0-9])/", v)
+        while True:
+            n = number(n, 271, 270, key, "date")
+            at = datetime.date(1900, 1, 1) + datetime.timedelta(n)
+            if n < pii.DAYS and not (late and at.day <= 12):
+                break
+        new = at.strftime(form)
+        return new if "/" in form or "-" in form else new.replace(" 0", " ").removeprefix("0")
+    if v.startswith("+") and len(d) <= 10:
+        return refill(v, d[:-7] + f"{number(int(d[-7:]), 10**4, 10**3, key, 'phone-7'):07d}")
+    ten = int(d[-10:])
+    area, rest = divmod(ten, 10**7)
+    if area >= 200 and rest >= 2 * 10**6:
+        n = number((area - 200) * 8 * 10**6 + rest - 2 * 10**6, 80000, 80000, key, "phone")
+        ten = (n // (8 * 10**6) + 200) * 10**7 + n % (8 * 10**6) + 2 * 10**6
+    else:
+        n = number(ten if area < 200 else 2 * 10**9 + (area - 200) * 2 * 10**6 + rest, 60000, 60000, key, "phone-other")
+        y = n - 2 * 10**9
+        ten = n if y < 0 else (y // (2 * 10**6) + 200) * 10**7 + y % (2 * 10**6)
+    return refill(v, d[:-10] + f"{ten:010d}")
+
+
+def plain_mask(text, key):
+    found = sorted((m.start(), -m.end(), i, m[0]) for i, k in enumerate(pii.KINDS) for m in re.finditer(pii.PATTERNS[k], text) if plain_valid(k, m[0]))
+    kept, at, out = [], 0, ""
+    for a, b, i, v in found:
+        if a >= at:
+            out += text[at:a] + plain_pseudonym(pii.KINDS[i], v, key)
+            kept.append((pii.KINDS[i], a, -b))
+            at = -b
+    return kept, out + text[at:]
+
+
+def test_query_against_plain_version(spark, sf, tmp_path):
+    rng = random.Random(12)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    some = lambda n: "".join(rng.choices("0123456789", k=n))
+    makers = [
+        lambda: card(rng, rng.randrange(13, 20)), lambda: f"3782 {some(6)} {some(5)}", lambda: f"+1 ({some(3)}) {some(3)}-{some(4)}", lambda: "+" + str(rng.randrange(1, 99)) + some(9), lambda: some(10), lambda: f"{some(3)}-{some(2)}-{some(4)}",
+        lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{rng.randrange(1890, 2110)}-{rng.randrange(14):02d}-{rng.randrange(33):02d}", lambda: f"{rng.randrange(32):02d}/{rng.randrange(20):02d}/20{some(2)}",
+        lambda: f"{rng.randrange(1, 32)} March 19{some(2)}", lambda: f"December {rng.randrange(1, 32)}, 20{some(2)}", lambda: f"a.{some(3)}@mail-{some(1)}.example.org", lambda: "DE89 3704 0044 0532 0130 00", lambda: "GB82WEST12345698765432", lambda: "DE88370400440532013000",
+    ]
+    more = [(10_000 + i, "é " + rng.choice([" ", ", ", " or ", "-", ""]).join(rng.choice(makers)() for _ in range(rng.randrange(1, 6)))) for i in range(400)] + [(20_000, None), (20_001, "")]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in op2_pii(spark, f"file://{tmp_path}").collect():
+        kept, masked = plain_mask(texts[r.doc_id], PII_KEY)
+        assert r.text == masked and r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in kept), (texts[r.doc_id][:300], r.text[:300], masked[:300])
+        assert all(r[f"n_{k}"] == sum(x[0] == k for x in kept) for k in pii.KINDS)
+
+
 def test_mask(spark):
     c = card(random.Random(2))
     bad = c[:-1] + str((int(c[-1]) + 1) % 10)
@@ -89,8 +244,11 @@ def test_other_formats(spark):
     assert all(r.masked_text == r.text for r in left), left
 
 
-def test_empty_and_clashing(none, clash, odd):
+def test_empty_and_clashing(spark, none, clash, odd):
     assert pii.mask(none, "k").count() == 0
     out = pii.mask(clash, "k")
     assert out.count() == clash.count() and dict(out.dtypes)["entities"].startswith("array")
     assert out.filter("masked_text <> coalesce(text, '')").count() == 0
+    names = ["row", "m_card", "s_card", "_new", "new", "_m_ip"]
+    kept = pii.mask(spark.createDataFrame([(1, "on 2001-02-28", *names)], ["doc_id", "text", *names]), "k").first()
+    assert all(kept[n] == n for n in names) and len(kept.entities) == 1

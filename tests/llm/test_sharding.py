@@ -27,6 +27,8 @@ def test_weights_and_movement(spark):
     assert abs(share[0] - 0.25) < 0.02 and abs(share[2] - 0.5) < 0.02
     after = sharding.assign(before, "doc_id", [1.0, 1.0, 2.0, 1.0], into="after")
     moved = after.filter("shard <> after")
+    both = sharding.assign(keys, "doc_id", [1.0, 1.0, 2.0], more=[1.0], grown="after")
+    assert both.exceptAll(after).count() == 0 and both.columns == after.columns
     assert moved.filter("after <> 3").count() == 0 and abs(moved.count() / 20_000 - 0.2) < 0.02
 
 
@@ -38,4 +40,8 @@ def test_odd_rows(odd, none, clash):
         assert sorted(slots) == list(range(len(slots)))
     assert max(Counter(r.doc_id for r in numbered.select("doc_id", "shard").distinct().collect()).values()) == 1
     assert sharding.assign(none, "doc_id", [1.0]).count() == 0
+    names = ["bucket", "within", "first_slot", "row", "first_bucket"]
+    named = out.filter("doc_id IS NOT NULL").select("doc_id", "shard", *[F.lit(n).alias(n) for n in names])
+    kept = sharding.number(named, named.select("doc_id", "shard"), "doc_id", ["doc_id"])
+    assert kept.columns == [*named.columns, "slot"] and all(r[n] == n for r in kept.collect() for n in names)
     assert dict(sharding.assign(clash, "doc_id", [1.0]).dtypes)["shard"] == "int"
