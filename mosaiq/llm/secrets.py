@@ -81,8 +81,7 @@ class Battery:
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z), by a logistic approximation good to about 1e-4."""
-    z = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
-    return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
+    return let(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)), lambda x: 1 / (1 + F.exp(1.5976 * x + 0.070566 * x * x * x)))
 
 
 def _sum(values: Column) -> Column:
@@ -99,32 +98,34 @@ def _pairs(values: Column, f: Callable[[Column, Column], Column]) -> Column:
     return _sum(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), f))
 
 
-def chi_squared(codes: Column, k: int) -> Column:
+def chi_squared(codes: Column, k: Column) -> Column:
     n = F.size(codes).cast("double")
     squares = _sum(F.transform(F.array_distinct(codes), lambda x: F.pow(F.size(F.filter(codes, lambda y: y == x)).cast("double"), F.lit(2.0))))
-    return F.greatest(F.lit(float(k)) / n * squares - n, F.lit(0.0))
+    return F.greatest(k / n * squares - n, F.lit(0.0))
 
 
-def uniformity(chi2: Column, n: Column, k: int, excess: float) -> Column:
+def uniformity(chi2: Column, n: Column, k: Column, excess: Column) -> Column:
     """struct(random, structured): z of the statistic in a random token (Wilson and Hilferty), and in a structured one
     (normal, the statistic's mean and variance shifted by the excess; the sign turned, so that random tokens are high)."""
-    df = float(k - 1)
-    random = (F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
-    return F.struct(random.alias("random"), ((df + n * excess - chi2) / F.sqrt(2 * (df + 2 * n * excess))).alias("structured"))
+    of = lambda c: F.struct(
+        ((F.pow(c / (k - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))).alias("random"),
+        ((k - 1 + n * excess - c) / F.sqrt(2 * (k - 1 + 2 * n * excess))).alias("structured"),
+    )
+    return let(chi2, of)
 
 
 def runs(classes: Column, change: float) -> Column:
     """struct(random, structured) of the number of neighbours of different classes."""
     n = F.size(classes).cast("double")
-    seen = _pairs(classes, lambda a, b: (a != b).cast("double"))
     many = F.transform(F.array_distinct(classes), lambda x: F.size(F.filter(classes, lambda y: y == x)).cast("double"))
 
-    def of(expected: Column) -> Column:
-        sd = F.sqrt(F.greatest(expected * (1 - expected / n), F.lit(1e-9)))
-        return F.struct(((seen - expected) / sd).alias("random"), ((seen - change * expected) / F.sqrt(F.greatest(change * expected * (1 - change * expected / n), F.lit(1e-9)))).alias("structured"))
+    def of(x: Column) -> Column:
+        z = lambda mean: (x["seen"] - mean) / F.sqrt(F.greatest(mean * (1 - mean / n), F.lit(1e-9)))
+        return F.struct(z(x["expected"]).alias("random"), z(change * x["expected"]).alias("structured"))
 
     # changes among n symbols in random order, given how many are of each class
-    return let(many, lambda m: let(n - _sum(F.transform(m, lambda x: x * x)) / n, of))
+    expected = let(many, lambda m: n - _sum(F.transform(m, lambda x: x * x)) / n)
+    return let(F.struct(_pairs(classes, lambda a, b: (a != b).cast("double")).alias("seen"), expected.alias("expected")), of)
 
 
 def correlation(codes: Column, least: float) -> Column:
@@ -148,30 +149,35 @@ def _classes(token: Column) -> Column:
     return F.filter(F.split(plain, ""), lambda c: c != "")
 
 
+def _encoded(token: Column) -> Column:
+    """struct of the encoding that fits a token: its parameters, and the token with one character for each symbol; null
+    where none fits."""
+    out = F.when(F.lit(False), F.lit(None))
+    for e in ENCODINGS:
+        plain = F.translate(token, "-_", "+/") if "/" in e.alphabet else token if "A" in e.alphabet else F.lower(token)
+        fields = {"plain": plain, "alphabet": F.lit(e.alphabet), "k": F.lit(float(len(e.alphabet))), "excess": F.lit(e.excess), "mixed": F.lit(e.mixed)}
+        out = out.when(token.rlike(e.like), F.struct(*[v.alias(n) for n, v in fields.items()]))
+    return out
+
+
 def _tested(token: Column, battery: Battery) -> Column:
     """A token's p-value as a structured one; null where no encoding fits it."""
 
-    def combined(e: Encoding) -> Column:
-        plain = F.translate(token, "-_", "+/") if "/" in e.alphabet else token if "A" in e.alphabet else F.lower(token)
-        codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.position(c, F.lit(e.alphabet)) - 1).cast("double"))
-        k = len(e.alphabet)
+    def of(e: Column) -> Column:
+        codes = F.transform(F.filter(F.split(e["plain"], ""), lambda c: c != ""), lambda c: (F.position(c, e["alphabet"]) - 1).cast("double"))
+        stats = lambda c: F.struct(
+            uniformity(chi_squared(c, e["k"]), F.size(c).cast("double"), e["k"], e["excess"]).alias("uniform"), runs(_classes(token), battery.change).alias("runs"), correlation(c, battery.correlation).alias("serial")
+        )
 
         def together(t: Column) -> Column:
-            parts = [t["uniform"], t["runs"], t["serial"]] if e.mixed else [t["uniform"]]
-            # uniform and correlated neighbours count on one side: too even a token is no structured one
+            # uniform counts on one side: too even a token is no structured one
             out = [normal_tail(t["uniform"]["random"]), 2 * normal_tail(F.abs(t["runs"]["random"])), 2 * normal_tail(F.abs(t["serial"]["random"]))]
-            z = sum((x["structured"] for x in parts[1:]), parts[0]["structured"]) / len(parts) ** 0.5
-            return F.when(F.least(*out) < battery.random, F.lit(1.0)).otherwise(normal_tail(z))
+            every = (t["uniform"]["structured"] + t["runs"]["structured"] + t["serial"]["structured"]) / F.lit(3**0.5)
+            return F.when(F.least(*out) < battery.random, F.lit(1.0)).otherwise(normal_tail(F.when(e["mixed"], every).otherwise(t["uniform"]["structured"])))
 
-        stats = lambda c: F.struct(
-            uniformity(chi_squared(c, k), F.size(c).cast("double"), k, e.excess).alias("uniform"), runs(_classes(token), battery.change).alias("runs"), correlation(c, battery.correlation).alias("serial")
-        )
-        return let(codes, lambda c: let(stats(c), together))
+        return F.when(e.isNotNull(), let(codes, lambda c: let(stats(c), together)))
 
-    out = F.when(F.lit(False), F.lit(None).cast("double"))
-    for e in ENCODINGS:
-        out = out.when(token.rlike(e.like), combined(e))
-    return out
+    return let(_encoded(token), of)
 
 
 def tested(spans: Column, battery: Battery = Battery()) -> Column:

@@ -143,7 +143,7 @@ def test_statistics_of_random_tokens(spark):
     df = spark.createDataFrame([([float(rng.randrange(16)) for _ in range(64)],) for _ in range(2000)], "codes array<double>")
     c = F.col("codes")
     halves = F.transform(c, lambda x: x >= 8)
-    for z in (secrets.uniformity(secrets.chi_squared(c, 16), F.size(c).cast("double"), 16, 0.7), secrets.runs(halves, 0.65), secrets.correlation(c, 0.25)):
+    for z in (secrets.uniformity(secrets.chi_squared(c, F.lit(16.0)), F.size(c).cast("double"), F.lit(16.0), F.lit(0.7)), secrets.runs(halves, 0.65), secrets.correlation(c, 0.25)):
         row = df.select(z.alias("z")).select(F.avg((F.col("z.random") > 1.645).cast("double")).alias("high"), F.stddev("z.random").alias("sd"), F.avg("z.structured").alias("far")).first()
         assert 0.02 < row.high < 0.08 and 0.8 < row.sd < 1.2 and row.far > 1
 
