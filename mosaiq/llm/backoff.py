@@ -25,16 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import as_bytes, slices, written
+from mosaiq.llm.common import slices, written
 
 #: Counts above it aren't discounted.
 K = 5
 #: What is known of words with at least this share of the training tokens is sent to all tasks.
 CACHED = 2.0**-20
+#: Training tokens whose bigrams meet in one bucket on average: a task's memory doesn't grow with the input.
+BUCKET_TOKENS = 1_000_000
 #: Bytes of text handled at once, and texts (their places are 16-bit numbers).
 SLICE = 8 << 20
 END_WORD = b"\n"  # no word holds white space
@@ -98,17 +101,24 @@ class Unigrams:
         return np.where(counts > 0, discounted(counts, self.d) * self.scale / max(self.n, 1), self.unseen)
 
 
-def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words of the texts, the code of every token (each text ends with END_WORD), and tokens of each text."""
-    split = [t.lower().split() for t in texts]
-    for x in split:
-        x.append(END_WORD)
-    known = dict.fromkeys(w for x in split for w in x)
-    for i, w in enumerate(known):
-        known[w] = i
-    sizes = np.array([len(x) for x in split], np.int64)
-    codes = np.fromiter((known[w] for x in split for w in x), np.int64, int(sizes.sum()))
-    return list(known), codes, sizes
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at the characters that bytes.split() splits at
+    every = pc.dictionary_encode(lists.flatten())
+    codes, words = every.indices.to_numpy().astype(np.int64), every.dictionary.cast(pa.large_binary()).to_pylist()
+    many = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # white space at an end leaves an empty word, whose code becomes the end's, if there is one; else the end's is new
+    blank = words.index(b"") if b"" in words else len(words)
+    whole = np.ones(len(codes), bool) if blank == len(words) else codes != blank
+    place = np.repeat(np.arange(len(many)), many)[whole]
+    sizes = np.bincount(place, minlength=len(many)) + 1
+    words = [*words[:blank], END_WORD, *words[blank + 1 :]]
+    out = np.full(int(sizes.sum()), blank, np.int64)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    out[inner] = codes[whole]
+    return words, out, sizes
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -129,8 +139,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             train = [trains(i) for i in batch.column(0).to_pylist()]
-            texts = [t for t, ok in zip(as_bytes(batch.column(1)), train, strict=True) if ok]
-            words, codes, _ = _tokens(texts)
+            words, codes, _ = _tokens(batch.column(1).filter(pa.array(train)))
             yield pa.RecordBatch.from_arrays([pa.array(_hashes(words)), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
 
     return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -176,6 +185,30 @@ TEXTS, RARES, BIGRAMS = 0, 1, 2
 OTHER, UNIGRAM = -1, -2
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Ascending keys as the bytes of their differences, all first bytes before all second ones: the high ones are 0."""
+    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _keys(planes: bytes) -> np.ndarray:
+    """The way back."""
+    steps = np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64).view(np.int64)
+
+
+def _small(x: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def _large(x: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
@@ -229,8 +262,9 @@ def _dealt(batch: int, kind: int, of: np.ndarray, places: np.ndarray, placed, bu
     distinct, bucket = placed(of[order][starts])
     rows = []
     for b, own in _by_bucket(bucket, buckets):
+        own = own[np.argsort(distinct[own].view(np.uint64))]
         held = places[order[_ranges(starts[own], sizes[own])]].astype(np.uint16)
-        rows.append((batch, kind, b, None, distinct[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), held.tobytes()))
+        rows.append((batch, kind, b, None, *map(_small, (_planes(distinct[own]), sizes[own].astype(np.uint32).tobytes(), held.tobytes()))))
     return rows
 
 
@@ -258,7 +292,7 @@ def bigram_counts(docs: DataFrame, cache, buckets: int) -> DataFrame:
         c = cache.value
         for batch in _parts(batches):
             train = [trains(i) for i in batch.column(0).to_pylist()]
-            words, codes, sizes = _tokens([t for t, ok in zip(as_bytes(batch.column(1)), train, strict=True) if ok])
+            words, codes, sizes = _tokens(batch.column(1).filter(pa.array(train)))
             pairs = _pairs(codes, sizes)
             order, starts, many = _grouped(pairs)
             history, word = _of_pairs(pairs[order][starts], c.modelled(_hashes(words)))
@@ -268,15 +302,15 @@ def bigram_counts(docs: DataFrame, cache, buckets: int) -> DataFrame:
                 h = history[own]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 follow = np.diff(np.append(first, len(h)))
-                rows.append((0, BIGRAMS, b, None, h[first].tobytes(), np.concatenate([follow, many[own]]).astype(np.uint32).tobytes(), word[own].tobytes()))
+                rows.append((0, BIGRAMS, b, None, *map(_small, (h[first].tobytes(), np.concatenate([follow, many[own]]).astype(np.uint32).tobytes(), word[own].tobytes()))))
             yield _packed(rows)
 
     def total(t: pa.Table) -> pa.Table:
         c = cache.value
         parts = []
         for a, b, w in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["c"].to_pylist(), strict=True):
-            h, numbers = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32)
-            parts.append((np.repeat(h, numbers[: len(h)]), np.frombuffer(w, np.int64), numbers[len(h) :]))
+            h, numbers = np.frombuffer(_large(a), np.int64), np.frombuffer(_large(b), np.uint32)
+            parts.append((np.repeat(h, numbers[: len(h)]), np.frombuffer(_large(w), np.int64), numbers[len(h) :]))
         history, word, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order = np.lexsort((word, history))
@@ -309,6 +343,7 @@ class Model:
 
     unigrams: Unigrams
     cache: Cache
+    buckets: int
     d: np.ndarray
     log_p: np.ndarray
     log_scale: np.ndarray
@@ -340,11 +375,11 @@ def train(docs: DataFrame, share: float | None = None, k: int = K) -> tuple[Mode
     """The model and its n-gram table (_TABLE; a unigram's word is its history). Where a share is set, words with
     less of the training tokens are one class in bigrams."""
     spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = written(word_counts(docs).withColumn("kind", F.lit(RARES)), "unigrams", ["kind"]).select("word", "n")
     small = {c: F.count_if(F.col("n") == c).alias(f"n{c}") for c in range(1, k + 2)}
     row = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct"), *small.values()).first()
     tokens = row["tokens"] or 0
+    buckets = max(32, -(-tokens // BUCKET_TOKENS))
     unigrams = Unigrams.of(tokens, row["distinct"], {c: row[f"n{c}"] for c in small})
     # at most 1 / CACHED (or 1 / share) rows
     least = max(1, tokens * (CACHED if share is None else share))
@@ -352,7 +387,8 @@ def train(docs: DataFrame, share: float | None = None, k: int = K) -> tuple[Mode
     cache = Cache.of(found["word"].to_numpy(np.int64), found["n"].to_numpy(np.int64), unigrams, share is not None, tokens / (4 * buckets))
     sent = spark.sparkContext.broadcast(cache)
 
-    counts = written(bigram_counts(docs, sent, buckets), "bigrams", ["bucket"])
+    # as many folders whatever the number of buckets
+    counts = written(bigram_counts(docs, sent, buckets).withColumn("part", F.col("bucket") % 64), "bigrams", ["part"]).drop("part")
     row = counts.agg(*small.values()).first()
     d = discounts({c: row[f"n{c}"] for c in small})
     # probabilities of the words that aren't cached
@@ -373,7 +409,7 @@ def train(docs: DataFrame, share: float | None = None, k: int = K) -> tuple[Mode
     with np.errstate(divide="ignore"):
         log_p = np.log10(cache.p)
     # tasks and tables must agree on buckets
-    return Model(unigrams, cache, d, log_p, log_scale, log_backoff), bigrams.unionByName(_bucketed(counted.filter(F.col("n") < least), buckets))
+    return Model(unigrams, cache, buckets, d, log_p, log_scale, log_backoff), bigrams.unionByName(_bucketed(counted.filter(F.col("n") < least), buckets))
 
 
 def _bucketed(words: DataFrame, buckets: int) -> DataFrame:
@@ -396,8 +432,7 @@ def _looked_up(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.n
 
 def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark, buckets = docs.sparkSession, model.buckets
     sent = spark.sparkContext.broadcast(model)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +442,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         alone = m.log_p + m.log_backoff
         for seq, batch in enumerate(_parts(batches)):
             key = part << 32 | seq
-            words, codes, sizes = _tokens(as_bytes(batch.column(1)))
+            words, codes, sizes = _tokens(batch.column(1))
             hashes = _hashes(words)
             modelled = m.cache.modelled(hashes)
             ids = m.cache.ids(hashes)[codes]
@@ -440,7 +475,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
             if kind == TEXTS:
                 out.append((batch, kind, bucket, ids, a, b, c))
                 continue
-            wanted, sizes, places = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint16)
+            wanted, sizes, places = _keys(_large(a)), np.frombuffer(_large(b), np.uint32), np.frombuffer(_large(c), np.uint16)
             if kind == BIGRAMS:
                 values = [_looked_up(keys, wanted, differ)]
             else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm.quality import BOILERPLATE, NAVIGATION, TERMINAL, LineRules
+from mosaiq.llm.quality import BOILERPLATE, CALLS, NAVIGATION, TERMINAL, LineRules
 from mosaiq.llm.sharding import BUCKETS
 
 _RULES = LineRules()
@@ -25,7 +25,8 @@ measured AS (
 lost AS (
     SELECT doc_id, sum(n) AS n FROM measured
     WHERE copy > 1 OR (NOT contains('{_TERMINAL}', right(bare, 1)) AND n < {_RULES.short_line}) OR (symbols > 0 AND symbols >= {_RULES.symbols_per_word} * n)
-       OR (n <= {_RULES.boilerplate_words} AND (regexp_matches(bare, '(?i)(?:{BOILERPLATE})') OR regexp_matches(bare, '(?i){NAVIGATION}')))
+       OR (n <= {_RULES.boilerplate_words} AND (regexp_matches(bare, '(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{BOILERPLATE})(?:$|[^\p{{L}}\p{{N}}])') OR regexp_matches(bare, '(?i){NAVIGATION}')))
+       OR (n <= {_RULES.call_words} AND regexp_matches(bare, '(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{CALLS})(?:$|[^\p{{L}}\p{{N}}])'))
     GROUP BY doc_id
 ),
 base AS (

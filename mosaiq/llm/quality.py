@@ -22,31 +22,44 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import WS, slices
 
 SYMBOLS = "#*$%&|<>"
-#: Ends of a sentence or clause, and phrases of page furniture.
-TERMINAL = ".!?…:;,\"'”’»)]}"
+#: Ends of a sentence or clause, in several scripts; phrases of page furniture in English, German, French and
+#: Spanish, that no running text has; calls to the reader, which furniture has alone on short lines; entries of menus.
+TERMINAL = ".!?…:;,\"'”’»)]}。！？：；，、」』）।॥؟۔"
 BOILERPLATE = (
-    "all rights reserved|privacy policy|terms of (use|service)|cookie policy|accept cookies|enable javascript|"
-    "lorem ipsum|click here|sign (in|up)|log ?in|subscribe (now|to our)|share this|read more|powered by|"
-    "skip to (main )?content|back to top"
+    "all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|accept (?:all )?cookies|enable javascript|lorem ipsum|subscribe to our|powered by|"
+    "alle rechte vorbehalten|datenschutzerkl(?:ä|Ä|ae)rung|nutzungsbedingungen|cookies akzeptieren|javascript aktivieren|newsletter abonnieren|"
+    "tous droits r[eéÉ]serv[eéÉ]s|politique de confidentialit[eéÉ]|conditions d.utilisation|accepter les cookies|activer javascript|mentions l[eéÉ]gales|"
+    "todos los derechos reservados|pol[iíÍ]tica de (?:privacidad|cookies)|t[eéÉ]rminos de uso|aceptar (?:las )?cookies|activar javascript|aviso legal"
+)
+CALLS = (
+    "click here|sign (?:in|up)|log ?in|subscribe now|share this|read more|skip to (?:main )?content|back to top|"
+    "hier klicken|jetzt anmelden|einloggen|registrieren|artikel teilen|weiterlesen|zum inhalt springen|nach oben|"
+    "cliquez ici|se connecter|s.inscrire|partager|lire la suite|aller au contenu|haut de page|"
+    "haga clic aqu[iíÍ]|iniciar sesi[oóÓ]n|reg[iíÍ]strate|compartir|leer m[aáÁ]s|saltar al contenido|volver arriba"
+)
+NAVIGATION = (
+    "^(?:home|menu|search|next|previous|contact us|about us|sitemap|startseite|suche|weiter|kontakt|impressum|accueil|rechercher|suivant|contactez-nous|"
+    "inicio|buscar|siguiente|anterior|contacto)$|[»›→•·].*[»›→•·]"
 )
-NAVIGATION = "^(home|menu|search|next|previous|contact us|about us|sitemap)$|[»›→•·].*[»›→•·]"
 
 
 @dataclass(frozen=True)
 class LineRules:
     """short_line: lines of fewer words need an end of sentence. symbols_per_word: at least so many symbols a word
-    make a line junk. boilerplate_words: a line of at most so many words is judged by its phrases.
+    make a line junk. boilerplate_words, call_words: a line of at most so many words is judged by the phrases, the calls.
     most_lost: the share of words that a document may lose with its failing lines."""
 
     short_line: int = 5
     symbols_per_word: float = 0.3
     boilerplate_words: int = 30
+    call_words: int = 8
     most_lost: float = 0.5
     min_words: int = 50
     most_repeated: float = 0.5
 
 
-_BOILER = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
+#: Whole words: letters of any script around a phrase make it another word.
+_BOILER, _CALL = (re.compile(rf"(?<![^\W_])(?:{x})(?![^\W_])", re.IGNORECASE) for x in (BOILERPLATE, CALLS))
 _NAV = re.compile(NAVIGATION, re.IGNORECASE | re.ASCII)
 _SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
 
@@ -62,7 +75,7 @@ def line_fails(line: str, rules: LineRules = LineRules()) -> bool:
             return True
     if words <= rules.boilerplate_words and (_BOILER.search(bare) or _NAV.search(bare)):
         return True
-    return False
+    return words <= rules.call_words and bool(_CALL.search(bare))
 
 
 def clean(text: str, rules: LineRules = LineRules()) -> tuple[str, int]:

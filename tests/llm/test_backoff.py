@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mosaiq.llm import backoff
@@ -96,3 +97,16 @@ def test_rare_words_keep_their_bigrams(spark, monkeypatch):
     wanted = sorted(brute(texts, 0.0))
     assert [x[:4] for x in found] == [x[:4] for x in wanted]
     np.testing.assert_allclose([x[4:] for x in found], [x[4:] for x in wanted], rtol=1e-9)
+
+
+def test_tokens_and_keys():
+    texts = ["", None, "  A b ", "x", "\ty\x0bz\x0c\r\n", "ÄÖ é\u00a0B\u2003c", "a a  a", "\n"]
+    words, codes, sizes = backoff._tokens(pa.array(texts))
+    wanted = [[*(t or "").encode().lower().split(), backoff.END_WORD] for t in texts]
+    assert sizes.tolist() == [len(w) for w in wanted] and [words[c] for c in codes] == [x for w in wanted for x in w]
+    assert backoff._tokens(pa.array([], pa.string()))[2].tolist() == []
+    words, codes, sizes = backoff._tokens(pa.array(["one two"]))
+    assert [words[c] for c in codes] == [b"one", b"two", backoff.END_WORD] and sizes.tolist() == [3]
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 1000)
+    keys = keys[np.argsort(keys.view(np.uint64))]
+    assert (backoff._keys(backoff._planes(keys)) == keys).all() and not len(backoff._keys(backoff._planes(keys[:0])))

@@ -50,3 +50,11 @@ def test_empty_and_clashing(none, clash):
     out = quality.judge(clash)
     assert out.count() == clash.count() and dict(out.dtypes)["kept"] == "boolean" and "source" in out.columns
     assert quality.clean_lines(clash).columns == clash.columns
+
+
+def test_phrases_are_words_in_four_languages():
+    for line in ["The catalog in use has a dialog in it, as a design in blue.", "They spread more light, and a thread more.", "I want to read more books about the sea this winter, he said.", "Wer weiterlesen will, braucht nur das Buch und etwas Zeit, sagte sie.",
+                 "Il faut partager le pain avec ceux qui viennent de loin, disait-elle.", "Quiere leer más libros sobre el mar en las tardes de invierno.", "日本語の文章です。", "यह एक वाक्य है।"]:
+        assert not quality.line_fails(line), line
+    for line in ["© 2024 ACME. All rights reserved.", "Read more", "Log in | Sign up", "Alle Rechte vorbehalten.", "Unsere Datenschutzerklärung finden Sie hier.", "Weiterlesen »", "Tous droits réservés.", "Lire la suite…", "Accueil", "Todos los derechos reservados.", "LEER MÁS!", "Inicio", "Política de privacidad."]:
+        assert quality.line_fails(line), line
