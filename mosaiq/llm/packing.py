@@ -4,8 +4,8 @@ Each document is tokenised once and cut into whole windows of the longest contex
 to context-size tiers by length (the smallest tier that holds them). The plan works on the histogram of lengths
 alone, at most one entry a length: from the longest down, every piece opens a window of its tier, and the gap is
 filled by the largest pieces of the shorter tiers that fit. A window of a shorter tier must come out full, or it
-becomes a window of the longest tier, so that padding stays small. The sequences of a tier are dealt in turn to
-step groups, which so get nearly equal numbers of tokens.
+becomes a window of the longest tier, so that padding stays small. The sequences of a tier are dealt to step groups
+in the order of their tokens, there and back, so that groups get nearly equal numbers of sequences and of tokens.
 
 Pieces find their place by rank among the pieces of their length. Ranks are counted by length and bucket, so a
 length that a third of all documents share is spread over many tasks.
@@ -156,14 +156,19 @@ def plan(histogram: dict[int, int], tiers: tuple[int, ...] = TIERS) -> list[Wind
     return out
 
 
-def places(windows: list[Window_]) -> list[tuple[int, int, int, int, int, int]]:
-    """length, first and last rank, first sequence, offset, tier: where the pieces of those ranks go."""
+def places(windows: list[Window_]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """length, first and last rank, first sequence, offset, tier, first turn: where the pieces of those ranks go, and when
+    their sequences are dealt, those with the most tokens of a tier first."""
+    turns, turn = {}, dict[int, int]()
+    for i in sorted(range(len(windows)), key=lambda i: (-sum(windows[i].lengths), i)):
+        turns[i] = turn.get(windows[i].tier, 0)
+        turn[windows[i].tier] = turns[i] + windows[i].count
     out, sequence, rank = [], 0, dict[int, int]()
-    for w in windows:
+    for i, w in enumerate(windows):
         offset = 0
         for n in w.lengths:
             lo = rank.get(n, 0)
-            out.append((n, lo, lo + w.count - 1, sequence, offset, w.tier))
+            out.append((n, lo, lo + w.count - 1, sequence, offset, w.tier, turns[i]))
             rank[n] = lo + w.count
             offset += n
         sequence += w.count
@@ -177,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, sequen
     windows = plan(histogram, tiers)
     rows = places(windows)
     spark = docs.sparkSession
-    where = spark.createDataFrame(rows, "length long, lo long, hi long, first_sequence long, offset long, context int")
+    where = spark.createDataFrame(rows, "length long, lo long, hi long, first_sequence long, offset long, context int, first_turn long")
     steps = {t: -(-sum(w.count for w in windows if w.tier == t) // sequences_per_step) for t in tiers}
 
     buckets = max(16, sum(histogram.values()) // BUCKET_ROWS)
@@ -195,7 +200,9 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, sequen
     # the plan has a few rows for each of at most tiers[0] lengths, whatever the input
     placed = ranked.join(F.broadcast(where), (ranked.length == where.length) & F.col("rank").between(F.col("lo"), F.col("hi"))).drop(where.length)
     sequence = F.col("first_sequence") + F.col("rank") - F.col("lo")
-    per_tier = F.create_map(*[F.lit(x) for t, n in steps.items() for x in (t, max(n, 1))])
+    groups = F.create_map(*[F.lit(x) for t, n in steps.items() for x in (t, max(n, 1))])[F.col("context")]
+    turn = F.col("first_turn") + F.col("rank") - F.col("lo")
+    back = F.floor(turn / groups) % 2 == 1
     return placed.select(
         "doc_id",
         "start",
@@ -205,5 +212,5 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, sequen
         sequence.alias("sequence_id"),
         F.col("offset"),
         "context",
-        (sequence % per_tier[F.col("context")]).cast("long").alias("step_group"),
+        F.when(back, groups - 1 - turn % groups).otherwise(turn % groups).cast("long").alias("step_group"),
     )

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -45,10 +45,26 @@ def test_query(spark, sf):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = op6_packing(spark, sf).collect()
     assert verify(rows, texts) < 0.02
-    steps = Counter()
+    balanced(rows)
+
+
+def balanced(rows):
+    """Groups of one context differ by at most one sequence, and by at most one context in tokens."""
+    tokens, sequences = defaultdict(Counter), defaultdict(set)
     for r in rows:
-        steps[r.context, r.step_group] += r.length
-    assert len(steps) >= 1
+        tokens[r.context][r.step_group] += r.length
+        sequences[r.context, r.step_group].add(r.sequence_id)
+    for context, groups in tokens.items():
+        many = [len(sequences[context, g]) for g in groups]
+        assert sorted(groups) == list(range(len(groups))) and max(many) - min(many) <= 1
+        assert max(groups.values()) - min(groups.values()) <= context
+    return tokens
+
+
+def test_step_groups(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tokens = balanced(packing.pack(docs, PATH, sequences_per_step=7).collect())
+    assert len(tokens[1024]) > 5
 
 
 def test_odd_rows(spark, odd_texts, none, clash):
