@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mosaiq.params import DEFAULTS, Params
+from mosaiq.plans.cycle import Encode, State, run_cycle
 
 
 def item_stream(spark: SparkSession, path: str, schema: Any) -> DataFrame:
@@ -26,11 +28,56 @@ def ingest_stream(items: DataFrame, step: Callable[[DataFrame, int], None], chec
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{params.cycle_minutes} minutes")).start()
 
 
-def window_counts(items: DataFrame, minutes: int = 60, late: str = "12 hours") -> DataFrame:
-    """Items of each outlet and time window."""
-    from pyspark.sql import functions as F
+def cycle_stream(items: DataFrame, state: State, encode: Encode, checkpoint: str, once: bool = True, params: Params = DEFAULTS, as_of: Callable[[DataFrame], Column] | None = None, **cycle: Any) -> StreamingQuery:
+    """The whole cycle on each micro-batch. What outlives a batch is in the state's store: articles that found no cluster
+    are tried again in each run until their window passes, and a cluster takes articles for a fixed time from its
+    creation, however many come. as_of: the moment of a batch, else that of its latest item."""
 
-    return items.withWatermark("published_at", late).groupBy(F.window("published_at", f"{minutes} minutes"), "outlet_id").agg(F.count("*").alias("n"))
+    def step(batch: DataFrame, number: int) -> None:
+        latest = batch.agg(F.max("published_at").alias("at")).first()["at"]
+        if latest is not None:
+            moment = as_of(batch) if as_of else F.lit(latest)
+            run_cycle(state, batch, moment, encode, params=params, **cycle)
+
+    return ingest_stream(items, step, checkpoint, once, params)
+
+
+class RunWatch(StreamingQueryListener):
+    """Notes how long each run of a query took, and which took half of the interval or more or came more than two
+    intervals after the one before. Give it to spark.streams.addListener."""
+
+    def __init__(self, params: Params = DEFAULTS, alert: Callable[[str, int], None] | None = None) -> None:
+        self.interval, self.alert = params.cycle_minutes * 60, alert
+        self.runs: list[tuple[int, float]] = []
+        self.alerts: list[tuple[str, int]] = []
+        self._last: dict[str, float] = {}
+
+    def onQueryStarted(self, event: Any) -> None:
+        pass
+
+    def onQueryProgress(self, event: Any) -> None:
+        p = event.progress
+        self.note(str(p.id), p.batchId, pd.Timestamp(p.timestamp).timestamp(), p.batchDuration / 1000)
+
+    def note(self, query: str, batch: int, began: float, seconds: float) -> None:
+        self.runs.append((batch, seconds))
+        if seconds >= self.interval / 2:
+            self._say("long run", batch)
+        if began - self._last.get(query, began) > 2 * self.interval:
+            self._say("missed run", batch)
+        self._last[query] = began
+
+    def _say(self, what: str, batch: int) -> None:
+        self.alerts.append((what, batch))
+        if self.alert:
+            self.alert(what, batch)
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
+
+    def run_log(self, spark: SparkSession) -> DataFrame:
+        """run_id, duration_seconds, as utilisation() takes them."""
+        return spark.createDataFrame(self.runs, "run_id long, duration_seconds double")
 
 
 class Throttle(StatefulProcessor):
@@ -67,7 +114,5 @@ def throttle_stream(alerts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def utilisation(run_log: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """run_log (run_id, duration_seconds) with the share of the interval that each run took, and a warning from half on."""
-    from pyspark.sql import functions as F
-
     share = F.round(F.col("duration_seconds") / (params.cycle_minutes * 60), 6)
     return run_log.withColumn("utilisation", share).withColumn("warn", share >= 0.5)

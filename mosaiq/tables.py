@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir: one that driver and executors share."""
+    """The folder that the cluster names in spark.checkpoint.dir: one that driver and executors share. Where it is unset
+    and all run in one process (tests), a local one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and spark.sparkContext.master.split("[")[0] == "local":
+        conf = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", conf)
     if not conf:
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
     return conf.rstrip("/")

@@ -15,6 +15,7 @@ from mosaiq.params import Params
 from mosaiq.plans.cycle import State, run_cycle
 from mosaiq.sources.engine_tables import EngineTables
 from mosaiq.sources.store import Store
+from mosaiq.tables import written
 
 NOW = datetime(2024, 1, 2, 12)
 
@@ -319,3 +320,22 @@ def test_stream_of_items(spark, tmp_path):
     q = ingest_stream(item_stream(spark, str(tmp_path / "in"), a.schema), lambda df, i: seen.extend(r.article_id for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(seen) == [1, 2, 3]
+
+
+def test_evidence_is_made_of_its_parts(spark, sf):
+    t = EngineTables(spark, sf)
+    members = t.membership.join(t.articles, "article_id").select("cluster_id", "article_id", "outlet_id", "title", "body").filter("cluster_id < 3")
+    members = written(members, "members")
+    vocabulary = written(evidence.fit_vocabulary(t.articles.select("article_id", F.col("body").alias("text")), "article_id"), "vocabulary")
+    whole = {r.cluster_id: r for r in evidence.evidence(members, t.vectors, t.outlets, vocabulary).collect()}
+    chosen = written(evidence.select_representatives(members, t.vectors), "chosen")
+    texts = chosen.groupBy("cluster_id", "outlet_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "body"))).alias("notes")).collect()
+    assert {c for c in whole} == {r.cluster_id for r in texts}
+    found = {(c, o.outlet_id): o for c, r in whole.items() for o in r.outlets}
+    assert {k: o.titles for k, o in found.items()} == {(r.cluster_id, r.outlet_id): [n.title for n in r.notes] for r in texts}
+    docs = spark.createDataFrame([(r.cluster_id, r.outlet_id, "\n".join(f"{n.title}. {n.body}" for n in r.notes)) for r in texts], "cluster_id long, outlet_id int, text string")
+    own = evidence.own_terms(evidence.tfidf(docs, ["cluster_id", "outlet_id"], vocabulary), t.outlets).orderBy("rank").collect()
+    assert {k: o.own_terms for k, o in found.items()} == {k: [r.term for r in own if (r.cluster_id, r.outlet_id) == k] for k in found}
+    sets = {(r.cluster_id, r.outlet_id): r for r in evidence.entity_sets(evidence.entities(chosen, t.outlets), docs.select("cluster_id", "outlet_id")).collect()}
+    assert all((o.exclusive, o.omitted) == (sets[k].exclusive, sets[k].omitted) for k, o in found.items())
+    assert all(r.core_entities == sets[c, r.outlets[0].outlet_id].common and r.outlets == sorted(r.outlets) for c, r in whole.items())
