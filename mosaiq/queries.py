@@ -999,9 +999,8 @@ _CUT = """CASE WHEN {w} <= {limit} THEN t WHEN {limit} <= 2 THEN '' ELSE regexp_
 
 
 def _duck_cut(limit: str) -> str:
-    """The longest prefix by trying all."""
-    prefix = _HEAVY.format(t="substring(t, 1, i)")
-    n = f"coalesce(list_max(list_filter(range(1, 300), lambda i: {prefix} <= {limit} - 2)), 0)"
+    """The longest prefix by trying all; ws: the weights of the first characters."""
+    n = f"coalesce(list_max(list_filter(range(1, 300), lambda i: list_sum(ws[1:i]) <= {limit} - 2)), 0)"
     return _CUT.format(w=_HEAVY.format(t="t"), limit=limit, n=n)
 
 
@@ -1015,7 +1014,8 @@ def _duck_whole(t: str, tags: str) -> str:
 
 @query(f"""
 WITH posts AS (SELECT doc_id, {_POST} AS t, list_transform(range(0, doc_id % 6), lambda i: CASE WHEN doc_id % 7 = 0 THEN repeat(lang, 70) ELSE source || lang END || i) AS tags FROM documents),
-kept AS (SELECT doc_id, t, tags[1:greatest(coalesce(list_max(list_filter(range(1, len(tags) + 1), lambda k: {_duck_whole('t', 'tags[1:k]')} <= 280)), 0), least(len(tags), 2))] AS tags FROM posts),
+weighed AS (SELECT *, list_transform(range(1, 300), lambda i: CASE WHEN unicode(substring(t, i, 1)) > 4351 THEN 2 ELSE 1 END) AS ws FROM posts),
+kept AS (SELECT doc_id, t, ws, tags[1:greatest(coalesce(list_max(list_filter(range(1, len(tags) + 1), lambda k: {_duck_whole('t', 'tags[1:k]')} <= 280)), 0), least(len(tags), 2))] AS tags FROM weighed),
 cut_ AS (SELECT doc_id, t, tags, {_duck_whole('t', 'tags')} AS w, {_duck_cut("(254 - length(" + _duck_block("tags") + "))")} AS beside, {_duck_cut("254")} AS alone FROM kept),
 fit AS (SELECT doc_id, CASE WHEN w <= 280 THEN t WHEN beside <> '' AND {_duck_whole('beside', 'tags')} <= 280 THEN beside ELSE alone END AS hook,
   CASE WHEN w <= 280 OR (beside <> '' AND {_duck_whole('beside', 'tags')} <= 280) THEN tags ELSE [] END AS tags FROM cut_)
