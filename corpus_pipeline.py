@@ -16,7 +16,7 @@ from mosaiq.tables import table, written
 
 
 #: Python workers outlive stages and share an executor's memory with a full heap, so each remembers little.
-KNOWN = 250_000
+KNOWN = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20)
             total += int(n)
         if at < batch.num_rows:
             yield batch.slice(at)
+    # workers outlive tasks: what Arrow holds in reserve goes back
+    pa.default_memory_pool().release_unused()
 
 
 def as_bytes(array: pa.Array) -> list[bytes]:
