@@ -89,9 +89,36 @@ SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, coalesce(
 FROM reach JOIN sizes USING (doc_id) LEFT JOIN (SELECT u AS doc_id, count(*) AS many FROM edges GROUP BY 1) USING (doc_id) GROUP BY doc_id
 """
 
+FILTER_AUDIT = rf"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+    SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS failing
+    FROM docs d LEFT JOIN marks m ON d.doc_id = m.doc_id
+),
+counts AS (SELECT part, failing, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, failing),
+letters(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit <> b.bit AND a.bit <> c.bit AND a.bit <> d.bit AND a.bit <> e.bit AND b.bit <> c.bit AND b.bit <> d.bit AND b.bit <> e.bit AND c.bit <> d.bit AND c.bit <> e.bit AND d.bit <> e.bit
+),
+steps AS (SELECT filter_order, k AS step, bits[k] AS bit, list_sum(bits[1:k]) - bits[k] AS gone FROM orders, range(1, 6) r(k)),
+told AS (
+    SELECT part, filter_order, step, bit, sum(CASE WHEN failing & (gone + bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN failing & bit > 0 AND failing & gone = 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN failing & bit > 0 AND failing & gone > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failing = bit THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN failing & bit > 0 AND failing & gone = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failing & bit > 0 AND failing & gone = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM told
+"""
+
 ORACLES: dict[str, str] = {
     "op5_chat": CHAT.strip(),
     "op7_ngram_join": NGRAM_JOIN.strip(),
     "op9_quality_rules": QUALITY.strip(),
     "op10_sharding": SHARDING.strip(),
+    "op13_filter_audit": FILTER_AUDIT.strip(),
 }

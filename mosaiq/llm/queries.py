@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import backoff, bpe, chat, fingerprints, ngram_join, packing, periodic, pii, quality, secrets, sharding
+from mosaiq.llm import audit, backoff, bpe, chat, fingerprints, ngram_join, packing, periodic, pii, quality, secrets, sharding
 from mosaiq.llm.common import table, text_or_empty
 from mosaiq.llm.oracles import ORACLES
 
@@ -121,6 +121,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -139,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
