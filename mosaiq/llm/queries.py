@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import audit, backoff, bpe, chat, fingerprints, ngram_join, packing, periodic, pii, quality, secrets, sharding
+from mosaiq.llm import audit, backoff, bpe, chat, fingerprints, fm, ngram_join, packing, periodic, pii, quality, secrets, sharding
 from mosaiq.llm.common import table, text_or_empty
 from mosaiq.llm.oracles import ORACLES
 
@@ -121,6 +121,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fm.size_class(F.col("text")).alias("size_class"))
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    trained = fm.train(docs, labels, metadata=["size_class"])
+    out = fm.score(docs, trained, metadata=["size_class"])
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -143,6 +152,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
