@@ -13,6 +13,7 @@ from mosaiq.functions.times import hours_before
 from mosaiq.functions.urls import non_event
 from mosaiq.functions.vectors import unit, vector_sums
 from mosaiq.operators.components import connected_components
+from mosaiq.operators.ordered import DIGITS, assign_in_order
 from mosaiq.operators.similarity import best_match, linked_above, pairs_above
 from mosaiq.params import DEFAULTS, Params
 from mosaiq.tables import freed, written
@@ -60,7 +61,7 @@ def sequential(ids: np.ndarray, vectors: np.ndarray, cluster_ids: np.ndarray, su
             continue
         x = vectors[i]
         if k:
-            sims = centroids[:k] @ x
+            sims = np.round(centroids[:k] @ x, DIGITS)
             c = int(np.argmax(sims))
             if sims[c] >= threshold:
                 free[i] = False
@@ -71,7 +72,7 @@ def sequential(ids: np.ndarray, vectors: np.ndarray, cluster_ids: np.ndarray, su
         others = np.flatnonzero(free)
         others = others[others != i]
         if len(others):
-            sims = vectors[others] @ x
+            sims = np.round(vectors[others] @ x, DIGITS)
             j = int(np.argmax(sims))
             if sims[j] >= threshold:
                 y = int(others[j])
@@ -89,8 +90,8 @@ def assign(articles: DataFrame, vectors: DataFrame, membership: DataFrame, clust
 
     The greedy result is the same if it is computed apart for each component of the graph that joins articles at
     threshold squared or more and articles with clusters at the threshold or more. mode: "exact" runs each
-    component in one task; "hybrid" does so up to params.component_cap vectors and runs larger ones by rounds,
-    an approximation that is distributed; "rounds" runs all by rounds."""
+    component in one task; "hybrid" does so up to params.component_cap vectors and takes the articles of larger ones
+    window by window, with the same result; "rounds" runs all by rounds, an approximation that needs fewer."""
     running = open_clusters(clusters, as_of, params)
     loose = written(clusterable(articles, vectors, membership, as_of, params), "loose")
     sums = written(cluster_sums(running, membership, vectors), "sums")
@@ -125,7 +126,7 @@ def assign(articles: DataFrame, vectors: DataFrame, membership: DataFrame, clust
             if large.limit(1).count():
                 loose_large = loose.join(large, loose.id == large.node, "left_semi")
                 sums_large = sums.join(large, (-1 - sums.cluster_id) == large.node, "left_semi")
-                placed = placed.unionByName(_rounds(loose_large, sums_large, params))
+                placed = placed.unionByName(assign_in_order(loose_large, sums_large, params))
     # a new cluster's id is a hash of its founder, so that reruns give the same one
     identity = F.coalesce("cluster_id", F.abs(F.xxhash64(F.lit("cluster"), "founder")))
     placed = written(placed.select("article_id", identity.alias("cluster_id"), "founder"), "placed")

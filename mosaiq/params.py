@@ -11,7 +11,8 @@ EXPIRED_MARK = -1
 class Params:
     """threshold: least cosine of an article and a cluster's centroid. fusion: of two centroids; over 1 turns
     fusion off. open_hours: how long a cluster takes articles, from its creation. refit_growth: share by which the
-    corpus may outgrow its vocabulary. component_cap: vectors of a component up to which assignment is exact."""
+    corpus may outgrow its vocabulary. component_cap: vectors of a component up to which one task assigns it; larger ones take
+    a round of tasks for each window of articles, with the same result."""
 
     threshold: float = 0.75
     fusion: float = 0.85

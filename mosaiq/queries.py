@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -677,6 +678,13 @@ def assign_default(t: EngineTables) -> DataFrame:
     return placed.withColumn("f", first).join(new, "cluster_id", "left").select("article_id", F.when(F.col("new").isNull(), F.col("cluster_id")).alias("cluster_id"), F.when(F.col("new"), F.col("f")).alias("first_article"))
 
 
+@query(f"WITH RECURSIVE {_ASSIGN_NEW} SELECT article_id, min(article_id) OVER (PARTITION BY founder) AS first_article FROM placed")
+def assign_windows(t: EngineTables) -> DataFrame:
+    """The default mode where no component fits one task: windows of articles, in order."""
+    none, params = t.membership.limit(0), replace(LOOSE, component_cap=1)
+    return _grouped(cluster.assign(t.articles, t.vectors, none, t.clusters.limit(0), cluster.at(AS_OF), params)[0])
+
+
 @query(f"""
 WITH RECURSIVE {_ASSIGN.format(start=_OLD_SUMS, loose=" AND article_id NOT IN (SELECT article_id FROM membership)")}
 SELECT count(*) AS attached, count(DISTINCT founder) FILTER (WHERE founder >= 0) AS created, any_value(n) AS evaluated, any_value(n) - count(*) AS unmatched FROM placed, (SELECT count(*) AS n FROM v)
