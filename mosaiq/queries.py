@@ -239,6 +239,27 @@ def page_body_floor(t: EngineTables) -> DataFrame:
     return t.pages.select("page_id", text.main_content(F.col("html")).alias("body"))
 
 
+#: Pages without their article elements.
+_DUCK_CLEAN = "regexp_replace(html, '(?i)<(/?)(article|main)\\b', '<\\1div', 'g')"
+_DUCK_CLEAN = f"regexp_replace({_DUCK_CLEAN}, '<(nav|aside|form|footer|header)\\b[^>]*>.*?</(nav|aside|form|footer|header)>', ' ', 'gis')"
+_DUCK_CLEAN = f"regexp_replace(regexp_replace({_DUCK_CLEAN}, '<!--.*?-->', ' ', 'gs'), '<(script|style|template)\\b[^>]*>.*?</(script|style|template)>', ' ', 'gis')"
+_DUCK_LENGTH = "length(trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '[\\s\\x{{A0}}]+', ' ', 'g')))"
+
+
+@query(f"""
+WITH blocks AS (SELECT page_id, generate_subscripts(b, 1) AS i, unnest(b) AS block FROM (SELECT page_id, regexp_split_to_array({_DUCK_CLEAN}, '{text._BLOCKS}') AS b FROM pages)),
+scored AS (SELECT *, CASE WHEN {_DUCK_LENGTH.format("block")} = 0 THEN 0 ELSE 3 * {_DUCK_LENGTH.format("regexp_replace(block, '(?is)<a\\b[^>]*>.*?</a>', ' ', 'g')")} - 2 * {_DUCK_LENGTH.format("block")} - {text._BLOCK_COST} END AS x FROM blocks),
+summed AS (SELECT *, sum(x) OVER (PARTITION BY page_id ORDER BY i) AS p FROM scored),
+reached AS (SELECT *, p - least(0, coalesce(min(p) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM summed),
+ends AS (SELECT page_id, arg_max(i, (best, -i)) AS last, max(best) AS best, arg_max(p, (best, -i)) AS p FROM reached GROUP BY 1),
+windows AS (SELECT e.page_id, e.last, e.best, coalesce(max(s.i), 0) + 1 AS first FROM ends e LEFT JOIN summed s ON s.page_id = e.page_id AND s.i < e.last AND s.p = e.p - e.best GROUP BY 1, 2, 3),
+bodies AS (SELECT w.page_id, string_agg(block, ' ' ORDER BY i) AS body FROM windows w JOIN blocks b ON b.page_id = w.page_id AND b.i BETWEEN w.first AND w.last WHERE w.best > 0 GROUP BY 1)
+SELECT page_id, CASE WHEN length(text) >= 500 THEN text END AS body FROM pages LEFT JOIN (SELECT page_id, {_duck_text("body")} AS text FROM bodies) USING (page_id)
+""")
+def densest_block(t: EngineTables) -> DataFrame:
+    return t.pages.select("page_id", text.main_content(F.regexp_replace("html", r"(?i)<(/?)(article|main)\b", "<$1div")).alias("body"))
+
+
 _RULES = """SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, 1 AS rank, '/fr/' AS prefix, false AS allow FROM pages WHERE page_id % 2 = 0
 UNION ALL SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 2, '/', true FROM pages WHERE page_id % 3 = 0
 UNION ALL SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 3, '/en/', false FROM pages WHERE page_id % 5 = 0"""
