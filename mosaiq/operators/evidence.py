@@ -35,14 +35,36 @@ def terms(text: Column) -> Column:
     )
 
 
-def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return docs.select(*keys, F.explode(terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, keys: list[str], text: str = "text", whole: bool = False) -> DataFrame:
+    """keys, term, tf. whole: a key has one document (or few), so texts go to their key's partition before they are cut into
+    terms, which are many times as large and then need no shuffle of their own."""
+    rows = docs.select(*keys, text)
+    return (rows.repartition(*keys) if whole else rows).select(*keys, F.explode(terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
+def day_terms(docs: DataFrame, key: str, day: Column, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What a vocabulary needs of some documents, to be added to what is known of others: (day, term, df), in how many
+    documents of a day each term is, and (day, n_docs). No document may be counted twice."""
+    rows = docs.select(key, day.cast("date").alias("day"), text)
+    terms_of = term_counts(rows, [key, "day"], text, whole=True)
+    return terms_of.groupBy("day", "term").agg(F.count("*").alias("df")), rows.groupBy("day").agg(F.count("*").alias("n_docs"))
+
+
+def merged_vocabulary(terms_by_day: DataFrame, docs_by_day: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The vocabulary of all documents that were counted by day_terms(), in any number of rows a day: a refit reads these
+    counts, not the documents."""
+    counts = terms_by_day.groupBy("term").agg(F.sum("df").alias("df"))
+    return _vocabulary(counts, docs_by_day.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs")), params)
 
 
 def vocabulary_of(counts: DataFrame, n_docs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """term, df, n_docs, idf from counts (a document's key, term, tf) and the number of documents (one row, n_docs);
     rare and common terms are left out once the corpus is large enough."""
-    both = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))  # one row, joined to each term
+    return _vocabulary(counts.groupBy("term").agg(F.count("*").alias("df")), n_docs, params)
+
+
+def _vocabulary(frequencies: DataFrame, n_docs: DataFrame, params: Params) -> DataFrame:
+    both = frequencies.crossJoin(F.broadcast(n_docs))  # one row, joined to each term
     few = F.col("n_docs") < params.min_corpus
     kept = both.filter(few | ((F.col("df") >= 3) & (F.col("df") <= 0.4 * F.col("n_docs"))))
     return kept.select("term", "df", "n_docs", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -50,7 +72,7 @@ def vocabulary_of(counts: DataFrame, n_docs: DataFrame, params: Params = DEFAULT
 
 def fit_vocabulary(docs: DataFrame, key: str, params: Params = DEFAULTS, text: str = "text") -> DataFrame:
     """vocabulary_of the documents."""
-    return vocabulary_of(term_counts(docs, [key], text), docs.select(F.count("*").alias("n_docs")), params)
+    return vocabulary_of(term_counts(docs, [key], text, whole=True), docs.select(F.count("*").alias("n_docs")), params)
 
 
 def needs_refit(docs: DataFrame, vocabulary: DataFrame, params: Params = DEFAULTS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import traceback
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,13 +27,14 @@ class State:
     outlets: DataFrame
     pages: DataFrame
     angles: DataFrame | None = None
-    log: list[tuple[str, str, str]] = field(default_factory=list)
+    log: list[tuple[str, str, str, str | None]] = field(default_factory=list)
 
     @staticmethod
     def begin(store: Store, outlets: DataFrame, pages: DataFrame, **tables: DataFrame) -> State:
         """A store's first versions, of the TABLES given."""
-        for name in TABLES:
-            store.replace(tables[name], name)
+        with store.commit() as c:
+            for name in TABLES:
+                c.replace(tables[name], name)
         return State(store, outlets, pages)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -54,16 +56,17 @@ def run_cycle(
     params: Params = DEFAULTS,
     vector_limit: int | None = None,
 ) -> DataFrame:
-    """Runs the steps in order and returns one row a step: step, status, detail. A failing step leaves the tables as
-    they were and doesn't stop the others, but synthesis only follows a successful fusion; delivery always runs."""
+    """Runs the steps in order and returns one row a step: step, status, detail, and the trace of an error. Each step changes
+    its tables by one commit, so a failing one leaves all of them as they were, whatever it had written; it doesn't stop the
+    others, but synthesis only follows a successful fusion; delivery always runs."""
     store = state.store
 
     def step(name: str, work: Callable[[], str]) -> bool:
         try:
-            state.log.append((name, "done", work()))
+            state.log.append((name, "done", work(), None))
             return True
         except Exception as e:  # noqa: BLE001  a step's failure is data
-            state.log.append((name, "failed", f"{type(e).__name__}: {e}"[:500]))
+            state.log.append((name, "failed", f"{type(e).__name__}: {e}"[:500], traceback.format_exc()))
             return False
 
     def do_ingest() -> str:
@@ -89,18 +92,22 @@ def run_cycle(
         clusters = state.clusters
         placed, born = cluster.assign(state.articles, state.vectors, state.membership, clusters, as_of, params)
         placed, born = written(placed, "placed"), written(born.select(*clusters.columns), "born")
-        store.append(born, "clusters")
-        store.append(placed, "membership")
+        with store.commit() as c:
+            c.append(born, "clusters")
+            c.append(placed, "membership")
         counts = cluster.run_counters(placed, born).first()
         freed(placed, born)
         return f"{counts['attached']} attached, {counts['created']} created"
 
     def do_fuse() -> str:
         clusters, membership, angles = cluster.fuse(state.clusters, state.membership, state.vectors, state.angles, as_of, params)
-        store.replace(membership, "membership")
-        store.replace(clusters, "clusters")
+        with store.commit() as c:
+            c.replace(membership, "membership")
+            c.replace(clusters, "clusters")
+            if angles is not None:
+                c.replace(angles, "angles")
         if angles is not None:
-            state.angles = store.replace(angles, "angles")
+            state.angles = store.read("angles")
         return ""
 
     def do_expire() -> str:
@@ -127,6 +134,5 @@ def run_cycle(
         if grouped:
             step("synthesise", lambda: synthesise(state) or "")
     step("deliver", do_deliver)
-    for name in (*TABLES, "angles"):
-        store.tidy(name)
-    return items.sparkSession.createDataFrame(state.log, "step string, status string, detail string")
+    store.tidy()
+    return items.sparkSession.createDataFrame(state.log, "step string, status string, detail string, trace string")

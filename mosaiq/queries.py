@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from mosaiq.functions import text, times, topics, urls, vectors
 from mosaiq.operators import cluster, components, delivery, evidence, ingest, reports, search, similarity, synthesis, vectorise
 from mosaiq.params import Params
+from mosaiq.plans.cycle import State, run_cycle
 from mosaiq.sources import feeds
 from mosaiq.sources.engine_tables import ORACLE_VIEWS, EngineTables
 from mosaiq.sources.store import Store
-from mosaiq.tables import shared_dir
+from mosaiq.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +86,18 @@ def cluster_listing(t: EngineTables) -> DataFrame:
     return found.select("cluster_id", stamp("created_at").alias("created"), "n_articles", joined("outlets").alias("outlet_names"), F.array_join(ids, "|").alias("article_ids"))
 
 
+_BY_STATE = "CASE WHEN cluster_id % 3 = 0 THEN 'processed' WHEN cluster_id % 3 = 1 THEN 'discarded' ELSE state END"
+
+
+@query(f"""
+WITH chosen AS (SELECT * FROM (SELECT cluster_id, created_at, {_BY_STATE} AS kind FROM clusters) WHERE kind = 'processed' ORDER BY created_at DESC, cluster_id DESC LIMIT 7)
+SELECT s.cluster_id, s.kind AS state, count(m.article_id) AS n_articles FROM chosen s LEFT JOIN members m USING (cluster_id) GROUP BY 1, 2
+""")
+def clusters_by_state(t: EngineTables) -> DataFrame:
+    stated = t.clusters.withColumn("state", F.expr(_BY_STATE))
+    return search.list_clusters(stated, t.membership, t.articles, t.outlets, "processed", 7).select("cluster_id", "state", "n_articles")
+
+
 @query("SELECT o.outlet_id, o.name, count(a.article_id) AS n_articles FROM outlets o LEFT JOIN articles a USING (outlet_id) GROUP BY o.outlet_id, o.name")
 def articles_per_outlet(t: EngineTables) -> DataFrame:
     counts = t.articles.groupBy("outlet_id").agg(F.count("*").alias("n_articles"))
@@ -236,7 +249,8 @@ _DUCK_BODY = f"regexp_replace({_DUCK_BODY}, '<(nav|aside|form|footer|header)\\b[
 
 @query(f"SELECT page_id, CASE WHEN length(body) >= 500 THEN body END AS body FROM (SELECT page_id, {_duck_text(_DUCK_BODY)} AS body FROM pages)")
 def page_body_floor(t: EngineTables) -> DataFrame:
-    return t.pages.select("page_id", text.main_content(F.col("html")).alias("body"))
+    bodies = feeds.page_bodies(t.pages.select(F.col("page_id").cast("string").alias("url"), "html"))
+    return bodies.select(F.col("url").cast(t.pages.schema["page_id"].dataType).alias("page_id"), F.col("page_body").alias("body"))
 
 
 #: Pages without their article elements.
@@ -277,6 +291,21 @@ def crawl_permission(t: EngineTables) -> DataFrame:
     return t.pages.join(judged, "url").select("page_id", "allowed")
 
 
+_UNREAD = "UNION ALL SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 9, CAST(NULL AS STRING), true FROM pages WHERE page_id % 11 = 0"
+
+
+@query(f"""
+WITH rules AS ({_RULES} {_UNREAD}),
+asked AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages),
+found AS (SELECT a.url, arg_min(r.allow, r.rank) FILTER (WHERE r.prefix IS NOT NULL) AS allow, bool_or(r.prefix IS NULL) AS unread FROM asked a JOIN rules r ON a.host = r.host AND (r.prefix IS NULL OR starts_with(a.path, r.prefix)) GROUP BY a.url)
+SELECT p.page_id, NOT coalesce(f.unread, false) AND coalesce(f.allow, true) AS allowed FROM pages p LEFT JOIN found f USING (url)
+""")
+def crawl_unreadable(t: EngineTables) -> DataFrame:
+    """Hosts whose rules can't be read allow nothing, whatever else is known of them."""
+    rules = t.spark.sql(f"{_RULES} {_UNREAD}".replace("FROM pages", "FROM {pages}"), pages=t.pages)
+    return t.pages.join(ingest.crawl_permission(t.pages.select("url").distinct(), rules), "url").select("page_id", "allowed")
+
+
 _BLANKS = "CASE WHEN article_id % 11 = 0 THEN '' WHEN article_id % 13 = 0 THEN NULL ELSE title END"
 
 
@@ -472,6 +501,19 @@ def vectorise_limited(t: EngineTables) -> DataFrame:
     return vectorise.encoded(waiting, similarity.hashing_encoder(16)).filter("size(embedding) = 16").select("article_id")
 
 
+@query("""
+SELECT article_id FROM vectors WHERE article_id % 2 = 0 UNION ALL (SELECT article_id FROM articles WHERE article_id NOT IN (SELECT article_id FROM vectors WHERE article_id % 2 = 0) ORDER BY article_id LIMIT 70)
+""")
+def vector_write_back(t: EngineTables) -> DataFrame:
+    """Two limited runs that add vectors to a store: each takes the next articles without one."""
+    store = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    store.replace(t.vectors.filter("article_id % 2 = 0"), "vectors")
+    for limit in (40, 30):
+        waiting = vectorise.pending(t.articles, store.read("vectors"), limit)
+        store.append(vectorise.encoded(waiting, similarity.hashing_encoder(64)), "vectors")
+    return store.read("vectors").select("article_id")
+
+
 @query("SELECT count(*) AS waiting, least(count(*), 40) AS taken FROM articles WHERE article_id NOT IN (SELECT article_id FROM vectors)")
 def pending_count(t: EngineTables) -> DataFrame:
     every, some = vectorise.pending_count(t.articles, t.vectors), vectorise.pending_count(t.articles, t.vectors, 40)
@@ -499,6 +541,19 @@ def knn_top10(t: EngineTables) -> DataFrame:
     return found.select("article_id", "title", "outlet", "published", "similarity")
 
 
+@query(f"""
+WITH q AS (SELECT embedding AS e FROM vectors WHERE article_id = 8),
+top AS (SELECT v.article_id, round({_DOT.format(a='v.embedding', b='q.e')} / sqrt({_DOT.format(a='v.embedding', b='v.embedding')} * {_DOT.format(a='q.e', b='q.e')}), 4) AS similarity
+        FROM vectors v, q WHERE v.article_id IN (SELECT article_id FROM membership WHERE cluster_id % 2 = 0) ORDER BY similarity DESC, v.article_id LIMIT 15)
+SELECT top.article_id, o.name AS outlet, similarity FROM top JOIN articles a USING (article_id) JOIN outlets o USING (outlet_id)
+""")
+def knn_clustered(t: EngineTables) -> DataFrame:
+    """Search among articles of some clusters alone."""
+    vector = t.vectors.filter("article_id = 8").first()["embedding"]
+    found = search.search(t.articles, t.vectors, t.outlets, F.lit([float(x) for x in vector]), 15, t.membership.filter("cluster_id % 2 = 0"))
+    return found.select("article_id", "outlet", "similarity")
+
+
 @query(f"""
 WITH every AS (SELECT q.article_id AS query_id, v.article_id, round({_DOT.format(a='q.embedding', b='v.embedding')}, 12) AS sim FROM vectors q, vectors v),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, article_id) AS rank FROM every)
@@ -742,6 +797,33 @@ def fuse_fixed_point(t: EngineTables) -> DataFrame:
     return _grouped(members)
 
 
+@query(f"WITH RECURSIVE {_ASSIGN_NEW}, {_FUSE.format(edges=_EDGES)} SELECT unnest(m) AS article_id, list_min(m) AS first_article FROM final")
+def cycle_membership(t: EngineTables) -> DataFrame:
+    """What a reader of the store sees after a whole cycle that finds no new items, but all articles loose."""
+    store = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    state = State.begin(store, t.outlets, feeds.page_bodies(t.pages), articles=t.articles, vectors=t.vectors, membership=t.membership.limit(0), clusters=t.clusters.limit(0))
+    log = run_cycle(state, t.articles.limit(0), cluster.at(AS_OF), similarity.hashing_encoder(64), params=LOOSE, vector_limit=0)
+    if failed := log.filter("status <> 'done'").collect():
+        raise RuntimeError(failed[0]["trace"])
+    return _grouped(store.read("membership"))
+
+
+#: Open clusters' articles as they are, and the marks of those that fuse.
+_FUSED_MARKS = f"""
+placed AS (SELECT article_id, cluster_id AS founder FROM membership WHERE cluster_id IN (SELECT cluster_id FROM clusters WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR)),
+{_FUSE.format(edges=_EDGES)},
+fused AS (SELECT row_number() OVER () AS g, m FROM final),
+parts AS (SELECT DISTINCT g, cluster_id FROM (SELECT g, unnest(m) AS article_id FROM fused) JOIN membership USING (article_id)),
+heads AS (SELECT g, arg_min(cluster_id, (created_at, cluster_id)) AS cluster_id, max(articles_at_synthesis) AS mark FROM parts JOIN clusters USING (cluster_id) GROUP BY g)"""
+
+
+@query(f"WITH RECURSIVE {_FUSED_MARKS} SELECT cluster_id, mark FROM heads UNION ALL SELECT cluster_id, articles_at_synthesis FROM clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM parts)")
+def fusion_marks(t: EngineTables) -> DataFrame:
+    """The clusters that are left after fusion, each with the greatest mark of its group."""
+    kept, _, _ = cluster.fuse(t.clusters, t.membership, t.vectors, None, cluster.at(AS_OF), LOOSE)
+    return kept.select("cluster_id", F.col("articles_at_synthesis").alias("mark"))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT doc_id AS u, (SELECT min(doc_id) FROM documents d2 WHERE md5(d2.text) = md5(d.text)) AS v FROM documents d)
 SELECT u AS node, v AS component FROM e WHERE u IN (SELECT u FROM e WHERE u <> v) OR u IN (SELECT v FROM e WHERE u <> v)
@@ -799,11 +881,24 @@ raw AS (SELECT article_id, term, (1 + ln(tf)) * idf AS x FROM tf JOIN idf USING
 SELECT article_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY article_id)), 6) AS weight FROM raw
 """)
 def tfidf_weights(t: EngineTables) -> DataFrame:
-    counts = evidence.term_counts(t.articles.select("article_id", F.col("body").alias("text")), ["article_id"])
+    counts = written(evidence.term_counts(t.articles.select("article_id", F.col("body").alias("text")), ["article_id"], whole=True), "counts")
     vocabulary = evidence.vocabulary_of(counts, t.articles.select(F.count("*").alias("n_docs")))
     return evidence.weighted(counts, ["article_id"], vocabulary).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def vocabulary_by_day(t: EngineTables) -> DataFrame:
+    """A store takes the counts of three batches of articles, and the vocabulary comes from these alone."""
+    store = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    docs = t.articles.select("article_id", "published_at", F.col("body").alias("text"))
+    for batch in range(3):
+        terms, days = evidence.day_terms(docs.filter(F.col("article_id") % 3 == batch), "article_id", F.col("published_at"))
+        with store.commit("articles", batch) as c:
+            c.append(terms, "day_terms")
+            c.append(days, "day_docs")
+    return evidence.merged_vocabulary(store.read("day_terms"), store.read("day_docs")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query("SELECT count(*) AS n_docs, (SELECT count(*) FROM articles WHERE article_id % 5 > 0) AS trained_on, count(*) > (SELECT count(*) FROM articles WHERE article_id % 5 > 0) * 1.2 AS refit FROM articles")
 def vocabulary_refit(t: EngineTables) -> DataFrame:
     docs = t.articles.select("article_id", F.col("title").alias("text"))
@@ -819,7 +914,7 @@ many AS (SELECT cluster_id, count(DISTINCT outlet_id) AS n_outlets FROM weights
 
 def _weights(t: EngineTables) -> DataFrame:
     """Weights of the terms of each outlet of a cluster, whose articles count together."""
-    counts = evidence.term_counts(t.articles.select("article_id", F.col("body").alias("text")), ["article_id"])
+    counts = written(evidence.term_counts(t.articles.select("article_id", F.col("body").alias("text")), ["article_id"], whole=True), "counts")
     vocabulary = evidence.vocabulary_of(counts, t.articles.select(F.count("*").alias("n_docs")))
     members = t.membership.join(t.articles.select("article_id", "outlet_id"), "article_id")
     of_outlets = counts.join(members, "article_id").groupBy("cluster_id", "outlet_id", "term").agg(F.sum("tf").alias("tf"))

@@ -261,13 +261,12 @@ def test_store(spark, tmp_path):
     assert seen(store.append(rows(2), "t")) == [1, 2]
     assert seen(store.replace(rows(3), "t")) == [3]
     assert seen(store.append(rows(4), "t")) == [3, 4]
-    # an incomplete write is never seen, and its number isn't used again
-    rows(5).write.parquet(f"file://{tmp_path}/store/t/whole-000000005")
-    (tmp_path / "store/t/whole-000000005/_SUCCESS").unlink()
+    # a write that no manifest names is never seen, and goes
+    rows(5).write.parquet(f"file://{tmp_path}/store/data/t/unfinished")
     assert seen(store.read("t")) == [3, 4]
     assert seen(store.append(rows(6), "t")) == [3, 4, 6]
-    store.tidy("t")
-    assert seen(store.read("t")) == [3, 4, 6] and len(list((tmp_path / "store/t").iterdir())) == 4
+    store.tidy()
+    assert seen(store.read("t")) == [3, 4, 6] and len(list((tmp_path / "store/data/t").iterdir())) == 3
 
 
 def test_cycle(spark, tmp_path):
@@ -281,7 +280,7 @@ def test_cycle(spark, tmp_path):
     assert set(log) == {"ingest", "vectorise", "close", "assign", "fuse", "expire", "synthesise", "deliver"} and set(log.values()) == {"done"}
     assert state.articles.count() == 9 and state.vectors.count() == 9 and state.membership.count() > 0
     # articles and vectors were only added to
-    assert [x.split("-")[0] for x in store.live("articles")] == ["whole", "part"]
+    assert [x["level"] for x in store.parts("articles")] == [None, 0]
     # another process goes on from the store
     later = State(Store(spark, f"file://{tmp_path}/store"), outlets, pages)
     again = {r.step: r.detail for r in run_cycle(later, items, cluster.at(NOW), hashing_encoder(64), vector_limit=5).collect()}
