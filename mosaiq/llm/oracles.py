@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm.quality import BOILERPLATE, CALLS, NAVIGATION, TERMINAL, LineRules
+from mosaiq.llm.quality import NAVIGATION, PHRASES, SEPARATORS, STOPS, TERMINAL, LineRules
 from mosaiq.llm.sharding import BUCKETS
 
 _RULES = LineRules()
@@ -20,13 +20,14 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(3) r(k
 each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM words),
 measured AS (
     SELECT *, trim(line, {_WS}) AS bare, len(regexp_extract_all(line, '{_WORD}')) AS n, length(line) - length(regexp_replace(line, '{_SYMBOL}', '', 'g')) AS symbols,
-           row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS copy FROM each
+           row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS copy,
+           contains('{STOPS}', right(trim(line, {_WS}), 1)) AS stopped, regexp_extract_all(line, '(?i){PHRASES}') AS found FROM each
 ),
 lost AS (
     SELECT doc_id, sum(n) AS n FROM measured
     WHERE copy > 1 OR (NOT contains('{_TERMINAL}', right(bare, 1)) AND n < {_RULES.short_line}) OR (symbols > 0 AND symbols >= {_RULES.symbols_per_word} * n)
-       OR (n <= {_RULES.boilerplate_words} AND (regexp_matches(bare, '(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{BOILERPLATE})(?:$|[^\p{{L}}\p{{N}}])') OR regexp_matches(bare, '(?i){NAVIGATION}')))
-       OR (n <= {_RULES.call_words} AND regexp_matches(bare, '(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{CALLS})(?:$|[^\p{{L}}\p{{N}}])'))
+       OR (n <= {_RULES.boilerplate_words} AND (regexp_matches(bare, '(?i){NAVIGATION}') OR (NOT stopped AND NOT contains(bare, '«') AND len(regexp_extract_all(bare, '{SEPARATORS}')) > 1)
+           OR len(found) > 1 OR (len(found) = 1 AND (2 * len(regexp_extract_all(found[1], '{_WORD}')) >= n OR (n <= {_RULES.call_words} AND NOT stopped)))))
     GROUP BY doc_id
 ),
 base AS (

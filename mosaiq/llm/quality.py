@@ -23,31 +23,40 @@ from mosaiq.llm.common import WS, slices
 
 SYMBOLS = "#*$%&|<>"
 #: Ends of a sentence or clause, in several scripts; phrases of page furniture in English, German, French and
-#: Spanish, that no running text has; calls to the reader, which furniture has alone on short lines; entries of menus.
+#: Spanish; calls to the reader; entries of menus. Running text has the phrases and calls, too, so how much of a line they
+#: make up decides.
 TERMINAL = ".!?…:;,\"'”’»)]}。！？：；，、」』）।॥؟۔"
+STOPS = ".!?…。！？।॥؟۔"
 BOILERPLATE = (
-    "all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|accept (?:all )?cookies|enable javascript|lorem ipsum|subscribe to our|powered by|"
-    "alle rechte vorbehalten|datenschutzerkl(?:ä|Ä|ae)rung|nutzungsbedingungen|cookies akzeptieren|javascript aktivieren|newsletter abonnieren|"
-    "tous droits r[eéÉ]serv[eéÉ]s|politique de confidentialit[eéÉ]|conditions d.utilisation|accepter les cookies|activer javascript|mentions l[eéÉ]gales|"
-    "todos los derechos reservados|pol[iíÍ]tica de (?:privacidad|cookies)|t[eéÉ]rminos de uso|aceptar (?:las )?cookies|activar javascript|aviso legal"
+    "all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|accept (?:all )?cookies|we use cookies|enable javascript|lorem ipsum|subscribe to our|powered by|"
+    "alle rechte vorbehalten|datenschutzerkl(?:ä|Ä|ae)rung|nutzungsbedingungen|cookies akzeptieren|wir verwenden cookies|javascript aktivieren|newsletter abonnieren|"
+    "tous droits r[eéÉ]serv[eéÉ]s|politique de confidentialit[eéÉ]|conditions d.utilisation|accepter les cookies|nous utilisons des cookies|activer javascript|mentions l[eéÉ]gales|"
+    "todos los derechos reservados|pol[iíÍ]tica de (?:privacidad|cookies)|t[eéÉ]rminos de uso|aceptar (?:las )?cookies|(?:usamos|utilizamos) cookies|activar javascript|aviso legal"
 )
 CALLS = (
     "click here|sign (?:in|up)|log ?in|subscribe now|share this|read more|skip to (?:main )?content|back to top|"
-    "hier klicken|jetzt anmelden|einloggen|registrieren|artikel teilen|weiterlesen|zum inhalt springen|nach oben|"
+    "hier klicken|finden sie hier|jetzt anmelden|einloggen|registrieren|artikel teilen|weiterlesen|zum inhalt springen|nach oben|"
     "cliquez ici|se connecter|s.inscrire|partager|lire la suite|aller au contenu|haut de page|"
     "haga clic aqu[iíÍ]|iniciar sesi[oóÓ]n|reg[iíÍ]strate|compartir|leer m[aáÁ]s|saltar al contenido|volver arriba"
 )
 NAVIGATION = (
     "^(?:home|menu|search|next|previous|contact us|about us|sitemap|startseite|suche|weiter|kontakt|impressum|accueil|rechercher|suivant|contactez-nous|"
-    "inicio|buscar|siguiente|anterior|contacto)$|[»›→•·].*[»›→•·]"
+    "inicio|buscar|siguiente|anterior|contacto)$"
 )
+#: Phrases as whole words, for engines without look-around: a word's end is one of ASCII letters, or the accented letter that
+#: a phrase ends with.
+PHRASES = f"\\b(?:(?:{BOILERPLATE}|{CALLS})\\b|haga clic aqu[íÍ]|politique de confidentialit[éÉ])"
+#: Marks between entries of a menu stand between blanks; a closing quotation mark is none where there is an opening one.
+SEPARATORS = "(?:^|[\\x20\\x09])[›→•·»](?:[\\x20\\x09]|$)"
 
 
 @dataclass(frozen=True)
 class LineRules:
     """short_line: lines of fewer words need an end of sentence. symbols_per_word: at least so many symbols a word
-    make a line junk. boilerplate_words, call_words: a line of at most so many words is judged by the phrases, the calls.
-    most_lost: the share of words that a document may lose with its failing lines."""
+    make a line junk. boilerplate_words: a line of at most so many words is furniture if it has two phrases, or one that is
+    half of its words, or if it has two separators and no stop at its end; call_words: a line of at most so many words
+    without a stop at its end if it has a phrase at all. most_lost: the share of words that a document may lose with its
+    failing lines."""
 
     short_line: int = 5
     symbols_per_word: float = 0.3
@@ -58,9 +67,9 @@ class LineRules:
     most_repeated: float = 0.5
 
 
-#: Whole words: letters of any script around a phrase make it another word.
-_BOILER, _CALL = (re.compile(rf"(?<![^\W_])(?:{x})(?![^\W_])", re.IGNORECASE) for x in (BOILERPLATE, CALLS))
+_PHRASE = re.compile(PHRASES, re.IGNORECASE | re.ASCII)
 _NAV = re.compile(NAVIGATION, re.IGNORECASE | re.ASCII)
+_SEPARATOR = re.compile(SEPARATORS)
 _SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
 
 
@@ -73,9 +82,13 @@ def line_fails(line: str, rules: LineRules = LineRules()) -> bool:
     if "|" in bare or _SYMBOL.search(bare):
         if len(_SYMBOL.findall(bare)) >= rules.symbols_per_word * words:
             return True
-    if words <= rules.boilerplate_words and (_BOILER.search(bare) or _NAV.search(bare)):
+    if words > rules.boilerplate_words:
+        return False
+    stopped = bare[-1] in STOPS
+    if _NAV.search(bare) or (not stopped and "«" not in bare and len(_SEPARATOR.findall(bare)) > 1):
         return True
-    return words <= rules.call_words and bool(_CALL.search(bare))
+    found = _PHRASE.findall(bare)
+    return len(found) > 1 or (bool(found) and (2 * len(found[0].split()) >= words or (words <= rules.call_words and not stopped)))
 
 
 def clean(text: str, rules: LineRules = LineRules()) -> tuple[str, int]:

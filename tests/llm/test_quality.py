@@ -58,3 +58,26 @@ def test_phrases_are_words_in_four_languages():
         assert not quality.line_fails(line), line
     for line in ["© 2024 ACME. All rights reserved.", "Read more", "Log in | Sign up", "Alle Rechte vorbehalten.", "Unsere Datenschutzerklärung finden Sie hier.", "Weiterlesen »", "Tous droits réservés.", "Lire la suite…", "Accueil", "Todos los derechos reservados.", "LEER MÁS!", "Inicio", "Política de privacidad."]:
         assert quality.line_fails(line), line
+
+
+def test_clean_prose_with_the_phrases_stays():
+    for line in [
+        "The village is now powered by solar panels on every roof.", "The company said it would rewrite its privacy policy after the fine.", "The court read the terms of service aloud before the jury retired.",
+        "She told him to read more.", "You can sign up at the town hall until Friday evening.", "He asked them to log in before noon, and they did.",
+        "Das Buch handelt von »Faust« und dem »Zauberberg« in einer langen Erzählung.", "Die Nutzungsbedingungen des Vereins wurden gestern im Rat verlesen.", "Sie wollte an diesem Abend noch weiterlesen.",
+        "Il a dit «oui» puis «non» avant de quitter la salle.", "Il a dit « oui » puis « non » avant de quitter la salle", "Elle voulait partager le repas avec ses voisins.",
+        "El aviso legal fue publicado ayer por el gobierno.", "Hay que compartir.", "El col·legi va il·lustrar el llibre amb dibuixos dels alumnes", "Les hores de l'excel·lent goril·la al zoo",
+        "A line of prose that was wrapped by hand has the privacy policy in it and no stop",
+    ]:
+        assert not quality.line_fails(line), line
+
+
+def test_a_document_of_quotations_is_kept(spark):
+    text = "\n".join(f"Am Tag {i} las er »Faust{i}« und dann »Der Zauberberg{i}« bis in die Nacht hinein{i}." for i in range(20))
+    row = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.kept and row.lost_words == 0
+
+
+def test_menus_fail():
+    for line in ["Home › News › Sport › Weather today", "Start » Politik » Inland » Berlin und Umgebung", "One • two • three • four • five", "We use cookies. Read our privacy policy.", "Please accept all cookies to continue.", "Haga clic aquí", "Subscribe to our newsletter today"]:
+        assert quality.line_fails(line), line
