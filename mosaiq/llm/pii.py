@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import text_or_empty, unwrapped, wrapped
-from mosaiq.llm.spans import located, matches
+from mosaiq.llm.spans import let, located, matches
 
 _DAY = "(?:[12][0-9]|3[01]|[1-9])"
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -43,10 +43,6 @@ KINDS = tuple(PATTERNS)
 ROUNDS = 8
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def prf(key: str, kind: str, i: int, value: Column, modulus: Column) -> Column:
     """A keyed pseudo-random number in [0, modulus): 60 bits of SHA-256."""
     digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|{i}|"), value.cast("string")), 256)
@@ -307,13 +303,16 @@ def pseudonym(kind: Column, value: Column, key: str, undo: bool = False) -> Colu
 def mask(docs: DataFrame, key: str) -> DataFrame:
     """docs with entities (as of find) and masked_text, in which each entity is its pseudonym."""
     text = text_or_empty()
-    found = _entities(docs).withColumn("new", F.transform("entities", lambda e: pseudonym(e["kind"], e["value"], key)))
-    # pieces of the text between the entities, and the pseudonyms between the pieces
-    n = F.size("entities")
-    piece = lambda i: F.substring(
-        text,
-        F.when(i > 0, F.get(F.col("entities"), i - 1)["end"]).otherwise(0) + 1,
-        F.when(i < n, F.get(F.col("entities"), i)["start"]).otherwise(F.length(text)) - F.when(i > 0, F.get(F.col("entities"), i - 1)["end"]).otherwise(0),
-    )
-    joined = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(piece(i), F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
-    return unwrapped(found, docs.columns, {"entities": F.col("entities"), "masked_text": F.when(n > 0, joined).otherwise(text)})
+    found = _entities(docs)
+
+    def joined(x: Column) -> Column:
+        """Pieces of the text between the entities, and the pseudonyms between the pieces."""
+        n = F.size(x["entities"])
+        end = lambda i: F.when(i > 0, F.get(x["entities"], i - 1)["end"]).otherwise(0)
+        piece = lambda i: let(end(i), lambda at: F.substring(text, at + 1, F.when(i < n, F.get(x["entities"], i)["start"]).otherwise(F.length(text)) - at))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(piece(i), F.coalesce(F.get(x["new"], i), F.lit("")))), "")
+
+    # bound together: a column named in a lambda may be evaluated for each of its elements
+    parts = F.struct("entities", F.transform("entities", lambda e: pseudonym(e["kind"], e["value"], key)).alias("new"))
+    masked = F.when(F.size("entities") > 0, let(parts, joined)).otherwise(text)
+    return unwrapped(found, docs.columns, {"entities": F.col("entities"), "masked_text": masked})

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import text_or_empty, unwrapped, wrapped
-from mosaiq.llm.spans import SPAN, located, matches
+from mosaiq.llm.spans import SPAN, let, located, matches
 
 #: The patterns of the base kinds. Failing matches are dropped after matching, but for hex, whose
 #: maximal runs are the same either way.
@@ -88,11 +88,6 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _pairs(values: Column, f: Callable[[Column, Column], Column]) -> Column:
     """The sum of f over neighbours."""
     return _sum(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), f))
