@@ -3,10 +3,12 @@
 Each task splits its texts into words by the vocabulary's pattern and encodes the distinct words that its worker
 has not met. Words are cut where no token of the vocabulary could reach across. A recursive query holds
 token-position rows of the parts, joins neighbouring tokens with the merge table, contracts the leftmost pair of
-least rank of each part, and goes on until no part has a mergeable pair. In long parts a round contracts all pairs
-of least rank that don't overlap, from the left, where no merge of the new token has a lower rank (else the
-leftmost alone), so that the rounds don't grow with the length. Decoding joins token rows with the vocabulary and
-aggregates the bytes in the order of their positions.
+least rank of each part, and goes on until no part has a mergeable pair. Long parts are cut into pieces, which go
+through the same query, so that the rounds don't grow with the length; then their seams are mended. A sequence of
+tokens is the encoding of its bytes if each two neighbours are that of theirs, so a seam holds where its two tokens
+do; where they don't, the tokens around it, twice as many each time, are encoded anew, and the ends of what was
+encoded are seams in turn. Decoding joins token rows with the vocabulary and aggregates the bytes in the order of
+their positions.
 
 Memory is bounded: words go to DuckDB in groups of bounded bytes, decoding takes bounded tokens at a time, and a
 worker's table of known words is emptied at a size limit.
@@ -29,10 +31,11 @@ WORD_BYTES = 4 << 20
 #: A worker forgets its known words, and apart from them its known stretches of text, beyond so many.
 KNOWN_WORDS = 900_000
 KNOWN_UNITS = 500_000
+KNOWN_PAIRS = 200_000
 #: So many tokens are decoded at a time.
 DECODE_TOKENS = 2_000_000
 
-#: Parts of so many bytes are merged by MERGE_LONG.
+#: Parts of so many bytes are cut into pieces of half of them or more.
 LONG = 64
 
 #: pos: where a token's bytes begin among those of all parts; its right neighbour begins where they end.
@@ -60,31 +63,6 @@ WITH RECURSIVE step(part, pos, tok, len, done) AS (
 SELECT pos, tok FROM step WHERE done
 """
 
-#: chosen: of each run of neighbouring pairs of least rank, the first, third, and so on.
-MERGE_LONG = """
-WITH RECURSIVE step(part, pos, tok, done) AS (
-    SELECT part, pos, tok, false FROM start
-    UNION ALL
-    SELECT part, pos, tok, done FROM (
-        WITH live AS (
-            SELECT part, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos, row_number() OVER w AS i
-            FROM step WHERE NOT done WINDOW w AS (PARTITION BY part ORDER BY pos)
-        ),
-        pairs AS (SELECT l.part, l.pos, l.next_pos, l.i, m.merged, m.safe FROM live l JOIN merges m ON m.pair = l.tok::BIGINT * 65536 + l.next_tok),
-        best AS (SELECT part, min(merged) AS merged, arg_min(pos, merged::BIGINT * 4294967296 + pos) AS first FROM pairs GROUP BY part),
-        hits AS (
-            SELECT p.part, p.pos, p.next_pos, p.merged, p.i - row_number() OVER (PARTITION BY p.part ORDER BY p.pos) AS run
-            FROM pairs p JOIN best b ON b.part = p.part AND b.merged = p.merged WHERE p.safe OR p.pos = b.first
-        ),
-        chosen AS (SELECT pos, next_pos, merged FROM hits QUALIFY row_number() OVER (PARTITION BY part, run ORDER BY pos) % 2 = 1)
-        SELECT l.part, l.pos, coalesce(c.merged, l.tok) AS tok, b.part IS NULL AS done
-        FROM live l LEFT JOIN chosen c ON c.pos = l.pos LEFT JOIN best b ON b.part = l.part
-        WHERE l.pos NOT IN (SELECT next_pos FROM chosen)
-    )
-)
-SELECT pos, tok FROM step WHERE done
-"""
-
 #: The rows come in order, and one thread aggregates them as they come.
 DECODE = """
 SELECT seq, string_agg(chars, '') AS chars FROM (SELECT seq, chars FROM rows JOIN vocabulary USING (tok) ORDER BY pos) GROUP BY seq ORDER BY seq
@@ -135,14 +113,12 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         self.doubled = regex.compile(r"\s\x20").search
         self.words, self.units = Known(), Known()
+        #: Whether the bytes of two tokens have these two as their encoding.
+        self.holds: dict[tuple[int, int], bool] = {}
         ranks = self.ranks
         # a pair merges if its bytes together are a token, whose rank is the pair's
         pairs = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, m = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        # the least rank that a merge of each token has
-        least = np.full(max(ranks.values()) + 1, 1 << 30)
-        np.minimum.at(least, l, m)
-        np.minimum.at(least, r, m)
         self.bytes_of = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         # which two bytes are a token, and which three stand in one
         self.two, self.three = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
@@ -153,7 +129,7 @@ class Bpe:
             self.three[x[:-2] << 16 | x[1:-1] << 8 | x[2:]] = True
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
         self.db.execute("SET temp_directory = ''")
-        merges = pa.table({"pair": l * 65536 + r, "merged": m.astype(np.int32), "safe": least[m] > m})  # noqa: F841
+        merges = pa.table({"pair": l * 65536 + r, "merged": m.astype(np.int32)})  # noqa: F841
         # a byte as the character of its number
         tokens = pa.table({"tok": pa.array(np.fromiter(ranks.values(), np.int32)), "chars": [t.decode("latin-1") for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
@@ -227,19 +203,83 @@ class Bpe:
         first = np.zeros(len(raw), bool)
         first[np.cumsum(sizes) - sizes] = True
         begins = self._parts(raw, first)
-        part = np.cumsum(begins) - 1
-        long = np.diff(np.append(np.flatnonzero(begins), len(raw)))[part] >= LONG
-        found = []
-        for sql, chosen in ((MERGE, ~long), (MERGE_LONG, long)):
-            at = np.flatnonzero(chosen)
-            if len(at):
-                start = pa.table({"part": part[at], "pos": at, "tok": self.bytes_of[raw[at]]})  # noqa: F841
-                out = self.db.sql(sql).to_arrow_table()
-                found.append((out["pos"].to_numpy(), out["tok"].to_numpy()))
-        pos, tok = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(pos)
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.append(starts, len(raw)))
+        # whole pieces, the last of which has what is left over
+        offset = np.arange(len(raw)) - np.repeat(starts, lengths)
+        cut = (offset % (LONG // 2) == 0) & (offset > 0) & (np.repeat(lengths, lengths) - offset >= LONG // 2) & np.repeat(lengths >= LONG, lengths)
+        pos, tok = self._contract(raw, begins | cut)
+        if cut.any():
+            pos, tok = self._mended(raw, begins, pos, tok, np.flatnonzero(cut))
         word = np.repeat(np.array([i for i, _ in group], np.int64), sizes)
-        return word[pos[order]], tok[order]
+        return word[pos], tok
+
+    def _contract(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of every token, in order, of parts that are encoded apart."""
+        start = pa.table({"part": np.cumsum(begins) - 1, "pos": np.arange(len(raw)), "tok": self.bytes_of[raw]})  # noqa: F841
+        out = self.db.sql(MERGE).to_arrow_table()
+        pos, tok = out["pos"].to_numpy(), out["tok"].to_numpy()
+        order = np.argsort(pos)
+        return pos[order], tok[order]
+
+    def _mended(self, raw: np.ndarray, begins: np.ndarray, pos: np.ndarray, tok: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the parts (begins), from those (pos, tok) of pieces of them, which begin at the cuts, too."""
+        part_of = np.cumsum(begins)
+        pending = dict.fromkeys(cuts.tolist(), 2)  # seams, and how many tokens on each side are encoded anew
+        while pending:
+            ends = np.append(pos[1:], len(raw))
+            index = dict(zip(pos.tolist(), range(len(pos)), strict=True))
+            spans = {at: (int(pos[index[at] - 1]), int(ends[index[at]])) for at in pending}
+            pairs = list({(int(tok[index[at] - 1]), int(tok[index[at]])): raw[a:b].tobytes() for at, (a, b) in spans.items()}.items())
+            fresh = [x for x in pairs if x[0] not in self.holds]
+            if len(self.holds) > KNOWN_PAIRS:
+                self.holds = {}
+                fresh = pairs
+            for (pair, _), tokens in zip(fresh, self._each([x for _, x in fresh]), strict=True):
+                self.holds[pair] = tokens[1].tolist() == list(pair)
+            broken = sorted(at for at in pending if not self.holds[int(tok[index[at] - 1]), int(tok[index[at]])])
+            waiting: dict[int, int] = {}
+            windows, last = [], -1
+            for at in broken:
+                i, k = index[at], pending[at]
+                lo, hi = max(i - k, 0), min(i + k, len(pos))
+                own = part_of[at]
+                while part_of[pos[lo]] != own:
+                    lo += 1
+                while part_of[pos[hi - 1]] != own:
+                    hi -= 1
+                if lo < last:
+                    waiting[at] = k  # after the window before it
+                    continue
+                last = hi
+                windows.append((lo, hi, k))
+            found = self._each([raw[pos[lo] : ends[hi - 1]].tobytes() for lo, hi, _ in windows])
+            new_pos, new_tok, done = [], [], 0
+            for (lo, hi, k), (places, tokens) in zip(windows, found, strict=True):
+                new_pos += [pos[done:lo], pos[lo] + places]
+                new_tok += [tok[done:lo], tokens]
+                done = hi
+                inside = range(int(pos[lo]) + 1, int(ends[hi - 1]))
+                waiting = {at: n for at, n in waiting.items() if at not in inside}
+                for at in (int(pos[lo]), int(ends[hi - 1])):
+                    if at < len(raw) and not begins[at]:
+                        waiting[at] = max(2 * k, waiting.get(at, 0))
+            pos, tok = np.concatenate([*new_pos, pos[done:]]), np.concatenate([*new_tok, tok[done:]])
+            pending = waiting
+        return pos, tok
+
+    def _each(self, strings: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and tokens of each string, encoded as one part."""
+        if not strings:
+            return []
+        sizes = np.array([len(x) for x in strings])
+        first = np.cumsum(sizes) - sizes
+        raw = np.frombuffer(b"".join(strings), np.uint8)
+        begins = np.zeros(len(raw), bool)
+        begins[first] = True
+        pos, tok = self._contract(raw, begins)
+        at = np.searchsorted(pos, np.append(first, len(raw)))
+        return [(pos[a:b] - f, tok[a:b]) for a, b, f in zip(at[:-1], at[1:], first, strict=True)]
 
     def decode_batch(self, sequences: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids."""

@@ -46,6 +46,22 @@ def test_long_words(vocabulary):
     assert time.time() - began < 60
 
 
+def test_long_words_of_real_letters(vocabulary):
+    """Common words without spaces, and other sequences whose encoding reaches far over any cut."""
+    path, library = vocabulary
+    own, rng = bpe.load(path, P.PATTERN), random.Random(3)
+    common = "the house and water under light with people from state nation general information because through different government international development".split()
+    run = lambda n, words=common: "".join(rng.choices(words, k=n))
+    texts = [run(k) for k in (8, 30, 200, 700)] + [run(900, ["an", "na", "ban", "ana"]), run(800, ["ing", "in", "g", "ting"]), run(1500, ["a", "b", "ab", "aa"]), run(900, ["é", "ée", "e", "née"]), "the" * 3000, "ation" * 2000]
+    for text, (ids, _) in zip(texts, own.encode_batch(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
+    began = time.time()
+    text = run(32_000)
+    assert len(text) > 200_000
+    assert own.encode_batch([text])[0][0].tolist() == library.encode_ordinary(text)
+    assert time.time() - began < 60
+
+
 def test_groups_and_forgetting(monkeypatch, odd_texts):
     monkeypatch.setattr(bpe, "WORD_BYTES", 50)
     monkeypatch.setattr(bpe, "DECODE_TOKENS", 100)
