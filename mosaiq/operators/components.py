@@ -72,26 +72,78 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
 
 
-def first_independent(edges: DataFrame) -> DataFrame:
+#: Edges, or rows of keys, that one task decides in order.
+COMPONENT = 500_000
+
+
+def first_independent(edges: DataFrame, cap: int = COMPONENT) -> DataFrame:
     """node: those of the graph's nodes that have no chosen neighbour before them, chosen in the order of the nodes.
     edges: u < v of any type that has an order, each once.
 
-    By rounds: a node without undecided nodes before it is chosen, and its later neighbours go. Only chains of
-    neighbours need more than one round."""
-    left = edges.select("u", "v")
+    Up to `cap` edges are decided in one task, along the edges; of more, each connected component of up to so many. So chains
+    cost no more jobs than finding components does; only larger components go by rounds. Nodes are told apart by 64-bit
+    hashes."""
+    rows = written(edges.select("u", "v", F.xxhash64("u").alias("hu"), F.xxhash64("v").alias("hv")), "edges")
+    n = rows.count()
+    if not n:
+        return edges.select(F.col("u").alias("node"))
+    nodes = rows.select(F.col("u").alias("node"), F.col("hu").alias("h")).unionByName(rows.select(F.col("v").alias("node"), F.col("hv").alias("h"))).distinct()
+    if n <= cap:
+        chosen = rows.select(F.lit(0).alias("component"), "hu", "hv").repartition(1).mapInArrow(_first_chosen, "h long")
+        return nodes.join(chosen, "h", "left_semi").select("node")
+    parts = written(connected_components(rows, "hu", "hv"), "parts")
+    placed = rows.join(parts, rows.hu == parts.node).drop("node")
+    giant = written(placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("component"), "giant")
+    small = placed.join(F.broadcast(giant), "component", "left_anti")  # components over the cap: few
+    chosen = written(small.select("component", "hu", "hv").repartition("component").mapInArrow(_first_chosen, "h long"), "chosen")
+    out = nodes.join(chosen, "h", "left_semi").select("node")
+    if giant.limit(1).count():
+        out = out.unionByName(_by_rounds(placed.join(F.broadcast(giant), "component", "left_semi").select("u", "v")))
+    freed(parts, giant)
+    return out
+
+
+def _first_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h of the chosen nodes of whole components, each edge (hu, hv) from an earlier node to a later one: a node is decided
+    when all before it are."""
+    parts = [(b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    order = np.argsort(a, kind="stable")
+    first, later = np.searchsorted(a[order], np.arange(len(nodes) + 1)).tolist(), b[order].tolist()
+    waits, free = np.bincount(b, minlength=len(nodes)).tolist(), [True] * len(nodes)
+    ready = [i for i, n in enumerate(waits) if n == 0]
+    while ready:
+        i = ready.pop()
+        for j in later[first[i] : first[i + 1]]:
+            if free[i]:
+                free[j] = False
+            waits[j] -= 1
+            if waits[j] == 0:
+                ready.append(j)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[np.array(free, bool)])], ["h"])
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """first_independent of a graph of any size: a node without undecided nodes before it is chosen, and its later
+    neighbours go, and so on."""
+    left = written(edges.select("u", "v"), "left")
     chosen: list[DataFrame] = []
     while left.limit(1).count():
         later = left.select(F.col("v").alias("node")).distinct()
         first = written(left.select(F.col("u").alias("node")).distinct().join(later, "node", "left_anti"), "first")
-        gone = left.join(first, left.u == first.node, "left_semi").select(F.col("v").alias("node")).distinct()
-        # what is left: edges between undecided nodes, and undecided nodes without such edges as edges to themselves
+        gone = written(left.join(first, left.u == first.node, "left_semi").select(F.col("v").alias("node")).distinct(), "gone")
+        # what is left: edges between undecided nodes; undecided nodes without such edges are chosen
         rest = written(left.join(gone, left.u == gone.node, "left_anti").join(gone, F.col("v") == gone.node, "left_anti"), "left")
         alone = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(gone, "node", "left_anti").join(first, "node", "left_anti")
         alone = alone.join(rest.select(F.explode(F.array("u", "v")).alias("node")), "node", "left_anti")
         chosen += [first, written(alone, "alone")]
+        freed(left, gone)
         left = rest
-    if not chosen:
-        return edges.select(F.col("u").alias("node"))
+    freed(left)
     out = chosen[0]
     for more in chosen[1:]:
         out = out.unionByName(more)

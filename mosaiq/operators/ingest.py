@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions.text import is_live
 from mosaiq.functions.urls import host, path, usable
-from mosaiq.operators.components import SMALL
+from mosaiq.operators.components import COMPONENT, SMALL, connected_components
 from mosaiq.tables import freed, written
 
 
@@ -27,35 +27,52 @@ def new_to_store(batch: DataFrame, store: DataFrame) -> DataFrame:
     return batch.join(store.select("guid"), "guid", "left_anti").join(store.select("url"), "url", "left_anti")
 
 
-def first_of_duplicates(batch: DataFrame, order: str, small: int = SMALL) -> DataFrame:
+def first_of_duplicates(batch: DataFrame, order: str, small: int = SMALL, cap: int = COMPONENT) -> DataFrame:
     """Rows that stay when, in order, a row is dropped whose guid or url a kept row has.
 
-    A null guid or url equals no other. order: distinct whole numbers; rows without it are dropped. By rounds: an
-    undecided row that is the first of its guid's and of its url's undecided rows is kept, and the rows that share
-    a key with a kept one are dropped. Each round decides at least the first row, and only chains of shared keys need
-    more than one. Up to `small` rows need no rounds: one task goes through their keys in order."""
+    A null guid or url equals no other. order: distinct whole numbers; rows without it are dropped. Up to `small` rows are
+    gone through in one task. Of more, a row that is the first of its guid's and of its url's rows is kept and the rows that
+    share a key with it go, which decides all but chains of shared keys. Up to `cap` rows of these are gone through in one
+    task; of more, each connected component (a row links its two keys) of up to so many. Only larger ones go by rounds."""
     alone = F.concat(F.lit("n"), F.col("o").cast("string"))
     own = lambda key: F.coalesce(F.concat(F.lit("k"), key), alone).alias(key)
     keys = batch.select(F.col(order).cast("long").alias("o"), "guid", "url").filter("o IS NOT NULL")
     left = written(keys.select("o", own("guid"), own("url")), "undecided")
-    chosen = []
     if left.count() <= small:
-        chosen.append(left.repartition(1).sortWithinPartitions("o").mapInArrow(_first_seen, "o long"))
+        kept = written(left.repartition(1).sortWithinPartitions("o").mapInArrow(_first_seen, "o long"), "kept")
     else:
-        by_guid, by_url = Window.partitionBy("guid"), Window.partitionBy("url")
-        while True:
-            first = written(left.withColumns({"g": F.min("o").over(by_guid), "u": F.min("o").over(by_url)}).filter("o = g AND o = u").select("o", "guid", "url"), "kept")
-            chosen.append(first.select("o"))
-            last, left = left, written(left.join(first.select("guid"), "guid", "left_anti").join(first.select("url"), "url", "left_anti").select("o", "guid", "url"), "undecided")
-            freed(last)
-            if not left.limit(1).count():
-                break
-    kept = chosen[0]
-    for more in chosen[1:]:
-        kept = kept.unionByName(more)
+        first, rest = _first_of_both(left)
+        chosen = [first.select("o")]
+        chained = rest.count()
+        if 0 < chained <= cap:
+            chosen.append(rest.repartition(1).sortWithinPartitions("o").mapInArrow(_first_seen, "o long"))
+        elif chained:
+            rest = rest.withColumns({"gk": F.xxhash64(F.lit("guid"), "guid"), "uk": F.xxhash64(F.lit("url"), "url")})
+            parts = written(connected_components(rest, "gk", "uk"), "parts")
+            placed = rest.join(parts, rest.gk == parts.node).select("component", "o", "guid", "url")
+            giant = written(placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("component"), "giant")
+            whole = placed.join(F.broadcast(giant), "component", "left_anti")  # components over the cap: few
+            # components share no key, so a task goes through all of its own together
+            chosen.append(whole.repartition("component").sortWithinPartitions("o").mapInArrow(_first_seen, "o long"))
+            large = placed.join(F.broadcast(giant), "component", "left_semi").select("o", "guid", "url")
+            while giant.limit(1).count() and large.limit(1).count():
+                first, large = _first_of_both(large)
+                chosen.append(first.select("o"))
+        every = chosen[0]
+        for more in chosen[1:]:
+            every = every.unionByName(more)
+        kept = written(every, "kept")
+    freed(left)
     return batch.join(kept.select(F.col("o").alias(order)), order, "left_semi")
 
 
+def _first_of_both(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that are the first of both their keys, and those that share no key with these; both written."""
+    by_guid, by_url = Window.partitionBy("guid"), Window.partitionBy("url")
+    first = written(left.withColumns({"g": F.min("o").over(by_guid), "u": F.min("o").over(by_url)}).filter("o = g AND o = u").select("o", "guid", "url"), "first")
+    return first, written(left.join(first.select("guid"), "guid", "left_anti").join(first.select("url"), "url", "left_anti").select("o", "guid", "url"), "undecided")
+
+
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """o of the rows, in order, neither of whose keys a kept one before had."""
     guids, urls = set(), set()
