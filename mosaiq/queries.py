@@ -1056,7 +1056,7 @@ def _responses(t: EngineTables) -> DataFrame:
     return t.documents.selectExpr(
         "doc_id",
         """CASE WHEN doc_id % 10 = 9 THEN '{"angles": "[1]"}' ELSE concat(CASE WHEN doc_id % 2 = 0 THEN '```json\n' ELSE '' END,
-        to_json(named_struct('angles', array(named_struct('id_existing', CAST(NULL AS BIGINT), 'title', substring(text, 1, 20), 'summary', substring(text, 1, 50), 'key_points', array('a'),
+        to_json(named_struct('angles', array(named_struct('id_existing', CAST(NULL AS BIGINT), 'title', text, 'summary', text, 'key_points', array('a'),
             'topics', CASE doc_id % 5 WHEN 0 THEN array('politica') WHEN 1 THEN array('economia', 'sociedad') WHEN 2 THEN array('unknown') WHEN 3 THEN array('politica', 'ciencia', 'deportes') ELSE array('ciencia') END,
             'subtopics', CASE WHEN doc_id % 3 = 0 THEN array('futbol') ELSE array() END, 'relevant', true, 'hook', repeat('x', CAST(doc_id % 300 AS INT)), 'hashtags', array_repeat('t', CAST(doc_id % 8 AS INT)),
             'comparison', array(named_struct('outlet', source, 'highlighted', 'h', 'omitted', 'o', 'quote', 'q')), 'notes', array(1, 2))))), CASE WHEN doc_id % 2 = 0 THEN '\n```' ELSE '' END) END AS content""",
@@ -1083,11 +1083,11 @@ def comparison_name_fold(t: EngineTables) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, 'a=' || (CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END) || '|b=old' || (CASE WHEN doc_id % 3 = 0 THEN '|c=' || substring(text, 1, 5) ELSE '' END) AS merged FROM documents
+SELECT doc_id, 'a=' || (CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END) || '|b=old' || (CASE WHEN doc_id % 3 = 0 THEN '|c=' || text ELSE '' END) AS merged FROM documents
 """)
 def map_merge(t: EngineTables) -> DataFrame:
     old = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old"))
-    new = F.map_filter(F.create_map(F.lit("a"), F.when(F.col("doc_id") % 2 == 0, "new"), F.lit("c"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 5))), lambda k, v: v.isNotNull())
+    new = F.map_filter(F.create_map(F.lit("a"), F.when(F.col("doc_id") % 2 == 0, "new"), F.lit("c"), F.when(F.col("doc_id") % 3 == 0, F.col("text"))), lambda k, v: v.isNotNull())
     entries = F.array_sort(F.map_entries(synthesis.merged_map(old, new)))
     return t.documents.select("doc_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("merged"))
 
@@ -1117,7 +1117,7 @@ def post_weight(t: EngineTables) -> DataFrame:
 
 
 #: Some texts short enough for a post, some with heavy characters, and all others whole. Tags: 0 to 5, some long.
-_POST = "CASE WHEN doc_id % 4 = 0 THEN substring(text, 1, 180 + CAST(doc_id % 90 AS INT)) WHEN doc_id % 4 = 1 THEN replace(text, 'e', '🙂') WHEN doc_id % 4 = 2 THEN replace(substring(text, 1, 300), ' ', '') ELSE text END"
+_POST = "CASE WHEN doc_id % 4 = 1 THEN replace(text, 'e', '🙂') WHEN doc_id % 4 = 2 THEN replace(text, ' ', '') ELSE text END"
 _CUT = """CASE WHEN {w} <= {limit} THEN t WHEN {limit} <= 2 THEN '' ELSE regexp_replace(
     CASE WHEN regexp_matches(substring(t, {n} + 1, 1), '^\\s') THEN substring(t, 1, {n}) ELSE regexp_replace(substring(t, 1, {n}), ' [^ ]*$', '') END, '[ ,;:.]+$', '') || '…' END"""
 
