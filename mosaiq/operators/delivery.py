@@ -99,13 +99,14 @@ def throttled(alerts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     before it, so a key's alerts go through one task, sorted and streamed: only the last time is held."""
     pause = params.alert_cooldown_minutes * 60_000_000
     names = alerts.columns
-    rows = alerts.withColumn("_at", F.unix_micros("ts")).repartition("key").sortWithinPartitions("key", "_at", "alert_id")
+    micros = next(n for n in map("micros{}".format, range(len(names) + 1)) if n not in names)
+    rows = alerts.withColumn(micros, F.unix_micros("ts")).repartition("key").sortWithinPartitions("key", micros, "alert_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, None
         for batch in batches:
             sent = []
-            for k, at, terminal, delivered in zip(*[batch[c].to_pylist() for c in ("key", "_at", "terminal", "delivered")], strict=True):
+            for k, at, terminal, delivered in zip(*[batch[c].to_pylist() for c in ("key", micros, "terminal", "delivered")], strict=True):
                 if k != key:
                     key, last = k, None
                 ok = bool(terminal) or last is None or at - last >= pause

@@ -296,6 +296,8 @@ def test_cycle(spark, tmp_path):
 def test_throttle(spark, sf):
     alerts = EngineTables(spark, sf).alerts
     batch = delivery.throttled(alerts.withColumn("more", F.col("alert_id") + 1))
+    clash = delivery.throttled(alerts.withColumn("_at", F.lit("x")).withColumn("micros0", F.lit("y"))).filter("_at = 'x' AND micros0 = 'y'")
+    assert clash.count() == alerts.count()
     last, wanted = {}, set()
     for r in alerts.orderBy("ts", "alert_id").collect():
         if r.terminal or r.key not in last or r.ts - last[r.key] >= timedelta(minutes=60):
