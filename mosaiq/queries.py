@@ -1033,6 +1033,30 @@ def cluster_evidence(t: EngineTables) -> DataFrame:
     return evidence.evidence(members, t.vectors, t.outlets, evidence.fit_vocabulary(docs, "article_id"))
 
 
+#: The chosen articles of each cluster, and what evidence says of the entities of its outlets.
+_CHOSEN = ORACLES["select_representatives"].removeprefix(f"WITH RECURSIVE {ORACLE_VIEWS},").strip().removesuffix("SELECT cluster_id, article_id, pos FROM placed WHERE NOT late OR pos <= 30").strip()
+
+
+@query(f"""
+WITH RECURSIVE {_CHOSEN},
+chosen AS (SELECT m.* FROM placed p JOIN members m USING (cluster_id, article_id) WHERE NOT p.late OR p.pos <= 30),
+{_CANONICAL.replace("FROM members", "FROM chosen").replace("forms AS", "forms AS").replace("found AS", "raw_names AS").replace("FROM found", "FROM raw_names").replace("named AS", "named_entities AS").replace("FROM named ", "FROM named_entities ")},
+kept AS (SELECT cluster_id, outlet_id, canonical AS entity FROM mentions JOIN canonical USING (cluster_id, entity) GROUP BY 1, 2, 3 HAVING sum(n) >= 2),
+pairs AS (SELECT cluster_id, outlet_id, count(*) AS n_articles FROM chosen GROUP BY 1, 2),
+many AS (SELECT cluster_id, count(*) AS n_outlets FROM pairs GROUP BY 1),
+spread AS (SELECT cluster_id, entity, count(DISTINCT outlet_id) AS n FROM kept GROUP BY 1, 2)
+SELECT p.cluster_id, p.outlet_id, p.n_articles,
+  (SELECT count(*) FROM spread s JOIN many m USING (cluster_id) WHERE s.cluster_id = p.cluster_id AND s.n = m.n_outlets) AS n_core,
+  (SELECT coalesce(string_agg(k.entity, '|' ORDER BY k.entity), '') FROM kept k JOIN spread s USING (cluster_id, entity) WHERE k.cluster_id = p.cluster_id AND k.outlet_id = p.outlet_id AND s.n = 1) AS exclusive,
+  (SELECT count(*) FROM spread s WHERE s.cluster_id = p.cluster_id AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.cluster_id = p.cluster_id AND k.outlet_id = p.outlet_id AND k.entity = s.entity)) AS n_omitted
+FROM pairs p
+""")
+def evidence_outlets(t: EngineTables) -> DataFrame:
+    """cluster_evidence as a row an outlet: its chosen articles, and its entities beside those of the others."""
+    each = cluster_evidence(t).select("cluster_id", F.size("core_entities").cast("long").alias("n_core"), F.explode("outlets").alias("o"))
+    return each.select("cluster_id", "o.outlet_id", "o.n_articles", "n_core", joined("o.exclusive").alias("exclusive"), F.size("o.omitted").cast("long").alias("n_omitted"))
+
+
 # --- synthesis ---
 
 
