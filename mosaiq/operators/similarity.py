@@ -1,33 +1,211 @@
-"""Exact similarity joins of unit vectors, in blocks."""
+"""Exact similarity joins of vectors, in blocks.
+
+Vectors are grouped around centres, and groups near each other share a block. The angle between two vectors is at least
+the angle of the one to the other's centre less the greatest angle in that group, which bounds their dot product from
+above: a vector only goes to blocks with a group for which the bound reaches the threshold. Where the vectors have no
+structure, all blocks meet."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from mosaiq.operators.components import least_labels
 from mosaiq.params import DEFAULTS
+from mosaiq.tables import written
 
 #: Vectors that one block holds on average.
 BLOCK = 4096
+#: Centres at most, and vectors that they are chosen from: what the driver and each task hold doesn't grow with the input.
+CENTRES, SAMPLE = 2048, 16384
+#: By which angles are widened against rounding, and cosines.
+SLACK, SMALL = 1e-6, 1e-9
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def _rows(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
 
 
-def _block_pairs(vectors: DataFrame, block: int) -> DataFrame:
-    """i <= j, own, id, embedding: each vector in every pair of blocks that its own is part of."""
-    rows = vectors.select(F.col("id").cast("long"), "embedding").filter("id IS NOT NULL AND embedding IS NOT NULL")
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    to = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    return rows.withColumn("own", own).withColumn("to", F.explode(to)).select("to.i", "to.j", "own", "id", "embedding")
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return _rows(column.combine_chunks())
+
+
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.linalg.norm(x, axis=1)
+    return np.divide(x, lengths[:, None], out=np.zeros_like(x), where=lengths[:, None] > 0), lengths
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            yield batch.slice(at, 1024)
+
+
+@dataclass
+class Blocks:
+    """By centre: the greatest angle of its group, least and greatest length there, the number of the group's first
+    block, and how many blocks it has: large groups have several, among which they are dealt by a hash, small ones
+    share one. Groups of one block are neighbours; cells has the first group, parts the blocks of each such run."""
+
+    centres: np.ndarray
+    angle: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    cells: np.ndarray
+    parts: np.ndarray
+
+    def cosines(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the angles of vectors to all centres; and their lengths."""
+        unit, lengths = _units(x)
+        return unit @ self.centres.T, lengths
+
+    def own(self, ids: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of vectors, and which of the group's blocks."""
+        at = cosines.argmax(1)
+        mixed = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return at, (mixed % self.many[at].astype(np.uint64)).astype(np.int64)
+
+    def bounds(self, cosines: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """By group, at least the dot products of vectors with any vector of it."""
+        wide = np.minimum(self.angle + SLACK, np.pi)
+        near = cosines * np.cos(wide) + np.sqrt(np.maximum(0, 1 - cosines**2)) * np.sin(wide)
+        near = np.where(cosines >= np.cos(wide), 1, near) + SMALL
+        return np.where(self.most >= 0, near * lengths[:, None] * np.where(near >= 0, self.most, self.least), -np.inf)
+
+    def by_block(self, values: np.ndarray) -> np.ndarray:
+        """The greatest of each block's groups."""
+        return np.repeat(np.maximum.reduceat(values, self.cells, axis=1), self.parts, axis=1)
+
+
+def _means(x: np.ndarray, centres: np.ndarray, steps: int = 5) -> np.ndarray:
+    """k-means of unit vectors; centres without any go."""
+    for _ in range(steps):
+        sums = np.zeros_like(centres)
+        np.add.at(sums, (x @ centres.T).argmax(1), x)
+        centres, lengths = _units(sums)
+        centres = centres[lengths > 0]
+    return centres
+
+
+def _centres(rows: DataFrame, n: int, block: int) -> np.ndarray:
+    """Unit vectors amid a sample of the n rows (those of least hash), near ones beside each other."""
+    k = min(CENTRES, max(-(-n // block), int(2 * n**0.5)))
+    found = rows.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, 16 * k)).select("embedding").toArrow()["embedding"]
+    x, lengths = _units(_matrix(found))
+    x = np.unique(x[lengths > 0], axis=0)
+    if not len(x):
+        return np.zeros((1, x.shape[1]))
+    spread = lambda y, m: y[np.linspace(0, len(y) - 1, min(m, len(y))).astype(int)]
+    centres = _means(x, spread(x, k))
+    regions = _means(centres, spread(centres, int(len(centres) ** 0.5)))
+    if not len(regions):
+        return np.zeros((1, x.shape[1])) if not len(centres) else centres
+    return centres[np.argsort((centres @ regions.T).argmax(1), kind="stable")]
+
+
+def _blocks(rows: DataFrame, centres: np.ndarray, block: int) -> Blocks:
+    """The blocks of the rows around centres; one pass."""
+    k = len(centres)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, cosine, least, most = np.zeros(k, np.int64), np.ones(k), np.full(k, np.inf), np.zeros(k)
+        for batch in _pieces(batches):
+            unit, lengths = _units(_rows(batch.column(1)))
+            cosines = unit @ centres.T
+            np.add.at(n, cosines.argmax(1), 1)
+            # whichever of centres equally near a later pass takes, its group knows of the vector
+            row, at = np.nonzero(cosines >= cosines.max(1, keepdims=True) - SMALL)
+            np.minimum.at(cosine, at, np.where(lengths[row] > 0, cosines[row, at], 1))
+            np.minimum.at(least, at, lengths[row])
+            np.maximum.at(most, at, lengths[row])
+        some = np.flatnonzero(np.isfinite(least))
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (np.arange(k), n, cosine, least, most)], ["g", "n", "cosine", "least", "most"])
+
+    measured = rows.mapInArrow(measure, "g long, n long, cosine double, least double, most double")
+    found = measured.groupBy("g").agg(F.sum("n").alias("n"), F.min("cosine").alias("cosine"), F.min("least").alias("least"), F.max("most").alias("most")).toPandas()
+    g = found["g"].to_numpy(np.int64)
+    n, cosine, least, most = np.zeros(k, np.int64), np.ones(k), np.zeros(k), np.full(k, -1.0)  # most < 0: an empty group
+    n[g], cosine[g], least[g], most[g] = (found[c].to_numpy() for c in ("n", "cosine", "least", "most"))
+    many = np.maximum(1, -(-n // block))
+    cells, held = [], block + 1
+    for i in range(k):
+        # a group that fills blocks by itself has a run of its own
+        if many[i] > 1 or held + n[i] > block:
+            cells.append(i)
+            held = 0
+        held = block + 1 if many[i] > 1 else held + int(n[i])
+    parts = many[cells]
+    of_cell = np.searchsorted(cells, np.arange(k), side="right") - 1
+    return Blocks(centres, np.arccos(np.clip(cosine, -1, 1)), least, most, (np.cumsum(parts) - parts)[of_cell], many, np.array(cells), parts)
+
+
+def _sent(rows: DataFrame, blocks: Blocks, reached: Callable) -> DataFrame:
+    """rows with own, the block of each, and to, the blocks it goes to; reached gives these as flags, of the batch, its
+    cosines and lengths, groups, and which of the groups' blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            cosines, lengths = blocks.cosines(_rows(batch.column(1)))
+            at, part = blocks.own(batch.column(0).to_numpy(), cosines)
+            hit = reached(batch, cosines, lengths, at, part)
+            ends = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
+            to = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(hit)[1].astype(np.int32)))
+            own = pa.array((blocks.first[at] + part).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own, to], [*batch.schema.names, "own", "to"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("own", IntegerType()), StructField("to", ArrayType(IntegerType()))]))
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("id").cast("long").alias("id"), "embedding").filter("id IS NOT NULL AND embedding IS NOT NULL")
+
+
+def _block_pairs(vectors: DataFrame, block: int, threshold: float | None = None) -> DataFrame:
+    """i <= j, own, id, embedding: each vector in every pair of blocks that its own is part of; if there is a threshold,
+    only where the other block may have a vector with at least that dot product."""
+    rows = _usable(vectors)
+    count = rows.count()
+    n = max(1, -(-count // block))
+    if threshold is None or n == 1:
+        own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        rows = rows.withColumn("own", own).withColumn("to", F.sequence(F.lit(0), F.lit(n - 1)))
+    else:
+        blocks = _blocks(rows, _centres(rows, count, block), block)
+
+        def reached(batch: pa.RecordBatch, cosines: np.ndarray, lengths: np.ndarray, at: np.ndarray, part: np.ndarray) -> np.ndarray:
+            hit = blocks.by_block(blocks.bounds(cosines, lengths) >= threshold)
+            hit[np.arange(len(at)), blocks.first[at] + part] = True
+            return hit
+
+        rows = _sent(rows, blocks, reached)
+    to = F.transform("to", lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    return rows.withColumn("to", F.explode(to)).select("to.i", "to.j", "own", "id", "embedding")
+
+
+def blocks_met(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """One row: blocks, pairs (of blocks, each with itself among them), met (of them, by pairs_above at that threshold),
+    products (of vectors, computed there) and all_products."""
+    sides = _block_pairs(vectors, block, threshold).groupBy("i", "j").agg(F.count_if(F.col("own") == F.col("i")).alias("x"), F.count_if(F.col("own") == F.col("j")).alias("y"))
+    own = F.col("i") == F.col("j")
+    whole = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    total = sides.agg(
+        F.count_if(own).alias("blocks"),
+        F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("met"),
+        whole(F.col("x") * F.col("y")).alias("products"),
+        whole(F.when(own, F.col("x"))).alias("n"),
+        whole(F.when(own, F.col("x") * F.col("x"))).alias("squares"),
+    )
+    # blocks apart: each pair of vectors once; a block with itself: every ordered pair
+    every = (F.col("n") * F.col("n") + F.col("squares")) / 2
+    return total.select("blocks", (F.col("blocks") * (F.col("blocks") + 1) / 2).cast("long").alias("pairs"), "met", "products", every.cast("long").alias("all_products"))
 
 
 def _products(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -57,7 +235,7 @@ def pairs_above(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Dat
             s.append(sims[u, v][keep])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "sim": np.concatenate(s)})
 
-    return _block_pairs(vectors, block).groupBy("i", "j").applyInArrow(multiply, "a long, b long, sim double")
+    return _block_pairs(vectors, block, threshold).groupBy("i", "j").applyInArrow(multiply, "a long, b long, sim double")
 
 
 def linked_above(vectors: DataFrame, threshold: float, mixed: float | None = None, block: int = BLOCK) -> DataFrame:
@@ -79,7 +257,8 @@ def linked_above(vectors: DataFrame, threshold: float, mixed: float | None = Non
         moved = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"u": ids[moved], "v": ids[label[moved]]})
 
-    return _block_pairs(vectors, block).groupBy("i", "j").applyInArrow(forest, "u long, v long")
+    least = threshold if mixed is None else min(threshold, mixed)
+    return _block_pairs(vectors, block, least).groupBy("i", "j").applyInArrow(forest, "u long, v long")
 
 
 def similarity_counts(vectors: DataFrame, bins: int, block: int = BLOCK) -> DataFrame:
@@ -102,16 +281,14 @@ def similarity_counts(vectors: DataFrame, bins: int, block: int = BLOCK) -> Data
     return counts.groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """query_id, id, sim, rank: the k nearest of the corpus (id, embedding) to each query; ties go to the lower id.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None, block: int = BLOCK) -> DataFrame:
+    """query_id, id, sim, rank: the k nearest of the corpus (id, embedding) to each query; ties go to the lower id. If
+    there is a floor, only what is at least that near need come back.
 
-    Blocks of queries meet blocks of the corpus; each task returns k rows a query, of which the best k stay."""
-    q = queries.select(F.col("id").cast("long"), "embedding")
-    c = corpus.select(F.col("id").cast("long"), "embedding")
-    nq, nc = max(1, -(-q.count() // block)), max(1, -(-c.count() // block))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("j", spread(nc))
-    right = c.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")).withColumn("i", spread(nq))
+    Blocks of queries meet blocks of the corpus; each task returns k rows a query, of which the best k stay. If the
+    corpus has several blocks, a query first meets one with its own group; the k-th there bounds what others must reach."""
+    q, c = _usable(queries), _usable(corpus)
+    count = c.count()
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "id": [], "sim": []}
@@ -127,14 +304,64 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -
                 out["sim"] += np.take_along_axis(sims, top, 1).ravel().tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "sim": pa.array(out["sim"], pa.float64())})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "query_id long, id long, sim double")
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "query_id long, id long, sim double")
+
+    if count <= block:
+        nq = max(1, -(-q.count() // block))
+        left = q.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("j", F.lit(0))
+        found = met(left, c.withColumn("j", F.lit(0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
+    else:
+        centres = _centres(c, count, block)
+        of_q, of_c = _blocks(q, centres, block), _blocks(c, centres, block)
+        lowest = -np.inf if floor is None else floor
+        # by group and block of its queries: the block of the corpus, of the same group, that these meet first
+        group = np.repeat(np.arange(len(centres)), of_q.many)
+        turn = np.arange(len(group)) - np.repeat(np.cumsum(of_q.many) - of_q.many, of_q.many)
+        meetings = np.unique(np.stack([of_c.first[group] + turn % of_c.many[group], of_q.first[group] + turn]), axis=1)
+        n_c, n_q = int(of_c.parts.sum()), int(of_q.parts.sum())
+
+        def first_of_query(batch, cosines, lengths, at, part):
+            return (of_c.first[at] + part % of_c.many[at])[:, None] == np.arange(n_c)
+
+        def first_of_other(batch, cosines, lengths, at, part):
+            own = of_c.first[at] + part
+            hit = np.zeros((len(own), n_q), bool)
+            for j in np.unique(own):
+                hit[np.ix_(own == j, meetings[1, meetings[0] == j])] = True
+            return hit
+
+        sides = lambda left, right: met(
+            left.withColumn("j", F.explode("to")).withColumn("i", F.col("own")).select("i", "j", "id", "embedding"),
+            right.withColumn("i", F.explode("to")).withColumn("j", F.col("own")).select("i", "j", "id", "embedding"),
+        )
+        begun = written(sides(_sent(q, of_q, first_of_query), _sent(c, of_c, first_of_other)), "begun")
+        # a query that has met fewer than k has no bound but the floor
+        kth = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("kth"))
+        known = F.greatest(F.coalesce("kth", F.lit(lowest)), F.lit(lowest))
+        bounded = written(q.join(kth, q.id == kth.query_id, "left").select("id", "embedding", known.alias("bound")), "bounded")
+
+        def rest_of_query(batch, cosines, lengths, at, part):
+            reach = of_c.by_block(of_c.bounds(cosines, lengths)) >= batch.column(2).to_numpy()[:, None]
+            return reach & ~first_of_query(batch, cosines, lengths, at, part)
+
+        left = written(_sent(bounded, of_q, rest_of_query).filter("size(to) > 0"), "queries")
+        # of each block of queries the least bound, and only blocks that still have queries
+        least = np.full(n_q, np.inf)
+        open_blocks = left.groupBy("own").agg(F.min("bound").alias("bound")).toPandas()
+        least[open_blocks["own"].to_numpy(np.int64)] = open_blocks["bound"].to_numpy(float)
+
+        def rest_of_other(batch, cosines, lengths, at, part):
+            return of_q.by_block(of_q.bounds(cosines, lengths)) >= least
+
+        found = begun.unionByName(sides(left, _sent(c, of_c, rest_of_other)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def best_match(articles: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
     """id, cluster_id, sim: of articles (id, embedding), the nearest of centroids (cluster_id, centroid), if near enough."""
-    found = nearest(articles, centroids.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding")), 1)
+    found = nearest(articles, centroids.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding")), 1, threshold)
     return found.filter(F.col("sim") >= threshold).select(F.col("query_id").alias("id"), F.col("id").alias("cluster_id"), "sim")
 
 

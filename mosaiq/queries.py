@@ -602,6 +602,24 @@ def similar_pairs(t: EngineTables) -> DataFrame:
     return similarity.pairs_above(t.vectors.select(F.col("article_id").alias("id"), "embedding"), 0.3).withColumn("sim", F.round("sim", 5))
 
 
+@query(f"SELECT a.article_id AS a, b.article_id AS b, round({_DOT.format(a='a.embedding', b='b.embedding')}, 5) AS sim FROM vectors a JOIN vectors b ON a.article_id < b.article_id WHERE {_DOT.format(a='a.embedding', b='b.embedding')} >= 0.5")
+def similar_pairs_pruned(t: EngineTables) -> DataFrame:
+    """Blocks so small that many are skipped."""
+    return similarity.pairs_above(t.vectors.select(F.col("article_id").alias("id"), "embedding"), 0.5, block=32).withColumn("sim", F.round("sim", 5))
+
+
+@query(f"""
+WITH every AS (SELECT q.article_id AS query_id, v.article_id, round({_DOT.format(a='q.embedding', b='v.embedding')}, 12) AS sim FROM vectors q, vectors v WHERE q.article_id IN (SELECT article_id FROM membership)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, article_id) AS rank FROM every)
+SELECT query_id, article_id, round(sim, 4) AS similarity, rank FROM ranked WHERE rank <= 3
+""")
+def knn_pruned(t: EngineTables) -> DataFrame:
+    """The nearest of each clustered article, over blocks that its third nearest so far doesn't rule out."""
+    clustered = t.vectors.join(t.membership, "article_id", "left_semi").select(F.col("article_id").alias("id"), "embedding")
+    found = similarity.nearest(clustered, t.vectors.select(F.col("article_id").alias("id"), "embedding"), 3, block=64)
+    return found.select("query_id", F.col("id").alias("article_id"), F.round("sim", 4).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""
 WITH sims AS (SELECT floor(({_DOT.format(a='a.embedding', b='b.embedding')} + 1) / 2 * 20000)::BIGINT AS bin FROM vectors a JOIN vectors b ON a.article_id < b.article_id),
 counts AS (SELECT bin, count(*) AS n, sum(count(*)) OVER (ORDER BY bin) AS seen, (SELECT count(*) FROM sims) AS pairs FROM sims GROUP BY bin)
