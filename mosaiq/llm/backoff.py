@@ -6,7 +6,7 @@ one class. A bigram that was seen has its discounted relative frequency; otherwi
 times the unigram model, recursively. Backoff weights are computed from exact sums over each history's seen words,
 so that the probabilities after every history sum to one.
 
-Words are 64-bit hashes, and so are the keys by which bigrams are looked up. A text's score is the sum of what its
+Words are 64-bit hashes, or where tasks hold them their places there; bigrams are looked up by two places, or by 63-bit hashes. A text's score is the sum of what its
 words cost by backoff (as words and as histories) and of what every seen bigram differs from that. The counts are
 rows by bucket of the history, where its words' probabilities and its own sums meet; histories with a large share
 of all tokens are spread over the buckets. Counts and backoff weights of words with at least CACHED of all training
@@ -41,6 +41,8 @@ BUCKET_TOKENS = 1_000_000
 #: Bytes of text handled at once, and texts (their places are 16-bit numbers).
 SLICE = 8 << 20
 END_WORD = b"\n"  # no word holds white space
+#: Bits of a place in the cache, which has at most 1 / CACHED words and two classes.
+PLACE_BITS = 21
 #: In place of hashes: the class of words below a share that the caller sets, and the start of a text.
 RARE, BEGIN = 0, 1
 
@@ -166,6 +168,10 @@ class Cache:
         none = [0] * len(classes)
         return Cache(hashes[order], filled(counts, none), filled(p, [x for _, x in classes]), filled(counts >= hot, [True] * len(classes)), classed)
 
+    @property
+    def begin(self) -> int:
+        return int(self.ids(np.array([BEGIN]))[0])
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Places in the cache; -1 for others."""
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
@@ -234,17 +240,21 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+def pair_keys(history: np.ndarray, word: np.ndarray, i: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of bigrams, by hashes and places in the cache: two places, or a hash if one isn't there, which is negative."""
     x = history.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = ((x ^ (x >> np.uint64(29))) + word.astype(np.int64).view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+    hashed = ((x ^ (x >> np.uint64(29))) | np.uint64(1 << 63)).view(np.int64)
+    return np.where((i >= 0) & (w >= 0), i.astype(np.int64) << PLACE_BITS | w, hashed)
 
 
-def _placed(history: np.ndarray, word: np.ndarray, cache: Cache, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key and bucket of bigrams."""
-    keys, at = pair_keys(history, word), cache.ids(history)
-    return keys, bucket_of(np.where((at >= 0) & cache.hot[at], keys, history), buckets)
+def _placed(pairs: np.ndarray, modelled: np.ndarray, ids: np.ndarray, cache: Cache, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and bucket of bigrams (_pairs), of the hashes and the places of the words that codes stand for."""
+    history, word = _of_pairs(pairs, modelled, BEGIN)
+    i, w = _of_pairs(pairs, ids, cache.begin)
+    keys = pair_keys(history, word, i, w)
+    return keys, bucket_of(np.where((i >= 0) & cache.hot[i], keys, history), buckets)
 
 
 def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -276,17 +286,36 @@ def _pairs(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return history << 32 | codes
 
 
-def _of_pairs(pairs: np.ndarray, modelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of history and word."""
-    return np.append(BEGIN, modelled)[pairs >> 32], modelled[pairs & 0xFFFFFFFF]
+def _of_pairs(pairs: np.ndarray, of_code: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """What history and word have, of what codes and the start have."""
+    return np.append(begin, of_code)[pairs >> 32], of_code[pairs & 0xFFFFFFFF]
+
+
+def _named(ids: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Words as places in the cache, and the hashes of those that aren't there."""
+    return ids.astype(np.int32).tobytes() + hashes[ids < 0].tobytes()
+
+
+def _unnamed(data: bytes, n: int, cache: Cache) -> np.ndarray:
+    """The hashes of n words."""
+    ids = np.frombuffer(data, np.int32, n)
+    out = cache.hash[ids]
+    out[ids < 0] = np.frombuffer(data, np.uint8)[4 * n :].copy().view(np.int64)
+    return out
 
 
-_TABLE = "bucket int, i int, history long, word long, n long, p double"
+def _filled(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return pc.fill_null(column, pa.scalar(0, column.type)).to_numpy()
+
+
+#: Hashes are null where the places in the cache, i of the history and w of the word, aren't negative; and p, too, which
+#: the cache has.
+_TABLE = "bucket int, i int, w int, history long, word long, n long, p double"
 
 
 def bigram_counts(docs: DataFrame, cache, buckets: int) -> DataFrame:
-    """The table of bigrams: bucket, the history's place in the cache, history, word, training occurrences, and the
-    word's probability where it is cached, or else 0; summed by batch before the shuffle."""
+    """The table of bigrams (_TABLE) with training occurrences, without probabilities; summed by batch before the
+    shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = cache.value
@@ -295,31 +324,36 @@ def bigram_counts(docs: DataFrame, cache, buckets: int) -> DataFrame:
             words, codes, sizes = _tokens(batch.column(1).filter(pa.array(train)))
             pairs = _pairs(codes, sizes)
             order, starts, many = _grouped(pairs)
-            history, word = _of_pairs(pairs[order][starts], c.modelled(_hashes(words)))
+            modelled = c.modelled(_hashes(words))
+            ids, distinct = c.ids(modelled), pairs[order][starts]
+            history, word = _of_pairs(distinct, modelled, BEGIN)
+            i, w = _of_pairs(distinct, ids, c.begin)
             rows = []
-            for b, own in _by_bucket(_placed(history, word, c, buckets)[1], buckets):
-                # rows are by history: its hash once, and how many words follow
+            for b, own in _by_bucket(_placed(distinct, modelled, ids, c, buckets)[1], buckets):
+                # rows are by history: it once, and how many words follow
                 h = history[own]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                follow = np.diff(np.append(first, len(h)))
-                rows.append((0, BIGRAMS, b, None, *map(_small, (h[first].tobytes(), np.concatenate([follow, many[own]]).astype(np.uint32).tobytes(), word[own].tobytes()))))
+                numbers = np.concatenate([[len(first)], np.diff(np.append(first, len(h))), many[own]])
+                rows.append((0, BIGRAMS, b, None, *map(_small, (_named(i[own[first]], h[first]), numbers.astype(np.uint32).tobytes(), _named(w[own], word[own])))))
             yield _packed(rows)
 
     def total(t: pa.Table) -> pa.Table:
         c = cache.value
         parts = []
         for a, b, w in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["c"].to_pylist(), strict=True):
-            h, numbers = np.frombuffer(_large(a), np.int64), np.frombuffer(_large(b), np.uint32)
-            parts.append((np.repeat(h, numbers[: len(h)]), np.frombuffer(_large(w), np.int64), numbers[len(h) :]))
+            firsts, numbers = np.frombuffer(_large(b), np.uint32, 1)[0], np.frombuffer(_large(b), np.uint32)[1:]
+            follow, many = numbers[:firsts], numbers[firsts:]
+            parts.append((np.repeat(_unnamed(_large(a), int(firsts), c), follow), _unnamed(_large(w), len(many), c), many))
         history, word, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order = np.lexsort((word, history))
         history, word, counts = history[order], word[order], counts[order].astype(np.int64)
         starts = np.flatnonzero(np.append(True, (history[1:] != history[:-1]) | (word[1:] != word[:-1])))
         history, word = history[starts], word[starts]
-        at = c.ids(word)
+        i, w = c.ids(history), c.ids(word)
         bucket = np.full(len(starts), t["bucket"][0].as_py(), np.int32)
-        columns = [bucket, c.ids(history).astype(np.int32), history, word, np.add.reduceat(counts, starts), np.where(at < 0, 0.0, c.p[at])]
+        hashes = pa.array(history, mask=i >= 0), pa.array(word, mask=w >= 0)
+        columns = [bucket, i.astype(np.int32), w.astype(np.int32), *hashes, np.add.reduceat(counts, starts), pa.nulls(len(w), pa.float64())]
         return pa.table(dict(zip([x.split()[0] for x in _TABLE.split(", ")], columns, strict=True)))
 
     return docs.mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(total, _TABLE)
@@ -385,6 +419,8 @@ def train(docs: DataFrame, share: float | None = None, k: int = K) -> tuple[Mode
     least = max(1, tokens * (CACHED if share is None else share))
     found = counted.filter(F.col("n") >= least).toPandas()
     cache = Cache.of(found["word"].to_numpy(np.int64), found["n"].to_numpy(np.int64), unigrams, share is not None, tokens / (4 * buckets))
+    if len(cache.hash) > 1 << PLACE_BITS:
+        raise ValueError(f"share must be at least {CACHED}: tasks hold a word's place in {PLACE_BITS} bits")
     sent = spark.sparkContext.broadcast(cache)
 
     # as many folders whatever the number of buckets
@@ -394,15 +430,20 @@ def train(docs: DataFrame, share: float | None = None, k: int = K) -> tuple[Mode
     # probabilities of the words that aren't cached
     p = F.col("m") * _cases("m", unigrams.d) * F.lit(unigrams.scale) / F.lit(max(tokens, 1))
     less = counted.filter(F.col("n") < least).select("word", F.col("n").alias("m"))
-    rare = counts.filter("p = 0").drop("p").join(less, "word").withColumn("p", p)
+    rare = counts.filter("w < 0").drop("p").join(less, "word").withColumn("p", p)
     names = [x.split()[0] for x in _TABLE.split(", ")]
-    bigrams = counts.filter("p > 0").select(*names).unionByName(written(rare.select(*names).withColumn("kind", F.lit(BIGRAMS)), "rare_bigrams", ["kind"]).select(*names))
-    sums = (
-        bigrams.filter(F.col("i") >= 0)
-        .groupBy("i")
-        .agg(F.sum("n").alias("total"), F.sum(F.col("n") * _cases("n", d)).alias("mass"), F.sum("p").alias("p"))
-        .toPandas()
-    )
+    bigrams = counts.filter("w >= 0").select(*names).unionByName(written(rare.select(*names).withColumn("kind", F.lit(BIGRAMS)), "rare_bigrams", ["kind"]).select(*names))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            i, own = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            w, n, p = batch.column(1).to_numpy(), batch.column(2).to_numpy(), _filled(batch.column(3))
+            values = [i.astype(np.int32), *(np.bincount(own, x, minlength=len(i)) for x in (n, discounted(n, d), np.where(w >= 0, c.p[w], p)))]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["i", "total", "mass", "p"])
+
+    added = bigrams.filter("i >= 0").select("i", "w", "n", "p").mapInArrow(add, "i int, total double, mass double, p double")
+    sums = added.groupBy("i").agg(*[F.sum(x).alias(x) for x in ("total", "mass", "p")]).toPandas()
     log_scale, log_backoff = np.zeros(len(cache.hash)), np.zeros(len(cache.hash))
     at = sums["i"].to_numpy(np.int64)
     log_scale[at], log_backoff[at] = factors(*(sums[c].to_numpy(float) for c in ("total", "mass", "p")))
@@ -416,7 +457,8 @@ def _bucketed(words: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = bucket_of(batch.column(0).to_numpy(), buckets).astype(np.int32)
-            columns = [bucket, np.full(len(bucket), UNIGRAM, np.int32), batch.column(0), np.zeros(len(bucket), np.int64), batch.column(1), np.zeros(len(bucket))]
+            none = pa.nulls(len(bucket), pa.int64()), pa.nulls(len(bucket), pa.float64())
+            columns = [bucket, np.full(len(bucket), UNIGRAM, np.int32), np.full(len(bucket), OTHER, np.int32), batch.column(0), none[0], batch.column(1), none[1]]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [x.split()[0] for x in _TABLE.split(", ")])
 
     return words.select("word", "n").mapInArrow(run, _TABLE)
@@ -444,15 +486,16 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
             key = part << 32 | seq
             words, codes, sizes = _tokens(batch.column(1))
             hashes = _hashes(words)
-            modelled = m.cache.modelled(hashes)
-            ids = m.cache.ids(hashes)[codes]
+            modelled, known_ids = m.cache.modelled(hashes), m.cache.ids(hashes)
+            modelled_ids = m.cache.ids(modelled) if m.cache.classed else known_ids
+            ids = known_ids[codes]
             place = np.repeat(np.arange(len(sizes)), sizes)
             often = ids >= 0
             summed = lambda x: np.bincount(place[often], x, minlength=len(sizes))  # noqa: E731, B023
             known = np.bincount(place[often], minlength=len(sizes))
             sums = np.concatenate([summed(m.base(m.cache.count[ids[often]])), summed(alone[ids[often]]) + begin])
             rows = [(key, TEXTS, key % buckets, batch.column(0).to_pylist(), sizes.tobytes(), known.astype(np.int64).tobytes(), sums.tobytes())]
-            pairs = lambda x: _placed(*_of_pairs(x, modelled), m.cache, buckets)  # noqa: E731, B023
+            pairs = lambda x: _placed(x, modelled, modelled_ids, m.cache, buckets)  # noqa: E731, B023
             rows += _dealt(key, BIGRAMS, _pairs(codes, sizes), place, pairs, buckets)
             rows += _dealt(key, RARES, hashes[codes[~often]], place[~often], lambda x: (x, bucket_of(x, buckets)), buckets)
             yield _packed(rows)
@@ -461,13 +504,15 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         """The sums of each batch's texts over the keys of one kind and bucket: places, then score, base, known."""
         m = sent.value
         out: list[tuple] = []
-        i, history, word, n, p = (right[c].to_numpy() for c in ("i", "history", "word", "n", "p"))
+        i, w, history, word, n, p = (_filled(right[c]) for c in ("i", "w", "history", "word", "n", "p"))
         one = i == UNIGRAM
         order = np.argsort(history[one])
         words, counts = history[one][order], n[one][order]
-        i, history, word, n, p = (x[~one] for x in (i, history, word, n, p))
+        i, w, history, word, n, p = (x[~one] for x in (i, w, history, word, n, p))
+        history, word, p = np.where(i >= 0, m.cache.hash[i], history), np.where(w >= 0, m.cache.hash[w], word), np.where(w >= 0, m.cache.p[w], p)
         differ, others, backoff = m.sums(i, history, n, p)
-        keys = pair_keys(history, word)
+        keys = pair_keys(history, word, i, w)
+        del history, word, p, w
         order = np.argsort(keys)
         keys, differ = keys[order], differ[order]
         of_rare = m.log_backoff[m.cache.ids(np.array([RARE]))] if m.cache.classed else 0.0
