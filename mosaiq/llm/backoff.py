@@ -313,6 +313,32 @@ def _filled(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 _TABLE = "bucket int, i int, w int, history long, word long, n long, p double"
 
 
+def _table_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the table as a row a batch and bucket."""
+    for batch in batches:
+        bucket, i, w, history, word, n, p = map(_filled, batch.columns)
+        rows = []
+        for b in np.unique(bucket):
+            own = bucket == b
+            named = [history[own & (i < 0)], word[own & (w < 0)], p[own & (w < 0)]]
+            blobs = (np.concatenate([i[own], w[own]]).tobytes(), n[own].tobytes(), b"".join(x.tobytes() for x in named))
+            rows.append((0, BIGRAMS, int(b), None, *map(_small, blobs)))
+        yield _packed(rows)
+
+
+def _table_unpacked(t: pa.Table, cache: Cache) -> tuple[np.ndarray, ...]:
+    """i, history, word, n, p and w of the rows, with the hashes and probabilities that the cache has."""
+    parts = [tuple(np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.int64, float, np.int32))]
+    for places, counts, named in zip(*[t[x].to_pylist() for x in "abc"], strict=True):
+        i, w = np.frombuffer(_large(places), np.int32).reshape(2, -1)
+        rest = np.frombuffer(_large(named), np.int64)
+        history, word, p = cache.hash[i], cache.hash[w], cache.p[w]
+        k, m = int((i < 0).sum()), int((w < 0).sum())
+        history[i < 0], word[w < 0], p[w < 0] = rest[:k], rest[k : k + m], rest[k + m :].view(float)
+        parts.append((i, history, word, np.frombuffer(_large(counts), np.int64), p, w))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def bigram_counts(docs: DataFrame, cache, buckets: int) -> DataFrame:
     """The table of bigrams (_TABLE) with training occurrences, without probabilities; summed by batch before the
     shuffle."""
@@ -504,12 +530,11 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         """The sums of each batch's texts over the keys of one kind and bucket: places, then score, base, known."""
         m = sent.value
         out: list[tuple] = []
-        i, w, history, word, n, p = (_filled(right[c]) for c in ("i", "w", "history", "word", "n", "p"))
+        i, history, word, n, p, w = _table_unpacked(right, m.cache)
         one = i == UNIGRAM
         order = np.argsort(history[one])
         words, counts = history[one][order], n[one][order]
-        i, w, history, word, n, p = (x[~one] for x in (i, w, history, word, n, p))
-        history, word, p = np.where(i >= 0, m.cache.hash[i], history), np.where(w >= 0, m.cache.hash[w], word), np.where(w >= 0, m.cache.p[w], p)
+        i, history, word, n, p, w = (x[~one] for x in (i, history, word, n, p, w))
         differ, others, backoff = m.sums(i, history, n, p)
         keys = pair_keys(history, word, i, w)
         del history, word, p, w
@@ -557,7 +582,8 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         )
 
     dealt = docs.mapInArrow(deal, _PACKED)
-    joined = dealt.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(meet, _PACKED)
+    packed = table.select(*[x.split()[0] for x in _TABLE.split(", ")]).mapInArrow(_table_packed, _PACKED)
+    joined = dealt.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(meet, _PACKED)
     return joined.groupBy("batch").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
