@@ -604,7 +604,7 @@ def similar_pairs(t: EngineTables) -> DataFrame:
 
 @query(f"SELECT a.article_id AS a, b.article_id AS b, round({_DOT.format(a='a.embedding', b='b.embedding')}, 5) AS sim FROM vectors a JOIN vectors b ON a.article_id < b.article_id WHERE {_DOT.format(a='a.embedding', b='b.embedding')} >= 0.5")
 def similar_pairs_pruned(t: EngineTables) -> DataFrame:
-    """Blocks so small that many are skipped."""
+    """By blocks so small that there are many, each of which only meets those within reach."""
     return similarity.pairs_above(t.vectors.select(F.col("article_id").alias("id"), "embedding"), 0.5, block=32).withColumn("sim", F.round("sim", 5))
 
 
