@@ -172,6 +172,14 @@ def test_posts(spark):
     assert [(r.text, r.tags) for r in out] == [fit_plainly(t, tags or []) for t, tags in cases]
 
 
+def test_posts_cut_before_line_breaks(spark):
+    """Marks before a last line break are no end of the text, so they stay."""
+    cases = ["x" * 240 + ".\n\n" + "y" * 200, "a " + "x" * 200 + ";\n " + "z" * 100, "x" * 251 + ".\n"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    out = df.select(text.shortened(F.col("t"), F.lit(244)).alias("p")).collect()
+    assert [r.p for r in out] == ["x" * 240 + ".\n…", "a " + "x" * 200 + ";\n…", "x" * 242 + "…"]
+
+
 def test_entities_of_markup(spark):
     import html as plain
 
