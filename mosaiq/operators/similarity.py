@@ -24,10 +24,17 @@ from mosaiq.tables import written
 BLOCK = 4096
 #: Centres at most, and vectors that they are chosen from: what the driver and each task hold doesn't grow with the input.
 CENTRES, SAMPLE = 2048, 16384
+#: Blocks of a large input grow up to LARGEST vectors before they are more than MANY: a vector goes to each block that it may
+#: reach, so what is shuffled grows with their number. CELLS: products that a task computes at once.
+MANY, LARGEST, CELLS = 32, 16384, 1 << 22
 #: By which angles are widened against rounding, and cosines.
 SLACK, SMALL = 1e-6, 1e-9
 
 
+def _block_size(count: int, block: int) -> int:
+    return max(block, min(LARGEST, -(-count // MANY)))
+
+
 def _rows(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
 
@@ -173,6 +180,7 @@ def _block_pairs(vectors: DataFrame, block: int, threshold: float | None = None)
     only where the other block may have a vector with at least that dot product."""
     rows = _usable(vectors)
     count = rows.count()
+    block = _block_size(count, block)
     n = max(1, -(-count // block))
     if threshold is None or n == 1:
         own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -214,8 +222,23 @@ def _products(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
     x, own = _matrix(t["embedding"]), t["own"].to_numpy()
     left = np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own == j)
-    for at in range(0, len(left), 1024):
-        yield left[at : at + 1024], right, x[left[at : at + 1024]] @ x[right].T
+    other, step = x[right].T, max(1, CELLS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        yield left[at : at + step], right, x[left[at : at + step]] @ other
+
+
+def _top(sims: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values, to 12 digits, of the k greatest of each row, ties by column. What is below a row's least
+    may be missing."""
+    if sims.shape[1] > k and np.isneginf(least).any():
+        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+    # what rounding makes as great counts, too
+    row, column = np.nonzero(sims >= (least - 2e-12)[:, None])
+    values = np.round(sims[row, column], 12)
+    order = np.lexsort((column, -values, row))
+    row, column, values = row[order], column[order], values[order]
+    stays = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[stays], column[stays], values[stays]
 
 
 def pairs_above(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -286,23 +309,26 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None =
     there is a floor, only what is at least that near need come back.
 
     Blocks of queries meet blocks of the corpus; each task returns k rows a query, of which the best k stay. If the
-    corpus has several blocks, a query first meets one with its own group; the k-th there bounds what others must reach."""
-    q, c = _usable(queries), _usable(corpus)
+    corpus has several blocks, a query first meets one with its own group; the k-th there bounds what others must reach, blocks
+and vectors."""
+    c = _usable(corpus)
     count = c.count()
+    block = _block_size(count, block)
+    lowest = -np.inf if floor is None else floor
+    q = _usable(queries).withColumn("bound", F.lit(float(lowest)))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "id": [], "sim": []}
+        none = np.zeros(0, np.int64)
+        out: list[tuple] = [(none, none, np.zeros(0))]
         if a.num_rows and b.num_rows:
             order = np.argsort(b["id"].to_numpy(), kind="stable")
-            ids, y = b["id"].to_numpy()[order], _matrix(b["embedding"])[order]
-            x, mine = _matrix(a["embedding"]), a["id"].to_numpy()
-            for at in range(0, len(x), 512):
-                sims = np.round(x[at : at + 512] @ y.T, 12)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                out["query_id"] += np.repeat(mine[at : at + 512], top.shape[1]).tolist()
-                out["id"] += ids[top].ravel().tolist()
-                out["sim"] += np.take_along_axis(sims, top, 1).ravel().tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "sim": pa.array(out["sim"], pa.float64())})
+            ids, y = b["id"].to_numpy()[order], _matrix(b["embedding"])[order].T
+            x, mine, bound = _matrix(a["embedding"]), a["id"].to_numpy(), a["bound"].to_numpy()
+            step = max(1, CELLS // len(ids))
+            for at in range(0, len(x), step):
+                row, column, values = _top(x[at : at + step] @ y, k, bound[at : at + step])
+                out.append((mine[at + row], ids[column], values))
+        return pa.table(dict(zip(("query_id", "id", "sim"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "query_id long, id long, sim double")
@@ -314,7 +340,6 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None =
     else:
         centres = _centres(c, count, block)
         of_q, of_c = _blocks(q, centres, block), _blocks(c, centres, block)
-        lowest = -np.inf if floor is None else floor
         # by group and block of its queries: the block of the corpus, of the same group, that these meet first
         group = np.repeat(np.arange(len(centres)), of_q.many)
         turn = np.arange(len(group)) - np.repeat(np.cumsum(of_q.many) - of_q.many, of_q.many)
@@ -332,14 +357,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None =
             return hit
 
         sides = lambda left, right: met(
-            left.withColumn("j", F.explode("to")).withColumn("i", F.col("own")).select("i", "j", "id", "embedding"),
+            left.withColumn("j", F.explode("to")).withColumn("i", F.col("own")).select("i", "j", "id", "embedding", "bound"),
             right.withColumn("i", F.explode("to")).withColumn("j", F.col("own")).select("i", "j", "id", "embedding"),
         )
         begun = written(sides(_sent(q, of_q, first_of_query), _sent(c, of_c, first_of_other)), "begun")
         # a query that has met fewer than k has no bound but the floor
         kth = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("kth"))
         known = F.greatest(F.coalesce("kth", F.lit(lowest)), F.lit(lowest))
-        bounded = written(q.join(kth, q.id == kth.query_id, "left").select("id", "embedding", known.alias("bound")), "bounded")
+        bounded = written(q.drop("bound").join(kth, q.id == kth.query_id, "left").select("id", "embedding", known.alias("bound")), "bounded")
 
         def rest_of_query(batch, cosines, lengths, at, part):
             reach = of_c.by_block(of_c.bounds(cosines, lengths)) >= batch.column(2).to_numpy()[:, None]

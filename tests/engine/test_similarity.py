@@ -78,3 +78,25 @@ def test_empty_and_missing(spark):
     assert similarity.nearest(some, none, 3, block=16).count() == 0
     assert {r.query_id for r in similarity.nearest(some, some, 3, block=16).collect()} == set(range(60))
     assert similarity.blocks_met(none, 0.5).first().met == 0
+
+
+def test_blocks_of_large_inputs_stay_few(spark, monkeypatch):
+    """However small blocks are asked for, what is sent grows with a bounded number of blocks, with the same pairs."""
+    monkeypatch.setattr(similarity, "MANY", 4)
+    x = sample("loose", 200)
+    df, sims = frame(spark, x), x @ x.T
+    sent = similarity._block_pairs(df, 2, -1.0).groupBy("id").count().agg({"count": "max"}).first()[0]
+    assert sent <= 8
+    found = {(r.a, r.b) for r in similarity.pairs_above(df, 0.5, block=2).collect()}
+    assert found == set(zip(*(i.tolist() for i in np.nonzero(np.triu(sims >= 0.5, 1))), strict=True))
+
+
+def test_top_of_rows_with_ties():
+    rng = np.random.default_rng(5)
+    sims = rng.integers(-3, 4, (50, 40)) / 3 + rng.choice([0, 1e-14], (50, 40))
+    for k in (1, 4, 40, 60):
+        for least in (np.full(50, -np.inf), np.full(50, 0.3)):
+            row, column, values = similarity._top(sims, k, least)
+            for i, r in enumerate(np.round(sims, 12)):
+                wanted = [j for j in sorted(range(40), key=lambda j: (-r[j], j))[:k] if r[j] >= least[i]]
+                assert column[row == i].tolist() == wanted and values[row == i].tolist() == r[wanted].tolist()
