@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from mosaiq import queries as q
+from mosaiq.operators import evidence
 from tests.engine.test_oracles import rows
 
 
@@ -28,3 +29,12 @@ def test_notes_beyond_a_hundred(spark, large, name):
     folder, con = large
     wanted, found = con.sql(q.ORACLES[name]), q.QUERIES[name](spark, folder)
     assert rows(found.columns, map(tuple, found.collect())) == rows(wanted.columns, wanted.fetchall())
+
+
+def test_terms_are_cut_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "CUT", 50)
+    texts = [(i % 50, f"casa rey casa rey {i % 3} mil") for i in range(100)] + [(60, ""), (61, None)]
+    found = evidence.term_counts(spark.createDataFrame(texts, "id long, text string"), ["id"], whole=True)
+    assert found.rdd.getNumPartitions() >= 30
+    wanted = {(i, w): 2 * n for i in range(50) for w, n in {"casa": 2, "rey": 2, "mil": 1, "casa rey": 2, "rey casa": 1, "rey mil": 1}.items()}
+    assert {(r.id, r.term): r.tf for r in found.collect()} == wanted
