@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_rules import greedy_dedup
 
@@ -42,3 +43,21 @@ def test_a_long_chain_takes_few_jobs(spark):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 30
     finally:
         spark.sparkContext.setJobGroup("", "")
+
+
+def test_giant_components_by_rounds(spark):
+    """One large component, whose nodes are structs, as one task would decide it."""
+    rng = np.random.default_rng(6)
+    pairs = np.unique(np.sort(rng.integers(0, 120, (400, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]].tolist()
+    named = spark.createDataFrame(pairs, "a int, b int").selectExpr("named_struct('k', 1, 'n', a) AS u", "named_struct('k', 1, 'n', b) AS v")
+    free, later = {}, {}
+    for a, b in pairs:
+        later.setdefault(b, []).append(a)
+    for n in sorted({x for p in pairs for x in p}):
+        free[n] = not any(free[a] for a in later.get(n, []))
+    found = components.first_independent(named, 5)
+    # rounds leave one table to read, however many there were, and no table goes through the driver
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.node.n for r in found.collect()) == [n for n in sorted(free) if free[n]]
+    assert text.count("Scan parquet") <= 6 and "BroadcastExchange" not in text
