@@ -299,7 +299,7 @@ def _named(ids: np.ndarray, hashes: np.ndarray) -> bytes:
 def _unnamed(data: bytes, n: int, cache: Cache) -> np.ndarray:
     """The hashes of n words."""
     ids = np.frombuffer(data, np.int32, n)
-    out = cache.hash[ids]
+    out = cache.hash[np.maximum(ids, 0)]
     out[ids < 0] = np.frombuffer(data, np.uint8)[4 * n :].copy().view(np.int64)
     return out
 
@@ -332,7 +332,9 @@ def _table_unpacked(t: pa.Table, cache: Cache) -> tuple[np.ndarray, ...]:
     for places, counts, named in zip(*[t[x].to_pylist() for x in "abc"], strict=True):
         i, w = np.frombuffer(_large(places), np.int32).reshape(2, -1)
         rest = np.frombuffer(_large(named), np.int64)
-        history, word, p = cache.hash[i], cache.hash[w], cache.p[w]
+        # negative ones are no places, and a cache may be too short to count them from its end
+        at, to = np.maximum(i, 0), np.maximum(w, 0)
+        history, word, p = cache.hash[at], cache.hash[to], cache.p[to]
         k, m = int((i < 0).sum()), int((w < 0).sum())
         history[i < 0], word[w < 0], p[w < 0] = rest[:k], rest[k : k + m], rest[k + m :].view(float)
         parts.append((i, history, word, np.frombuffer(_large(counts), np.int64), p, w))
