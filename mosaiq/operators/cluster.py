@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
 import numpy as np
@@ -36,6 +37,10 @@ def cluster_sums(clusters: DataFrame, membership: DataFrame, vectors: DataFrame)
     return vector_sums(members, "cluster_id")
 
 
+#: Loose articles and clusters that one task takes through the rounds (their links take a byte a pair), and clusters that are
+#: sent to all tasks at once.
+ROUNDS_TASK, BROADCAST = 16_384, 4096
+
 ASSIGNED = "article_id long, cluster_id long, founder long"
 
 
@@ -137,28 +142,30 @@ def assign(articles: DataFrame, vectors: DataFrame, membership: DataFrame, clust
     return placed.select("article_id", "cluster_id"), new
 
 
-def _rounds(loose: DataFrame, sums: DataFrame, params: Params) -> DataFrame:
+def _rounds(loose: DataFrame, sums: DataFrame, params: Params, cap: int = ROUNDS_TASK) -> DataFrame:
     """All attachments against one snapshot of centroids, again until none; then births: an article that is the
-    earliest within two hops of the graph of loose articles pairs with its best neighbour; and so on."""
-    near = written(pairs_above(loose, params.threshold), "near")
-    both = written(near.select(F.col("a").alias("x"), F.col("b").alias("y"), "sim").unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "sim")), "both")
+    earliest within two hops of the graph of loose articles pairs with its best neighbour; and so on.
+
+    After a step without attachments no loose article is near any cluster, so later steps only look at clusters that
+    changed. As soon as loose articles and clusters together are at most `cap`, one task does the steps that are left."""
     state = written(sums.select(F.col("cluster_id").alias("c"), "vec_sum", F.lit(False).alias("young")), "state")
     free = written(loose, "free")
-    placed: DataFrame | None = None
-    none = loose.sparkSession.createDataFrame([], "id long, c long, young boolean")
-    while True:
+    changed, alive, placed = state, None, None
+    while free.count() + state.count() > cap:
         while True:
-            centres = state.select(F.struct("c", "young").alias("who"), unit(F.col("vec_sum")).alias("centroid"))
-            numbered = written(centres.select(F.xxhash64("who").alias("cluster_id"), "who", "centroid"), "centres")
-            match = best_match(free.select("id", "embedding"), numbered, params.threshold)
-            hit = written(match.join(numbered.select("cluster_id", "who"), "cluster_id").select("id", "who.c", "who.young"), "hit")
+            hit = written(_attached(free, changed, params.threshold), "hit")
             if not hit.limit(1).count():
                 break
             placed = hit if placed is None else placed.unionByName(hit)
             state, free = _grown(state, free, hit)
-        alive = both.join(free.select(F.col("id").alias("x")), "x", "left_semi").join(free.select(F.col("id").alias("y")), "y", "left_semi")
+            changed = state.join(hit.select("c", "young").distinct(), ["c", "young"], "left_semi")
+        if alive is None:
+            near = written(pairs_above(free, params.threshold), "near")
+            alive = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "sim").unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "sim"))
+        alive = alive.join(free.select(F.col("id").alias("x")), "x", "left_semi").join(free.select(F.col("id").alias("y")), "y", "left_semi")
         alive = written(alive, "alive")
         if not alive.limit(1).count():
+            free = free.limit(0)
             break
         stamp = free.select("id", F.struct("published_at", "id").alias("at"))
         for _ in range(2):
@@ -170,10 +177,104 @@ def _rounds(loose: DataFrame, sums: DataFrame, params: Params) -> DataFrame:
         hit = written(couples.select(F.explode(F.array("x", "y")).alias("id"), F.col("y").alias("c"), F.lit(True).alias("young")), "births")
         placed = hit if placed is None else placed.unionByName(hit)
         state, free = _grown(state, free, hit)
-    every = none if placed is None else placed
+        changed = state.join(hit.select("c", "young").distinct(), ["c", "young"], "left_semi")
+    doubles = lambda v: F.transform(v, lambda x: x.cast("double"))
+    who = F.xxhash64(F.struct("c", "young"))
+    nodes = state.select("c", "young", F.lit(False).alias("loose"), F.lit(None).cast("timestamp").alias("published_at"), doubles("vec_sum").alias("vector"))
+    nodes = nodes.unionByName(free.select(F.col("id").alias("c"), F.lit(True).alias("young"), F.lit(True).alias("loose"), "published_at", doubles("embedding").alias("vector")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            x = t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            at = t["published_at"].cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
+            is_loose, young = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("loose", "young"))
+            found = by_rounds(t["c"].to_numpy(), young, t["h"].to_numpy(), is_loose, at, x, params.threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "c", "young"])
+
+    rest = nodes.withColumn("h", who).repartition(1).mapInArrow(run, "id long, c long, young boolean")
+    every = rest if placed is None else placed.unionByName(rest)
     return every.select(F.col("id").alias("article_id"), F.when(~F.col("young"), F.col("c")).alias("cluster_id"), F.when(F.col("young"), F.col("c")).alias("founder"))
 
 
+def by_rounds(keys: np.ndarray, young: np.ndarray, hashes: np.ndarray, is_loose: np.ndarray, stamps: np.ndarray, vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The steps of _rounds in memory, on loose articles and clusters; hashes decide between clusters that are as near.
+    Returns article, cluster, and whether that is a new one, named by its founder."""
+    order = np.flatnonzero(is_loose)
+    order = order[np.lexsort((keys[order], stamps[order]))]  # articles by time, so that the first neighbour is the earliest
+    ids, x, n = keys[order], vectors[order], int(is_loose.sum())
+    old = np.flatnonzero(~is_loose)
+    # a cluster for each old one, and room for those that articles found
+    names, fresh, mixed = np.concatenate([keys[old], ids]), np.concatenate([young[old], np.ones(n, bool)]), np.concatenate([hashes[old], hashes[order]])
+    room = np.concatenate([vectors[old], np.zeros_like(x)])
+    free, of = np.ones(n, bool), np.full(n, -1)
+    linked = np.zeros((n, n), bool)
+    for at in range(0, n, 256):
+        linked[at : at + 256] = x[at : at + 256] @ x.T >= threshold
+    np.fill_diagonal(linked, False)
+    changed = np.arange(len(old))
+    while True:
+        while len(changed) and free.any():
+            changed = changed[np.argsort(mixed[changed])]
+            lengths = np.linalg.norm(room[changed], axis=1, keepdims=True)
+            centres = np.divide(room[changed], lengths, out=room[changed].copy(), where=lengths > 0)
+            left = np.flatnonzero(free)
+            best, most = np.zeros(len(left), np.int64), np.zeros(len(left))
+            for at in range(0, len(left), 1024):
+                sims = np.round(x[left[at : at + 1024]] @ centres.T, DIGITS)
+                best[at : at + 1024], most[at : at + 1024] = sims.argmax(1), sims.max(1)
+            hit = left[most >= threshold]
+            of[hit] = changed[best[most >= threshold]]
+            free[hit] = False
+            np.add.at(room, of[hit], x[hit])
+            changed = np.unique(of[hit])
+        linked[:, ~free] = False
+        left = np.flatnonzero(free)
+        left = left[linked[left].any(1)] if len(left) else left
+        if not len(left):
+            break
+        least = np.arange(n)
+        least[left] = np.minimum(left, linked[left].argmax(1))
+        first = [i for i in left[least[left] == left] if least[linked[i]].min() >= i]
+        for i in first:
+            others = np.flatnonzero(linked[i])
+            sims = np.round(x[others] @ x[i], DIGITS)
+            others = others[sims == sims.max()]
+            j = others[ids[others].argmin()]
+            of[[i, j]] = len(old) + j
+            free[[i, j]] = False
+            room[len(old) + j] = x[i] + x[j]
+        changed = of[first]
+    some = np.flatnonzero(of >= 0)
+    return ids[some], names[of[some]], fresh[of[some]]
+
+
+def _attached(free: DataFrame, changed: DataFrame, threshold: float) -> DataFrame:
+    """id, c, young: loose articles that are near enough to one of the clusters, each with the nearest. Up to BROADCAST
+    clusters are sent to the articles; more meet them in blocks."""
+    numbered = changed.select(F.xxhash64(F.struct("c", "young")).alias("cluster_id"), "c", "young", unit(F.col("vec_sum")).alias("centroid"))
+    few = numbered.orderBy("cluster_id").limit(BROADCAST + 1).toArrow().combine_chunks()
+    if few.num_rows > BROADCAST:
+        numbered = written(numbered, "centres")
+        match = best_match(free.select("id", "embedding"), numbered.select("cluster_id", "centroid"), threshold)
+        return match.join(numbered, "cluster_id").select("id", "c", "young")
+    c, young = few["c"].to_numpy(), few["young"].to_numpy(zero_copy_only=False)
+    if not len(c):
+        return free.sparkSession.createDataFrame([], "id long, c long, young boolean")
+    centres = few["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+                sims = np.round(x @ centres.T, DIGITS)
+                best, hit = sims.argmax(1), sims.max(1) >= threshold
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(hit)), pa.array(c[best[hit]]), pa.array(young[best[hit]].astype(bool))], ["id", "c", "young"])
+
+    return free.select("id", "embedding").mapInArrow(run, "id long, c long, young boolean")
+
+
 def _grown(state: DataFrame, free: DataFrame, hit: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = vector_sums(free.join(hit, "id").select(F.struct("c", "young").alias("who"), "embedding"), "who").select("who.c", "who.young", "vec_sum")
     parts = state.select("c", "young", "vec_sum").unionByName(more).select(F.struct("c", "young").alias("who"), F.col("vec_sum").alias("embedding"))
