@@ -54,6 +54,9 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # by id: whether the token's text begins with a space (byte-level names it so)
+        self.begins = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
         self.doubled = regex.compile(r"\s\x20").search
         self.whole: dict[str, bytes] = {}  # ids of texts and of their first stretches
         self.spaced: dict[str, bytes] = {}  # ids of a space and the stretch
@@ -64,15 +67,32 @@ class Tokens:
             found = self.tokenizer.encode_batch_fast([before + u for u in part], add_special_tokens=False)
             into.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, found, strict=True))
 
+    def learn_spaced(self, fresh: list[str]) -> None:
+        """Stretches after a space are encoded many at a time: each begins at a token that begins with a space, and no other
+        token does. What ends in white space, or would not come out so, is encoded by itself."""
+        alone = [u for u in fresh if not u or u[-1].isspace()]
+        fresh = [u for u in fresh if u and not u[-1].isspace()]
+        for i in range(0, len(fresh), 256):
+            part = fresh[i : i + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(part):
+                raw, ends = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+                self.spaced.update((u, raw[a:b]) for u, a, b in zip(part, ends, ends[1:], strict=False))
+            else:
+                alone += part
+        self.learn(self.spaced, alone, " ")
+
     def ids(self, texts: list[str], known: int = KNOWN) -> list[np.ndarray]:
         if len(self.spaced) + len(self.whole) > known:
             self.spaced.clear()
             self.whole.clear()
         cut = [[t] if self.doubled(t) else t.split(" ") for t in texts]
-        self.learn(self.whole, list({units[0] for units in cut}.difference(self.whole)), "")
-        self.learn(self.spaced, list(set().union(*(set(units[1:]).difference(self.spaced) for units in cut))), " ")
+        first = [units.pop(0) for units in cut]
+        self.learn(self.whole, list(set(first).difference(self.whole)), "")
+        self.learn_spaced(list(set().union(*cut).difference(self.spaced)))
         whole, spaced = self.whole, self.spaced.__getitem__
-        return [np.frombuffer(b"".join([whole[units[0]], *map(spaced, units[1:])]), "<u4") for units in cut]
+        return [np.frombuffer(b"".join([whole[begin], *map(spaced, units)]), "<u4") for begin, units in zip(first, cut, strict=True)]
 
 
 _loaded: dict[str, Tokens] = {}

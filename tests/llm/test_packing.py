@@ -98,3 +98,20 @@ def test_many_documents_of_one_length(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "'the same words for all' AS text")
     rows = packing.pack(docs, PATH).collect()
     assert verify(rows, [(i, "the same words for all") for i in range(3000)]) < 0.05
+
+
+def test_stretches_are_encoded_many_at_a_time():
+    t = packing.Tokens(PATH)
+    given, encoded = t.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            encoded.extend(texts)
+            return given.encode_batch_fast(texts, **options)
+
+    t.tokenizer = Counting()
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(words), "tail Ġx  y z\n", "a　 b c", " lead", "", " ", "x ", "don't\tstop ĠĠ </s> 한글 é", "p.\n\nQ \x1cr s\x1c t\x1c"]
+    found = t.ids(texts)
+    assert [x.tolist() for x in found] == [given.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(encoded) < 100
