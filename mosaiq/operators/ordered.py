@@ -21,8 +21,10 @@ from mosaiq.params import DEFAULTS, Params
 from mosaiq.tables import freed, written
 
 #: Articles of a window, and neighbours outside it that are held for each.
-WINDOW = 4096
+WINDOW = 8192
 NEIGHBOURS = 4
+#: Loose articles that a task multiplies with a window at once.
+CHUNK = 256
 #: Products are compared after rounding, so that equal vectors tie however they are multiplied.
 DIGITS = 12
 _SLACK = 1e-9
@@ -59,22 +61,27 @@ def _partners(free: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float,
     """near, key, stamp, sim: for each article of the window (by its place there) the k best loose ones outside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # place, sim, stamp, id of the best so far
+        # place, sim, stamp, id of the best so far, and what others must reach
         best = [np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        bound = np.full(len(x), threshold - _SLACK)
         for batch in batches:
             outside = np.flatnonzero(~np.isin(batch.column(0).to_numpy(), ids))
-            for at in range(0, len(outside), 1024):
-                part = batch.take(pa.array(outside[at : at + 1024]))
-                sims = np.round(x @ _rows(part.column(2), x.shape[1]).T, DIGITS)
-                least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -2.0)
-                place, other = np.nonzero(sims >= np.maximum(least, threshold - _SLACK)[:, None])
-                found = (place.astype(np.int32), sims[place, other], part.column(1).to_numpy()[other], part.column(0).to_numpy()[other])
+            for at in range(0, len(outside), CHUNK):
+                part = batch.take(pa.array(outside[at : at + CHUNK]))
+                sims = x @ _rows(part.column(2), x.shape[1]).T
+                hit = sims >= bound[:, None]
+                if sims.shape[1] > k and np.count_nonzero(hit) > 16 * k * len(x):
+                    hit = sims >= np.maximum(bound, np.partition(sims, -k, axis=1)[:, -k] - _SLACK)[:, None]
+                place, other = np.nonzero(hit)
+                if not len(place):
+                    continue
+                found = (place.astype(np.int32), np.round(sims[place, other], DIGITS), part.column(1).to_numpy()[other], part.column(0).to_numpy()[other])
                 best = [np.concatenate(z) for z in zip(best, found, strict=True)]
                 order = np.lexsort((best[3], best[2], -best[1], best[0]))
                 best = [z[order] for z in best]
-                first = np.searchsorted(best[0], best[0])
-                stays = np.arange(len(first)) - first < k
-                best = [z[stays] for z in best]
+                nth = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+                bound[best[0][nth == k - 1]] = np.maximum(best[1][nth == k - 1], threshold) - _SLACK
+                best = [z[nth < k] for z in best]
         yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[3]), pa.array(best[2]), pa.array(best[1])], ["near", "key", "stamp", "sim"])
 
     found = free.select("id", "stamp", "vector").mapInArrow(run, "near int, key long, stamp long, sim double")
@@ -171,11 +178,16 @@ def assign_in_order(loose: DataFrame, sums: DataFrame, params: Params = DEFAULTS
         def run(batches: Iterator[pa.RecordBatch], ids=ids, stamps=stamps, x=x, turn=first_turn) -> Iterator[pa.RecordBatch]:
             known, partners = [], {}
             for batch in batches:
-                for r in batch.to_pylist():
-                    if r["kind"] == 1:
-                        known.append((r["young"], r["turn"], r["key"], np.array(r["vector"])))
-                    elif r["kind"] == 2:
-                        partners.setdefault(r["near"], []).append((r["sim"], r["stamp"], r["key"], np.array(r["vector"])))
+                of = batch.column(0).to_numpy()
+                columns = lambda t, *names: [t.column(t.schema.get_field_index(n)).to_pylist() for n in names]
+                for kind in (1, 2):
+                    part = batch.filter(pa.array(of == kind))
+                    vectors_of = _rows(part.column(4), x.shape[1])
+                    if kind == 1:
+                        known += zip(*columns(part, "young", "turn", "key"), vectors_of, strict=True)
+                    else:
+                        for place, *rest in zip(*columns(part, "near", "sim", "stamp", "key"), vectors_of, strict=True):
+                            partners.setdefault(place, []).append(tuple(rest))
             known.sort(key=lambda c: c[:3])
             for listed in partners.values():
                 listed.sort(key=lambda p: (-p[0], p[1], p[2]))

@@ -60,3 +60,14 @@ def test_a_window_ends_where_its_list_of_partners_does():
     x[2] = [0.0, -1.0]
     placed, _, done = ordered.replay(np.array([1, 2, 3]), np.array([1, 2, 3]), x, [], {0: far[0], 2: far[0]}, 1, 0.75, 1)
     assert done == 2 and placed == [(90, 90, True), (1, 90, True)]
+
+
+def test_partners_beyond_a_bound_are_not_sorted(spark, monkeypatch):
+    # many loose articles near each of the window: after the first chunks only better ones are looked at
+    x = sample(5, 3000, 0.4, d=8)
+    rows = spark.createDataFrame([(i, i % 7, x[i].tolist()) for i in range(3000)], "id long, stamp long, vector array<double>").coalesce(1)
+    found = ordered._partners(rows, np.arange(40), x[:40], 0.3, 4).collect()
+    sims = np.round(x[:40] @ x.T, 12)
+    for i in range(40):
+        wanted = sorted((-sims[i, j], j % 7, j) for j in range(40, 3000) if sims[i, j] >= 0.3)[:4]
+        assert [r[2] for r in sorted((-r.sim, r.stamp, r.key) for r in found if r.near == i)] == [j for _, _, j in wanted]
