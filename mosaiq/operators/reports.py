@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions.topics import declared_topic
 from mosaiq.functions.urls import segments
 from mosaiq.operators.components import connected_components
-from mosaiq.operators.similarity import linked_above, similarity_counts
+from mosaiq.operators.similarity import linked_above_each, similarity_counts
 from mosaiq.params import DEFAULTS, Params
 from mosaiq.tables import freed, written
 
@@ -52,12 +52,14 @@ def threshold_sweep(vectors: DataFrame, articles: DataFrame, thresholds: Sequenc
     how many there are and how many have enough outlets."""
     spark = vectors.sparkSession
     rows = []
-    for threshold in thresholds:
-        edges = linked_above(vectors.select(F.col("article_id").alias("id"), "embedding"), threshold)
+    every = written(linked_above_each(vectors.select(F.col("article_id").alias("id"), "embedding"), thresholds), "links")
+    for at, threshold in enumerate(thresholds):
+        edges = every.filter(F.col("threshold") == at).select("u", "v")
         parts = written(connected_components(edges).select(F.col("node").alias("article_id"), F.col("component").alias("cluster_id")), "sweep")
         counted = outlets_of_clusters(parts, articles, params).agg(F.count("*"), F.count_if("publishable")).first()
         rows.append((float(threshold), *counted))
         freed(parts)
+    freed(every)
     return spark.createDataFrame(rows, "threshold double, groups long, publishable long")
 
 

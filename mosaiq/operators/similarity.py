@@ -7,7 +7,7 @@ structure, all blocks meet."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,15 +24,16 @@ from mosaiq.tables import written
 BLOCK = 4096
 #: Centres at most, and vectors that they are chosen from: what the driver and each task hold doesn't grow with the input.
 CENTRES, SAMPLE = 2048, 16384
-#: Blocks of a large input grow up to LARGEST vectors before they are more than MANY: a vector goes to each block that it may
-#: reach, so what is shuffled grows with their number. CELLS: products that a task computes at once.
-MANY, LARGEST, CELLS = 32, 16384, 1 << 22
+#: Blocks of an input grow up to LARGEST vectors before they are more than MANY, or FEW of more than MANY * BLOCK vectors: a
+#: vector goes to each block that it may reach, so what is shuffled grows with their number. CELLS: products that a task
+#: computes at once.
+MANY, FEW, LARGEST, CELLS = 32, 16, 65536, 1 << 22
 #: By which angles are widened against rounding, and cosines.
 SLACK, SMALL = 1e-6, 1e-9
 
 
 def _block_size(count: int, block: int) -> int:
-    return max(block, min(LARGEST, -(-count // MANY)))
+    return max(block, min(LARGEST, -(-count // (MANY if count <= MANY * BLOCK else FEW))))
 
 
 def _rows(lists: pa.Array) -> np.ndarray:
@@ -265,23 +266,39 @@ def linked_above(vectors: DataFrame, threshold: float, mixed: float | None = Non
     """u, v: edges with the same connected components as all pairs with dot product >= threshold: of each two blocks
     a forest, however dense the pairs. If `mixed` is given, vectors of negative id link with the others alone, at
     that threshold."""
+    return _forests(vectors, [threshold], mixed, block).select("u", "v")
 
+
+def linked_above_each(vectors: DataFrame, thresholds: Sequence[float], block: int = BLOCK) -> DataFrame:
+    """threshold (by its place), u, v: linked_above of each threshold, from the same products."""
+    return _forests(vectors, list(thresholds), None, block)
+
+
+def _forests(vectors: DataFrame, thresholds: list[float], mixed: float | None, block: int) -> DataFrame:
     def forest(t: pa.Table) -> pa.Table:
         ids = t["id"].to_numpy()
-        label = np.arange(len(ids))
+        labels = [np.arange(len(ids)) for _ in thresholds]
         for left, right, sims in _products(t):
-            hit = sims >= threshold
-            if mixed is not None:
-                one, other = (ids[left] < 0)[:, None], (ids[right] < 0)[None, :]
-                hit = np.where(one & other, False, np.where(one | other, sims >= mixed, hit))
-            u, v = np.nonzero(hit)
-            a, b = label[left[u]], label[right[v]]
-            label = least_labels(a[a != b], b[a != b], len(ids))[label]
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"u": ids[moved], "v": ids[label[moved]]})
-
-    least = threshold if mixed is None else min(threshold, mixed)
-    return _block_pairs(vectors, block, least).groupBy("i", "j").applyInArrow(forest, "u long, v long")
+            for k, threshold in enumerate(thresholds):
+                hit = sims >= threshold
+                if mixed is not None:
+                    one, other = (ids[left] < 0)[:, None], (ids[right] < 0)[None, :]
+                    hit = np.where(one & other, False, np.where(one | other, sims >= mixed, hit))
+                u, v = np.nonzero(hit)
+                a, b = labels[k][left[u]], labels[k][right[v]]
+                if (apart := a != b).any():
+                    labels[k] = least_labels(a[apart], b[apart], len(ids))[labels[k]]
+        moved = [np.flatnonzero(label != np.arange(len(ids))) for label in labels]
+        return pa.table(
+            {
+                "threshold": np.concatenate([np.full(len(m), k, np.int32) for k, m in enumerate(moved)]),
+                "u": np.concatenate([ids[m] for m in moved]),
+                "v": np.concatenate([ids[label[m]] for m, label in zip(moved, labels, strict=True)]),
+            }
+        )
+
+    least = min(thresholds) if mixed is None else min(*thresholds, mixed)
+    return _block_pairs(vectors, block, least).groupBy("i", "j").applyInArrow(forest, "threshold int, u long, v long")
 
 
 def similarity_counts(vectors: DataFrame, bins: int, block: int = BLOCK) -> DataFrame:
