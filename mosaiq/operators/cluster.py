@@ -17,7 +17,7 @@ from mosaiq.functions.urls import non_event
 from mosaiq.functions.vectors import unit, vector_sums
 from mosaiq.operators.components import connected_components
 from mosaiq.operators.ordered import DIGITS, assign_in_order
-from mosaiq.operators.similarity import best_match, linked_above, pairs_above
+from mosaiq.operators.similarity import best_match, components_above, linked_above, pairs_above
 from mosaiq.params import DEFAULTS, Params
 from mosaiq.tables import freed, written
 
@@ -108,7 +108,7 @@ def assign(articles: DataFrame, vectors: DataFrame, membership: DataFrame, clust
         # clusters are nodes of negative number
         centroids = sums.select((-1 - F.col("cluster_id")).alias("id"), unit(F.col("vec_sum")).alias("embedding"))
         both = centroids.unionByName(loose.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
-        parts = connected_components(linked_above(both, params.threshold**2, params.threshold))
+        parts = components_above(both, params.threshold**2, params.threshold)
         sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
         parts = parts.join(sizes, "component")
         cap = params.component_cap if mode == "hybrid" else 1 << 62

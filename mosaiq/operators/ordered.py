@@ -4,7 +4,9 @@ A window's decisions depend on little of what lies outside it. A cluster takes i
 article is at the threshold to the cluster's centroid as the window found it, so clusters that no article of the window is
 near can be left aside. A loose article outside the window goes only as the partner of one inside, so the few nearest of
 each article of the window suffice until all of them have gone; where that happens, the window ends there and the next one
-begins with that article. Each round finds both by matrix products spread over the cluster, and one task, whose memory is
+begins with that article. Most articles of a window find a cluster, and need no partner: partners are only looked for those
+that are near the threshold to all clusters as the window found them, or below; where another one finds no cluster after all,
+the window ends there, too. Each round finds these by matrix products spread over the cluster, and one task, whose memory is
 set by the window, replays the greedy loop on them. The result is that of one loop over all articles, at the cost of a
 round for each window."""
 
@@ -20,9 +22,14 @@ from pyspark.sql import functions as F
 from mosaiq.params import DEFAULTS, Params
 from mosaiq.tables import freed, written
 
-#: Articles of a window, and neighbours outside it that are held for each.
-WINDOW = 8192
+#: Articles of a window, those of it whose partners are looked for (fewer where that is more than PRODUCTS), and neighbours outside
+#: it that are held for each of these.
+WINDOW = 32_768
+ASKED, PRODUCTS = 16_384, 1 << 33
 NEIGHBOURS = 4
+#: An article whose nearest cluster is closer to the threshold than NEAR is always asked for, one closer than FAR while ASKED allows
+#: it. Clusters move the less the more articles they have, so FAR shrinks after STEADY windows.
+NEAR, FAR, STEADY = 0.02, 0.15, 2
 #: Loose articles that a task multiplies with a window at once.
 CHUNK = 256
 #: Products are compared after rounding, so that equal vectors tie however they are multiplied.
@@ -42,6 +49,32 @@ def _unit(sums: np.ndarray) -> np.ndarray:
     return np.divide(sums, lengths, out=sums.copy(), where=lengths > 0)
 
 
+def _nearest(centres: DataFrame, x: np.ndarray) -> np.ndarray:
+    """For each article of the window, how near the nearest cluster is; tasks return a number an article."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full(len(x), -np.inf)
+        for batch in batches:
+            sums = _rows(batch.column(0), x.shape[1])
+            for at in range(0, len(sums), CHUNK):
+                heads = _unit(sums[at : at + CHUNK]).T
+                for place in range(0, len(x), 4096):
+                    np.maximum(best[place : place + 4096], (x[place : place + 4096] @ heads).max(axis=1), out=best[place : place + 4096])
+        if not np.isneginf(best).all():
+            yield pa.RecordBatch.from_arrays([pa.array([best], pa.list_(pa.float64()))], ["best"])
+
+    t = centres.select("vector").mapInArrow(run, "best array<double>").toArrow()
+    return _rows(t["best"].combine_chunks(), len(x)).max(axis=0) if t.num_rows else np.full(len(x), -np.inf)
+
+
+def _asked(best: np.ndarray, threshold: float, asked: int, far: float = FAR) -> tuple[int, np.ndarray]:
+    """Where a window ends, by how near the nearest cluster of each article is, and the places whose partners are looked for."""
+    unsure = np.flatnonzero(best < threshold + min(NEAR, far))
+    end = len(best) if len(unsure) <= asked else int(unsure[asked])
+    order = np.argsort(best[:end], kind="stable")[:asked]
+    return end, np.sort(order[best[order] < threshold + far])
+
+
 def _reached(centres: DataFrame, x: np.ndarray, threshold: float) -> DataFrame:
     """The clusters that some article of the window is near enough to."""
 
@@ -50,15 +83,18 @@ def _reached(centres: DataFrame, x: np.ndarray, threshold: float) -> DataFrame:
             if batch.num_rows:
                 sums = _rows(batch.column(3), x.shape[1])
                 hit = np.zeros(len(sums), bool)
-                for at in range(0, len(sums), 1024):
-                    hit[at : at + 1024] = (_unit(sums[at : at + 1024]) @ x.T).max(axis=1) >= threshold - _SLACK
+                for at in range(0, len(sums), CHUNK):
+                    heads = _unit(sums[at : at + CHUNK])
+                    for place in range(0, len(x), 4096):
+                        hit[at : at + CHUNK] |= (heads @ x[place : place + 4096].T).max(axis=1) >= threshold - _SLACK
                 yield batch.filter(pa.array(hit))
 
     return centres.select("key", "young", "turn", "vector").mapInArrow(run, "key long, young boolean, turn long, vector array<double>")
 
 
 def _partners(free: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float, k: int) -> DataFrame:
-    """near, key, stamp, sim: for each article of the window (by its place there) the k best loose ones outside it."""
+    """near, key, stamp, sim: for each vector of x (by its place there) the k best loose articles outside the window, which
+    has these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # place, sim, stamp, id of the best so far, and what others must reach
@@ -89,9 +125,9 @@ def _partners(free: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float,
     return found.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
 
 
-def replay(ids: np.ndarray, stamps: np.ndarray, x: np.ndarray, centres: list[tuple], partners: dict[int, list[tuple]], k: int, threshold: float, turn: int) -> tuple[list[tuple], list[tuple], int]:
+def replay(ids: np.ndarray, stamps: np.ndarray, x: np.ndarray, centres: list[tuple], partners: dict[int, list[tuple]], k: int, threshold: float, turn: int, asked: np.ndarray | None = None) -> tuple[list[tuple], list[tuple], int]:
     """The greedy loop over a window. centres: (young, turn, key, sum) in their order; partners: for places of the window,
-    (sim, stamp, id, vector) of loose articles outside, best first. Returns what was placed (article, key, young), the
+    (sim, stamp, id, vector) of loose articles outside, best first, looked for at the places asked (None: all). Returns what was placed (article, key, young), the
     clusters that changed (key, young, turn, sum), and how many articles were decided."""
     n, many = len(ids), len(centres)
     room = np.zeros((many + n, x.shape[1]))
@@ -102,6 +138,7 @@ def replay(ids: np.ndarray, stamps: np.ndarray, x: np.ndarray, centres: list[tup
     names = [(c[2], c[0], c[1]) for c in centres]
     changed: set[int] = set()
     inside, gone = np.ones(n, bool), set()
+    known = np.ones(n, bool) if asked is None else np.isin(np.arange(n), asked)
     placed: list[tuple] = []
     for i in range(n):
         if not inside[i]:
@@ -116,6 +153,8 @@ def replay(ids: np.ndarray, stamps: np.ndarray, x: np.ndarray, centres: list[tup
                 changed.add(c)
                 placed.append((int(ids[i]), names[c][0], names[c][1]))
                 continue
+        if not known[i]:
+            return placed, [(*names[c], room[c]) for c in sorted(changed)], i
         listed = partners.get(i, [])
         outer = next((p for p in listed if p[2] not in gone), None)
         if outer is None and len(listed) == k:
@@ -148,34 +187,44 @@ def replay(ids: np.ndarray, stamps: np.ndarray, x: np.ndarray, centres: list[tup
     return placed, [(*names[c], room[c]) for c in sorted(changed)], n
 
 
-def assign_in_order(loose: DataFrame, sums: DataFrame, params: Params = DEFAULTS, window: int = WINDOW, neighbours: int = NEIGHBOURS) -> DataFrame:
+def assign_in_order(loose: DataFrame, sums: DataFrame, params: Params = DEFAULTS, window: int = WINDOW, neighbours: int = NEIGHBOURS, asked_of: int = ASKED) -> DataFrame:
     """article_id, cluster_id, founder of the articles that find a cluster, as the greedy loop over all of loose (id,
     published_at, embedding) by time and id, from clusters (cluster_id, vec_sum). New clusters have a founder, not an id."""
     spark, threshold = loose.sparkSession, params.threshold
-    doubles = F.transform("embedding", lambda v: v.cast("double"))
-    stamped = written(loose.select("id", F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("stamp"), doubles.alias("vector")), "stamped")
+    # in order, so that later articles are read alone
+    stamped = loose.select("id", F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("stamp"), F.col("embedding").alias("vector"))
+    stamped = written(stamped.orderBy("stamp", "id"), "stamped")
     centres = written(sums.select(F.col("cluster_id").alias("key"), F.lit(False).alias("young"), F.lit(0).cast("long").alias("turn"), F.col("vec_sum").alias("vector")), "centres")
     placed = written(spark.createDataFrame([], "article_id long, key long, young boolean"), "placed")
     at = F.struct("stamp", "id")
+    place = lambda stamp, key: F.struct(F.lit(stamp).cast("long").alias("stamp"), F.lit(key).cast("long").alias("id"))
     cursor: tuple[int, int] | None = None
-    turn = 1
+    turn, decided = 1, 0
+    most = max(1, min(asked_of, PRODUCTS // max(1, stamped.count())))
     while True:
-        free = stamped.join(placed.select(F.col("article_id").alias("id")), "id", "left_anti")
+        taken = placed.select(F.col("article_id").alias("id"))
+        free = stamped.join(taken, "id", "left_anti")
         # up to and with the cursor all are decided
-        later = free if cursor is None else free.filter(at > F.struct(F.lit(cursor[0]).cast("long").alias("stamp"), F.lit(cursor[1]).cast("long").alias("id")))
-        rows = later.orderBy("stamp", "id").limit(window).toArrow().combine_chunks()  # a window: bounded
-        if not rows.num_rows:
+        later = stamped if cursor is None else stamped.filter(F.col("stamp") >= cursor[0]).filter(at > place(*cursor))
+        later = later.join(taken, "id", "left_anti")
+        last = later.select("stamp", "id").orderBy("stamp", "id").limit(window).agg(F.max(at).alias("last")).first()["last"]
+        if last is None:
             break
-        ids, stamps = rows["id"].to_numpy(), rows["stamp"].to_numpy()
-        x = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        near = written(_partners(free, ids, x, threshold, neighbours), "partners")
-        vectors = free.join(F.broadcast(near.select(F.col("key").alias("id")).distinct()), "id").select(F.col("id").alias("key"), "vector")
+        # a window: bounded
+        rows = later.filter((F.col("stamp") <= last["stamp"]) & (at <= place(*last))).select("id", "stamp", "vector").toArrow().combine_chunks()
+        rows = rows.sort_by([("stamp", "ascending"), ("id", "ascending")]).combine_chunks()
+        width = len(rows["vector"][0])
+        x = _rows(rows["vector"].combine_chunks(), width)
+        end, asked = _asked(_nearest(centres, x), threshold, most, FAR * min(1.0, STEADY * window / max(1, decided)))
+        ids, stamps, x = rows["id"].to_numpy()[:end], rows["stamp"].to_numpy()[:end], x[:end]
+        near = written(_partners(free, ids, x[asked], threshold, neighbours), "partners")
+        vectors = free.join(F.broadcast(near.select(F.col("key").alias("id")).distinct()), "id").select(F.col("id").alias("key"), F.col("vector").cast("array<double>").alias("vector"))
         one = spark.range(1).selectExpr("0 AS kind", "CAST(NULL AS LONG) AS key", "false AS young", "0L AS turn", "CAST(NULL AS ARRAY<DOUBLE>) AS vector", "0 AS near", "0L AS stamp", "0D AS sim")
         given = one.unionByName(_reached(centres, x, threshold).withColumn("kind", F.lit(1)), allowMissingColumns=True)
         given = given.unionByName(near.join(vectors, "key").withColumn("kind", F.lit(2)), allowMissingColumns=True)
         first_turn = turn
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, stamps=stamps, x=x, turn=first_turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, stamps=stamps, x=x, asked=asked, turn=first_turn) -> Iterator[pa.RecordBatch]:
             known, partners = [], {}
             for batch in batches:
                 of = batch.column(0).to_numpy()
@@ -187,20 +236,18 @@ def assign_in_order(loose: DataFrame, sums: DataFrame, params: Params = DEFAULTS
                         known += zip(*columns(part, "young", "turn", "key"), vectors_of, strict=True)
                     else:
                         for place, *rest in zip(*columns(part, "near", "sim", "stamp", "key"), vectors_of, strict=True):
-                            partners.setdefault(place, []).append(tuple(rest))
+                            partners.setdefault(int(asked[place]), []).append(tuple(rest))
             known.sort(key=lambda c: c[:3])
             for listed in partners.values():
                 listed.sort(key=lambda p: (-p[0], p[1], p[2]))
-            new, changed, done = replay(ids, stamps, x, known, partners, neighbours, threshold, turn)
-            out = [{"kind": "placed", "article_id": a, "key": b, "young": c} for a, b, c in new]
-            out += [{"kind": "centre", "key": a, "young": b, "turn": c, "vector": v.tolist()} for a, b, c, v in changed]
-            out.append({"kind": "done", "turn": done})
-            kinds = pa.schema([("kind", pa.string()), ("article_id", pa.int64()), ("key", pa.int64()), ("young", pa.bool_()), ("turn", pa.int64()), ("vector", pa.list_(pa.float64()))])
-            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+            new, changed, done = replay(ids, stamps, x, known, partners, neighbours, threshold, turn, asked)
+            told = [("placed", a, b, c, None, None) for a, b, c in new] + [("centre", None, a, b, c, v.tolist()) for a, b, c, v in changed] + [("done", None, None, None, done, None)]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), types, strict=True)], ["kind", "article_id", "key", "young", "turn", "vector"])
 
         told = written(given.select(*[c.split()[0] for c in _INPUT.split(", ")]).repartition(1).mapInArrow(run, _OUTPUT), "told")
         done = told.filter("kind = 'done'").first()["turn"]
-        turn += window
+        turn, decided = turn + window, decided + done
         cursor = (int(stamps[done - 1]), int(ids[done - 1])) if done else cursor
         touched = told.filter("kind = 'centre'").select("key", "young", "turn", "vector")
         old = [centres, placed]

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from mosaiq.operators.components import least_labels
+from mosaiq.operators.components import connected_components, least_labels
 from mosaiq.params import DEFAULTS
-from mosaiq.tables import written
+from mosaiq.tables import freed, written
 
 #: Vectors that one block holds on average.
 BLOCK = 4096
@@ -269,6 +269,109 @@ def linked_above(vectors: DataFrame, threshold: float, mixed: float | None = Non
     return _forests(vectors, [threshold], mixed, block).select("u", "v")
 
 
+#: Vectors that all others meet before any blocks do, and vectors apart from these that meet all others without blocks.
+HUBS, APART = 1024, 8192
+
+
+def components_above(vectors: DataFrame, threshold: float, mixed: float | None = None, block: int = BLOCK, hubs: int = HUBS, apart: int = APART) -> DataFrame:
+    """node, component: connected_components of linked_above.
+
+    Where links are frequent, almost all vectors are linked with one of a few hubs, and what is in one component by these needs
+    no more products: only vectors without a link to a hub meet all the others. Where these are more than `apart`, blocks meet."""
+    rows = _usable(vectors)
+    by_blocks = lambda: connected_components(linked_above(vectors, threshold, mixed, block))
+    if rows.count() <= 4 * hubs:
+        return by_blocks()
+    # clusters, of negative id, are not linked with each other
+    chosen = rows if mixed is None else rows.filter("id >= 0")
+    found = chosen.orderBy(F.xxhash64("id"), "id").limit(hubs).toArrow().combine_chunks()
+    if not found.num_rows:
+        return by_blocks()
+    centre_ids, centres = found["id"].to_numpy(), _matrix(found["embedding"]).T
+    k = len(centre_ids)
+    by_id = np.argsort(centre_ids)
+
+    def links(ids: np.ndarray, x: np.ndarray, others: np.ndarray, other_ids: np.ndarray) -> np.ndarray:
+        sims = x @ others
+        if mixed is None:
+            return sims >= threshold
+        one, other = (ids < 0)[:, None], (other_ids < 0)[None, :]
+        return np.where(one & other, False, sims >= np.where(one | other, mixed, threshold))
+
+    def hub_of(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first hub that each vector is linked with, itself among them, or -1; and all."""
+        hit = links(ids, x, centres, centre_ids)
+        at = by_id[np.minimum(np.searchsorted(centre_ids, ids, sorter=by_id), k - 1)]
+        own = np.flatnonzero(centre_ids[at] == ids)
+        hit[own, at[own]] = True
+        return np.where(hit.any(1), hit.argmax(1), -1), hit
+
+    def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = labels[a], labels[b]
+        differ = a != b
+        return least_labels(a[differ], b[differ], len(labels))[labels] if differ.any() else labels
+
+    def edges(labels: np.ndarray, kind: int) -> pa.RecordBatch:
+        moved = np.flatnonzero(labels != np.arange(len(labels)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(moved), kind, np.int32)), pa.array(moved), pa.array(labels[moved].astype(np.int32))], ["kind", "id", "hub"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = np.arange(k)
+        for batch in _pieces(batches):
+            ids = batch.column(0).to_numpy()
+            hub, hit = hub_of(ids, _rows(batch.column(1)))
+            if labels.any():
+                row, column = np.nonzero(hit)
+                labels = merged(labels, hub[row], column)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), pa.array(hub.astype(np.int32))], ["kind", "id", "hub"])
+        yield edges(labels, 1)
+
+    told = written(rows.mapInArrow(meet, "kind int, id long, hub int"), "hubs")
+    of_vectors = told.filter("kind = 0")
+    joined = told.filter("kind = 1").toArrow()
+    labels = merged(np.arange(k), joined["id"].to_numpy(), joined["hub"].to_numpy())
+    groups = of_vectors.groupBy("hub").agg(F.count("*").alias("n"), F.min("id").alias("least")).toArrow().to_pylist()
+    without = sum(g["n"] for g in groups if g["hub"] < 0)
+    if without > apart:
+        freed(told)
+        return by_blocks()
+    # nodes: hubs, then what is apart from them
+    rest = rows.join(F.broadcast(of_vectors.filter("hub < 0").select("id")), "id").select("id", "embedding").toArrow().combine_chunks().sort_by("id")
+    rest_ids, total = rest["id"].to_numpy(), k + without
+    labels = np.concatenate([labels, np.arange(k, total)])
+    if without:
+        rest_x = _matrix(rest["embedding"]).T
+
+        def meet_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = labels
+            for batch in _pieces(batches):
+                ids, x = batch.column(0).to_numpy(), _rows(batch.column(1))
+                hub, _ = hub_of(ids, x)
+                node = np.where(hub >= 0, hub, k + np.minimum(np.searchsorted(rest_ids, ids), without - 1))
+                row, column = np.nonzero(links(ids, x, rest_x, rest_ids))
+                mine = merged(mine, node[row], k + column)
+            yield edges(mine, 1)
+
+        joined = rows.mapInArrow(meet_rest, "kind int, id long, hub int").toArrow()
+        labels = merged(labels, joined["id"].to_numpy(), joined["hub"].to_numpy())
+    size, least = np.zeros(total, np.int64), np.full(total, np.iinfo(np.int64).max)
+    for g in groups:
+        if g["hub"] >= 0:
+            size[labels[g["hub"]]] += g["n"]
+            least[labels[g["hub"]]] = min(least[labels[g["hub"]]], g["least"])
+    np.add.at(size, labels[k:], 1)
+    np.minimum.at(least, labels[k:], rest_ids)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            node = labels[np.where(hub >= 0, hub, k + np.minimum(np.searchsorted(rest_ids, ids), max(0, without - 1)))] if len(ids) else hub
+            some = size[node] > 1  # a vector without links is in no component
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[node[some]])], ["node", "component"])
+
+    return of_vectors.select("id", "hub").mapInArrow(name, "node long, component long")
+
+
 def linked_above_each(vectors: DataFrame, thresholds: Sequence[float], block: int = BLOCK) -> DataFrame:
     """threshold (by its place), u, v: linked_above of each threshold, from the same products."""
     return _forests(vectors, list(thresholds), None, block)
