@@ -39,9 +39,9 @@ def cluster_sums(clusters: DataFrame, membership: DataFrame, vectors: DataFrame)
     return vector_sums(members, "cluster_id")
 
 
-#: Numbers in the vectors of loose articles and clusters that one task takes through the rounds (128 MiB), products that it
+#: Numbers in the vectors of loose articles and clusters that one task takes through the rounds (256 MiB), products that it
 #: computes at once, and clusters that are sent to all tasks at once.
-ROUNDS_TASK, PRODUCTS, BROADCAST = 1 << 24, 1 << 22, 4096
+ROUNDS_TASK, PRODUCTS, BROADCAST = 1 << 25, 1 << 22, 4096
 
 ASSIGNED = "article_id long, cluster_id long, founder long"
 
