@@ -213,7 +213,7 @@ TOLD = "id long, c long, young boolean"
 JUDGED = pa.schema([("m", pa.int64()), ("late", pa.bool_()), ("sim", pa.float64()), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("embedding", pa.list_(pa.float64()))])
 #: Earliest loose articles that all others are compared with; articles without a neighbour among them that tasks may get; and
 #: centroids that tasks get before the loose articles are written anew.
-EARLY, UNRESOLVED, SNAPSHOTS = 1024, 4096, 256
+EARLY, UNRESOLVED, SNAPSHOTS = 1024, 4096, 32
 #: Half a unit of the last digit that products are rounded to.
 _HALF = 0.5 * 10.0**-DIGITS
 
